@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, shared, token_files
+from . import near_dedup, packing, shared, token_files
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -11,13 +11,37 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.best_fit_pack(shared.documents(spark, sf_dir), shared.tokenizer_path(WORD_BPE))
 
 
+def op8_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(shared.documents(spark, sf_dir), words=3, pct=85)
+
+
 def op10_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(shared.documents(spark, sf_dir), shared.tokenizer_path(WORD_BPE))
 
 
 def queries():
-    return {"op3_best_fit_packing": op3_best_fit_packing, "op10_token_files": op10_token_files}
+    return {"op3_best_fit_packing": op3_best_fit_packing, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op10_token_files": op10_token_files}
+
+
+#: Words are runs of other than ASCII white space; A-Z alone are lower-cased.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w
+), f AS (SELECT doc_id, unnest(sh) AS x FROM s),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT p.a, p.b FROM pair p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * p.n >= 85 * (len(x.sh) + len(y.sh) - p.n)
+), both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS d, doc_id AS c FROM s UNION SELECT l.b, r.c FROM reach r JOIN both_ways l ON l.a = r.d
+), comp AS (SELECT d, min(c) AS c FROM reach GROUP BY d)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept FROM s JOIN comp ON comp.d = s.doc_id
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op8_minhash_near_dedup": OP8_SQL}
