@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, shared, token_files
+from . import near_dedup, packing, quality_rules, shared, token_files, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules.quality_cascade(shared.documents(spark, sf_dir)).drop("rejected_by")
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.best_fit_pack(shared.documents(spark, sf_dir), shared.tokenizer_path(WORD_BPE))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = shared.documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(shared.documents(spark, sf_dir), words=3, pct=85)
 
@@ -20,9 +29,33 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    return {"op3_best_fit_packing": op3_best_fit_packing, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op10_token_files": op10_token_files}
+    return {"op1_quality_rules": op1_quality_rules, "op3_best_fit_packing": op3_best_fit_packing, "op5_toxicity": op5_toxicity, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op10_token_files": op10_token_files}
 
 
+OP1_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM (
+    SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, array_to_string(list_slice(ws, i, i + 4), ' ') AS five FROM w)
+), r AS (
+  SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM g WHERE n > 1) GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, text, ws, ls, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_n, length(regexp_replace(text, '[^a-z]', '', 'g')) AS lower_n,
+    length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters,
+    coalesce(list_max(map_values(list_histogram(ws))), 0) AS top_n
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines > 0 AND 10 * n_dup_lines > 3 * len(ls))
+    OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR upper_n > lower_n OR 2 * letters < word_chars OR 10 * top_n > 4 * n_words) AS kept
+FROM b
+"""
 #: Words are runs of other than ASCII white space; A-Z alone are lower-cased.
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
@@ -44,4 +77,4 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc
 
 
 def oracle_sql():
-    return {"op8_minhash_near_dedup": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op8_minhash_near_dedup": OP8_SQL}
