@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality_rules, shared, token_files, toxicity
+from pyspark.sql import functions as F
+
+from . import chat_windows, fingerprints, line_dedup, near_dedup, packing, quality_rules, shared, token_files, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -15,21 +17,37 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.best_fit_pack(shared.documents(spark, sf_dir), shared.tokenizer_path(WORD_BPE))
 
 
+def op4_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(shared.documents(spark, sf_dir))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = shared.documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_chat_windows(spark, sf_dir):
+    """All conversations and conversation -1, whose texts look like a template's marks."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat_windows.digests(chat_windows.read_windows(chat_windows.format_conversations(rows.unionByName(odd))))
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(shared.documents(spark, sf_dir), words=3, pct=85)
 
 
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(shared.documents(spark, sf_dir))
+
+
 def op10_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(shared.documents(spark, sf_dir), shared.tokenizer_path(WORD_BPE))
 
 
 def queries():
-    return {"op1_quality_rules": op1_quality_rules, "op3_best_fit_packing": op3_best_fit_packing, "op5_toxicity": op5_toxicity, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op10_token_files": op10_token_files}
+    return {"op1_quality_rules": op1_quality_rules, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op7_chat_windows": op7_chat_windows, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
 
 
 OP1_SQL = r"""
