@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_windows, fingerprints, line_dedup, near_dedup, packing, quality_rules, shared, token_files, toxicity
+from . import chat_windows, fingerprints, line_dedup, near_dedup, packing, quality_rules, shared, suffix_dedup, token_files, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -13,6 +13,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_cascade(shared.documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(shared.documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.best_fit_pack(shared.documents(spark, sf_dir), shared.tokenizer_path(WORD_BPE))
 
@@ -47,7 +51,7 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    return {"op1_quality_rules": op1_quality_rules, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op7_chat_windows": op7_chat_windows, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
+    return {"op1_quality_rules": op1_quality_rules, "op2_suffix_dedup": op2_suffix_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op7_chat_windows": op7_chat_windows, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
 
 
 OP1_SQL = r"""
