@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_windows, fingerprints, line_dedup, near_dedup, packing, quality_rules, shared, suffix_dedup, token_files, toxicity
+from . import chat_windows, fingerprints, line_dedup, near_dedup, packing, pieces, quality_rules, shared, suffix_dedup, token_files, toxicity
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -31,6 +31,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_sentencepiece(spark, sf_dir):
+    return pieces.encode_pieces(shared.documents(spark, sf_dir), shared.tokenizer_path(PIECE_BPE), keep_ids=False)
+
+
 def op7_chat_windows(spark, sf_dir):
     """All conversations and conversation -1, whose texts look like a template's marks."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -51,7 +55,7 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    return {"op1_quality_rules": op1_quality_rules, "op2_suffix_dedup": op2_suffix_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op7_chat_windows": op7_chat_windows, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
+    return {"op1_quality_rules": op1_quality_rules, "op2_suffix_dedup": op2_suffix_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_sentencepiece": op6_sentencepiece, "op7_chat_windows": op7_chat_windows, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
 
 
 OP1_SQL = r"""
