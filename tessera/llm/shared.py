@@ -3,10 +3,12 @@ lineage, and a word-level memo over a public tokenizer."""
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -60,60 +62,74 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-class WordEncoder:
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class WordEncoder(dict):
     """Ids of whole texts by the ``tokenizers`` library, remembering words.
 
     The tokenizer drops white space and no token reaches over it, so a text's
     ids are those of its ASCII-space separated chunks, one after the other.
-    Each distinct chunk is encoded once in a worker and kept as little-endian
-    uint32 bytes. Plain lower-case ASCII chunks skip the normaliser and the
-    splitting pattern, which leave them as they are. The memo is emptied beyond
-    ``most`` chunks, so its memory is bounded.
+    A chunk is encoded when it is first met and kept as little-endian uint32
+    bytes. A chunk of Latin-1 letters and then ASCII marks is in normal form
+    and splits into just these two, which go to the library's model; all others
+    go through its whole pipeline. Two generations of at most ``most`` chunks
+    bound the memory.
     """
 
-    PLAIN = re.compile(rb"([A-Za-z]+)([.,]?)")
+    LETTERS = staticmethod(re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch)
+    MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.memo = Tokenizer.from_file(path), most, {}
-        self.model = self.tok.model
-
-    def _new(self, words: set[bytes]) -> None:
-        if len(self.memo) + len(words) > self.most:
-            self.memo.clear()
-        rest = []
-        for w in words:
-            m = self.PLAIN.fullmatch(w)
-            if m and len(w) < 200:
-                ids = [t.id for t in self.model.tokenize(m[1].decode().lower())]
-                if m[2]:
-                    ids += [t.id for t in self.model.tokenize(m[2].decode())]
-                self.memo[w] = np.array(ids, "<u4").tobytes()
+        gc.set_threshold(200_000, 50, 100)  # bytes make no cycles; scanning for them costs a fifth of the time
+        self.tok, self.most, self.older, self.cores = Tokenizer.from_file(path), most, {}, {}
+        self.model, self.alphabet = self.tok.model, _byte_letters()
+        self.whole = any(a.content.rstrip(self.MARKS.decode()).isalpha() for a in self.tok.get_added_tokens_decoder().values())
+
+    def _core(self, part: bytes) -> bytes:
+        """Ids of one piece in UTF-8 that the splitting pattern leaves whole."""
+        ids = self.cores.get(part)
+        if ids is None:
+            if len(self.cores) >= self.most:
+                self.cores.clear()
+            seen = part.decode("latin-1")
+            ids = self.cores[part] = array("I", [t.id for t in self.model.tokenize(seen if part.isascii() else seen.translate(self.alphabet))]).tobytes()
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(self.MARKS)
+            if len(word) >= 200 or not core or self.whole:
+                plain = False
+            elif core.isalpha():  # ASCII letters alone
+                plain, core_lower = True, core.lower()
+            else:
+                text = core.decode()
+                plain = self.LETTERS(text)
+                core_lower = text.lower().encode()
+            if plain:
+                ids = self._core(core_lower)
+                if len(core) < len(word):
+                    ids += self._core(word[len(core) :])
             else:
-                rest.append(w)
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+                ids = np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
         """The ids of one text as little-endian uint32."""
-        words = text.split()
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            out = []
-            for k in range(0, len(words), 100_000):
-                part = words[k : k + 100_000]
-                self._new({w for w in part if w not in self.memo})
-                # a full memo is emptied by _new, so chunks known before may be gone
-                gone = {w for w in part if w not in self.memo}
-                if gone:
-                    self._new(gone)
-                out += map(self.memo.__getitem__, part)
-            return b"".join(out)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
