@@ -328,8 +328,8 @@ def _release(spark) -> None:
 def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with ``with_text`` kept_text.
 
-    ``kept_text``: the remaining bytes; a character that lost only some of its
-    bytes is written as U+FFFD there, the digest is of the bytes.
+    ``kept_text``: the remaining bytes as text, without what is left of characters
+    that lost some of their bytes; the digest is of the bytes.
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
@@ -452,7 +452,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
             g, t = gone[s:e], raw[s:e]
             spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if len(g) else 0
             kept = t[~g].tobytes() if spans else t.tobytes()
-            for c, v in zip(res, (ids[k], hashlib.sha256(t.tobytes()).digest(), e - s, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None)):
+            for c, v in zip(res, (ids[k], hashlib.sha256(t.tobytes()).digest(), e - s, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)):
                 c.append(v)
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("rep", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"), res, kinds)})
