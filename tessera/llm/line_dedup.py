@@ -7,11 +7,13 @@ A line (between line feeds) is its sequence of words. Lines of at least
 Shorter lines stay: they repeat by chance in clean texts.
 
 1. Equal lines are combined before the shuffle; only each line's first place goes on.
-2. One edit cannot touch both the first and the last ``edge`` words of a line
-   (near_words >= 2 * edge), so lines within the bound share one of two
-   keys. Lines that share none drop out; nothing is lost.
-3. All variants with one word deleted are emitted as hashed keys (prefix
-   and suffix sums of position-dependent hashes, linear in the line's length).
+2. One edit cannot touch both the first and the last half of a line, so lines
+   within the bound share one of two keys: e words at either end, e growing with
+   the length (near_words / 2, doubled whenever the length doubles; a line of
+   just such a length has the keys of both). Lines that share none drop out;
+   nothing is lost.
+3. All variants with one word deleted are emitted as hashed keys (running
+   exclusive ors of position-dependent hashes, linear in the line's length).
    Lines of equal length that share a variant with the same position deleted
    differ in that word; a line equal to another's variant lacks one word. So the
    earliest line of a group decides for all others of it and no pairs within
@@ -31,12 +33,11 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-MIN_WORDS, NEAR_WORDS, EDGE, SALTS, MOST_BROADCAST = 6, 12, 6, 16, 500_000
-_BITS = (1 << 40) - 1
+MIN_WORDS, NEAR_WORDS, SALTS, MOST_BROADCAST = 6, 12, 16, 500_000
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[ \t\x0B\f\r]+"), lambda w: w != "")
+    return F.filter(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), lambda w: w != "")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,9 +46,14 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(text_col).isNotNull()).select(d, F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """Broadcast only when the counted size allows it; else Spark joins by shuffle."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
+
+
 def _known(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of df whose key is in ``keys``; keys are broadcast only if counted small enough."""
-    return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, on, "left_semi")
+    return df.join(_small(keys, keys.count()), on, "left_semi")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -62,53 +68,59 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(a) == F.size(b) + 1, lacks(a, b)).when(F.size(b) == F.size(a) + 1, lacks(b, a)).otherwise(False)
 
 
-def near_lines(lines: DataFrame, first: DataFrame, near_words: int, edge: int) -> DataFrame:
+def end_keys(w: Column, n: Column, near_words: int) -> Column:
+    """The hashes of e words at the start and at the end, for each e of the line's length."""
+    level = F.floor(F.log2(n / near_words)).cast("int")
+    e = (F.lit(near_words // 2) * F.pow(F.lit(2.0), level)).cast("int")
+    own = [F.xxhash64(F.lit("start"), e, F.slice(w, 1, e)), F.xxhash64(F.lit("end"), e, F.slice(w, n - e + 1, e))]
+    half = (e / 2).cast("int")
+    below = [F.xxhash64(F.lit("start"), half, F.slice(w, 1, half)), F.xxhash64(F.lit("end"), half, F.slice(w, n - half + 1, half))]
+    edge = (n == 2 * e) & (n > near_words)
+    return F.when(n < near_words, F.array().cast("array<bigint>")).when(edge, F.array(*own, *below)).otherwise(F.array(*own))
+
+
+def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     """d, no of first places of distinct lines that an earlier line is within one edit of.
 
-    ``first``: d, no, n, head, tail of each distinct line.
+    ``first``: d, no, keys of each distinct line.
     """
-    keyed = first.where(F.col("n") >= near_words).select("d", "no", F.explode(F.array("head", "tail")).alias("key"))
+    keyed = first.select("d", "no", F.explode("keys").alias("key"))
     keys = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     cand = materialise(keyed.join(keys, "key", "left_semi").select("d", "no").distinct(), "line-candidates")
     words = materialise(_known(lines, cand, ["d", "no"]).select("d", "no", words_of(F.col("line")).alias("w")).dropDuplicates(["d", "no"]), "candidate-lines")
 
-    def g(seed: int, pos: Column) -> Column:
-        return F.xxhash64(F.lit(seed), "word", pos).bitwiseAND(F.lit(_BITS))
-
+    # running exclusive ors: words before place i keep their place, those after it move down by one
     each = words.select("d", "no", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    each = each.select("d", "no", "n", "i", *(g(s, F.col("i") - k).alias(f"g{s}{k}") for s in (1, 2) for k in (0, 1)))
-    line = Window.partitionBy("d", "no").orderBy("i")
-    up, down = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
-    sums = [F.coalesce(F.sum(f"g{s}0").over(up), F.lit(0)) for s in (1, 2)]
-    after = [F.coalesce(F.sum(f"g{s}1").over(down), F.lit(0)) for s in (1, 2)]
-    own = [F.when(F.col("i") == F.col("n") - 1, sums[k] + F.col(f"g{k + 1}0")) for k in (0, 1)]
-    rows = each.select("d", "no", "n", "i", *((sums[k] + after[k]).alias(f"v{k}") for k in (0, 1)), *(own[k].alias(f"o{k}") for k in (0, 1)))
-    place = F.struct("d", "no").alias("at")
-    variant = F.struct(F.col("v0").alias("a"), F.col("v1").alias("b"), (F.col("n") - 1).alias("m"), F.col("i").alias("i"))
-    whole = F.struct(F.col("o0").alias("a"), F.col("o1").alias("b"), F.col("n").alias("m"), F.lit(-1).alias("i"))
-    emitted = rows.select(place, F.explode(F.when(F.col("o0").isNotNull(), F.array(variant, whole)).otherwise(F.array(variant))).alias("v")).select("at", "v.*")
-    emitted = materialise(emitted, "line-variants")
-    groups = emitted.groupBy("a", "b", "m", "i").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    key = Window.partitionBy("a", "b", "m")
+    each = each.select("d", "no", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("down"))
+    line = Window.partitionBy("d", "no")
+    so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = each.select("d", "no", "n", "i", F.bit_xor("here").over(so_far).bitwiseXOR(F.col("here")).alias("before"), F.bit_xor("down").over(so_far).alias("down_to"), F.bit_xor("here").over(line).alias("all"), F.bit_xor("down").over(line).alias("all_down"))
+    size = lambda m: F.xxhash64(F.lit("size"), m)
+    variant = F.struct(F.col("before").bitwiseXOR(F.col("all_down")).bitwiseXOR(F.col("down_to")).bitwiseXOR(size(F.col("n") - 1)).alias("key"), F.col("i").alias("i"))
+    whole = F.struct(F.col("all").bitwiseXOR(size(F.col("n"))).alias("key"), F.lit(-1).alias("i"))
+    emitted = rows.select(F.struct("d", "no").alias("at"), F.explode(F.when(F.col("i") == 0, F.array(variant, whole)).otherwise(F.array(variant))).alias("v")).select("at", "v.*")
+    groups = emitted.groupBy("key", "i").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    key = Window.partitionBy("key")
     whole_at, variant_at = F.min(F.when(F.col("i") < 0, F.col("lo"))).over(key), F.min(F.when(F.col("i") >= 0, F.col("lo"))).over(key)
-    best = groups.select("a", "b", "m", "i", "hi", F.when(F.col("i") < 0, variant_at).otherwise(F.least("lo", whole_at)).alias("best")).where("best < hi").drop("hi")
-    pairs = emitted.join(best, ["a", "b", "m", "i"]).where("best < at").groupBy("at").agg(F.min("best").alias("best"))
+    best = groups.select("key", "i", "hi", F.when(F.col("i") < 0, variant_at).otherwise(F.least("lo", whole_at)).alias("best")).where("best < hi").drop("hi")
+    best = materialise(best, "line-groups")
+    pairs = emitted.join(_small(best, best.count()), ["key", "i"]).where("best < at").groupBy("at").agg(F.min("best").alias("best"))
     pairs = pairs.select("at.d", "at.no", F.col("best.d").alias("d2"), F.col("best.no").alias("no2"))
     other = words.select(F.col("d").alias("d2"), F.col("no").alias("no2"), F.col("w").alias("w2"))
     return pairs.join(words, ["d", "no"]).join(other, ["d2", "no2"]).where(within_one(F.col("w"), F.col("w2"))).select("d", "no")
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edge: int = EDGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """d and lines (sorted positions from 0) to remove from each document that loses some."""
-    if near_words < 2 * edge:
-        raise ValueError("near_words must be at least twice edge")
+    if near_words < 4 or near_words % 2:
+        raise ValueError("near_words must be even and at least 4")
     lines = lines_of(docs, id_col, text_col)
     w = F.col("w")
     seen = lines.select("d", "no", words_of(F.col("line")).alias("w")).where(F.size("w") >= min_words)
-    seen = seen.select("d", "no", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), F.xxhash64(F.lit("head"), F.slice(w, 1, edge)).alias("head"), F.xxhash64(F.lit("tail"), F.slice(w, -edge, edge)).alias("tail"))
+    seen = seen.select("d", "no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), end_keys(w, F.size("w"), near_words).alias("keys"))
     seen = materialise(seen, "lines")
-    first = materialise(seen.groupBy("h1", "h2").agg(F.min(F.struct("d", "no")).alias("at"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail")).select("h1", "h2", "at.d", "at.no", "c", "n", "head", "tail"), "distinct-lines")
-    near = materialise(near_lines(lines, first, near_words, edge), "near-lines")
+    first = materialise(seen.groupBy("h1", "h2").agg(F.min(F.struct("d", "no")).alias("at"), F.count("*").alias("c"), F.first("keys").alias("keys")).select("h1", "h2", "at.d", "at.no", "c", "keys"), "distinct-lines")
+    near = materialise(near_lines(lines, first), "near-lines")
     gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files no longer needed
     gone = first.join(near.withColumn("near", F.lit(True)), ["d", "no"], "left").where("c > 1 or near").select("h1", "h2", F.col("d").alias("d1"), F.col("no").alias("no1"), F.coalesce("near", F.lit(False)).alias("near"))
@@ -119,11 +131,13 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     return hit.groupBy("d").agg(F.sort_array(F.collect_set("no")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edge: int = EDGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text less its removed lines, and __lines and __removed, their numbers."""
-    removed = removed_lines(docs, min_words, near_words, edge, id_col, text_col).select(F.col("d").alias("__d"), F.col("lines").alias("__gone"))
+    removed = materialise(removed_lines(docs, min_words, near_words, id_col, text_col), "removed-lines")
+    n = removed.agg(F.count("*") + F.sum(F.size("lines"))).first()[0] or 0
+    removed = _small(removed.select(F.col("d").alias("__d"), F.col("lines").alias("__gone")), n)
     df = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).join(removed, "__d", "left")
-    own = F.split(F.col(text_col), "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__gone"))
-    left = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: F.get(own, i)), "\n"))
-    return df.select(*(F.col(c) if c != text_col else left.alias(c) for c in docs.columns), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"))
+    df = df.withColumn("__own", F.split(F.col(text_col), "\n"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("__own") - 1), F.col("__gone"))
+    left = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: F.get("__own", i)), "\n"))
+    return df.select(*(F.col(c) if c != text_col else left.alias(c) for c in docs.columns), F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__own")).cast("long").alias("__lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__removed"))
