@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-FRAGMENT_CHARS, SHINGLE = 80, 40
+FRAGMENT_CHARS, RUN = 80, 5
 
 
 def mark_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -34,12 +34,16 @@ def fragments(benchmark: DataFrame, text_col: str = "text", least: int = FRAGMEN
 def contaminated(docs: DataFrame, frags: DataFrame, id_col: str = "doc_id", folded_col: str = "folded") -> DataFrame:
     """Ids of documents that contain a fragment as a substring.
 
-    An equi-join instead of a nested loop: a fragment is keyed by the hash of
-    its first SHINGLE characters, a document by those of all its windows, and
-    ``contains`` verifies.
+    An equi-join instead of a nested loop: a fragment's inner words (all but
+    the first and the last, which may be parts) are words of the document as
+    well, so it is keyed by its second to sixth word, a document by all its
+    runs of five, and ``contains`` verifies. Fragments of fewer than seven words
+    (long words) have no key and are compared with each document.
     """
-    keyed = frags.select("fragment", F.xxhash64(F.substring("fragment", 1, SHINGLE)).alias("key"))
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(folded_col) - SHINGLE + 1)), lambda i: F.xxhash64(F.substr(F.col(folded_col), i, F.lit(SHINGLE))))
-    windows = docs.where(F.length(folded_col) >= SHINGLE).select(id_col, F.explode(F.array_distinct(places)).alias("key"))
-    candidates = windows.join(keyed, "key").select(id_col, "fragment")
-    return candidates.join(docs.select(id_col, folded_col), id_col).where(F.contains(F.col(folded_col), F.col("fragment"))).select(id_col).distinct()
+    hashed = lambda w: F.transform(T.ngrams(w, RUN), lambda g: F.xxhash64(g))
+    frags = frags.withColumn("w", T.split_words(F.col("fragment")))
+    keyed = frags.where(F.size("w") >= RUN + 2).select("fragment", F.xxhash64(F.array_join(F.slice("w", 2, RUN), " ")).alias("key"))
+    runs = docs.select(id_col, F.explode(F.array_distinct(hashed(T.split_words(F.col(folded_col))))).alias("key"))
+    found = runs.join(keyed, "key").select(id_col, "fragment").join(docs.select(id_col, folded_col), id_col)
+    odd = docs.select(id_col, folded_col).join(frags.where(F.size("w") < RUN + 2).select("fragment"), F.contains(F.col(folded_col), F.col("fragment")))
+    return found.where(F.contains(F.col(folded_col), F.col("fragment"))).select(id_col).unionByName(odd.select(id_col)).distinct()

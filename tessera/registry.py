@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import ORACLE, QUERIES, corpus  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
