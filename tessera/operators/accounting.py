@@ -49,8 +49,9 @@ def majority(won: DataFrame) -> DataFrame:
     return best.withColumn("confidence", F.when(F.col("votes") == 4, "HIGH").when(F.col("votes") >= 2, "MEDIUM").otherwise("LOW"))
 
 
-def parameter_count(vocab, d, layers, heads, kv, inner, tied=F.lit(True), qk_norm=F.lit(False)) -> Column:
+def parameter_count(vocab, d, layers, heads, kv, inner, tied=None, qk_norm=None) -> Column:
     """Closed-form size of a decoder with grouped-query attention and gated feed-forward."""
+    tied, qk_norm = F.lit(True) if tied is None else tied, F.lit(False) if qk_norm is None else qk_norm
     head = (d / heads).cast("long")
     layer = 2 * d * d + 2 * d * kv * head + 3 * d * inner + 2 * d + F.when(qk_norm, 2 * head).otherwise(0)
     return (vocab * d + layers * layer + d + F.when(tied, 0).otherwise(vocab * d)).cast("long")
