@@ -34,11 +34,11 @@ HTML = r"</?[a-zA-Z][^>]{0,200}>"
 
 
 def _is_ascii(c: Column) -> Column:
-    return F.octet_length(c) == F.length(c)
+    return c.isNull() | (F.octet_length(c) == F.length(c))
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC on the JVM; ASCII text is already normal."""
+    """Unicode NFC on the JVM; ASCII text is already normal, null stays null."""
     return F.when(_is_ascii(c), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
 
 
