@@ -47,8 +47,8 @@ from .shared import id_text, materialise
 
 SPAN, K, SHALLOW = 50, 24, 16
 REACH = SPAN - K + 1
-BLOCK_BYTES, BLOCKS_PER_BUCKET, SALTS = 8 << 20, 4, 16
-CHUNK = 1 << 20
+BLOCK_BYTES, RANGE_BYTES, BLOCKS_PER_BUCKET, SALTS = 4 << 20, 6 << 20, 4, 16
+CHUNK, SORTED_AT_ONCE = 1 << 18, 40_000
 _LOW = U(CHUNK - 1)
 NULL_ID = (1 << 63) - 1
 
@@ -303,6 +303,23 @@ def _masks(h, doc, windows, back, data) -> np.ndarray:
     return mask
 
 
+def _masks_in_parts(h, doc, windows, back, data) -> np.ndarray:
+    """As ``_masks``, some anchors after the others, so that memory stays bounded."""
+    lens = windows + SPAN - 1
+    starts, order = np.cumsum(lens) - lens, np.argsort(h, kind="stable")
+    out, a, n = np.zeros(len(h), "i8"), 0, len(h)
+    while a < n:
+        b = min(n, a + SORTED_AT_ONCE)
+        if b < n:  # all contexts of an anchor stay together
+            b = a + int(np.searchsorted(h[order[a:]], h[order[b - 1]], "right"))
+        own = order[a:b]
+        first = np.cumsum(lens[own]) - lens[own]
+        at = np.arange(int(lens[own].sum())) + np.repeat(starts[own] - first, lens[own])
+        out[own] = _masks(h[own], doc[own], windows[own], back[own], data[at])
+        a = b
+    return out
+
+
 def _distinct_texts(rows: DataFrame, n_blocks: int) -> DataFrame:
     """block, doc_id, text: each different text of a batch once, with its smallest doc_id."""
 
@@ -336,7 +353,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
     n_buckets = max(1, -(-n_blocks // BLOCKS_PER_BUCKET))
-    n_ranges = max(1, min(1 << 16, -(-n_bytes // (16 << 20))))
+    n_ranges = max(1, min(1 << 16, -(-n_bytes // RANGE_BYTES)))
     name = f"tessera_texts_{uuid.uuid4().hex}"
     _distinct_texts(rows, n_blocks).repartition(n_buckets, "block").write.option("compression", "zstd").bucketBy(n_buckets, "block").saveAsTable(name)
     _release(spark)
@@ -414,7 +431,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
                 sizes.append(n)
             h, doc, number, windows, back = (np.concatenate(c) for c in cols)
             if len(h):
-                mask = _masks(h.astype(U), doc.astype("i8"), windows.astype("i8"), back.astype("i8"), np.concatenate(data))
+                mask = _masks_in_parts(h.astype(U), doc.astype("i8"), windows.astype("i8"), back.astype("i8"), np.concatenate(data))
                 of, hit = np.repeat(np.arange(len(held)), sizes), np.flatnonzero(mask)
                 for k, i in _by(of[hit]):
                     own = hit[i]
