@@ -82,6 +82,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR upper_n > lower_n OR 2 * letters < word_chars OR 10 * top_n > 4 * n_words) AS kept
 FROM b
 """
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+), c AS (
+  SELECT * FROM (SELECT doc_id, no, list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS ws FROM l) WHERE len(ws) >= 6
+), f AS (SELECT ws, min([doc_id, no]) AS place FROM c GROUP BY ws),
+g AS (SELECT ws, place, len(ws) AS n FROM f WHERE len(ws) >= 12),
+v AS (SELECT place, i, list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, len(ws))) AS k FROM (SELECT ws, place, unnest(range(1, n + 1)) AS i FROM g) u),
+near AS (
+  SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY k, i) AS m FROM v) WHERE m < place
+  UNION SELECT v.place FROM v JOIN g ON g.ws = v.k WHERE g.place < v.place
+  UNION SELECT g.place FROM v JOIN g ON g.ws = v.k WHERE v.place < g.place
+), gone AS (
+  SELECT c.doc_id, c.no FROM c JOIN f ON f.ws = c.ws LEFT JOIN near ON near.place = f.place WHERE near.place IS NOT NULL OR f.place < [c.doc_id, c.no]
+), o AS (
+  SELECT l.doc_id, count(*) AS n_lines, CAST(count(gone.no) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (gone.no IS NULL), '') AS kept
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.no = l.no GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM o
+"""
+OP7_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, role, text, (length(text) + 3) // 4 + 8 AS tok FROM base
+), p AS (
+  SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY i) - tok AS before,
+    length('<turn|' || i || '|c|' || replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '&bar;') || '>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</turn>' || chr(10)) AS len FROM r
+), s AS (
+  SELECT conv_id, (role = 'system')::INT AS sys, CASE WHEN role = 'system' THEN tok ELSE 0 END AS systok, CASE WHEN role = 'system' THEN len ELSE 0 END AS syslen FROM p WHERE i = 0
+), scan AS (
+  SELECT conv_id, CAST(sys AS BIGINT) AS i, CAST(systok AS HUGEINT) AS at, CAST(sys AS BIGINT) AS start FROM s
+  UNION ALL
+  SELECT c.conv_id, c.i + 1, CASE WHEN p.before + p.tok - c.at > greatest(1, 768 - s.systok) AND c.i + 1 > c.start THEN p.before ELSE c.at END,
+    CASE WHEN p.before + p.tok - c.at > greatest(1, 768 - s.systok) AND c.i + 1 > c.start THEN c.i + 1 ELSE c.start END
+  FROM scan c JOIN p ON p.conv_id = c.conv_id AND p.i = c.i + 1 JOIN s ON s.conv_id = c.conv_id
+), w AS (
+  SELECT DISTINCT scan.conv_id, start, sys, syslen FROM scan JOIN s ON s.conv_id = scan.conv_id WHERE start > sys
+), extra AS (
+  SELECT w.conv_id, sum(syslen + CASE WHEN start - 2 >= sys AND a.before - b2.before <= 256 THEN b1.len + b2.len WHEN start - 1 >= sys AND a.before - b1.before <= 256 THEN b1.len ELSE 0 END) AS more
+  FROM w JOIN p a ON a.conv_id = w.conv_id AND a.i = start LEFT JOIN p b1 ON b1.conv_id = w.conv_id AND b1.i = start - 1 LEFT JOIN p b2 ON b2.conv_id = w.conv_id AND b2.i = start - 2 GROUP BY w.conv_id
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(len) AS len FROM p GROUP BY conv_id
+)
+SELECT g.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(len + coalesce(more, 0) AS BIGINT) AS formatted_chars FROM g LEFT JOIN extra ON extra.conv_id = g.conv_id
+"""
 #: Words are runs of other than ASCII white space; A-Z alone are lower-cased.
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
@@ -103,4 +151,4 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc
 
 
 def oracle_sql():
-    return {"op1_quality_rules": OP1_SQL, "op8_minhash_near_dedup": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_chat_windows": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
