@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import ORACLE, QUERIES, answers, corpus, incremental, tokens  # noqa: F401
+from .plans import ORACLE, QUERIES, answers, corpus, incremental, tokens, tools  # noqa: F401
 
 
 def queries():
