@@ -134,8 +134,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text less its removed lines, and __lines and __removed, their numbers."""
     removed = materialise(removed_lines(docs, min_words, near_words, id_col, text_col), "removed-lines")
-    n = removed.agg(F.count("*") + F.sum(F.size("lines"))).first()[0] or 0
-    removed = _small(removed.select(F.col("d").alias("__d"), F.col("lines").alias("__gone")), n)
+    removed = removed.select(F.col("d").alias("__d"), F.col("lines").alias("__gone"))
     df = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).join(removed, "__d", "left")
     df = df.withColumn("__own", F.split(F.col(text_col), "\n"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("__own") - 1), F.col("__gone"))
