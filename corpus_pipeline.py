@@ -40,11 +40,12 @@ def minhash_near_dedup(spark, docs, sf_dir):
 
 def suffix_array_dedup(spark, docs, sf_dir):
     """Repeated strings of 50 bytes go where an earlier document has them, and documents that lose all."""
-    cut = remove_repeats(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), "kept_text")
-    # rows of one doc_id but different texts are told apart by their lengths
-    joined = docs.join(cut.dropDuplicates(["__id", "__n"]), (docs["doc_id"] == cut["__id"]) & (F.octet_length("text") == F.col("__n")), "left")
-    changed = joined.withColumn("text", F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.col("kept_text")))
-    return _with_text(docs, changed, F.col("__id").isNull() | (F.trim("text") != ""))
+    cut = remove_repeats(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept_text")
+    # rows are told apart by doc_id, null or not, and the text's digest
+    same = docs["doc_id"].cast("long").eqNullSafe(cut["__id"]) & (F.unhex(F.sha2("text", 256)) == F.col("__digest"))
+    joined = docs.join(cut.dropDuplicates(["__id", "__digest"]), same, "left")
+    changed = joined.withColumn("text", F.when(F.col("__digest").isNull(), F.col("text")).otherwise(F.col("kept_text")))
+    return _with_text(docs, changed, F.col("__digest").isNull() | (F.trim("text") != ""))
 
 
 def best_fit_packing(spark, docs, sf_dir):

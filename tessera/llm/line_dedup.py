@@ -20,8 +20,9 @@ Shorter lines stay: they repeat by chance in clean texts.
    groups are made.
 4. Each line and its earliest partner are verified word by word.
 
-Null texts stay null and keep all lines; a null doc_id counts as last; rows
-that repeat a doc_id are one document; other columns pass through.
+Null texts stay null and keep all lines; a null doc_id counts as last. Rows are
+told apart by doc_id and a digest of the text (its order breaks ties of doc_id),
+so only rows that repeat both are one document; other columns pass through.
 """
 
 from __future__ import annotations
@@ -40,10 +41,25 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), lambda w: w != "")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """d, no, line of every line; d is the doc_id, or the greatest long for null."""
-    d = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d")
-    return docs.where(F.col(text_col).isNotNull()).select(d, F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds __d and __t, by which rows are told apart.
+
+    __d is the doc_id, or the greatest long for null; __t is 0, or a digest of
+    the text where rows of different texts share a doc_id.
+    """
+    own = F.col(id_col).cast("long")
+    d, digest = F.coalesce(own, F.lit((1 << 63) - 1)), F.xxhash64(F.col(text_col), own.isNull())
+    shared = docs.select(d.alias("__d"), digest.alias("t")).groupBy("__d").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi")
+    shared = materialise(shared.select("__d", F.lit(True).alias("__shared")), "shared-ids")
+    n = shared.count()
+    if not n:
+        return docs.withColumns({"__d": d, "__t": F.lit(0).cast("long")})
+    return docs.withColumn("__d", d).join(_small(shared, n), "__d", "left").withColumn("__t", F.when(F.col("__shared"), digest).otherwise(F.lit(0)).cast("long")).drop("__shared")
+
+
+def lines_of(keyed: DataFrame, text_col: str) -> DataFrame:
+    """d, t, no, line of every line of ``with_key``'s rows."""
+    return keyed.where(F.col(text_col).isNotNull()).select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -80,62 +96,67 @@ def end_keys(w: Column, n: Column, near_words: int) -> Column:
 
 
 def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """d, no of first places of distinct lines that an earlier line is within one edit of.
+    """d, t, no of first places of distinct lines that an earlier line is within one edit of.
 
-    ``first``: d, no, keys of each distinct line.
+    ``first``: d, t, no, keys of each distinct line.
     """
-    keyed = first.select("d", "no", F.explode("keys").alias("key"))
+    keyed = first.select("d", "t", "no", F.explode("keys").alias("key"))
     keys = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    cand = materialise(keyed.join(keys, "key", "left_semi").select("d", "no").distinct(), "line-candidates")
-    words = materialise(_known(lines, cand, ["d", "no"]).select("d", "no", words_of(F.col("line")).alias("w")).dropDuplicates(["d", "no"]), "candidate-lines")
+    cand = materialise(keyed.join(keys, "key", "left_semi").select("d", "t", "no").distinct(), "line-candidates")
+    words = materialise(_known(lines, cand, ["d", "t", "no"]).select("d", "t", "no", words_of(F.col("line")).alias("w")).dropDuplicates(["d", "t", "no"]), "candidate-lines")
 
     # running exclusive ors: words before place i keep their place, those after it move down by one
-    each = words.select("d", "no", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    each = each.select("d", "no", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("down"))
-    line = Window.partitionBy("d", "no")
+    each = words.select("d", "t", "no", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    each = each.select("d", "t", "no", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("down"))
+    line = Window.partitionBy("d", "t", "no")
     so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = each.select("d", "no", "n", "i", F.bit_xor("here").over(so_far).bitwiseXOR(F.col("here")).alias("before"), F.bit_xor("down").over(so_far).alias("down_to"), F.bit_xor("here").over(line).alias("all"), F.bit_xor("down").over(line).alias("all_down"))
+    rows = each.select("d", "t", "no", "n", "i", F.bit_xor("here").over(so_far).bitwiseXOR(F.col("here")).alias("before"), F.bit_xor("down").over(so_far).alias("down_to"), F.bit_xor("here").over(line).alias("all"), F.bit_xor("down").over(line).alias("all_down"))
     size = lambda m: F.xxhash64(F.lit("size"), m)
     variant = F.struct(F.col("before").bitwiseXOR(F.col("all_down")).bitwiseXOR(F.col("down_to")).bitwiseXOR(size(F.col("n") - 1)).alias("key"), F.col("i").alias("i"))
     whole = F.struct(F.col("all").bitwiseXOR(size(F.col("n"))).alias("key"), F.lit(-1).alias("i"))
-    emitted = rows.select(F.struct("d", "no").alias("at"), F.explode(F.when(F.col("i") == 0, F.array(variant, whole)).otherwise(F.array(variant))).alias("v")).select("at", "v.*")
+    emitted = rows.select(F.struct("d", "t", "no").alias("at"), F.explode(F.when(F.col("i") == 0, F.array(variant, whole)).otherwise(F.array(variant))).alias("v")).select("at", "v.*")
     groups = emitted.groupBy("key", "i").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     key = Window.partitionBy("key")
     whole_at, variant_at = F.min(F.when(F.col("i") < 0, F.col("lo"))).over(key), F.min(F.when(F.col("i") >= 0, F.col("lo"))).over(key)
     best = groups.select("key", "i", "hi", F.when(F.col("i") < 0, variant_at).otherwise(F.least("lo", whole_at)).alias("best")).where("best < hi").drop("hi")
     best = materialise(best, "line-groups")
     pairs = emitted.join(_small(best, best.count()), ["key", "i"]).where("best < at").groupBy("at").agg(F.min("best").alias("best"))
-    pairs = pairs.select("at.d", "at.no", F.col("best.d").alias("d2"), F.col("best.no").alias("no2"))
-    other = words.select(F.col("d").alias("d2"), F.col("no").alias("no2"), F.col("w").alias("w2"))
-    return pairs.join(words, ["d", "no"]).join(other, ["d2", "no2"]).where(within_one(F.col("w"), F.col("w2"))).select("d", "no")
+    pairs = pairs.select("at.*", F.col("best.d").alias("d2"), F.col("best.t").alias("t2"), F.col("best.no").alias("no2"))
+    other = words.select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("no").alias("no2"), F.col("w").alias("w2"))
+    return pairs.join(words, ["d", "t", "no"]).join(other, ["d2", "t2", "no2"]).where(within_one(F.col("w"), F.col("w2"))).select("d", "t", "no")
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """d and lines (sorted positions from 0) to remove from each document that loses some."""
+    """d, t and lines (sorted positions from 0) to remove from each row that loses some."""
+    return _removed(with_key(docs, id_col, text_col), min_words, near_words, text_col)
+
+
+def _removed(keyed: DataFrame, min_words: int, near_words: int, text_col: str) -> DataFrame:
     if near_words < 4 or near_words % 2:
         raise ValueError("near_words must be even and at least 4")
-    lines = lines_of(docs, id_col, text_col)
+    lines = lines_of(keyed, text_col)
     w = F.col("w")
-    seen = lines.select("d", "no", words_of(F.col("line")).alias("w")).where(F.size("w") >= min_words)
-    seen = seen.select("d", "no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), end_keys(w, F.size("w"), near_words).alias("keys"))
+    seen = lines.select("d", "t", "no", words_of(F.col("line")).alias("w")).where(F.size("w") >= min_words)
+    seen = seen.select("d", "t", "no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), end_keys(w, F.size("w"), near_words).alias("keys"))
     seen = materialise(seen, "lines")
-    first = materialise(seen.groupBy("h1", "h2").agg(F.min(F.struct("d", "no")).alias("at"), F.count("*").alias("c"), F.first("keys").alias("keys")).select("h1", "h2", "at.d", "at.no", "c", "keys"), "distinct-lines")
+    first = materialise(seen.groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "no")).alias("at"), F.count("*").alias("c"), F.first("keys").alias("keys")).select("h1", "h2", "at.*", "c", "keys"), "distinct-lines")
     near = materialise(near_lines(lines, first), "near-lines")
     gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files no longer needed
-    gone = first.join(near.withColumn("near", F.lit(True)), ["d", "no"], "left").where("c > 1 or near").select("h1", "h2", F.col("d").alias("d1"), F.col("no").alias("no1"), F.coalesce("near", F.lit(False)).alias("near"))
+    keyed.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files no longer needed
+    gone = first.join(near.withColumn("near", F.lit(True)), ["d", "t", "no"], "left").where("c > 1 or near").select("h1", "h2", F.struct("d", "t", "no").alias("at1"), F.coalesce("near", F.lit(False)).alias("near"))
     # a hot line's places are dealt over salts
     gone = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = seen.select("d", "no", "h1", "h2", F.pmod(F.xxhash64("d", "no"), F.lit(SALTS)).cast("int").alias("salt")).join(gone, ["h1", "h2", "salt"])
-    hit = hit.where(F.col("near") | (F.struct("d", "no") > F.struct(F.col("d1").alias("d"), F.col("no1").alias("no"))))
-    return hit.groupBy("d").agg(F.sort_array(F.collect_set("no")).alias("lines"))
+    hit = seen.select("d", "t", "no", "h1", "h2", F.pmod(F.xxhash64("d", "t", "no"), F.lit(SALTS)).cast("int").alias("salt")).join(gone, ["h1", "h2", "salt"])
+    hit = hit.where(F.col("near") | (F.struct("d", "t", "no") > F.col("at1")))
+    return hit.groupBy("d", "t").agg(F.sort_array(F.collect_set("no")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text less its removed lines, and __lines and __removed, their numbers."""
-    removed = materialise(removed_lines(docs, min_words, near_words, id_col, text_col), "removed-lines")
-    removed = removed.select(F.col("d").alias("__d"), F.col("lines").alias("__gone"))
-    df = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).join(removed, "__d", "left")
+    keyed = with_key(docs, id_col, text_col)
+    removed = materialise(_removed(keyed, min_words, near_words, text_col), "removed-lines")
+    removed = removed.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("lines").alias("__gone"))
+    df = keyed.join(removed, ["__d", "__t"], "left")
     df = df.withColumn("__own", F.split(F.col(text_col), "\n"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("__own") - 1), F.col("__gone"))
     left = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: F.get("__own", i)), "\n"))

@@ -343,7 +343,7 @@ def _release(spark) -> None:
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with ``with_text`` kept_text.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with ``with_text`` kept_text and digest (SHA-256 of the text).
 
     ``kept_text``: the remaining bytes as text, without what is left of characters
     that lost some of their bytes; the digest is of the bytes.
@@ -494,4 +494,5 @@ def _to_rows(rows: DataFrame, done: DataFrame, with_text: bool) -> DataFrame:
         texts = done.select("digest", F.col("rep").alias("doc_id"), "kept_text")
         out = out.join(texts, ["digest", "doc_id"], "left")
         cols.append(F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", "short")).alias("kept_text"))
+        cols.append("digest")
     return out.select(*cols)

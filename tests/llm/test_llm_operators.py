@@ -232,6 +232,32 @@ def test_line_dedup(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(21)
+    line = [sentence(rng, 9) + f" {k}" for k in range(6)]
+    twice = [line[0], line[1], line[2]]
+    rows = [(1, "\n".join(twice)), (None, "\n".join([line[3], line[1], line[4]])), (None, "\n".join([line[5], "own one two three four five", line[0]])), (7, line[2] + "\nleft 1 2 3 4 5 6"), (7, "left 7 6 5 4 3 2\n" + line[3])]
+    rows += [(None, None), (7, None), (8, "same place one two three four five"), (8, "same place one two three four five\nand more words of one row")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {(r["doc_id"], r["text"]) for r in out}
+    assert len(out) == len(rows) and all(r["__removed"] == 0 for r in out if r["text"] is None)
+    assert {(1, rows[0][1]), (None, None), (7, "left 1 2 3 4 5 6")} <= got
+    lines = sorted(x for _, t in got for x in (t or "").split("\n") if x)
+    assert lines == sorted({x for _, t in rows for x in (t or "").split("\n") if x})  # each line once, none lost
+
+
+def test_pipeline_cuts_repeats_of_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    shared_part = sentence(rng, 40)
+    a, b = "a" * 20 + shared_part, "b" * 20 + shared_part
+    rows = [(1, shared_part), (2, a), (2, b), (None, "c" * 20 + shared_part), (None, "d" * 20 + shared_part)]
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    out = corpus_pipeline.suffix_array_dedup(spark, df, None)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "c" * 20), (0, "d" * 20), (1, shared_part), (2, "a" * 20), (2, "b" * 20)]
+
+
 def test_line_dedup_keeps_columns(docs):
     out = line_dedup.dedup_lines(docs)
     assert out.columns[:7] == docs.columns
