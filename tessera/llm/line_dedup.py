@@ -4,7 +4,7 @@ A line (between line feeds) is its sequence of words. Lines of at least
 ``min_words`` words that repeat an earlier line go; lines of at least
 ``near_words`` words also go if an earlier line is within one word's edit
 (insertion, deletion or substitution). Earlier means by doc_id, then position.
-Shorter lines stay: they repeat by chance in clean texts.
+Shorter lines stay; with ``min_words`` 1 only blank ones do.
 
 1. Equal lines are combined before the shuffle; only each line's first place goes on.
 2. One edit cannot touch both the first and the last half of a line, so lines

@@ -258,6 +258,15 @@ def test_pipeline_cuts_repeats_of_null_and_shared_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "c" * 20), (0, "d" * 20), (1, shared_part), (2, "a" * 20), (2, "b" * 20)]
 
 
+def test_pipeline_drops_short_repeated_lines(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"own {k}\n\nAll rights reserved.\n\n線は一語である") for k in range(4)]
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, None).collect()}
+    assert out == {0: rows[0][1]} | {k: f"own {k}\n\n" for k in (1, 2, 3)}
+
+
 def test_line_dedup_keeps_columns(docs):
     out = line_dedup.dedup_lines(docs)
     assert out.columns[:7] == docs.columns
