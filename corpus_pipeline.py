@@ -27,8 +27,8 @@ def _with_text(docs, changed, condition):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Repeated lines of any length go, and documents that had nothing but such lines."""
-    out = dedup_lines(docs, min_words=1)
+    """Repeated lines of any length go, lines of 6 words or more also within one word's edit, and documents that had nothing but such lines."""
+    out = dedup_lines(docs, min_words=1, near_words=6)
     return _with_text(docs, out, (F.col("__removed") == 0) | (F.trim("text") != ""))
 
 

@@ -232,6 +232,21 @@ def test_line_dedup(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_of_short_near_lines(spark):
+    rows = line_rows() + [(900, "Licensed under the Apache License, Version 2.0."), (901, "Licensed under the Apache Licence, Version 2.0."), (902, "a b c d e f g h i j k l"), (903, "a b c d e f h i j k l"), (904, "a b c d e f"), (905, "a b c x d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["d"]: set(r["lines"]) for r in line_dedup.removed_lines(df, 1, 6).collect()}
+    assert got == brute_lines(rows, 1, 6) and {901, 903, 905} <= set(got)
+
+
+def test_pipeline_drops_near_lines_of_seven_words(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, "left\nLicensed under the Apache Licence, Version 2.0.")]
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, None).collect()} == {1: rows[0][1], 2: "left"}
+
+
 def test_line_dedup_tells_rows_of_one_id_apart(spark):
     rng = random.Random(21)
     line = [sentence(rng, 9) + f" {k}" for k in range(6)]
