@@ -1,7 +1,9 @@
-"""Byte-level BPE: pre-token counts in Spark, merges on the small count table."""
+"""Byte-level BPE: pre-token counts in Spark, merges of all pieces on the driver or, of many, in Spark."""
 
 from __future__ import annotations
 
+import heapq
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -19,44 +21,148 @@ def pretoken_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(pieces).groupBy("piece").agg(F.count("*").alias("n"))
 
 
-def train(counts: DataFrame, vocab: int, special: tuple[str, ...] = (), min_count: int = 2, most_pieces: int = 1_000_000) -> list[tuple[bytes, bytes]]:
-    """Merges, most frequent pair first, the greater of equals.
+def train(counts: DataFrame, vocab: int, special: tuple[str, ...] = (), min_count: int = 1, most_pieces: int = 1_000_000) -> list[tuple[bytes, bytes]]:
+    """Merges of pairs seen ``min_count`` times or more, most frequent first, the greater of equals.
 
-    Only the ``most_pieces`` most frequent pieces of at least ``min_count`` reach
-    the driver, a documented bound; pairs are recounted only in words that a merge changes.
+    All pieces count. Up to ``most_pieces`` of them are merged on the driver; a
+    larger table stays in Spark, with the same merges.
     """
-    rows = counts.where(F.col("n") >= min_count).orderBy(F.desc("n"), "piece").limit(most_pieces).collect()
-    words = [([bytes([b]) for b in r["piece"].encode()], r["n"]) for r in rows]
-    pairs: Counter = Counter()
-    where: defaultdict = defaultdict(set)
-    for k, (w, n) in enumerate(words):
-        for p in zip(w, w[1:]):
-            pairs[p] += n
-            where[p].add(k)
-    merges = []
-    while len(merges) < vocab - 256 - len(special) and pairs:
-        best = max(pairs, key=lambda p: (pairs[p], p))
-        if pairs[best] < min_count:
+    most = vocab - 256 - len(special)
+    counts = counts.persist()
+    try:
+        if counts.count() > most_pieces:
+            return _train_spread(counts, most, min_count)
+        return _train_here(counts.select("piece", "n").toArrow(), most, min_count)
+    finally:
+        counts.unpersist()
+
+
+class _GreaterFirst:
+    """A pair that a heap yields before smaller ones."""
+
+    __slots__ = ("pair",)
+
+    def __init__(self, pair: tuple[bytes, bytes]):
+        self.pair = pair
+
+    def __lt__(self, other: _GreaterFirst) -> bool:
+        return self.pair > other.pair
+
+
+def _train_here(table: pa.Table, most: int, min_count: int) -> list[tuple[bytes, bytes]]:
+    """Pairs are recounted only in words that a merge changes.
+
+    Words are token numbers in one flat array, and shrink in place. The heap's
+    counts are never too low: a pair that lost some goes back when it comes up.
+    """
+    vocab = [bytes([b]) for b in range(256)]
+    number = {t: k for k, t in enumerate(vocab)}
+    flat, start, size, times = array("i"), array("q"), array("i"), array("q", table.column("n").to_pylist())
+    pairs: dict[tuple[int, int], int] = defaultdict(int)
+    where: dict[tuple[int, int], array] = defaultdict(lambda: array("i"))
+    for k, piece in enumerate(x for c in table.column("piece").chunks for x in c.cast(pa.binary())):
+        piece = piece.as_py()
+        start.append(len(flat))
+        size.append(len(piece))
+        flat.extend(piece)
+        for p in zip(piece, piece[1:]):
+            pairs[p] += times[k]
+            where[p].append(k)
+
+    def entries(some) -> list:
+        return [(-pairs[p], _GreaterFirst((vocab[p[0]], vocab[p[1]])), p) for p in some]
+
+    heap, merges = entries(pairs), []
+    heapq.heapify(heap)
+    while len(merges) < most and heap:
+        n, name, best = heapq.heappop(heap)
+        now = pairs.get(best, 0)
+        if now != -n:
+            if now:
+                heapq.heappush(heap, (-now, name, best))
+            continue
+        if now < min_count:
             break
-        merges.append(best)
-        for k in where.pop(best):
-            w, n = words[k]
-            for p in zip(w, w[1:]):
-                pairs[p] -= n
-                if pairs[p] <= 0:
-                    del pairs[p]
-            out, i = [], 0
+        merges.append(name.pair)
+        both = name.pair[0] + name.pair[1]
+        new = number.setdefault(both, len(vocab))
+        if new == len(vocab):
+            vocab.append(both)
+        made = set()
+        for k in set(where.pop(best)):
+            at, n = start[k], times[k]
+            w = flat[at : at + size[k]]
+            out, i = array("i"), 0
             while i < len(w):
                 if i + 1 < len(w) and (w[i], w[i + 1]) == best:
-                    out.append(w[i] + w[i + 1])
+                    out.append(new)
                     i += 2
                 else:
                     out.append(w[i])
                     i += 1
-            words[k] = (out, n)
+            if len(out) == len(w):  # an earlier merge took the pair
+                continue
+            flat[at : at + len(out)], size[k] = out, len(out)
+            for p in zip(w, w[1:]):
+                pairs[p] -= n
             for p in zip(out, out[1:]):
                 pairs[p] += n
-                where[p].add(k)
+                if new in p:
+                    made.add(p)
+                    where[p].append(k)
+            for p in zip(w, w[1:]):
+                if pairs.get(p) == 0:
+                    del pairs[p]
+                    where.pop(p, None)
+        for e in entries(p for p in made if p in pairs):
+            heapq.heappush(heap, e)
+        if len(heap) > 2 * len(pairs) + 1000:
+            heap = entries(pairs)
+            heapq.heapify(heap)
+    return merges
+
+
+def _settled(top: list[tuple[tuple[bytes, bytes], int]], floor: int) -> list[tuple[bytes, bytes]]:
+    """The first of the most frequent pairs that are the next merges whatever the others become.
+
+    A merge changes only pairs that touch it, and a pair that it makes is at most
+    as frequent as one of those; ``floor`` bounds the pairs not in ``top``.
+    """
+    left, right = {}, {}
+    for (a, b), n in top:  # the two most frequent pairs of each left and right token
+        left.setdefault(a, []).append(((a, b), n))
+        right.setdefault(b, []).append(((a, b), n))
+    out, bound = [], -1
+    for (a, b), n in top:
+        if out and n <= bound:
+            break
+        out.append((a, b))
+        touching = [m for q, m in [*right.get(a, [])[:2], *left.get(b, [])[:2]] if q != (a, b) or a == b]
+        bound = max(bound, floor, *touching)
+    return out
+
+
+def _train_spread(counts: DataFrame, most: int, min_count: int, n_top: int = 4096) -> list[tuple[bytes, bytes]]:
+    """Each round counts the pairs of all pieces in Spark and takes every merge that is settled."""
+    merges: list[tuple[bytes, bytes]] = []
+    while len(merges) < most:
+        rank = {m: k for k, m in enumerate(merges)}
+
+        def pairs(batches: Iterator[pa.RecordBatch], rank=rank) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own: Counter = Counter()
+                for piece, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    w = encode_piece(piece.encode(), rank)
+                    for p in zip(w, w[1:]):
+                        own[p] += n
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in own], pa.binary()), pa.array([p[1] for p in own], pa.binary()), pa.array(own.values(), pa.int64())], ["left", "right", "n"])
+
+        found = counts.select("piece", "n").mapInArrow(pairs, "left binary, right binary, n long")
+        found = found.groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+        top = [((bytes(r["left"]), bytes(r["right"])), r["n"]) for r in found.orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(n_top).collect()]
+        if not top:
+            break
+        merges += _settled(top, top[-1][1] if len(top) == n_top else -1)[: most - len(merges)]
     return merges
 
 

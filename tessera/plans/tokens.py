@@ -12,6 +12,7 @@ from . import query, table
 WORDS = r"list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f\x85\pZ]+'), lambda x: x <> '')"
 RATIOS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 SEED, TARGET = 20260817, 100_000
+VOCAB = 32_000  # the reference's
 
 
 def _counted(spark, sf_dir):
@@ -215,14 +216,14 @@ def pretoken_counts(spark, sf_dir):
 
 @query()
 def bpe_merges(spark, sf_dir):
-    merges = tokenizer.train(tokenizer.pretoken_counts(table(spark, sf_dir, "documents")), 512)
+    merges = tokenizer.train(tokenizer.pretoken_counts(table(spark, sf_dir, "documents")), VOCAB)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left binary, right binary")
 
 
 @query()
 def tokens_per_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    merges = tokenizer.train(tokenizer.pretoken_counts(docs), 512)
+    merges = tokenizer.train(tokenizer.pretoken_counts(docs), VOCAB)
     sizes = docs.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.length("text").alias("chars"), F.size(T.split_words(F.col("text"))).alias("words"))
     n = tokenizer.encode(docs, merges).select("doc_id", F.size("tokens").alias("tokens")).join(sizes, "doc_id")
     s = {c: F.sum(c) for c in ("tokens", "bytes", "chars", "words")}

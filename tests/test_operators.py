@@ -1,6 +1,7 @@
 """Edge rows that the tables do not hold, against small models."""
 
 import math
+import random
 import unicodedata
 
 import pytest
@@ -149,6 +150,43 @@ def test_bpe_round_trip(spark):
     assert merges and [tokenizer.decode(got[i], merges) for i in range(5)] == texts
 
 
+def naive_bpe(counts, most):
+    words, merges = [([bytes([b]) for b in p.encode()], n) for p, n in counts.items()], []
+    while len(merges) < most:
+        pairs = {}
+        for w, n in words:
+            for p in zip(w, w[1:]):
+                pairs[p] = pairs.get(p, 0) + n
+        if not pairs:
+            break
+        best = max(pairs, key=lambda p: (pairs[p], p))
+        merges.append(best)
+        for w, _ in words:
+            i = 0
+            while i + 1 < len(w):
+                if (w[i], w[i + 1]) == best:
+                    w[i : i + 2] = [w[i] + w[i + 1]]
+                i += 1
+    return merges
+
+
+def test_bpe_counts_every_piece(spark):
+    rng = random.Random(31)
+    counts = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))): rng.choice([1, 1, 1, 2, 5, 40]) for _ in range(60)} | {"aaaaaaa": 3, "zzyx": 1}
+    df = spark.createDataFrame(list(counts.items()), "piece string, n long").repartition(3)
+    want = naive_bpe(counts, 60)
+    assert tokenizer.train(df, 256 + 60) == want
+    assert tokenizer.train(df, 256 + 60, most_pieces=10) == want  # the pieces stay in Spark
+    assert tokenizer._train_spread(df, 20, 1, n_top=5) == want[:20]
+    assert tokenizer.train(df, 100_000) == naive_bpe(counts, 100_000)  # down to pairs seen once
+
+
+def test_bpe_queries_train_at_the_reference_size(spark, sf_dir):
+    from tessera.plans.tokens import bpe_merges
+
+    assert bpe_merges(spark, sf_dir).count() > 256
+
+
 def test_accounting(spark):
     assert accounting.perplexity(spark.createDataFrame([], "l double, n long"), "l", "n").first()[0] is not None
     checks = spark.createDataFrame([("a", "error", True), ("b", "warning", False)], "name string, severity string, ok boolean")
