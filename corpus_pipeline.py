@@ -49,8 +49,8 @@ def suffix_array_dedup(spark, docs, sf_dir):
 
 
 def best_fit_packing(spark, docs, sf_dir):
-    """The kept documents' pieces, with their sequence and place."""
-    return best_fit_pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """The kept documents' pieces, with their sequence and place and their token ids."""
+    return best_fit_pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES = [

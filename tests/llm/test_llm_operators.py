@@ -273,6 +273,14 @@ def test_pipeline_cuts_repeats_of_null_and_shared_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "c" * 20), (0, "d" * 20), (1, shared_part), (2, "a" * 20), (2, "b" * 20)]
 
 
+def test_pipeline_ends_with_token_ids(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "the river walks"), (2, "seven green doors at night")], "doc_id long, text string")
+    out = corpus_pipeline.best_fit_packing(spark, df, None).collect()
+    assert len(out) == 2 and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in out)
+
+
 def test_pipeline_drops_short_repeated_lines(spark):
     import corpus_pipeline
 
