@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as T
-from ..operators import accounting, evaluation, verify
+from ..operators import accounting, capabilities, evaluation, verify
 from . import query, table
 from .tokens import WORDS
 
@@ -126,6 +126,27 @@ def capability_match(spark, sf_dir):
     return b.select("item_id", F.get(w, 0).alias("capability"))
 
 
+#: The contract's example and a second model's older declarations; no table holds any.
+DECLARED = [
+    ("a", "function_calling", "2.0.0", {"supports_parallel_calls": "true", "max_tokens": "4096"}),
+    ("b", "function_calling", "1.2.0", {"supports_parallel_calls": "true", "max_tokens": "2048"}),
+    ("a", "bengali", "2.1.0", {"script_support": "Bengali,Latin", "indic_glue_benchmark_score": "88.4"}),
+]
+REQUESTS = [
+    (1, "function_calling", "^1.0.0", {"max_tokens": ">=1024"}),
+    (2, "function_calling", ">=1.0.0", {"max_tokens": ">=4096"}),
+    (3, "bengali", "~2.1", {"script_support": "Bengali", "indic_glue_benchmark_score": ">=80"}),
+    (4, "bengali", "^2.0.0", {"dialect_coverage": "Dhaka"}),
+]
+
+
+@query()
+def capability_requests(spark, sf_dir):
+    """Requests matched with declared capabilities by name, SemVer expression and properties (V14)."""
+    declared = spark.createDataFrame(DECLARED, "model string, name string, version string, properties map<string, string>")
+    return capabilities.match(spark.createDataFrame(REQUESTS, "request_id int, name string, expression string, required map<string, string>"), declared)
+
+
 @query("SELECT doc_id, text, lang AS language, source, 'unknown' AS license, 2 AS version FROM documents")
 def schema_migration(spark, sf_dir):
     from ..operators.provenance import migrate

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import accounting, dedup, evaluation, packing, quality, retrieval, sampling, sft, tokenizer, verify
+from tessera.operators import accounting, capabilities, dedup, evaluation, packing, quality, retrieval, sampling, sft, tokenizer, verify
 from tessera.sources import readers, writers
 
 ODD = ["", "  a \t b ", "é\r\n\r\nx", "x\x0by\x85z", " q r ", "ひらがな漢字", "한국어 text", "A" * 25, "हिन्दी कि", "ß SS ẞ", "<b>x</b> y", "a�b", "x \x00\x07 y"]
@@ -187,6 +187,15 @@ def test_bpe_queries_train_at_the_reference_size(spark, sf_dir):
     assert bpe_merges(spark, sf_dir).count() > 256
 
 
+def test_capability_match(spark):
+    yes = [("1.2.0", "^1.0.0"), ("0.2.5", "^0.2.3"), ("1.2.9", "~1.2"), ("1.9.0", "1.x"), ("3.0.0", ">=1.0.0 <2.0.0 || 3.0.0"), ("1.0.0-rc.2", ">1.0.0-rc.1"), ("1.2.3", None), ("1.10.0", ">1.9.0")]
+    no = [("2.0.0", "^1.0.0"), ("0.3.0", "^0.2.3"), ("1.3.0", "~1.2"), ("2.0.0", "1.x"), ("2.0.0-rc.1", "^1.0.0"), ("1.0.0-rc.1", ">=1.0.0"), ("x", "^1.0.0"), (None, "*"), ("1.0.0", "odd")]
+    assert [capabilities.satisfies(*p) for p in yes + no] == [True] * len(yes) + [False] * len(no)
+    from tessera.plans.tools import capability_requests
+
+    assert sorted(map(tuple, capability_requests(spark, None).collect())) == [(1, "b", "function_calling", "1.2.0"), (2, "a", "function_calling", "2.0.0"), (3, "a", "bengali", "2.1.0")]
+
+
 def test_accounting(spark):
     assert accounting.perplexity(spark.createDataFrame([], "l double, n long"), "l", "n").first()[0] is not None
     checks = spark.createDataFrame([("a", "error", True), ("b", "warning", False)], "name string, severity string, ok boolean")
