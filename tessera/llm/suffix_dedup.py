@@ -14,8 +14,8 @@ times its size, so only the suffixes that matter are sorted:
 3. For these, the block sends each different context (the bytes of all windows
    that share the anchor) once, with its smallest doc_id. A context is a suffix
    cut where its windows end. Contexts of an anchor hash meet in one task and are
-   sorted deep-shallow: multikey quicksort on 8-byte characters to a shallow
-   depth, then blind tries for groups with longer common prefixes. Where an anchor
+   sorted deep-shallow: a refinement sort (lexsort on 8-byte characters) to a
+   shallow depth, then blind tries for groups with longer common prefixes. Where an anchor
    has different contexts, the windows' suffixes are sorted likewise.
 4. Windows whose smallest doc_id is smaller than the context's own go back to the
    block as bit masks, and the covered bytes are removed.
