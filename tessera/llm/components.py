@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import Scratch
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -21,19 +21,21 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     """(node, component): the least node that a node can reach, for every node with an edge.
 
-    ``edges``: two long columns. Each round is written to the shared folder, so
-    lineage stays short; the number of rounds grows with the logarithm of the
-    longest chain. Only two numbers a round reach the driver.
+    ``edges``: two long columns. Each round is written to ``tmp`` and the one
+    before it deleted, so lineage stays short; the number of rounds grows with the
+    logarithm of the longest chain. Only two numbers a round reach the driver.
+    No edges give no rows; repeated edges and loops change nothing.
     """
     a, b = edges.columns
-    e = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    e = tmp.table(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = None
     while True:
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now[0] == 0 or now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        mark = now
-        e = materialise(_star(_star(e, True), False), "edges")
+        mark, before = now, e
+        e = tmp.table(_star(tmp.table(_star(e, True), "stars"), False), "edges")
+        tmp.drop(before)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import U, buffers, mix, shingle_sets, slices
 from .components import connected_components
-from .shared import id_text, materialise
+from .shared import Scratch, id_text, materialise
 
 M, ROWS, B, RATE = 128, 4, 1.1, 20.0
 SALTS = 32
@@ -157,10 +157,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str
     rows that repeat a doc_id count as one document. component_id is the least
     doc_id that can be reached.
     """
-    rows = id_text(docs, id_col, text_col)
-    sig = materialise(sketches(rows, words), "sketches")
+    with Scratch(docs.sparkSession, "near-dedup") as tmp:
+        return materialise(_near(id_text(docs, id_col, text_col), words, pct, tmp), "near-duplicates")
+
+
+def _near(rows: DataFrame, words: int, pct: int, tmp: Scratch) -> DataFrame:
+    sig = tmp.table(sketches(rows, words), "sketches")
     known = sig.where("key is not null and doc_id is not null")
-    classes = materialise(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
+    classes = tmp.table(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
     rep_band = classes.select("rep", F.explode("bands").alias("band"))
     shared = rep_band.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band", F.ceil(F.col("size") / BLOCK_SKETCHES).cast("int").alias("blocks"))
     members = rep_band.join(shared, "band").join(classes.select("rep", "n", "regs"), "rep")
@@ -205,7 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str
             yield ends([held])
 
     likely_edges = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInArrow(likely, "a long, b long")
-    coarse = materialise(connected_components(likely_edges), "coarse")
+    coarse = tmp.table(connected_components(likely_edges, tmp), "coarse")
     n_of = coarse.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     blocks = n_of.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     dealt = n_of.select("node", "component").join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
@@ -234,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str
             yield found()
 
     checked = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id").mapInArrow(verify, "a long, b long")
-    final = connected_components(materialise(checked, "links"))
+    final = connected_components(checked, tmp)
     # a class's documents take its representative's component; its hot keys are salted
     labels = classes.where("copies > 1").select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c1"))
     salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

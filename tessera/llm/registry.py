@@ -82,13 +82,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR upper_n > lower_n OR 2 * letters < word_chars OR 10 * top_n > 4 * n_words) AS kept
 FROM b
 """
+#: Lines of one word or more if equal, of six or more within one word's edit.
 OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
 ), c AS (
-  SELECT * FROM (SELECT doc_id, no, list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS ws FROM l) WHERE len(ws) >= 6
+  SELECT * FROM (SELECT doc_id, no, list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS ws FROM l) WHERE len(ws) >= 1
 ), f AS (SELECT ws, min([doc_id, no]) AS place FROM c GROUP BY ws),
-g AS (SELECT ws, place, len(ws) AS n FROM f WHERE len(ws) >= 12),
+g AS (SELECT ws, place, len(ws) AS n FROM f WHERE len(ws) >= 6),
 v AS (SELECT place, i, list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, len(ws))) AS k FROM (SELECT ws, place, unnest(range(1, n + 1)) AS i FROM g) u),
 near AS (
   SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY k, i) AS m FROM v) WHERE m < place

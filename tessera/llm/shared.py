@@ -9,23 +9,30 @@ import re
 import tempfile
 import uuid
 from array import array
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+
+#: Shuffle files end with the job that made them, not when the driver happens to collect its garbage.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is set.
+    Only where that is unset and all runs on one machine (tests) a temporary
+    folder is set; on a cluster that raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -34,19 +41,87 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str, fmt_options: dict | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage."""
-    path = scratch(df.sparkSession, what)
-    df.write.options(**(fmt_options or {})).parquet(path)
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Jobs run inside drop their shuffle files when they end."""
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_END)
+        else:
+            spark.conf.set(SHUFFLES_END, before)
+
+
+def _written(df: DataFrame, path: str, options: dict) -> DataFrame:
+    with shuffles_end(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts lineage. The table stays."""
+    return _written(df, scratch(df.sparkSession, what), options)
+
+
+class Scratch:
+    """A call's intermediate tables in the shared folder, deleted when the call ends or fails.
+
+    What the call returns must not read them: it is written by ``materialise``.
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.paths = spark, scratch(spark, what), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop_path(self.spark, self.root)
+
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}-{name}"
+        out = _written(df, path, options)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing to come reads."""
+        for t in tables:
+            drop_path(self.spark, self.paths[id(t)][0])
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Hadoop's own file system."""
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str):
+    """The column of exactly this name, dots or not."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_batches(df: DataFrame, fn, added: StructField, n: int | None = None) -> DataFrame:
+    """``df.mapInArrow(fn)`` to its first ``n`` columns (all by default) and one more, whatever they are called.
+
+    ``fn`` sees and gives columns by their places.
+    """
+    fields = df.schema.fields[:n]
+    out = StructType([*(StructField(f"c{k}", f.dataType, True) for k, f in enumerate(fields)), StructField("added", added.dataType)])
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(fn, out).toDF(*(f.name for f in fields), added.name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

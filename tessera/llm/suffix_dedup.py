@@ -21,16 +21,20 @@ times its size, so only the suffixes that matter are sorted:
    block as bit masks, and the covered bytes are removed.
 
 A string that a third of all documents hold is sent once a block, not once a
-document. All windows are compared byte by byte; hashes only bring them together.
-
-Null and shorter texts lose nothing; a null doc_id counts as the greatest; rows
-that repeat a doc_id are one document, so nothing is removed for a match
-between them.
+document. An anchor that more than HOT_BLOCKS blocks share does not meet in one
+task: its windows go as rows of their own, whose least doc_id is an aggregate
+combined before the shuffle, joined back to the blocks. All windows are compared
+byte by byte; hashes only bring them together.
+
+Null, empty and shorter texts lose nothing; texts of any length are taken whole,
+in parts of CHUNK bytes; a null doc_id counts as the greatest long; rows that
+repeat a doc_id are one document, so nothing is removed for a match between them
+(rows that repeat as a whole get the same result). An empty table gives an empty
+result. Other columns are ignored, or pass through ``without_repeats``.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -41,13 +45,15 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from .bytewords import BASE, BYTE, U, buffers, mix
-from .shared import id_text, materialise
+from .shared import Scratch, free_name, id_text, map_batches, materialise, quoted, shuffles_end
 
 SPAN, K, SHALLOW = 50, 24, 16
 REACH = SPAN - K + 1
-BLOCK_BYTES, RANGE_BYTES, BLOCKS_PER_BUCKET, SALTS = 4 << 20, 6 << 20, 4, 16
+BLOCK_BYTES, RANGE_BYTES, BLOCKS_PER_BUCKET, RANGES_PER_TASK = 4 << 20, 6 << 20, 4, 4
+HOT_BLOCKS, MOST_PARTS = 4096, 1 << 16  # parts only hold more beyond that; nothing is left out
 CHUNK, SORTED_AT_ONCE = 1 << 18, 40_000
 _LOW = U(CHUNK - 1)
 NULL_ID = (1 << 63) - 1
@@ -215,7 +221,7 @@ class Block:
 
         Sets chosen (anchor numbers), number (context of each), source (first anchor of each context).
         """
-        low = self.hash & U((1 << 48) - 1)
+        low = _low(self.hash)
         doc = self.doc[self.of] if len(self.of) else np.zeros(0, "i8")
         order = np.lexsort((doc, self.hash))
         h, d = self.hash[order], doc[order]
@@ -237,6 +243,10 @@ class Block:
         return self
 
 
+def _low(h: np.ndarray) -> np.ndarray:
+    return h & U((1 << 48) - 1)
+
+
 def _six(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :6]).tobytes()
 
@@ -258,7 +268,7 @@ def _by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> U(48)) * U(n) >> U(16)).astype("i8")
+    return ((h >> U(32)) * U(n) >> U(32)).astype("i8")
 
 
 def _masks(h, doc, windows, back, data) -> np.ndarray:
@@ -337,118 +347,135 @@ def _one_each(table: pa.Table) -> pa.Table:
     return table.select(["doc_id", "text"]).group_by("text").aggregate([("doc_id", "min")]).select(["text", "doc_id_min"]).rename_columns(["text", "doc_id"])
 
 
-def _release(spark) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files no longer needed
+def _together(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """Calls work(blocks, sizes of blobs, their bytes) for each bucket of batches (bucket, block, blob) sorted by bucket."""
+    now, held = None, []
 
+    def ends():
+        return work(*(np.concatenate([h[k] for h in held]) for k in range(3)))
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with ``with_text`` kept_text and digest (SHA-256 of the text).
+    for batch in batches:
+        bucket, block = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        data, off = buffers(batch.column(2))
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []
+        for a, b in zip(cut, [*cut[1:], len(bucket)]):
+            if bucket[a] != now:
+                if held:
+                    yield from ends()
+                now, held = bucket[a], []
+            held.append((block[a:b], np.diff(off[a : b + 1]), data[off[a] : off[b]]))
+    if held:
+        yield from ends()
 
-    ``kept_text``: the remaining bytes as text, without what is left of characters
-    that lost some of their bytes; the digest is of the bytes.
-    """
+
+def _rows(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(*c) for c in columns], names)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_blocks: int = HOT_BLOCKS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each different text: digest (SHA-256 of the text), rep (its smallest doc_id), n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end, start, end ... of what goes from rep's text)."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
-    n_buckets = max(1, -(-n_blocks // BLOCKS_PER_BUCKET))
-    n_ranges = max(1, min(1 << 16, -(-n_bytes // RANGE_BYTES)))
+    n_blocks = max(1, -(-n_bytes // block_bytes))
+    n_buckets = min(MOST_PARTS, max(1, -(-n_blocks // BLOCKS_PER_BUCKET)))
+    n_ranges = max(1, -(-n_bytes // RANGE_BYTES))
+    n_parts = min(MOST_PARTS, -(-n_ranges // RANGES_PER_TASK))
     name = f"tessera_texts_{uuid.uuid4().hex}"
-    _distinct_texts(rows, n_blocks).repartition(n_buckets, "block").write.option("compression", "zstd").bucketBy(n_buckets, "block").saveAsTable(name)
-    _release(spark)
-    texts = spark.table(name)
-    empty = spark.createDataFrame([], "block int, kind int, blob binary")
+    with Scratch(spark, "suffix-dedup") as tmp:
+        try:
+            with shuffles_end(spark):
+                _distinct_texts(rows, n_blocks).repartition(n_buckets, "block").write.option("compression", "zstd").bucketBy(n_buckets, "block").saveAsTable(name)
+            return _decided(spark, spark.table(name), n_ranges, n_parts, hot_blocks, tmp)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(_one_each(left))
-        h = np.unique(b.hash)
-        bucket = _bucket(h, n_ranges)
-        out = [(int(k), _six(h[i])) for k, i in _by(bucket)]
-        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
-    def together(batches: Iterator[pa.RecordBatch], width: int, work) -> Iterator[pa.RecordBatch]:
-        """Calls work(rows of one bucket) on batches sorted by their first column."""
-        now, held = None, []
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols):
-                if row[0] != now:
-                    if held:
-                        yield from work(held)
-                    now, held = row[0], []
-                held.append(row[1:width])
-        if held:
-            yield from work(held)
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(held):
-            n = [len(x) // 6 for _, x in held]
-            h, of = _from_six([x for _, x in held]), np.repeat(np.arange(len(held)), n)
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            same = np.zeros(len(s), bool)
-            same[1:] = s[1:] == s[:-1]
-            same[:-1] |= same[1:]
-            keep = order[same]
-            for k, i in _by(of[keep]):
-                yield pa.RecordBatch.from_arrays([pa.array([held[k][0]], pa.int32()), pa.array([0], pa.int32()), pa.array([_six(h[keep[i]])], pa.binary())], ["block", "kind", "blob"])
-
-        return together(batches, 3, work)
+def _decided(spark, texts: DataFrame, n_ranges: int, n_parts: int, hot_blocks: int, tmp: Scratch) -> DataFrame:
+    reply, sent_type = "block int, kind int, blob binary", "bucket int, block int, blob binary"
 
     def both(other: DataFrame, fn, schema: str) -> DataFrame:
         return texts.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(fn, schema)
 
-    sent = both(empty, gather, "bucket int, block int, blob binary")
-    shared = materialise(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "block int, kind int, blob binary"), "shared-anchors", {"compression": "uncompressed"})
-    _release(spark)
+    def met(sent: DataFrame, work) -> DataFrame:
+        return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _together(batches, work), reply)
 
-    def blobs(t: pa.Table, kind: int) -> list[bytes]:
-        return [x for k, x in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist()) if k == kind]
+    def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        h = np.unique(Block(_one_each(left)).hash)
+        out = [(k, _six(h[i])) for k, i in _by(_bucket(h, n_ranges))]
+        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+
+    def repeated(blocks, sizes, data):
+        """Hashes of two blocks or more go back to these: kind 0, or 2 where more than hot_blocks have one."""
+        h, of = _from_six([data.tobytes()]), np.repeat(blocks, sizes // 6)
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        n = np.repeat(size := np.diff(np.append(cut, len(s))), size)
+        for kind, keep in ((0, (n > 1) & (n <= hot_blocks)), (2, n > max(1, hot_blocks))):
+            at = order[keep]
+            for k, i in _by(of[at]):
+                yield _rows(["block", "kind", "blob"], ([k], pa.int32()), ([kind], pa.int32()), ([_six(h[at[i]])], pa.binary()))
+
+    empty = spark.createDataFrame([], reply)
+    shared = tmp.table(met(both(empty, gather, sent_type), repeated), "shared-anchors", compression="uncompressed")
+
+    def blobs(t: pa.Table, *kinds: int) -> list[bytes]:
+        return [x for k, x in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist()) if k in kinds]
+
+    def block_of(left: pa.Table, right: pa.Table) -> tuple[Block, np.ndarray, np.ndarray]:
+        """The block with its contexts, which of these belong to hot anchors, and which go the other way.
+
+        Hashes that differ only beyond the 48 bits that came back go both ways.
+        """
+        shared_, hot = _from_six(blobs(right, 0)), _from_six(blobs(right, 2))
+        b = Block(_one_each(left)).contexts(np.concatenate([shared_, hot]))
+        low = _low(b.hash[b.source])
+        value, n = np.unique(_low(np.unique(b.hash[b.source])), return_counts=True)
+        is_hot = np.isin(low, hot)
+        return b, is_hot, ~is_hot | np.isin(low, value[n > 1])
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(_one_each(left)).contexts(_from_six(blobs(right, 0)))
-        src, out = b.source, []
+        b, _, cold = block_of(left, right)
+        at, out = np.flatnonzero(cold), []
         raw = b.text.tobytes()
         squeeze = zstandard.ZstdCompressor(level=1)
-        for k, i in _by(_bucket(b.hash[src], n_ranges)):
-            own = src[i]
-            parts = [np.int64(len(i)).tobytes(), b.hash[own].astype("<u8").tobytes(), b.doc[b.of[own]].astype("<i8").tobytes(), i.astype("<u4").tobytes(), (b.last[own] - b.first[own] + 1).astype("u1").tobytes(), (b.anchor[own] - b.first[own]).astype("u1").tobytes()]
+        for k, i in _by(_bucket(b.hash[b.source[at]], n_ranges)):
+            own = b.source[at[i]]
+            parts = [np.int64(len(i)).tobytes(), b.hash[own].astype("<u8").tobytes(), b.doc[b.of[own]].astype("<i8").tobytes(), at[i].astype("<u4").tobytes(), (b.last[own] - b.first[own] + 1).astype("u1").tobytes(), (b.anchor[own] - b.first[own]).astype("u1").tobytes()]
             parts += [raw[s:e] for s, e in zip(b.first[own].tolist(), (b.last[own] + SPAN).tolist())]
             out.append((k, squeeze.compress(b"".join(parts))))
         return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(held):
-            cols, data, sizes = [[], [], [], [], []], [], []
-            for _, x in held:
-                x = zstandard.ZstdDecompressor().decompress(x)
-                n, at = int(np.frombuffer(x, "<i8", 1)[0]), 8
-                for c, kind in zip(cols, ("<u8", "<i8", "<u4", "u1", "u1")):
-                    c.append(np.frombuffer(x, kind, n, at))
-                    at += n * np.dtype(kind).itemsize
-                data.append(np.frombuffer(x, "u1", offset=at))
-                sizes.append(n)
-            h, doc, number, windows, back = (np.concatenate(c) for c in cols)
-            if len(h):
-                mask = _masks_in_parts(h.astype(U), doc.astype("i8"), windows.astype("i8"), back.astype("i8"), np.concatenate(data))
-                of, hit = np.repeat(np.arange(len(held)), sizes), np.flatnonzero(mask)
-                for k, i in _by(of[hit]):
-                    own = hit[i]
-                    blob = np.stack([number[own].astype("<u4"), mask[own].astype("<u4")], 1).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([held[k][0]], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], ["block", "kind", "blob"])
-
-        return together(batches, 3, work)
-
-    asked = both(shared, send, "bucket int, block int, blob binary")
-    masks = materialise(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, "block int, kind int, blob binary"), "repeat-masks")
-    _release(spark)
+    def decide(blocks, sizes, blob):
+        cols, data, counts, at = [[], [], [], [], []], [], [], 0
+        for n_own in sizes.tolist():
+            x = zstandard.ZstdDecompressor().decompress(blob[at : at + n_own].tobytes())
+            at += n_own
+            n, here = int(np.frombuffer(x, "<i8", 1)[0]), 8
+            for c, kind in zip(cols, ("<u8", "<i8", "<u4", "u1", "u1")):
+                c.append(np.frombuffer(x, kind, n, here))
+                here += n * np.dtype(kind).itemsize
+            data.append(np.frombuffer(x, "u1", offset=here))
+            counts.append(n)
+        h, doc, number, windows, back = (np.concatenate(c) for c in cols)
+        if len(h):
+            mask = _masks_in_parts(h.astype(U), doc.astype("i8"), windows.astype("i8"), back.astype("i8"), np.concatenate(data))
+            of, hit = np.repeat(blocks, counts), np.flatnonzero(mask)
+            for k, i in _by(of[hit]):
+                own = hit[i]
+                out = np.stack([number[own].astype("<u4"), mask[own].astype("<u4")], 1).tobytes()
+                yield _rows(["block", "kind", "blob"], ([k], pa.int32()), ([1], pa.int32()), ([out], pa.binary()))
+
+    masks = tmp.table(met(both(shared, send, sent_type), decide), "repeat-masks")
+    if not shared.where("kind = 2").isEmpty():
+        masks = masks.unionByName(_hot_masks(both(shared, lambda key, left, right: _hot_windows(key[0].as_py(), *block_of(left, right)[:2]), "w binary, doc long, block int, number long, bit int"), tmp))
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(_one_each(left)).contexts(_from_six(blobs(right, 0)))
+        b = block_of(left, right)[0]
         mask = np.zeros(len(b.source), "i8")
         got = np.frombuffer(b"".join(blobs(right, 1)), "<u4").reshape(-1, 2)
-        mask[got[:, 0]] = got[:, 1]
+        np.bitwise_or.at(mask, got[:, 0], got[:, 1].astype("i8"))
         doc = b.doc[b.of[b.chosen]]
         smallest = b.doc[b.of[b.source]]
         np.minimum.at(smallest, b.number, doc)
@@ -461,38 +488,93 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
             at = b.first[b.chosen[own[mask[b.number[own]] >> bit & 1 == 1]]] + bit
             np.add.at(cover, at, 1)
             np.add.at(cover, at + SPAN, -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        raw, ids = b.text, b.doc
-        res: list[list] = [[], [], [], [], [], [], []]
-        for k in range(len(ids)):
-            s, e = int(b.off[k]), int(b.off[k + 1])
-            g, t = gone[s:e], raw[s:e]
-            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if len(g) else 0
-            kept = t[~g].tobytes() if spans else t.tobytes()
-            for c, v in zip(res, (ids[k], hashlib.sha256(t.tobytes()).digest(), e - s, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)):
-                c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("rep", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"), res, kinds)})
-
-    done = materialise(both(shared.unionByName(masks), cut, "rep long, digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "kept-texts")
-    spark.sql(f"DROP TABLE {name}")
-    return _to_rows(rows, done, with_text)
-
-
-def _to_rows(rows: DataFrame, done: DataFrame, with_text: bool) -> DataFrame:
-    """Each row's result: the text's own for its smallest doc_id, removal as a whole for its copies."""
-    short = [F.when(F.octet_length("text") < SPAN, F.col("text")).alias("short")] * with_text
-    own = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), *short)
-    # copies of one text are dealt over salts; its result is repeated for each
-    own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    least = done.drop("kept_text").join(own.groupBy("digest", "salt").agg(F.lit(1).alias("one")), "digest").drop("one")
-    out = own.join(least, ["digest", "salt"])
-    copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= SPAN)
-    doc_id = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id")
-    cols = [doc_id, "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).alias("n_spans"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
-    if with_text:
-        texts = done.select("digest", F.col("rep").alias("doc_id"), "kept_text")
-        out = out.join(texts, ["digest", "doc_id"], "left")
-        cols.append(F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", "short")).alias("kept_text"))
-        cols.append("digest")
-    return out.select(*cols)
+        return _results(b, np.cumsum(cover)[:-1] > 0)
+
+    return materialise(both(shared.unionByName(masks), cut, "rep long, digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>"), "repeats")
+
+
+def _hot_windows(block: int, b: Block, hot: np.ndarray) -> pa.Table:
+    """The windows of a block's contexts of hot anchors, each with the context's smallest doc_id."""
+    raw, smallest = b.text.tobytes(), b.doc[b.of[b.source]]
+    np.minimum.at(smallest, b.number, b.doc[b.of[b.chosen]])
+    rows = [(raw[s : s + SPAN], int(smallest[k]), k, s - int(b.first[b.source[k]])) for k in np.flatnonzero(hot).tolist() for s in range(int(b.first[b.source[k]]), int(b.last[b.source[k]]) + 1)]
+    w, doc, number, bit = zip(*rows) if rows else ((), (), (), ())
+    return pa.table({"w": pa.array(w, pa.binary()), "doc": pa.array(doc, pa.int64()), "block": pa.array([block] * len(w), pa.int32()), "number": pa.array(number, pa.int64()), "bit": pa.array(bit, pa.int32())})
+
+
+def _hot_masks(windows: DataFrame, tmp: Scratch) -> DataFrame:
+    """As the masks of contexts that meet, by an aggregate of windows."""
+    windows = tmp.table(windows, "hot-windows")
+    least = windows.groupBy("w").agg(F.min("doc").alias("least"))
+    hit = windows.join(least.hint("merge"), "w").where("least < doc").groupBy("block", "number").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+
+    def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, mask = (batch.column(k).to_numpy() for k in (1, 2))
+            pairs = np.stack([number, mask], 1).astype("<u4").tobytes()
+            yield _rows(["block", "kind", "blob"], batch.column(0), ([1] * len(number), pa.int32()), ([pairs[8 * k : 8 * k + 8] for k in range(len(number))], pa.binary()))
+
+    return tmp.table(hit.mapInArrow(blob, "block int, kind int, blob binary"), "hot-masks")
+
+
+def _results(b: Block, gone: np.ndarray) -> pa.Table:
+    """The row of each of a block's texts; ``gone``: of each byte, whether it goes."""
+    raw, res = b.text.tobytes(), [[], [], [], [], [], [], []]
+    total = np.append(0, np.cumsum(gone))
+    for k, (s, e) in enumerate(zip(b.off[:-1].tolist(), b.off[1:].tolist())):
+        n, text = int(total[e] - total[s]), raw[s:e]
+        digest, spans, kept = hashlib.sha256(text), [], text
+        if n:
+            spans = np.flatnonzero(np.diff(gone[s:e].astype("i1"), prepend=0, append=0)).tolist()
+            kept = without(text, spans)
+        for c, v in zip(res, (int(b.doc[k]), digest.digest(), e - s, n, len(spans) // 2, hashlib.sha256(kept).hexdigest() if n else digest.hexdigest(), spans)):
+            c.append(v)
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("rep", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"), res, kinds)})
+
+
+def without(text: bytes, spans: list[int]) -> bytes:
+    """The bytes outside of the spans (start, end, start, end ...)."""
+    return b"".join(text[a:b] for a, b in zip([0, *spans[1::2]], [*spans[::2], len(text)]))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; copies of an earlier document's text lose all of it."""
+    done = repeats(docs, id_col, text_col, **options).drop("spans")
+    rows = id_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    out = rows.join(done.hint("merge"), "digest")  # a text's copies may be split over tasks
+    copy = (F.coalesce("doc_id", F.lit(NULL_ID)) > F.col("rep")) & (F.col("n_bytes") >= SPAN)
+    return out.select("doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).alias("n_spans"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text, and how many these were.
+
+    The number is in __removed, with underscores after it where ``docs`` has such a
+    column. Halves of characters that lost some of their bytes go with them. Null
+    texts stay null.
+    """
+    done = repeats(docs, id_col, text_col, **options)
+    digest, rep, spans, removed = (free_name(docs, x) for x in ("__digest", "__rep", "__spans", "__removed"))
+    found = done.where(f"n_removed > 0 or n_bytes >= {SPAN}").select(F.col("digest").alias(digest), F.col("rep").alias(rep), F.col("spans").alias(spans), F.col("n_bytes").cast("int").alias(removed))
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(quoted(text_col).cast("string"), 256)))
+    joined = keyed.join(found.hint("merge"), digest, "left")
+    whole = F.coalesce(quoted(id_col).cast("long"), F.lit(NULL_ID)) > F.col(rep)
+    joined = joined.select(*(quoted(c) for c in docs.columns), F.when(whole, F.array(F.lit(0), F.col(removed))).otherwise(F.col(spans)).alias(spans))
+
+    at, n = docs.columns.index(text_col), len(docs.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(n).to_pylist()
+            changed = [k for k, s in enumerate(own) if s]
+            text = batch.column(at)
+            if changed:
+                out = text.to_pylist()
+                for k in changed:
+                    out[k] = without(out[k].encode(), own[k]).decode("utf-8", "ignore")
+                text = pa.array(out, text.type)
+            gone = pa.array([sum(s[1::2]) - sum(s[::2]) if s else 0 for s in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], text, *batch.columns[at + 1 : n], gone], [*batch.schema.names[:n], "added"])
+
+    return map_batches(joined, cut, StructField(removed, LongType()), n)

@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import encoder, id_text, materialise, scratch
+from .shared import drop_path, encoder, id_text, materialise, scratch
 
 MAGIC, BLOCK, SHARD_BYTES, MOST_TOKENS = b"TDAC1\0\0\0", 512, 8 << 20, 8 << 20
+MOST_SHARDS = 1 << 16  # shards only hold more parts beyond that
 _ONES = np.array([bin(i).count("1") for i in range(256)], "u1")
 
 
@@ -132,36 +134,34 @@ def _put(uri: str, name: str, data: bytes) -> None:
 def write_token_files(docs: DataFrame, out_dir: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the corpus in ascending doc_id order; one row per file: shard, part, n_docs, n_tokens.
 
-    A shard is a range of doc_id of about ``SHARD_BYTES`` of text, so texts are
-    shuffled once and the files' names give their order. A shard of more than
-    ``MOST_TOKENS`` goes on in further parts. Null doc_ids come first; equal
-    doc_ids are ordered by text.
+    A shard is a range of rows of about ``SHARD_BYTES`` of text, whose bounds Spark
+    samples whatever the ids are; texts are shuffled once and the files' names give
+    their order. A shard of more than ``MOST_TOKENS`` goes on in further parts.
     """
     rows = id_text(docs, id_col, text_col)
-    lo, hi, n_bytes = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
-    n_shards = max(1, -(-(n_bytes or 0) // SHARD_BYTES))
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // n_shards))
-    shard = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)).cast("long"), F.lit(-1)).alias("shard")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_shards = min(MOST_SHARDS, max(1, -(-n_bytes // SHARD_BYTES)))
+    # rows that repeat are dealt by their number in the input
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("no"), "text")
+    ranged = rows.repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first(), "h", "no").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "no")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        now, part, ids, lengths, texts, size, done = None, 0, [], [], [], 0, []
+        now, part, ids, lengths, texts, size, done = TaskContext.get().partitionId(), 0, [], [], [], 0, []
 
         def flush():
             nonlocal part, ids, lengths, texts, size
             data = dump(ids, lengths, np.frombuffer(b"".join(texts), "<u4"))
-            _put(out_dir, f"{now + 1:012d}-{part:06d}.dac", data)
+            _put(out_dir, f"{now:012d}-{part:06d}.dac", data)
             done.append((now, part, len(ids), size))
             part, ids, lengths, texts, size = part + 1, [], [], [], 0
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
-                for s, doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).cast(pa.binary()).to_pylist()):
-                    if ids and (s != now or size > MOST_TOKENS):
+                for doc, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist()):
+                    if size > MOST_TOKENS:
                         flush()
-                    if s != now:
-                        now, part = s, 0
                     own = enc.encode(text) + end
                     ids.append(doc)
                     lengths.append(len(own) // 4)
@@ -172,8 +172,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, end_id: int = 1,
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], ["shard", "part", "n_docs", "n_tokens"])
 
-    written = rows.select(shard, "doc_id", "text").repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
-    return materialise(written.mapInArrow(write, "shard long, part long, n_docs long, n_tokens long"), "token-files")
+    return materialise(ranged.select("doc_id", "text").mapInArrow(write, "shard long, part long, n_docs long, n_tokens long"), "token-files")
 
 
 def read_token_files(files: DataFrame, out_dir: str) -> DataFrame:
@@ -191,7 +190,7 @@ def read_token_files(files: DataFrame, out_dir: str) -> DataFrame:
                 shard, part = (int(x) for x in name.rpartition("/")[2].removesuffix(".dac").split("-"))
                 n = len(f.doc_ids)
                 crc = [zlib.crc32(f.document(k).tobytes()) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard - 1] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(f.doc_ids, pa.int64()), pa.array(f.offsets[:-1]), pa.array(np.diff(f.offsets)), pa.array(crc, pa.int64())], ["shard", "part", "doc_id", "own", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(f.doc_ids, pa.int64()), pa.array(f.offsets[:-1]), pa.array(np.diff(f.offsets)), pa.array(crc, pa.int64())], ["shard", "part", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(out_dir).select("path", "content")
     found = content.mapInArrow(read, "shard long, part long, doc_id long, own long, n_tokens long, ids_crc32 long")
@@ -200,9 +199,12 @@ def read_token_files(files: DataFrame, out_dir: str) -> DataFrame:
 
 
 def token_file_round_trip(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the corpus to the shared folder and read every document back; no documents, no rows."""
-    out_dir = scratch(docs.sparkSession, "tokens")
-    files = write_token_files(docs, out_dir, path, end_id, id_col, text_col)
-    if files.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_token_files(files, out_dir)
+    """Write the corpus to the shared folder, read every document back and delete the files; no documents, no rows."""
+    spark, out_dir = docs.sparkSession, scratch(docs.sparkSession, "tokens")
+    try:
+        files = write_token_files(docs, out_dir, path, end_id, id_col, text_col)
+        if files.isEmpty():
+            return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return materialise(read_token_files(files, out_dir), "token-rows")
+    finally:
+        drop_path(spark, out_dir)

@@ -2,6 +2,7 @@
 long texts, ties, repeated rows, empty tables, extra columns with odd names."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -101,9 +102,33 @@ def test_suffix_dedup(docs):
     assert got == brute_repeats([(d, t.encode()) for d, t in texts()])
 
 
+def test_suffix_dedup_splits_hot_anchors_and_blocks(docs):
+    """Each block a few texts, and every shared anchor on the way of hot ones."""
+    got = by_id(suffix_dedup.remove_repeats(docs, hot_blocks=1, block_bytes=500), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_repeats([(d, t.encode()) for d, t in texts()])
+
+
+def brute_cut(rows):
+    """Texts without their repeated bytes, halves of characters dropped."""
+    least, out = {}, []
+    raw = [((1 << 63) - 1 if d is None else d, None if t is None else t.encode()) for d, t in rows]
+    for d, t in raw:
+        for i in range(len(t or b"") - 49):
+            least[t[i : i + 50]] = min(d, least.get(t[i : i + 50], d))
+    for d, t in raw:
+        gone = bytearray(len(t or b""))
+        for i in range(len(gone) - 49):
+            if least[t[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        out.append(None if t is None else bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
 def test_suffix_dedup_text(docs):
-    for r in suffix_dedup.remove_repeats(docs, with_text=True).collect():
-        assert r["kept_text"] is not None and len(r["kept_text"].encode()) <= r["n_bytes"] - r["n_removed"]
+    out = suffix_dedup.without_repeats(docs.withColumn("__removed", F.lit("own")).withColumn("a.b", F.lit(1)))
+    assert out.columns == [*docs.columns, "__removed", "a.b", "__removed_"]
+    want = sorted(zip((d for d, _ in edge_rows()), brute_cut(edge_rows())), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == want
 
 
 def test_deep_shallow_sorts():
@@ -196,7 +221,7 @@ def within(a, b):
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-def brute_lines(rows, min_words=6, near_words=12):
+def brute_lines(rows, min_words=1, near_words=6):
     order = sorted(((d, no), tuple(x for x in re.split("[ \t\x0b\f\r]+", line) if x)) for d, t in rows for no, line in enumerate((t or "").split("\n")))
     order = [(at, w) for at, w in order if len(w) >= min_words]
     first = {}
@@ -228,8 +253,8 @@ def line_rows():
 def test_line_dedup(spark):
     rows = line_rows() + edge_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["d"]: set(r["lines"]) for r in line_dedup.removed_lines(df).collect()}
-    assert got == brute_lines(rows)
+    got = {r["d"]: set(r["lines"]) for r in line_dedup.removed_lines(df, 6, 12).collect()}
+    assert got == brute_lines(rows, 6, 12)
 
 
 def test_line_dedup_of_short_near_lines(spark):
@@ -324,13 +349,71 @@ def test_toxicity_without_labels(docs, spark):
     assert toxicity.drop_toxic(docs, none).columns == docs.columns
 
 
+def votes_of(table):
+    row, voter = np.nonzero(table)
+    return toxicity.Votes(row, voter, np.ones(len(row)), *table.shape)
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.2
-    good = (truth & (rng.random(4000) < 0.8)) | (rng.random(4000) < 0.02)
-    bad = rng.random(4000) < 0.1
-    post = toxicity.label_model(np.stack([good, good, good, bad], 1), truth.astype("f8"))
-    assert ((post > 0.5) == truth).mean() > 0.93
+    good = [(truth & (rng.random(4000) < 0.8)) | (rng.random(4000) < 0.02) for _ in range(3)]
+    bad = rng.random(4000) < 0.02
+    v = np.stack([*good, bad, bad, bad], 1)
+    post = toxicity.label_model(votes_of(v), np.ones(6))
+    assert ((post > 0.5) == truth).mean() > 0.95
+    assert post[bad & ~good[0] & ~good[1] & ~good[2]].mean() < 0.5
+
+
+def test_label_model_equals_brute_force_em():
+    rng = random.Random(5)
+    table = [[rng.random() < p for p in (0.3, 0.2, 0.1, 0.6)] for _ in range(60)]
+    polarity, n = [1, 1, 1, -1], 60
+    post = [1 / (1 + math.exp(-2 * (min(3, sum(x for x, s in zip(r, polarity) if s > 0)) - sum(x for x, s in zip(r, polarity) if s < 0)))) for r in table]
+    for _ in range(7):
+        t, on, off, new = sum(post), [], [], []
+        for j in range(4):
+            on.append(min(1 - 1e-4, max(1e-4, (sum(p for p, r in zip(post, table) if r[j]) + 0.5) / (t + 1))))
+            off.append(min(1 - 1e-4, max(1e-5, (sum(1 - p for p, r in zip(post, table) if r[j]) + 0.05) / (n - t + 1))))
+        for r in table:
+            a, b = (t + 1) / (n + 2), 1 - (t + 1) / (n + 2)
+            for j in range(4):
+                a *= on[j] if r[j] else 1 - on[j]
+                b *= off[j] if r[j] else 1 - off[j]
+            new.append(a / (a + b))
+        post = new
+    got = toxicity.label_model(votes_of(np.array(table)), np.array(polarity, "f8"), rounds=7, share_at=())
+    assert np.allclose(got, post, atol=1e-6)
+
+
+def test_shares_equal_brute_force():
+    rng = np.random.default_rng(3)
+    v = rng.random((2500, 5)) < 0.3
+    v[:, 1] = v[:, 0]
+    post, on, off = rng.random(2500), rng.random(5), rng.random(5)
+    rest = v - (post[:, None] * on + (1 - post[:, None]) * off)
+    std = np.maximum(rest.std(0), 1e-3)
+    want = 1 / np.maximum(1, np.maximum((rest / std).T @ (rest / std) / 2500 - 0.1, 0).sum(0))
+    assert np.allclose(toxicity.independent_share(votes_of(v), post, on, off), want, rtol=1e-3)
+
+
+def test_scores_equal_brute_force(docs, spark):
+    """The score is the logistic of the voters' weights, for every whole text."""
+    rows = [(k, "one two three") for k in range(100, 140)] + [(k, "such scum and idiot idiot words") for k in range(200, 220)]
+    known = spark.createDataFrame([(d, t, int(d >= 200)) for d, t in rows], "doc_id long, text string, toxic int")
+    model = toxicity.fit(known, known.select("doc_id", "toxic"))
+    n = len(model.terms)
+    for r in toxicity.score(docs, model).collect():
+        t = next((t or "") for d, t in edge_rows() if d == r["doc_id"])
+        f = toxicity.features(t)
+        terms = [k for k, x in enumerate(model.terms) if f.get(x)]
+        z = model.bias + sum(model.weights[k] * math.log1p(f[model.terms[k]]) for k in terms)
+        lexicon = any(k >= model.n_suggested for k in terms)
+        words = {w for w in re.findall(r"\w+", t.lower()) if any(x in model.terms for x in ["=" + w, *("^" + w[:k] for k in range(4, len(w)))])}
+        fires = (len(words) > 1, len(words) > 2, not lexicon, not words)
+        z += sum(model.weights[n + k] * math.log(2) for k, x in enumerate(fires) if x)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+    assert toxicity.score(known, model).where("predicted <> cast(doc_id >= 200 as int)").count() == 0
 
 
 # --- pieces
@@ -447,8 +530,9 @@ def test_likelihood_keeps_links():
 
 def test_components(spark):
     e = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 150)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100, 200: 150, 150: 150}
+    with shared.Scratch(spark, "test") as tmp:
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long"), tmp).collect()}
+        assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100, 200: 150, 150: 150}
 
 
 # --- fingerprints
@@ -466,16 +550,37 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values()) and len({min(v) for v in by_text.values()}) == len(by_text)
 
 
-def test_edited(spark):
-    rows = [(k * 3, sentence(random.Random(k % 7), k)) for k in range(30)] + [(1000, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want, order = {}, sorted(rows, reverse=True)
+def canon(t):
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold())).strip()
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_edited(spark, weak):
+    """Every column against brute force; a weak digest makes texts collide."""
+    rows = [(k * 3, sentence(random.Random(k % 7), k)) for k in range(30)] + [(1000, None), (-(1 << 63), "least id"), ((1 << 63) - 1, "greatest id"), (1001, "A  b"), (1002, "a b "), (None, "no id"), (None, "no id either")]
+    df = spark.createDataFrame(rows + [rows[5]], "doc_id long, text string").withColumn("o", F.lit(1)).withColumn("wide", F.lit("x"))
+    by_hash = {r["text"]: r["t"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), by_hash[r[1]]))
+    wide = (lambda c: F.lpad(F.length(c).cast("string"), 32, "0")) if weak else fingerprints.digest
+    got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in fingerprints.edited_fingerprints(df, wide=wide).collect()}
+    want, prints = {}, {}
     for k, (d, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
-        want[d] = (len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest())
-    got = fingerprints.edited_fingerprints(df).collect()
-    assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"]) for r in got} == want
-    assert all(r["near_edited"] in (0.0, 1.0) and (r["near_edited"] == 1.0) == (r["fingerprint"] == r["edited_fingerprint"]) for r in got)
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        want[d, len(t), hashlib.sha256(edited.encode()).hexdigest()] = (t, edited, nxt)
+    assert got.keys() == want.keys()
+    for key, (t, edited, nxt) in want.items():
+        r = got[key]
+        assert r["near_edited"] == float(canon(t) == canon(edited)) and r["near_next"] == float(canon(t) == canon(nxt))
+        for text, mark in ((t, r["fingerprint"]), (edited, r["edited_fingerprint"])):
+            assert prints.setdefault(canon(text), mark) == mark
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_fingerprints_number_collisions(spark):
+    rows = [(1, "abc"), (2, "xyz"), (3, "ABC "), (4, "long text")]
+    got = dict(fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), wide=lambda c: F.length(c).cast("string")).collect())
+    assert got == {1: "3-0", 2: "3-1", 3: "3-0", 4: "9-0"}
 
 
 # --- token files
@@ -492,6 +597,18 @@ def test_token_files(docs, spark):
     assert sorted(tuple(r) for r in token_files.token_file_round_trip(docs, WORD_BPE).collect()) == sorted(want)
 
 
+def test_token_files_of_wide_ids(spark, monkeypatch):
+    """Ids over the whole range, one far from the rest, in many small shards."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 60)
+    rng = random.Random(12)
+    ids = [-(1 << 63), (1 << 63) - 1, -7, 0] + list(range(1 << 40, (1 << 40) + 60))
+    rows = [(d, sentence(rng, rng.randint(0, 9))) for d in ids]
+    df = spark.createDataFrame(rows + [(None, "x")], "doc_id long, text string").repartition(5)
+    got = sorted(token_files.token_file_round_trip(df, WORD_BPE).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, *sorted(ids)]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:])) and got[0]["start"] == 0
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_codes_give_any_token(seed):
     rng = np.random.default_rng(seed)
