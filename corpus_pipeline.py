@@ -1,6 +1,12 @@
 """The training-data pipeline: toxicity, line dedup, near-duplicates, repeated
 strings, packing. Each stage's result is written as Parquet and read again as
-the next one's documents."""
+the next one's documents.
+
+Null texts pass every stage up to packing, where they are empty; an empty table
+gives empty results; rows are told apart by doc_id and text, so rows that repeat
+both are one document and stay or go together; other columns pass through, and
+n_chars, where there is one, follows the text.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +15,8 @@ from pyspark.sql import functions as F
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import best_fit_pack
-from tessera.llm.shared import materialise, tokenizer_path
-from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.shared import drop_path, free_name, quoted, scratch, shuffles_end, tokenizer_path
+from tessera.llm.suffix_dedup import without_repeats
 from tessera.llm.toxicity import drop_toxic
 
 
@@ -19,33 +25,27 @@ def toxicity(spark, docs, sf_dir):
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _with_text(docs, changed, condition):
-    """``docs``' columns with new texts (and their lengths in n_chars), less the rows that became empty."""
-    n_chars = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")] * ("n_chars" in docs.columns)
-    out = changed.where(condition)
-    return out.select(*(c if c != "n_chars" else n_chars[0] for c in docs.columns))
+def _changed(docs, out, removed):
+    """``docs``' columns of ``out``, n_chars after the new text, less the rows of which nothing is left."""
+    n_chars = {c: F.length("text").cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c == "n_chars"}
+    kept = out.where((F.col(removed) == 0) | (F.trim("text") != ""))
+    return kept.select(*(n_chars.get(c, quoted(c)) for c in docs.columns))
 
 
 def line_dedup(spark, docs, sf_dir):
     """Repeated lines of any length go, lines of 6 words or more also within one word's edit, and documents that had nothing but such lines."""
-    out = dedup_lines(docs, min_words=1, near_words=6)
-    return _with_text(docs, out, (F.col("__removed") == 0) | (F.trim("text") != ""))
+    return _changed(docs, dedup_lines(docs, min_words=1, near_words=6), free_name(docs, "__removed"))
 
 
 def minhash_near_dedup(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays, the one of the smallest doc_id."""
+    """One document of each group of near-duplicates stays, the one of the smallest doc_id; rows without a doc_id stay."""
     gone = near_duplicates(docs, words=5, pct=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(quoted(c) for c in docs.columns))
 
 
 def suffix_array_dedup(spark, docs, sf_dir):
     """Repeated strings of 50 bytes go where an earlier document has them, and documents that lose all."""
-    cut = remove_repeats(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept_text")
-    # rows are told apart by doc_id, null or not, and the text's digest
-    same = docs["doc_id"].cast("long").eqNullSafe(cut["__id"]) & (F.unhex(F.sha2("text", 256)) == F.col("__digest"))
-    joined = docs.join(cut.dropDuplicates(["__id", "__digest"]), same, "left")
-    changed = joined.withColumn("text", F.when(F.col("__digest").isNull(), F.col("text")).otherwise(F.col("kept_text")))
-    return _with_text(docs, changed, F.col("__digest").isNull() | (F.trim("text") != ""))
+    return _changed(docs, without_repeats(docs), free_name(docs, "__removed"))
 
 
 def best_fit_packing(spark, docs, sf_dir):
@@ -66,7 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's table goes when the next one is written; the last stays in the shared folder."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch(spark, f"stage-{name}")
+        try:
+            with shuffles_end(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+        finally:
+            if before:
+                drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
