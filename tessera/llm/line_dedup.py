@@ -105,13 +105,15 @@ def near_lines(rows: DataFrame, first: DataFrame, tmp: Scratch) -> DataFrame:
     """
     keyed = first.select("h1", "h2", "d", "t", "no", F.explode("keys").alias("key"))
     keys = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    cand = keyed.join(keys.hint("merge"), "key", "left_semi").select("h1", "h2", "d", "t", "no").distinct()
+    # written first: a join of two exchanges is one whose hot side Spark can split
+    cand = keyed.join(tmp.table(keys, "shared-keys").hint("merge"), "key", "left_semi").select("h1", "h2", "d", "t", "no").distinct()
     # ids of a sorted table rise with its order
     cand = tmp.table(cand.orderBy("d", "t", "no").withColumn("r", F.monotonically_increasing_id()), "candidates")
     wanted = cand.groupBy("d", "t").agg(F.collect_list(F.struct("no", "r")).alias("want"))
     once = rows.groupBy("d", "t").agg(F.first("text").alias("text"))
-    words = once.join(wanted.hint("merge"), ["d", "t"]).select(F.split(single_spaced(F.col("text")), "\n").alias("lines"), F.explode("want").alias("w"))
-    words = tmp.table(words.select("w.r", F.trim(F.get("lines", F.col("w.no"))).alias("line")), "candidate-lines")
+    words = once.join(wanted.hint("merge"), ["d", "t"]).select(F.split(single_spaced(F.col("text")), "\n").alias("lines"), "want")
+    words = words.select(F.inline(F.transform("want", lambda w: F.struct(w["r"].alias("r"), F.trim(F.get("lines", w["no"])).alias("line")))))
+    words = tmp.table(words, "candidate-lines")
 
     emitted = _variants(words)
     groups = emitted.groupBy("key", "i").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
@@ -138,7 +140,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
         first = tmp.table(first.select("h1", "h2", "at.*", "c", "keys"), "distinct-lines")
         near = near_lines(rows, first, tmp)
         gone = first.drop("keys").join(near.withColumn("near", F.lit(True)).hint("merge"), ["h1", "h2"], "left").where("c > 1 or near").select("h1", "h2", F.struct("d", "t", "no").alias("at1"), F.coalesce("near", F.lit(False)).alias("near"))
-        hit = seen.select("d", "t", "no", "h1", "h2").join(gone.hint("merge"), ["h1", "h2"]).where(F.col("near") | (F.struct("d", "t", "no") > F.col("at1")))
+        hit = seen.select("d", "t", "no", "h1", "h2").join(tmp.table(gone, "repeated-lines").hint("merge"), ["h1", "h2"]).where(F.col("near") | (F.struct("d", "t", "no") > F.col("at1")))
         return materialise(hit.groupBy("d", "t").agg(F.sort_array(F.collect_set("no")).alias("lines")), "removed-lines")
 
 
@@ -148,13 +150,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     These two columns are __lines and __removed, each with underscores after it where ``docs`` has such a column.
     """
     removed = removed_lines(docs, min_words, near_words, id_col, text_col)
-    d, t, gone = (free_name(docs, x) for x in ("__d", "__t", "__gone"))
+    d, t, gone, own = (free_name(docs, x) for x in ("__d", "__t", "__gone", "__own"))
     text = F.col(text_col)
     keyed = docs.withColumns({d: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), t: F.xxhash64(text)})
     df = keyed.join(removed.select(F.col("d").alias(d), F.col("t").alias(t), F.col("lines").alias(gone)).hint("merge"), [d, t], "left")
     n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    keep = F.array_except(F.sequence(F.lit(0), n - 1), F.col(gone))
-    own = F.split(text, "\n")
-    left = F.when(F.col(gone).isNull() | text.isNull(), text).otherwise(F.array_join(F.transform(keep, lambda i: F.get(own, i)), "\n"))
+    df = df.withColumn(own, F.when(F.col(gone).isNotNull(), F.split(text, "\n")))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone))
+    left = F.when(F.col(own).isNull(), text).otherwise(F.array_join(F.transform(keep, lambda i: F.get(own, i)), "\n"))
     n_lines, n_removed = F.when(text.isNull(), 0).otherwise(n).cast("long"), F.when(text.isNull() | F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
     return df.select(*(quoted(c) if c != text_col else left.alias(c) for c in docs.columns), n_lines.alias(free_name(docs, "__lines")), n_removed.alias(free_name(docs, "__removed")))
