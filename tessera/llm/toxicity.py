@@ -38,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
+from .bytewords import slices
 from .shared import free_name, id_text, map_batches
 
 MOST_LABELLED, MOST_VOTERS, SURE = 20_000, 400, 2.5
+MOST_HELD = 100_000  # words or counts that a worker remembers; more go on to the next step or are found again
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7, 8)
 #: Common English insults.
@@ -80,7 +82,7 @@ class Finder:
         for w in WORD.findall(text.lower()):
             h = self.memo.get(w)
             if h is None:
-                if len(self.memo) > 200_000:
+                if len(self.memo) > MOST_HELD:
                     self.memo.clear()
                 h = self.memo[w] = tuple(self.index[x] for x in forms(w) if x in self.index)
             for k in h:
@@ -190,14 +192,23 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # most_labelled rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: tuple[dict, dict] = {}, {}
+
+        def ends() -> pa.RecordBatch:
+            names = list(n[0].keys() | n[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c.get(x, 0) for x in names], pa.int64()) for c in (n[1], n[0]))], ["name", "pos", "neg"])
+            n[0].clear()
+            n[1].clear()
+            return out
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part, n = batch.slice(lo, 500), ({}, {})
+            for part in slices(batch, 1, 1 << 20):
                 for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     for x in features(text):
                         n[y > 0][x] = n[y > 0].get(x, 0) + 1  # documents that hold it
-                names = list(n[0].keys() | n[1].keys())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c.get(x, 0) for x in names], pa.int64()) for c in (n[1], n[0]))], ["name", "pos", "neg"])
+                    if len(n[0]) + len(n[1]) > MOST_HELD:
+                        yield ends()
+        yield ends()
 
     counts = rows.mapInArrow(count, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # a term is suggested if its share of toxic documents is over a half, SURE standard deviations aside
@@ -213,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             find, ks, ns, hs = Finder(terms, len(suggested)), [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (t for part in parts(batch) for t in part.column(1).to_pylist()):
                 own = find(text)
                 ks.append(list(own))
                 ns.append(list(own.values()))
@@ -238,6 +249,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def parts(batch: pa.RecordBatch, most_rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows, so that little is decoded at once."""
+    return (batch.slice(k, most_rows) for k in range(0, batch.num_rows, most_rows))
+
+
 def _scored(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
     """``rows`` and behind them their scores as column ``name``."""
 
@@ -246,8 +262,9 @@ def _scored(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
-            s = pa.array([of(t or "") for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, s], [*batch.schema.names, "added"])
+            for part in parts(batch):
+                s = pa.array([of(t or "") for t in part.column(at).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, s], [*part.schema.names, "added"])
 
     return map_batches(rows, run, StructField(name, DoubleType()))
 
