@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import U, buffers, mix, shingle_sets, slices
 from .components import connected_components
-from .shared import Scratch, id_text, materialise
+from .shared import Scratch, id_text, materialise, tidily
 
 M, ROWS, B, RATE = 128, 4, 1.1, 20.0
 SALTS = 32
@@ -141,7 +141,7 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
                 of, raw = iter(bands(regs) if full else ()), iter(regs)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([next(raw).tobytes() if k else None for k in n.tolist()], pa.binary()), pa.array([next(of) if k else None for k in n.tolist()], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "regs", "bands"])
 
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, key binary, regs binary, bands array<long>")
+    return rows.mapInArrow(tidily(sketch), "doc_id long, n_shingles long, key binary, regs binary, bands array<long>")
 
 
 def _block_pairs(id_col: str):
@@ -208,7 +208,7 @@ def _near(rows: DataFrame, words: int, pct: int, tmp: Scratch) -> DataFrame:
         if len(held) > 1:
             yield ends([held])
 
-    likely_edges = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInArrow(likely, "a long, b long")
+    likely_edges = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInArrow(tidily(likely), "a long, b long")
     coarse = tmp.table(connected_components(likely_edges, tmp), "coarse")
     n_of = coarse.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     blocks = n_of.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
@@ -237,7 +237,7 @@ def _near(rows: DataFrame, words: int, pct: int, tmp: Scratch) -> DataFrame:
         if len(ids) > 1:
             yield found()
 
-    checked = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id").mapInArrow(verify, "a long, b long")
+    checked = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id").mapInArrow(tidily(verify), "a long, b long")
     final = connected_components(checked, tmp)
     # a class's documents take its representative's component; its hot keys are salted
     labels = classes.where("copies > 1").select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c1"))

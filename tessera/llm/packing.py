@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import encoder, id_text, materialise
+from .shared import encoder, id_text, materialise, tidily
 
 CAPACITY = 2048
 ROWS_PER_BLOCK = 20_000
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return id_text(docs, id_col, text_col).mapInArrow(tidily(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -135,7 +135,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) ->
             seq, offset = run[:, 4] + at // run[:, 3], run[:, 5] + at % run[:, 3] * n
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, out_type)
+    return ranked.mapInArrow(tidily(place), out_type)
 
 
 def best_fit_pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

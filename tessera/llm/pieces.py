@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import id_text
+from .shared import id_text, tidily
 
 MARK = "▁"
 CLOSING = ".,;:!?)*%$#&"
@@ -230,7 +230,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip", "ids"][: 5 + keep_ids])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids)
+    return id_text(docs, id_col, text_col).mapInArrow(tidily(run), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids)
 
 
 def decode_pieces(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -242,4 +242,4 @@ def decode_pieces(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col
             texts = [None if x is None else m.decode(np.asarray(x, "u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].alias("ids")).mapInArrow(tidily(run), "doc_id long, text string")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import BASE, U, buffers, mix, slices, word_hashes, word_spans
-from .shared import id_text
+from .shared import id_text, tidily
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -161,7 +161,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPL
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent), pa.array(hit, pa.int64()), pa.array([seen] * len(rules), pa.int64())], ["rule", "spent", "hit", "seen"])
 
     sample = rows.sample(fraction=min(1.0, sample_rows / max(1, n)), seed=7)
-    found = sample.mapInArrow(measure, "rule int, spent double, hit long, seen long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("hit").alias("hit"), F.sum("seen").alias("seen")).collect()
+    found = sample.mapInArrow(tidily(measure), "rule int, spent double, hit long, seen long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("hit").alias("hit"), F.sum("seen").alias("seen")).collect()
     worth = {r["rule"]: (r["hit"] + 0.5) / max(r["spent"], 1e-9) for r in found if r["seen"]}
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth.get(k, 0))]
 
@@ -182,4 +182,4 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequen
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.bool_()), pa.array(cols[7], pa.string())], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+    return id_text(docs, id_col, text_col).mapInArrow(tidily(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")

@@ -3,15 +3,18 @@ lineage, and a word-level memo over a public tokenizer."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
 import tempfile
 import uuid
 from array import array
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -112,6 +115,35 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _trim() -> Callable[[int], int]:
+    """glibc's malloc_trim, or nothing where the C library has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+_malloc_trim = _trim()
+
+
+def tidy() -> None:
+    """Give freed memory back: workers are kept for later stages, whose memory comes on top."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim(0)
+
+
+def tidily(fn):
+    """A function over batches that tidies at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def map_batches(df: DataFrame, fn, added: StructField, n: int | None = None) -> DataFrame:
     """``df.mapInArrow(fn)`` to its first ``n`` columns (all by default) and one more, whatever they are called.
 
@@ -119,7 +151,7 @@ def map_batches(df: DataFrame, fn, added: StructField, n: int | None = None) ->
     """
     fields = df.schema.fields[:n]
     out = StructType([*(StructField(f"c{k}", f.dataType, True) for k, f in enumerate(fields)), StructField("added", added.dataType)])
-    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(fn, out).toDF(*(f.name for f in fields), added.name)
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(tidily(fn), out).toDF(*(f.name for f in fields), added.name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +191,7 @@ class WordEncoder(dict):
     LETTERS = staticmethod(re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch)
     MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

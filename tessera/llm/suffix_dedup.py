@@ -48,13 +48,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from .bytewords import BASE, BYTE, U, buffers, mix
-from .shared import Scratch, free_name, id_text, map_batches, materialise, quoted, shuffles_end
+from .shared import Scratch, free_name, id_text, map_batches, materialise, quoted, shuffles_end, tidily, tidy
 
 SPAN, K, SHALLOW = 50, 24, 16
 REACH = SPAN - K + 1
 BLOCK_BYTES, RANGE_BYTES, BLOCKS_PER_BUCKET, RANGES_PER_TASK = 4 << 20, 6 << 20, 4, 4
 HOT_BLOCKS, MOST_PARTS = 4096, 1 << 16  # parts only hold more beyond that; nothing is left out
-CHUNK, SORTED_AT_ONCE = 1 << 18, 40_000
+CHUNK, SORTED_AT_ONCE = 1 << 18, 12_000
 _LOW = U(CHUNK - 1)
 NULL_ID = (1 << 63) - 1
 
@@ -339,7 +339,7 @@ def _distinct_texts(rows: DataFrame, n_blocks: int) -> DataFrame:
             yield from t.select(["block", "doc_id_min", "text"]).rename_columns(["block", "doc_id", "text"]).to_batches()
 
     block = F.pmod(F.xxhash64(F.lit("block"), "text"), F.lit(n_blocks)).cast("int").alias("block")
-    return rows.select(block, "doc_id", "text").mapInArrow(combine, "block int, doc_id long, text string")
+    return rows.select(block, "doc_id", "text").mapInArrow(tidily(combine), "block int, doc_id long, text string")
 
 
 def _one_each(table: pa.Table) -> pa.Table:
@@ -395,10 +395,16 @@ def _decided(spark, texts: DataFrame, n_ranges: int, n_parts: int, hot_blocks: i
     reply, sent_type = "block int, kind int, blob binary", "bucket int, block int, blob binary"
 
     def both(other: DataFrame, fn, schema: str) -> DataFrame:
-        return texts.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(fn, schema)
+        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return fn(key, left, right)
+            finally:
+                tidy()
+
+        return texts.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(run, schema)
 
     def met(sent: DataFrame, work) -> DataFrame:
-        return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _together(batches, work), reply)
+        return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidily(lambda batches: _together(batches, work)), reply)
 
     def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
         h = np.unique(Block(_one_each(left)).hash)
@@ -514,7 +520,7 @@ def _hot_masks(windows: DataFrame, tmp: Scratch) -> DataFrame:
             pairs = np.stack([number, mask], 1).astype("<u4").tobytes()
             yield _rows(["block", "kind", "blob"], batch.column(0), ([1] * len(number), pa.int32()), ([pairs[8 * k : 8 * k + 8] for k in range(len(number))], pa.binary()))
 
-    return tmp.table(hit.mapInArrow(blob, "block int, kind int, blob binary"), "hot-masks")
+    return tmp.table(hit.mapInArrow(tidily(blob), "block int, kind int, blob binary"), "hot-masks")
 
 
 def _results(b: Block, gone: np.ndarray) -> pa.Table:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_path, encoder, id_text, materialise, scratch
+from .shared import drop_path, encoder, id_text, materialise, scratch, tidily
 
 MAGIC, BLOCK, SHARD_BYTES, MOST_TOKENS = b"TDAC1\0\0\0", 512, 8 << 20, 8 << 20
 MOST_SHARDS = 1 << 16  # shards only hold more parts beyond that
@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, end_id: int = 1,
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], ["shard", "part", "n_docs", "n_tokens"])
 
-    return materialise(ranged.select("doc_id", "text").mapInArrow(write, "shard long, part long, n_docs long, n_tokens long"), "token-files")
+    return materialise(ranged.select("doc_id", "text").mapInArrow(tidily(write), "shard long, part long, n_docs long, n_tokens long"), "token-files")
 
 
 def read_token_files(files: DataFrame, out_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ def read_token_files(files: DataFrame, out_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(f.doc_ids, pa.int64()), pa.array(f.offsets[:-1]), pa.array(np.diff(f.offsets)), pa.array(crc, pa.int64())], ["shard", "part", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(out_dir).select("path", "content")
-    found = content.mapInArrow(read, "shard long, part long, doc_id long, own long, n_tokens long, ids_crc32 long")
+    found = content.mapInArrow(tidily(read), "shard long, part long, doc_id long, own long, n_tokens long, ids_crc32 long")
     base = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     return found.join(base, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 

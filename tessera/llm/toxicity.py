@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from .bytewords import slices
-from .shared import free_name, id_text, map_batches
+from .shared import free_name, id_text, map_batches, tidily
 
 MOST_LABELLED, MOST_VOTERS, SURE = 20_000, 400, 2.5
 MOST_HELD = 100_000  # words or counts that a worker remembers; more go on to the next step or are found again
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
                         yield ends()
         yield ends()
 
-    counts = rows.mapInArrow(count, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(tidily(count), "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # a term is suggested if its share of toxic documents is over a half, SURE standard deviations aside
     n, share = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
     least = (share + SURE**2 / (2 * n) - SURE * F.sqrt(share * (1 - share) / n + SURE**2 / (4 * n * n))) / (1 + SURE**2 / n)
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
                 hs.append(xxhash.xxh3_64_intdigest(text) >> 1)
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ks, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], ["h", "k", "n"])
 
-    got = rows.mapInArrow(vote, "h long, k array<int>, n array<int>").toArrow().combine_chunks()
+    got = rows.mapInArrow(tidily(vote), "h long, k array<int>, n array<int>").toArrow().combine_chunks()
     polarity = np.array([1.0] * (len(terms) + 2) + [-1.0, -1.0])
     if not got.num_rows:
         return Model(terms, len(suggested), polarity, -1.5)
