@@ -21,9 +21,10 @@ times its size, so only the suffixes that matter are sorted:
    block as bit masks, and the covered bytes are removed.
 
 A string that a third of all documents hold is sent once a block, not once a
-document. An anchor that more than HOT_BLOCKS blocks share does not meet in one
-task: its windows go as rows of their own, whose least doc_id is an aggregate
-combined before the shuffle, joined back to the blocks. All windows are compared
+document. An anchor with more than HOT_CONTEXTS contexts (the edges of a string
+that many documents hold have as many) does not meet in one task: its windows go
+as 128-bit hashes, whose least doc_id is an aggregate combined
+before the shuffle and joined back to the blocks. All other windows are compared
 byte by byte; hashes only bring them together.
 
 Null, empty and shorter texts lose nothing; texts of any length are taken whole,
@@ -42,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +55,7 @@ from .shared import Scratch, free_name, id_text, map_batches, materialise, quote
 SPAN, K, SHALLOW = 50, 24, 16
 REACH = SPAN - K + 1
 BLOCK_BYTES, RANGE_BYTES, BLOCKS_PER_BUCKET, RANGES_PER_TASK = 4 << 20, 6 << 20, 4, 4
-HOT_BLOCKS, MOST_PARTS = 4096, 1 << 16  # parts only hold more beyond that; nothing is left out
+HOT_CONTEXTS, MOST_PARTS = 2000, 1 << 16  # parts only hold more beyond that; nothing is left out
 CHUNK, SORTED_AT_ONCE = 1 << 18, 12_000
 _LOW = U(CHUNK - 1)
 NULL_ID = (1 << 63) - 1
@@ -372,7 +374,7 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(*c) for c in columns], names)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_blocks: int = HOT_BLOCKS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each different text: digest (SHA-256 of the text), rep (its smallest doc_id), n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end, start, end ... of what goes from rep's text)."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
@@ -386,13 +388,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
         try:
             with shuffles_end(spark):
                 _distinct_texts(rows, n_blocks).repartition(n_buckets, "block").write.option("compression", "zstd").bucketBy(n_buckets, "block").saveAsTable(name)
-            return _decided(spark, spark.table(name), n_ranges, n_parts, hot_blocks, tmp)
+            return _decided(spark, spark.table(name), n_ranges, n_parts, hot_contexts, tmp)
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _decided(spark, texts: DataFrame, n_ranges: int, n_parts: int, hot_blocks: int, tmp: Scratch) -> DataFrame:
-    reply, sent_type = "block int, kind int, blob binary", "bucket int, block int, blob binary"
+def _decided(spark, texts: DataFrame, n_ranges: int, n_parts: int, hot_contexts: int, tmp: Scratch) -> DataFrame:
+    reply, sent_type = "block int, kind int, blob binary", "bucket int, block long, blob binary"
 
     def both(other: DataFrame, fn, schema: str) -> DataFrame:
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -407,18 +409,23 @@ def _decided(spark, texts: DataFrame, n_ranges: int, n_parts: int, hot_blocks: i
         return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidily(lambda batches: _together(batches, work)), reply)
 
     def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        h = np.unique(Block(_one_each(left)).hash)
-        out = [(k, _six(h[i])) for k, i in _by(_bucket(h, n_ranges))]
-        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+        h, n = np.unique(Block(_one_each(left)).hash, return_counts=True)
+        scale = np.floor(np.log2(n)).astype("i8")
+        out = [(k, c, _six(h[i[scale[i] == c]])) for k, i in _by(_bucket(h, n_ranges)) for c in np.unique(scale[i]).tolist()]
+        return pa.table({"bucket": pa.array([k for k, _, _ in out], pa.int32()), "block": pa.array([key[0].as_py() * 32 + c for _, c, _ in out], pa.int64()), "blob": pa.array([x for *_, x in out], pa.binary())})
 
-    def repeated(blocks, sizes, data):
-        """Hashes of two blocks or more go back to these: kind 0, or 2 where more than hot_blocks have one."""
-        h, of = _from_six([data.tobytes()]), np.repeat(blocks, sizes // 6)
+    def repeated(codes, sizes, data):
+        """Hashes of two blocks or more go back to these: kind 0, or 2 where they have more than hot_contexts anchors of one.
+
+        A code is the block and the logarithm of its number of these anchors.
+        """
+        h, of = _from_six([data.tobytes()]), np.repeat(codes, sizes // 6)
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        n = np.repeat(size := np.diff(np.append(cut, len(s))), size)
-        for kind, keep in ((0, (n > 1) & (n <= hot_blocks)), (2, n > max(1, hot_blocks))):
+        s, weight, of = h[order], 1 << (of[order] & 31), of >> 5
+        cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, "i8")
+        size = np.diff(np.append(cut, len(s)))
+        n, total = np.repeat(size, size), np.repeat(np.add.reduceat(weight, cut) if len(cut) else size, size)
+        for kind, keep in ((0, (n > 1) & (total <= hot_contexts)), (2, (n > 1) & (total > hot_contexts))):
             at = order[keep]
             for k, i in _by(of[at]):
                 yield _rows(["block", "kind", "blob"], ([k], pa.int32()), ([kind], pa.int32()), ([_six(h[at[i]])], pa.binary()))
@@ -451,7 +458,7 @@ def _decided(spark, texts: DataFrame, n_ranges: int, n_parts: int, hot_blocks: i
             parts = [np.int64(len(i)).tobytes(), b.hash[own].astype("<u8").tobytes(), b.doc[b.of[own]].astype("<i8").tobytes(), at[i].astype("<u4").tobytes(), (b.last[own] - b.first[own] + 1).astype("u1").tobytes(), (b.anchor[own] - b.first[own]).astype("u1").tobytes()]
             parts += [raw[s:e] for s, e in zip(b.first[own].tolist(), (b.last[own] + SPAN).tolist())]
             out.append((k, squeeze.compress(b"".join(parts))))
-        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def decide(blocks, sizes, blob):
         cols, data, counts, at = [[], [], [], [], []], [], [], 0
@@ -500,11 +507,16 @@ def _decided(spark, texts: DataFrame, n_ranges: int, n_parts: int, hot_blocks: i
 
 
 def _hot_windows(block: int, b: Block, hot: np.ndarray) -> pa.Table:
-    """The windows of a block's contexts of hot anchors, each with the context's smallest doc_id."""
+    """The windows of a block's contexts of hot anchors, with their contexts' smallest doc_id."""
     raw, smallest = b.text.tobytes(), b.doc[b.of[b.source]]
     np.minimum.at(smallest, b.number, b.doc[b.of[b.chosen]])
-    rows = [(raw[s : s + SPAN], int(smallest[k]), k, s - int(b.first[b.source[k]])) for k in np.flatnonzero(hot).tolist() for s in range(int(b.first[b.source[k]]), int(b.last[b.source[k]]) + 1)]
-    w, doc, number, bit = zip(*rows) if rows else ((), (), (), ())
+    w, doc, number, bit = [], [], [], []
+    for k in np.flatnonzero(hot).tolist():
+        s, e = int(b.first[b.source[k]]), int(b.last[b.source[k]]) + 1
+        w += [xxhash.xxh3_128_digest(raw[i : i + SPAN]) for i in range(s, e)]
+        doc += [int(smallest[k])] * (e - s)
+        number += [k] * (e - s)
+        bit += range(e - s)
     return pa.table({"w": pa.array(w, pa.binary()), "doc": pa.array(doc, pa.int64()), "block": pa.array([block] * len(w), pa.int32()), "number": pa.array(number, pa.int64()), "bit": pa.array(bit, pa.int32())})
 
 

@@ -104,7 +104,7 @@ def test_suffix_dedup(docs):
 
 def test_suffix_dedup_splits_hot_anchors_and_blocks(docs):
     """Each block a few texts, and every shared anchor on the way of hot ones."""
-    got = by_id(suffix_dedup.remove_repeats(docs, hot_blocks=1, block_bytes=500), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = by_id(suffix_dedup.remove_repeats(docs, hot_contexts=1, block_bytes=500), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute_repeats([(d, t.encode()) for d, t in texts()])
 
 
