@@ -55,7 +55,7 @@ from .shared import Scratch, free_name, id_text, map_batches, materialise, quote
 SPAN, K, SHALLOW = 50, 24, 16
 REACH = SPAN - K + 1
 BLOCK_BYTES, RANGE_BYTES, BLOCKS_PER_BUCKET, RANGES_PER_TASK = 4 << 20, 6 << 20, 4, 4
-HOT_CONTEXTS, MOST_PARTS = 2000, 1 << 16  # parts only hold more beyond that; nothing is left out
+HOT_CONTEXTS, MOST_PARTS = 400, 1 << 16  # parts only hold more beyond that; nothing is left out
 CHUNK, SORTED_AT_ONCE = 1 << 18, 12_000
 _LOW = U(CHUNK - 1)
 NULL_ID = (1 << 63) - 1
@@ -523,7 +523,7 @@ def _hot_windows(block: int, b: Block, hot: np.ndarray) -> pa.Table:
 def _hot_masks(windows: DataFrame, tmp: Scratch) -> DataFrame:
     """As the masks of contexts that meet, by an aggregate of windows."""
     windows = tmp.table(windows, "hot-windows")
-    least = windows.groupBy("w").agg(F.min("doc").alias("least"))
+    least = tmp.table(windows.groupBy("w").agg(F.min("doc").alias("least")), "hot-least")  # a join of two exchanges can be split
     hit = windows.join(least.hint("merge"), "w").where("least < doc").groupBy("block", "number").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
     def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
