@@ -55,7 +55,8 @@ from .shared import Scratch, free_name, id_text, map_batches, materialise, quote
 SPAN, K, SHALLOW = 50, 24, 16
 REACH = SPAN - K + 1
 BLOCK_BYTES, RANGE_BYTES, BLOCKS_PER_BUCKET, RANGES_PER_TASK = 4 << 20, 6 << 20, 4, 4
-HOT_CONTEXTS, MOST_PARTS = 400, 1 << 16  # parts only hold more beyond that; nothing is left out
+HOT_CONTEXTS = RANGE_BYTES // 600  # an anchor of an eighth of a range; by windows it takes ten times the room
+MOST_PARTS = 1 << 16  # parts only hold more beyond that; nothing is left out
 CHUNK, SORTED_AT_ONCE = 1 << 18, 12_000
 _LOW = U(CHUNK - 1)
 NULL_ID = (1 << 63) - 1
