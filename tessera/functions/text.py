@@ -29,33 +29,44 @@ BOILERPLATE = ["As an AI language model, ", "As an AI, ", "I am an AI, ", "Sure,
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c\x1d\x1e\x85  ]"
+SPACE_IN_LINE = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n\r\x0B\f\x1c\x1d\x1e\x85\x{2028}\x{2029}]]"
 WORD = r"[\p{L}\p{N}_]+"
+#: Fixed value: what counts as a tag.
 HTML = r"</?[a-zA-Z][^>]{0,200}>"
 
 
+#: Characters that are in normal form wherever they stand: all below U+0300, and general punctuation.
+_ODD = r"[^\x00-\x{02FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]"
+#: Those of them whose full case folding is their lower case: no sharp s, micro sign or letters beyond Latin-1.
+_ODD_CASE = r"[^\x00-\x{00B4}\x{00B6}-\x{00DE}\x{00E0}-\x{00FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]"
+
+
 def _is_ascii(c: Column) -> Column:
     return c.isNull() | (F.octet_length(c) == F.length(c))
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC on the JVM; ASCII text is already normal, null stays null."""
-    return F.when(_is_ascii(c), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
+    """Unicode NFC on the JVM; most texts hold no character that could change, null stays null."""
+    return F.when(_is_ascii(c) | ~c.rlike(_ODD), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding on the JVM."""
-    return F.when(_is_ascii(c), F.lower(c)).otherwise(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)))
+    """Full case folding on the JVM, which is the lower case for most texts."""
+    return F.when(_is_ascii(c) | ~c.rlike(_ODD_CASE), F.lower(c)).otherwise(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)))
 
 
 def strip(c: Column) -> Column:
-    """Unicode white space off both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Unicode white space off both ends; a run inside is looked at once, from its start."""
+    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def normalize(c: Column) -> Column:
-    """NFC, inner blanks of a line collapsed, lines stripped, empty lines dropped."""
-    lines = F.transform(F.split(nfc(c), LINE_BREAK), lambda x: strip(F.regexp_replace(x, r"[ \t\r\f\x0B]+", " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    """NFC, inner blanks of a line collapsed, lines stripped, empty lines dropped.
+
+    White space that holds a line break is one line feed; so few passes over the whole text do.
+    """
+    lines = F.regexp_replace(nfc(c), rf"(?<!{SPACE}){SPACE_IN_LINE}*+(?:{LINE_BREAK}){SPACE}*+", "\n")
+    return F.regexp_replace(strip(lines), r"\t[ \t]*+| [ \t]++", " ")
 
 
 def normalize_keep_paragraphs(c: Column) -> Column:
@@ -91,10 +102,16 @@ def script_counts(c: Column) -> Column:
 
 
 def dominant_script(c: Column) -> Column:
-    """Kana decides for Japanese; else the most frequent, the first met of equals; Unknown without any."""
+    """Kana decides for Japanese; else the most frequent, the first met of equals; Unknown without any.
+
+    Most texts hold characters of the first script at most, which two searches tell.
+    """
     rows = [F.struct(count_chars(c, _char_class(r)).alias("n"), (-F.length(F.substring_index(F.regexp_replace(c, _char_class(r), "\u0001"), "\u0001", 1))).alias("p"), F.lit(name).alias("s")) for name, r in SCRIPTS.items()]
     best = F.array_max(F.filter(F.array(*rows), lambda x: x["n"] > 0))
-    return F.when(c.rlike(_char_class(SCRIPTS["Japanese"])), "Japanese").otherwise(F.coalesce(best["s"], F.lit("Unknown")))
+    (first, ranges), *others = SCRIPTS.items()
+    plain = ~c.rlike(_char_class([r for _, own in others for r in own]))
+    short = F.when(c.rlike(_char_class(ranges)), first).otherwise("Unknown")
+    return F.when(plain, short).when(c.rlike(_char_class(SCRIPTS["Japanese"])), "Japanese").otherwise(F.coalesce(best["s"], F.lit("Unknown")))
 
 
 def script_mismatch(language: Column, detected: Column) -> Column:
@@ -114,11 +131,12 @@ def visible_count(c: Column) -> Column:
 
 
 def control_count(c: Column) -> Column:
-    return count_chars(c, r"[\p{C}&&[^\n\t]]")
+    pattern = r"[\p{C}&&[^\n\t]]"
+    return F.when(c.rlike(pattern), count_chars(c, pattern)).otherwise(F.when(c.isNotNull(), 0))
 
 
 def html_count(c: Column) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, HTML, ""))
+    return F.when(F.contains(c, F.lit("<")), F.length(c) - F.length(F.regexp_replace(c, HTML, ""))).otherwise(F.when(c.isNotNull(), 0))
 
 
 def ratio(part: Column, text: Column) -> Column:

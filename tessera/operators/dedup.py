@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-FRAGMENT_CHARS, RUN = 80, 5
+FRAGMENT_CHARS, RUN, MOST_BROADCAST = 80, 5, 100_000
 
 
 def mark_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -36,14 +36,20 @@ def contaminated(docs: DataFrame, frags: DataFrame, id_col: str = "doc_id", fold
 
     An equi-join instead of a nested loop: a fragment's inner words (all but
     the first and the last, which may be parts) are words of the document as
-    well, so it is keyed by its second to sixth word, a document by all its
-    runs of five, and ``contains`` verifies. Fragments of fewer than seven words
-    (long words) have no key and are compared with each document.
+    well, so it is keyed by its second to sixth word (fewer where it has fewer),
+    a document by all its runs of as many, and ``contains`` verifies. Only
+    fragments of one or two words have no key and are compared with each document.
+    Keys are broadcast where they were counted and found few; then a document's
+    runs are only exploded where they hit.
     """
-    hashed = lambda w: F.transform(T.ngrams(w, RUN), lambda g: F.xxhash64(g))
-    frags = frags.withColumn("w", T.split_words(F.col("fragment")))
-    keyed = frags.where(F.size("w") >= RUN + 2).select("fragment", F.xxhash64(F.array_join(F.slice("w", 2, RUN), " ")).alias("key"))
-    runs = docs.select(id_col, F.explode(F.array_distinct(hashed(T.split_words(F.col(folded_col))))).alias("key"))
-    found = runs.join(keyed, "key").select(id_col, "fragment").join(docs.select(id_col, folded_col), id_col)
-    odd = docs.select(id_col, folded_col).join(frags.where(F.size("w") < RUN + 2).select("fragment"), F.contains(F.col(folded_col), F.col("fragment")))
+    frags = frags.withColumn("w", T.split_words(F.col("fragment"))).withColumn("run", F.least(F.lit(RUN), F.size("w") - 2))
+    keyed = frags.where("run > 0").select("fragment", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("run")), " ")).alias("key"))
+    lengths = [r["run"] for r in frags.where("run > 0").select("run").distinct().collect()]  # RUN rows at most
+    few = keyed.count() <= MOST_BROADCAST
+    rows = docs.select(id_col, folded_col)
+    words = rows.select(id_col, T.split_words(F.col(folded_col)).alias("w"))
+    hashes = F.flatten(F.array(*(F.transform(T.ngrams(F.col("w"), k), lambda g: F.xxhash64(g)) for k in lengths))) if lengths else F.array().cast("array<bigint>")
+    runs = words.select(id_col, F.explode(F.array_distinct(hashes)).alias("key"))
+    found = runs.join(F.broadcast(keyed) if few else keyed, "key").select(id_col, "fragment").join(rows, id_col)
+    odd = rows.join(frags.where("run < 1").select("fragment"), F.contains(F.col(folded_col), F.col("fragment")))
     return found.where(F.contains(F.col(folded_col), F.col("fragment"))).select(id_col).unionByName(odd.select(id_col)).distinct()

@@ -26,20 +26,18 @@ class QualityPolicy:
     frozen: tuple[str, ...] = ("source_revision", "document_id", "preprocessing_version")
 
 
-def word_diversity(c: Column) -> Column:
-    w = T.words(T.casefold(c))
+def word_diversity(w: Column) -> Column:
     return F.size(F.array_distinct(w)) / F.size(w)
 
 
 def reasons(df: DataFrame, policy: QualityPolicy = QualityPolicy(), text_col: str = "text", language_col: str = "language") -> DataFrame:
-    """Adds normalized, content_hash, dominant_script, reasons and accepted.
+    """Adds normalized, folded, content_hash, dominant_script, reasons and accepted.
 
     A null text has the single reason missing_text and the hash of the empty text.
     """
     df = df.withColumn("normalized", F.coalesce(T.normalize(F.col(text_col)), F.lit("")))
     c = F.col("normalized")
-    df = df.withColumn("dominant_script", T.dominant_script(c))
-    n_words = F.size(T.words(c))
+    df = df.withColumns({"dominant_script": T.dominant_script(c), "folded": T.casefold(c)}).withColumn("__words", T.words(F.col("folded")))
     checks: list[tuple[Column, Column | str]] = [
         (F.length(c) < policy.min_chars, "too_short"),
         (F.length(c) > policy.max_chars, "too_long"),
@@ -49,7 +47,7 @@ def reasons(df: DataFrame, policy: QualityPolicy = QualityPolicy(), text_col: st
         (T.ratio(T.alnum_count(c), c) < policy.min_alnum, "low_alphanumeric_ratio"),
         (T.ratio(T.control_count(c), c) > policy.max_control, "excess_control_characters"),
         (T.ratio(T.html_count(c), c) > policy.max_html, "html_boilerplate"),
-        (F.when(n_words >= 40, word_diversity(c) < policy.min_diversity).otherwise(False), "low_word_diversity"),
+        (F.when(F.size("__words") >= 40, word_diversity(F.col("__words")) < policy.min_diversity).otherwise(False), "low_word_diversity"),
     ]
     for key in policy.metadata if policy.require_metadata else ():
         value = F.trim(F.coalesce(F.col(key).cast("string"), F.lit("")))
@@ -58,7 +56,7 @@ def reasons(df: DataFrame, policy: QualityPolicy = QualityPolicy(), text_col: st
             checks.append((F.lower(value).isin("unknown", "latest", "unversioned"), f"unfrozen_metadata:{key}"))
     found = F.array_compact(F.array(*(F.when(cond, F.lit(name)) for cond, name in checks), T.script_mismatch(F.col(language_col), F.col("dominant_script"))))
     df = df.withColumn("reasons", F.when(F.col(text_col).isNull(), F.array(F.lit("missing_text"))).otherwise(found))
-    return df.withColumn("accepted", F.size("reasons") == 0).withColumn("content_hash", T.content_hash(T.casefold(c)))
+    return df.withColumn("accepted", F.size("reasons") == 0).withColumn("content_hash", T.content_hash(F.col("folded"))).drop("__words")
 
 
 #: What counts as mathematical text.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, quality
+from ..sources.stage import staged
 from . import query, table
 
 #: SQL of the normaliser: NFC, lines, blanks, empty lines.
@@ -170,8 +171,8 @@ def _contaminated(docs, spark, sf_dir):
 
 @query(f"WITH f AS ({FRAGMENTS}), n AS (SELECT doc_id, {FOLD.format(NORM)} AS t FROM documents) SELECT doc_id FROM n WHERE EXISTS (SELECT 1 FROM f WHERE contains(n.t, f.fragment))")
 def benchmark_contamination(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", T.casefold(T.normalize(F.col("text"))).alias("folded"))
-    return _contaminated(d, spark, sf_dir)
+    d = _docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("n"))
+    return _contaminated(staged(d.select("doc_id", T.casefold(F.col("n")).alias("folded")), "folded"), spark, sf_dir)
 
 
 def gate_rows(spark, sf_dir):
@@ -180,7 +181,7 @@ def gate_rows(spark, sf_dir):
     The hash is recorded before the accept test, so a rejected first copy makes
     later copies duplicates.
     """
-    g = _gate(spark, sf_dir).select("doc_id", "language", "reasons", "accepted", "content_hash", T.casefold(F.col("normalized")).alias("folded"))
+    g = staged(_gate(spark, sf_dir).select("doc_id", "language", "source", "dominant_script", "reasons", "accepted", "content_hash", "folded"), "gate")
     marked = dedup.mark_first(g.select("doc_id", "content_hash"), "content_hash", "doc_id").select("doc_id", (~F.col("first_seen")).alias("duplicate"))
     hit = _contaminated(g.select("doc_id", "folded"), spark, sf_dir).withColumn("contaminated", F.lit(True))
     rows = g.drop("folded", "content_hash").join(marked, "doc_id").join(hit, "doc_id", "left").withColumn("contaminated", F.coalesce("contaminated", F.lit(False)))

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.stage import shared_folder
 from ..streaming import streams
 from . import query, table
 
 
-def _folder(spark, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base}/{what}-{uuid.uuid4().hex}"
-
-
 def _docs(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     return streams.document_stream(spark, f"{sf_dir}/documents.parquet", schema)
@@ -24,14 +19,14 @@ def _docs(spark, sf_dir):
 @query("SELECT sha256(text) AS h, count(*) > 0 AS kept FROM documents GROUP BY text")
 def stream_dedup(spark, sf_dir):
     s = streams.first_seen(_docs(spark, sf_dir)).select("h")
-    out = streams.run_to_files(s, _folder(spark, "stream-dedup"), _folder(spark, "stream-dedup-state"))
+    out = streams.run_to_files(s, shared_folder(spark, "stream-dedup"), shared_folder(spark, "stream-dedup-state"))
     return out.select("h", F.lit(True).alias("kept"))
 
 
 @query(r"SELECT lang, count(*) AS docs, CAST(sum(len(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f\x85\pZ]+'), lambda x: x <> ''))) AS BIGINT) AS words, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang")
 def stream_counts(spark, sf_dir):
     name = f"counts_{uuid.uuid4().hex}"
-    return streams.run_to_table(streams.running_counts(_docs(spark, sf_dir), "lang"), "complete", name, _folder(spark, "stream-counts"))
+    return streams.run_to_table(streams.running_counts(_docs(spark, sf_dir), "lang"), "complete", name, shared_folder(spark, "stream-counts"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -39,5 +34,5 @@ def events_windows(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     e = streams.document_stream(spark, f"{sf_dir}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"windows_{uuid.uuid4().hex}"
-    w = streams.run_to_table(streams.event_windows(e, "1 day", "365 days"), "complete", name, _folder(spark, "events"))
+    w = streams.run_to_table(streams.event_windows(e, "1 day", "365 days"), "complete", name, shared_folder(spark, "events"))
     return w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
