@@ -10,7 +10,6 @@ import operator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import text as T
@@ -51,7 +50,8 @@ def similarity(a: Column, b: Column) -> Column:
     def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)])
 
-    return F.pandas_udf(ratios, DoubleType(), PandasUDFType.SCALAR)(a, b)
+    ratios.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ratios, DoubleType())(a, b)
 
 
 def response_score(answer: Column, reference: Column, task: Column) -> Column:
@@ -66,46 +66,82 @@ def response_score(answer: Column, reference: Column, task: Column) -> Column:
     return F.struct(score.alias("score"), stopped.alias("eos_stopped"), F.when(empty, 0.0).otherwise(F.bround(rep, 3)).alias("rep_rate"))
 
 
-#: What a calculator expression may use.
-_BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}
-_UNARY = {ast.USub: operator.neg, ast.UAdd: operator.pos}
-_CALLS = {n: getattr(math, n) for n in ("sqrt", "sin", "cos", "tan", "log", "log10", "exp", "pow", "floor", "ceil")} | {"abs": abs, "round": round}
-_NAMES = {"pi": math.pi, "e": math.e}
-
-
-def _value(tree: ast.AST, depth: int = 0) -> float:
-    if depth > 50:
-        raise ValueError("expression too deep")
-    match tree:
-        case ast.Expression(body=body):
-            return _value(body, depth + 1)
-        case ast.Constant(value=int() | float() as v) if not isinstance(v, bool):
-            return float(v)
-        case ast.Name(id=name) if name in _NAMES:
-            return _NAMES[name]
-        case ast.UnaryOp(op=op, operand=x) if type(op) in _UNARY:
-            return _UNARY[type(op)](_value(x, depth + 1))
-        case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
-            x, y = _value(a, depth + 1), _value(b, depth + 1)
-            if isinstance(op, (ast.Div, ast.FloorDiv, ast.Mod)) and y == 0:
-                raise ValueError("division or modulo by zero")
-            if isinstance(op, ast.Pow) and (abs(x) > 1e6 or abs(y) > 1000):
-                raise ValueError("exponent too large")
-            return _BINARY[type(op)](x, y)
-        case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _CALLS:
-            return float(_CALLS[name](*(_value(a, depth + 1) for a in args)))
-    raise ValueError("not an allowed expression")
+#: What a calculator expression may use, its limits and its messages.
+_OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
+_FUNCTIONS = {n: getattr(math, n) for n in ("sqrt", "sin", "cos", "tan", "log", "log10", "exp", "pow", "floor", "ceil")} | {"abs": abs, "round": round}
+_CONSTANTS = {"pi": math.pi, "e": math.e}
+_MOST_BASE, _MOST_EXPONENT = 10_000, 1000
+_EMPTY, _SYNTAX, _FAILED = "Empty expression provided to calculator.", "Syntax error in mathematical expression: ", "Evaluation failed: "
+_ZERO, _BOUNDS, _NO_CALL = "Division or modulo by zero.", "Exponentiation result exceeds safe computation bounds.", "Disallowed function call in calculator expression."
+_NAME, _KIND, _CALL = "Unknown constant or variable: '{}'", "Unsupported mathematical syntax: {}", "Math function error '{}': {}"
+
+
+class Refused(ValueError):
+    """An expression that the calculator does not take."""
+
+
+def _checked(tree: ast.Expression) -> list[ast.AST]:
+    """The parts of an expression, operands before what uses them."""
+    order, stack = [], [tree.body]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += {ast.BinOp: lambda n: [n.left, n.right], ast.UnaryOp: lambda n: [n.operand], ast.Call: lambda n: n.args}.get(type(node), lambda n: [])(node)
+    return order[::-1]
+
+
+def _apply(node: ast.AST, values: dict[ast.AST, float]) -> float:
+    if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
+        return float(node.value)
+    if isinstance(node, ast.Name):
+        if node.id not in _CONSTANTS:
+            raise Refused(_NAME.format(node.id))
+        return _CONSTANTS[node.id]
+    if isinstance(node, ast.UnaryOp) and type(node.op) in _OPERATORS:
+        return _OPERATORS[type(node.op)](values[node.operand])
+    if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
+        a, b = values[node.left], values[node.right]
+        if b == 0 and type(node.op) in (ast.Div, ast.FloorDiv, ast.Mod):
+            raise Refused(_ZERO)
+        if type(node.op) is ast.Pow and (abs(a) > _MOST_BASE or abs(b) > _MOST_EXPONENT):
+            raise Refused(_BOUNDS)
+        return float(_OPERATORS[type(node.op)](a, b))
+    if isinstance(node, ast.Call):
+        name = node.func.id if isinstance(node.func, ast.Name) else None
+        if name not in _FUNCTIONS:
+            raise Refused(_NO_CALL)
+        try:
+            return float(_FUNCTIONS[name](*(values[x] for x in node.args)))
+        except Exception as e:
+            raise Refused(_CALL.format(name, e)) from e
+    raise Refused(_KIND.format(type(node).__name__))
 
 
 def _calculate(expression: str | None) -> tuple[bool, str | None, str | None]:
+    """success, output, error; an error is a result, it never ends the query."""
+    text, values = (expression or "").strip(), {}
+    if not text:
+        return False, None, _EMPTY
     try:
-        v = _value(ast.parse((expression or "").strip(), mode="eval"))
+        tree = ast.parse(text, mode="eval")
+        for node in _checked(tree):
+            values[node] = _apply(node, values)
+        v = values[tree.body]
         return True, str(int(v)) if math.isfinite(v) and v.is_integer() else repr(v), None
-    except Exception as e:  # an error is a result row, it never ends the query
-        return False, None, f"{type(e).__name__}: {e}"
+    except SyntaxError as e:
+        return False, None, _SYNTAX + str(e.msg)
+    except Refused as e:
+        return False, None, str(e)
+    except Exception as e:
+        return False, None, _FAILED + str(e)
 
 
 def calculate(expression: Column) -> Column:
-    """struct(success, output, error) of a calculator over a parsed tree; nothing is evaluated as code."""
+    """struct(success, output, error) of a calculator over a parsed tree, in Arrow batches; nothing is evaluated as code."""
     kind = StructType([StructField("success", BooleanType()), StructField("output", StringType()), StructField("error", StringType())])
-    return F.udf(_calculate, kind)(expression)
+
+    def run(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_calculate(e) for e in x], columns=kind.names)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, kind)(expression)

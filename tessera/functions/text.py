@@ -166,6 +166,13 @@ def repetition(w: Column, n: int, least: int) -> Column:
     return F.when(F.size(w) < least, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(g)) / F.size(g))
 
 
+def repetition_metrics(w: Column) -> Column:
+    """struct(token_count, unique_token_ratio, rep_3gram, rep_4gram, longest_repeated); ratios at four places, no tokens give zeros."""
+    n, share = F.size(w), lambda k: F.when(F.size(w) < k, 0.0).otherwise(1 - F.size(F.array_distinct(ngrams(w, k))) / (F.size(w) - k + 1))
+    unique = F.when(n > 0, F.size(F.array_distinct(w)) / n).otherwise(0.0)
+    return F.struct(n.cast("long").alias("token_count"), F.round(unique, 4).alias("unique_token_ratio"), F.round(share(3), 4).alias("rep_3gram"), F.round(share(4), 4).alias("rep_4gram"), longest_run(w).cast("long").alias("longest_repeated"))
+
+
 def longest_run(items: Column) -> Column:
     """Length of the longest run of equal neighbours."""
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))

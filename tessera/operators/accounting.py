@@ -63,6 +63,19 @@ def learning_rate(step: Column, total: int, warmup: int, peak: float, floor: flo
     return F.when(step < warmup, peak * (step + 1) / max(1, warmup)).otherwise(peak * F.greatest(F.lit(floor), 0.5 * (1 + F.cos(done * math.pi))))
 
 
+def tuned_learning_rate(step: Column, total: int, warmup: int, peak: float, least: float) -> Column:
+    """Linear warm-up, then a cosine from ``peak`` down to ``least``."""
+    done = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / max(1, total - warmup)))
+    return F.when(step < warmup, peak * (step + 1) / max(1, warmup)).otherwise(least + 0.5 * (1 + F.cos(done * math.pi)) * (peak - least))
+
+
+def packed_shares(docs: DataFrame, by: str, tokens: str) -> DataFrame:
+    """Packed tokens (an end id a document on top) and their share, by language or domain."""
+    n = F.sum(F.col(tokens) + 1).cast("long")
+    total = docs.agg(n.alias("all"))
+    return docs.groupBy(by).agg(n.alias("packed_tokens")).join(F.broadcast(total)).select(by, "packed_tokens", (F.col("packed_tokens") / F.greatest(F.lit(1), "all")).alias("share"))  # one row
+
+
 def row_profile(lines: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows, empty rows, heading rows (= ... =) and mean words of the others."""
     t = F.trim(F.coalesce(F.col(text_col), F.lit("")))

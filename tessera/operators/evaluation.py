@@ -68,8 +68,21 @@ def confidence(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), se.alias("stderr"), (F.avg(value) - 1.96 * se).alias("ci_low"), (F.avg(value) + 1.96 * se).alias("ci_high"))
 
 
-def policy_step(route: Column, status: Column, elapsed_ms: Column, tool_calls: Column, max_tools: Column, retries: Column, max_retries: Column, tokens: Column, max_tokens: Column) -> Column:
+def policy_step(route: Column, status: Column, elapsed_ms: Column, retries: Column, max_retries: Column, tokens: Column, max_tokens: Column) -> Column:
     """Where an execution goes on: its limits first, then escalation."""
     stop = (elapsed_ms > 10000) | (tokens > 2 * max_tokens)
     bad = status.isin("REVISE", "ABSTAIN")
-    return F.when(stop, "ABSTAIN").when((retries >= max_retries) & bad, "ABSTAIN").when((route == "FAST") & (status == "UNVERIFIED"), "RETRIEVE").when((route == "FAST") & (status == "REVISE"), "THINK").when((route == "TOOL") & (tool_calls >= max_tools) & bad, "ABSTAIN").otherwise(route)
+    return F.when(stop, "ABSTAIN").when((retries >= max_retries) & bad, "ABSTAIN").when((route == "FAST") & (status == "UNVERIFIED"), "RETRIEVE").when((route == "FAST") & (status == "REVISE"), "THINK").otherwise(route)
+
+
+def may_call_tool(elapsed_ms: Column, tool_calls: Column, max_tools: Column) -> Column:
+    """Whether another tool call is within an execution's limits."""
+    return (elapsed_ms <= 10000) & (tool_calls < max_tools)
+
+
+def compared(base: DataFrame, tuned: DataFrame, by: str) -> DataFrame:
+    """Mean scores of two runs by language or task, and their difference; a side without rows counts as 0."""
+    mean = lambda df, name: df.groupBy(by).agg(F.avg("score").alias(name))
+    both = mean(base, "base").join(mean(tuned, "tuned"), by, "full_outer")
+    a, b = F.coalesce("base", F.lit(0.0)), F.coalesce("tuned", F.lit(0.0))
+    return both.select(by, a.alias("base"), b.alias("tuned"), (b - a).alias("delta"))

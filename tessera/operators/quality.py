@@ -74,3 +74,38 @@ def first_reason(text: Column, source_key: Column, edu_score: Column | None = No
         signal = signal | F.contains(text, F.lit(s))
     out = out.when((source_key == "open_web_math") & ~signal, "lacks_mathematical_signals")
     return out.when(T.count_chars(text, r"[\p{L}\p{N}\s\x1c-\x1f\x85\p{Z}]") / n < 0.65, "high_noise_ratio").otherwise("passed")
+
+
+@dataclass(frozen=True)
+class GateLimits:
+    """Rates above which a corpus is not published."""
+
+    reject_rate: float = 0.02
+    duplicate_rate: float = 0.005
+    script_warning_rate: float = 0.0
+
+
+def gate_totals(rows: DataFrame) -> DataFrame:
+    """One row of counters. rows: reasons, duplicate, contaminated.
+
+    Duplicates come first, then contamination, then the reasons; only the reasons of rows that reach that step count.
+    """
+    judged = ~F.col("duplicate") & ~F.col("contaminated")
+    scripts = F.size(F.filter("reasons", lambda r: F.startswith(r, F.lit("language_script_mismatch:")))) > 0
+    count = lambda c, name: F.count_if(c).cast("long").alias(name)
+    return rows.agg(
+        F.count("*").alias("documents"),
+        count(F.col("duplicate"), "duplicates"),
+        count(~F.col("duplicate") & F.col("contaminated"), "contaminated"),
+        count(judged & (F.size("reasons") == 0), "accepted"),
+        count(judged & scripts, "script_warnings"),
+    )
+
+
+def gate_failures(totals: DataFrame, limits: GateLimits = GateLimits()) -> DataFrame:
+    """``totals`` with reject_rate, duplicate_rate, script_warning_rate, failures (names) and decision."""
+    n = F.greatest(F.lit(1), "documents")
+    df = totals.withColumns({"reject_rate": (F.col("documents") - F.col("accepted")) / n, "duplicate_rate": F.col("duplicates") / n, "script_warning_rate": F.col("script_warnings") / n})
+    checks = [(F.col("contaminated") > 0, "heldout_contamination"), *((F.col(k) > getattr(limits, k), k) for k in ("reject_rate", "duplicate_rate", "script_warning_rate")), (F.col("accepted") == 0, "no_accepted_documents")]
+    failures = F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in checks)))
+    return df.withColumn("failures", failures).withColumn("decision", F.when(F.size("failures") == 0, "PASS").otherwise("FAIL"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 
 def shuffle_key(seed: int, id_col: str = "doc_id") -> Column:
     """A seeded order that any partitioning gives alike."""
@@ -24,13 +26,14 @@ def stratum(language: Column, domain: Column, source: Column) -> Column:
     )
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, out: str, width: int = 4096) -> DataFrame:
-    """Exclusive prefix sum of ``value`` in the order of an integer column, in two levels.
+def prefix_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Exclusive prefix sum of ``value`` in the order of a column, in two levels.
 
-    Sums within ranges of ``width`` ids run in parallel; only one row a range
+    Rows are dealt over ranges that Spark samples, however sparse the ids are, and
+    written once; sums within ranges run in parallel, and only one row a range
     goes through the unpartitioned window.
     """
-    df = df.withColumn("__range", F.floor(F.col(order) / width))
+    df = staged(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")
     base = df.groupBy("__range").agg(F.sum(value).alias("__sum"))
     base = base.withColumn("__base", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
     within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,3 +93,11 @@ def hash_split(df: DataFrame, seed: int, pct: int, id_col: str = "doc_id") -> Da
 def audit_sample(df: DataFrame, group: str, n: int, seed: int, id_col: str = "doc_id") -> DataFrame:
     """n rows of each group, by the seeded order (a window group limit)."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(shuffle_key(seed, id_col)))).where(F.col("rn") <= n)
+
+
+def positional_split(df: DataFrame, order: str, percent: int = 85) -> DataFrame:
+    """Adds split: train for the first max(1, percent of all) rows in order, val for the rest."""
+    rows = df.select(order, F.lit(1).cast("long").alias("one"))
+    placed = prefix_sum(rows, order, "one", "k").join(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
+    first = F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))
+    return df.join(placed.select(order, F.when(F.col("k") < first, "train").otherwise("val").alias("split")), order)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ FACTUAL = ["who ", "who was", "who is", "when was", "where is", "where was", "in
 EQUATION = r"(\d+(?:\.\d+)?\s*[\+\-\*\/]\s*\d+(?:\.\d+)?)\s*=\s*(\d+(?:\.\d+)?)"
 #: Words of a question that name nothing.
 QUESTION_WORDS = ["what", "when", "where", "which", "who", "whom", "whose", "why", "how", "cite", "sources", "source", "according", "tell", "about", "please", "the", "is", "are", "was", "were", "been", "have", "has", "had", "for", "with"]
+#: Fixed value: marks taken off the ends of words.
 _EDGE = ".,;:?!\"'()"
 
 
@@ -70,24 +73,37 @@ def factual_query(query: Column) -> Column:
     return out
 
 
-def code_ok():
-    """A Python UDF: every fenced block parses. Nothing is run; only the parser needs Python."""
+#: Fixed value: a fenced block without a language or of Python, closed.
+CODE_BLOCK = re.compile(r"```(?:python)?\s*\n(.*?)```", re.DOTALL | re.IGNORECASE)
 
-    @F.udf("boolean")
-    def ok(text):
-        parts = (text or "").split("```")[1::2]
+
+def _code_status(text: str | None) -> str:
+    blocks = CODE_BLOCK.findall(text or "")
+    for block in blocks:
         try:
-            for p in parts:
-                ast.parse(p.removeprefix("python").removeprefix("py").strip())
+            ast.parse(block)
         except (SyntaxError, ValueError):
-            return False
-        return True
+            return "REVISE"
+    return "PASS" if blocks else "UNVERIFIED"
+
+
+def code(answer: Column) -> Column:
+    """Whether the fenced Python parses, in Arrow batches; nothing is run."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(_code_status)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    status = F.when(F.contains(answer, F.lit("```")), F.pandas_udf(run, "string")(answer)).otherwise("UNVERIFIED")
+    return verdict(status, F.when(status == "PASS", 1.0).when(status == "REVISE", 0.0).otherwise(0.5))
 
-    return ok
 
+def composite(query: Column, answer: Column, evidence: Column, code_status: Column) -> Column:
+    """Structural, mathematical, code, then grounded: the first that does not hold decides, else a pass with the structural score.
 
-def composite(query: Column, answer: Column, evidence: Column, code: Column) -> Column:
-    """Structural, mathematical, code, then grounded: the first REVISE ends it."""
+    ``code_status``: the status that ``code`` gave, as a column of its own.
+    """
     s, m, g = structural(answer), mathematical(answer), grounded(query, answer, evidence)
     has = evidence.isNotNull() & (F.size(evidence) > 0)
-    return F.when(s["status"] == "REVISE", s).when(m["status"] == "REVISE", m).when(~code, verdict("REVISE", 0.2)).when(has, g).when(factual_query(query), verdict("UNVERIFIED", 0.5)).when(m["status"] == "PASS", m).otherwise(s)
+    refused = F.when(s["status"] != "PASS", s).when(m["status"] == "REVISE", m).when(code_status == "REVISE", verdict("REVISE", 0.0))
+    return refused.when(has & (g["status"] != "PASS"), g).when(~has & factual_query(query), verdict("UNVERIFIED", 0.5)).otherwise(verdict("PASS", F.least(s["score"], F.lit(1.0))))

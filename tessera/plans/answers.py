@@ -79,13 +79,15 @@ def router_paths(spark, sf_dir):
     return r.groupBy(F.col("r.path").alias("path"), F.col("r.score").alias("score")).agg(F.count("*").alias("queries"))
 
 
-_BUDGET_SQL = "(VALUES " + ", ".join(f"('{p}', {t}, {c})" for p, t, _, _, c, _, _ in retrieval.BUDGETS) + ") b(path, max_tokens, max_tool_calls)"
-
-
-@query(f"WITH a AS (SELECT conv_id * 1000 + turn AS id, text AS q FROM conversations WHERE role = 'user' UNION ALL {_ASKED_SQL}), r AS (SELECT id, {_ROUTE_SQL} AS r FROM a) SELECT id, path, max_tokens, max_tool_calls FROM r JOIN {_BUDGET_SQL} ON b.path = r.path")
+@query(
+    f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, text AS q FROM conversations WHERE role = 'user' UNION ALL {_ASKED_SQL}), r AS (SELECT id, {_ROUTE_SQL} AS r, abs(id) % 10 / 10.0 AS c FROM a)
+    SELECT id, r.path AS path, CASE r.path WHEN 'FAST' THEN 128 WHEN 'THINK' THEN CASE WHEN c < 0.7 THEN 256 ELSE 512 END WHEN 'ABSTAIN' THEN 64 ELSE 256 END AS max_tokens,
+    CASE r.path WHEN 'FAST' THEN 50 WHEN 'TOOL' THEN 30 WHEN 'ABSTAIN' THEN 1 ELSE 40 END AS top_k, CASE r.path WHEN 'THINK' THEN CASE WHEN c < 0.7 THEN 2 ELSE 4 END WHEN 'TOOL' THEN 2 WHEN 'RETRIEVE' THEN 1 ELSE 0 END AS max_reasoning_steps,
+    CASE r.path WHEN 'TOOL' THEN 3 WHEN 'RETRIEVE' THEN 1 ELSE 0 END AS max_tool_calls FROM r"""
+)
 def router_budgets(spark, sf_dir):
-    r = _asked(spark, sf_dir).select("id", retrieval.route(F.col("q"))["path"].alias("path"))
-    return r.join(F.broadcast(retrieval.budgets(spark)), "path").select("id", "path", "max_tokens", "max_tool_calls")  # five rows
+    r = _asked(spark, sf_dir).select("id", retrieval.route(F.col("q"))["path"].alias("path"), (F.abs("id") % 10 / 10.0).alias("complexity"))
+    return retrieval.allocated(r).select("id", "path", "max_tokens", "top_k", "max_reasoning_steps", "max_tool_calls")
 
 
 _REP3 = f"CASE WHEN len(w) < 3 THEN 0 ELSE 1.0 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) / (len(w) - 2) END"

@@ -12,21 +12,51 @@ from . import query, table
 from .tokens import WORDS
 
 
-@query("SELECT conv_id, turn, CASE WHEN starts_with(text, substr(text, 1, 20)) THEN trim(substr(text, 21)) END AS answer, CAST(greatest(1, len(" + WORDS + ")) AS BIGINT) AS tokens FROM conversations WHERE role = 'assistant'")
+_STRIPPED = r"regexp_replace({}, '^[\s\x1c-\x1f\x85\pZ]+|[\s\x1c-\x1f\x85\pZ]+$', '', 'g')"
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations),
+    g AS (SELECT conv_id, turn, asked, CASE WHEN turn % 4 = 1 THEN asked || chr(10) || text ELSE text END AS said FROM c WHERE role = 'assistant' AND asked IS NOT NULL),
+    a AS (SELECT conv_id, turn, {_STRIPPED.format("CASE WHEN starts_with(said, asked) THEN substr(said, length(asked) + 1) ELSE said END")} AS text FROM g)
+    SELECT conv_id, turn, text AS answer, CAST(greatest(1, len({WORDS})) AS BIGINT) AS tokens FROM a"""
+)
 def prompt_echo(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", A.strip_echo(F.col("text"), F.substring("text", 1, 20)).alias("answer"), A.estimated_tokens(F.col("text")).cast("long").alias("tokens"))
+    """Answers without their question; every second of them is made to repeat it."""
+    asked = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", asked.alias("asked")).where("role = 'assistant' and asked is not null")
+    said = F.when(F.col("turn") % 4 == 1, F.concat("asked", F.lit("\n"), "text")).otherwise(F.col("text"))
+    answer = c.select("conv_id", "turn", A.strip_echo(said, F.col("asked")).alias("answer"))
+    return answer.select("conv_id", "turn", "answer", A.estimated_tokens(F.col("answer")).cast("long").alias("tokens"))
 
 
-EXPRESSIONS = ["2 + 3 * 4", "(1 + 2) ** 3", "sqrt(16) + pi - pi", "7 // 2", "7 % 0", "__import__('os')", "2 ** 5000", "-3.5", "round(2.5)", ""]
+#: Expressions and what a calculator says of them.
+EXPRESSIONS = [
+    ("2 + 3 * 4", "14", None), ("(1 + 2) ** 3", "27", None), ("sqrt(16) + pi - pi", "4", None), ("7 // 2", "3", None), ("-3.5", "-3.5", None), ("round(2.5)", "2", None), ("True + 1", "2", None),
+    ("7 % 0", None, "Division or modulo by zero."), ("2 ** 5000", None, "Exponentiation result exceeds safe computation bounds."), ("20000 ** 2", None, "Exponentiation result exceeds safe computation bounds."),
+    ("__import__(1)", None, "Disallowed function call in calculator expression."), ("x + 1", None, "Unknown constant or variable: 'x'"), ("[1]", None, "Unsupported mathematical syntax: List"), ("", None, "Empty expression provided to calculator."), ("sqrt(-1)", None, "Math function error 'sqrt': math domain error"),
+]
 
 
-@query()
+def _sql(value) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(e)}, {v is not None}, {_sql(v)}, {_sql(x)})" for e, v, x in EXPRESSIONS) + ") t(expression, success, output, error)")
 def calculator(spark, sf_dir):
-    rows = spark.createDataFrame([(e,) for e in EXPRESSIONS], "expression string")
+    rows = spark.createDataFrame([(e,) for e, _, _ in EXPRESSIONS], "expression string")
     return rows.select("expression", A.calculate(F.col("expression")).alias("r")).select("expression", "r.*")
 
 
+@query()
+def calculator_turns(spark, sf_dir):
+    """The first arithmetic expression of every turn that has one, calculated."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", A.arithmetic_in(F.col("text")).alias("expression"))
+    held = spark.createDataFrame([(-1, 0, "12 * (3 + 4)")], "conv_id long, turn long, expression string")  # so that there is one
+    rows = c.where("expression is not null").unionByName(held)
+    return rows.select("conv_id", "turn", "expression", A.calculate(F.col("expression")).alias("r")).select("conv_id", "turn", "expression", "r.*")
+
+
 @query()
 def answer_extraction(spark, sf_dir):
     rows = spark.createDataFrame([("what is 12 * (3 + 4)?", "see ```python\nx = 1\n``` done #### 84"), ("hello", "no code")], "q string, a string")
@@ -40,11 +70,38 @@ def response_scores(spark, sf_dir):
     return pairs.select("conv_id", A.response_score(F.col("a"), F.col("u"), F.lit("instruction_following")).alias("s")).select("conv_id", "s.*")
 
 
+#: Question, answer, evidence and the verdict that follows from the order of checks.
+CASES = [
+    (1, "tell me", "", None, "REVISE", 0.0),
+    (2, "tell me", "a b c a b c a b c a b c", None, "REVISE", 0.3),
+    (3, "tell me", "so 25 * 4 = 105", None, "REVISE", 0.1),
+    (4, "tell me", "so 25 * 4 = 100", None, "PASS", 0.95),
+    (5, "tell me", "```python\nx = (\n```", None, "REVISE", 0.0),
+    (6, "tell me", "```\nx = 1\n```", None, "PASS", 0.95),
+    (7, "tell me", "```rust\nlet x = (;\n```", None, "PASS", 0.95),
+    (8, "tell me", "inline ```x = (``` is left alone", None, "PASS", 0.95),
+    (9, "Who invented the telephone?", "It was Bell.", None, "UNVERIFIED", 0.5),
+    (10, "Who invented the Telephone?", "Bell invented the telephone.", ["The telephone was invented by Bell."], "PASS", 0.95),
+    (11, "Who invented the Telephone?", "Bell invented the telephone.", ["Rivers run downhill."], "REVISE", 0.2),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{status}', {score}::DOUBLE)" for k, *_, status, score in CASES) + ") t(case_id, status, score)")
+def verdict_cases(spark, sf_dir):
+    rows = spark.createDataFrame([c[:4] for c in CASES], "case_id int, q string, a string, e array<string>").withColumn("code", verify.code(F.col("a"))["status"])
+    v = verify.composite(F.col("q"), F.col("a"), F.col("e"), F.col("code"))
+    return rows.select("case_id", v.alias("v")).select("case_id", "v.status", F.round("v.score", 6).alias("score"))
+
+
 @query()
 def composite_verdict(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("ok", verify.code_ok()("text"))
-    v = verify.composite(F.lit("tell me"), F.col("text"), F.lit(None).cast("array<string>"), F.col("ok"))
-    return c.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.status", "v.score")
+    """Every answer of the conversations against its own question, with the conversation's system turn as evidence where there is one."""
+    system = F.max(F.when(F.col("role") == "system", F.col("text"))).over(Window.partitionBy("conv_id"))
+    asked = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.coalesce(asked, F.lit("")).alias("q"), F.when(system.isNotNull(), F.array(system)).alias("e")).where("role = 'assistant'")
+    c = c.withColumn("code", verify.code(F.col("text"))["status"])
+    v = verify.composite(F.col("q"), F.col("text"), F.col("e"), F.col("code"))
+    return c.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.status", F.round("v.score", 6).alias("score"))
 
 
 _STATE = "s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'FAST' WHEN 1 THEN 'TOOL' ELSE 'THINK' END AS route, CASE event_id % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'REVISE' WHEN 2 THEN 'UNVERIFIED' ELSE 'ABSTAIN' END AS status, value * 100 AS ms, event_id % 5 AS calls, event_id % 2 AS retries, user_id AS tokens FROM events)"
@@ -52,14 +109,14 @@ _STATE = "s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'FAST' WHEN 1 THE
 
 @query(
     f"""WITH {_STATE} SELECT event_id, CASE WHEN ms > 10000 OR tokens > 256 THEN 'ABSTAIN' WHEN retries >= 1 AND status IN ('REVISE', 'ABSTAIN') THEN 'ABSTAIN' WHEN route = 'FAST' AND status = 'UNVERIFIED' THEN 'RETRIEVE'
-    WHEN route = 'FAST' AND status = 'REVISE' THEN 'THINK' WHEN route = 'TOOL' AND calls >= 3 AND status IN ('REVISE', 'ABSTAIN') THEN 'ABSTAIN' ELSE route END AS next FROM s"""
+    WHEN route = 'FAST' AND status = 'REVISE' THEN 'THINK' ELSE route END AS next, ms <= 10000 AND calls < 3 AS may_call FROM s"""
 )
 def policy_steps(spark, sf_dir):
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     route = F.when(k % 3 == 0, "FAST").when(k % 3 == 1, "TOOL").otherwise("THINK")
     status = F.when(k % 4 == 0, "PASS").when(k % 4 == 1, "REVISE").when(k % 4 == 2, "UNVERIFIED").otherwise("ABSTAIN")
-    step = evaluation.policy_step(route, status, F.col("value") * 100, k % 5, F.lit(3), k % 2, F.lit(1), F.col("user_id"), F.lit(128))
-    return e.select("event_id", step.alias("next"))
+    step = evaluation.policy_step(route, status, F.col("value") * 100, k % 2, F.lit(1), F.col("user_id"), F.lit(128))
+    return e.select("event_id", step.alias("next"), evaluation.may_call_tool(F.col("value") * 100, k % 5, F.lit(3)).alias("may_call"))
 
 
 @query("SELECT user_id, event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL OR value < min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS improved FROM events")
@@ -119,13 +176,6 @@ def log_lines(spark, sf_dir):
     return lines.select("event_id", A.log_metrics(F.col("line")).alias("m")).select("event_id", "m.*")
 
 
-@query("SELECT item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 6)))[1] AS capability FROM benchmark WHERE contains(lower(text), 'the')")
-def capability_match(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where(F.contains(F.lower("text"), F.lit("the")))
-    w = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 6)))
-    return b.select("item_id", F.get(w, 0).alias("capability"))
-
-
 #: The contract's example and a second model's older declarations; no table holds any.
 DECLARED = [
     ("a", "function_calling", "2.0.0", {"supports_parallel_calls": "true", "max_tokens": "4096"}),
@@ -140,8 +190,8 @@ REQUESTS = [
 ]
 
 
-@query()
-def capability_requests(spark, sf_dir):
+@query("SELECT * FROM (VALUES (1, 'b', 'function_calling', '1.2.0'), (2, 'a', 'function_calling', '2.0.0'), (3, 'a', 'bengali', '2.1.0')) t(request_id, model, name, version)")
+def capability_match(spark, sf_dir):
     """Requests matched with declared capabilities by name, SemVer expression and properties (V14)."""
     declared = spark.createDataFrame(DECLARED, "model string, name string, version string, properties map<string, string>")
     return capabilities.match(spark.createDataFrame(REQUESTS, "request_id int, name string, expression string, required map<string, string>"), declared)
@@ -155,7 +205,12 @@ def schema_migration(spark, sf_dir):
     return migrate(table(spark, sf_dir, "documents"), 1, 2, steps)
 
 
-@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+')))[1] AS first_word, 0.0 AS zero FROM documents WHERE n_chars > 50")
+@query(
+    f"""WITH t AS (SELECT doc_id, replace({_STRIPPED.format("text")}, chr(10), ' ') AS text FROM documents), s AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t WHERE length(text) > 50)
+    SELECT doc_id, sha256(text) AS h FROM s WHERE before < 1000000"""
+)
 def sample_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length(T.strip(F.col("text"))) > 50)
-    return d.select("doc_id", F.get(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))), 0).alias("first_word"), F.lit(0.0).alias("zero"))
+    """A tokenizer sample: rows over 50 characters, line breaks as spaces, until a million characters are crossed."""
+    from ..sources.readers import sample_text
+
+    return sample_text(table(spark, sf_dir, "documents"), "doc_id", 1_000_000).select("doc_id", F.sha2("text", 256).alias("h"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,9 @@ def read_jsonl(spark, path: str, schema: str) -> DataFrame:
     lines = spark.read.text(path).where(T.strip(F.col("value")) != "")
     kind = F.substring(T.strip(F.col("value")), 1, 1)
     row = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    df = lines.select(row.alias("r"), kind.alias("k"), F.expr("try_parse_json(value)").isNotNull().alias("valid"))
+    # the parser stops after the first value, so the line must be the only element of a list
+    whole = "try_variant_get(try_parse_json(concat('[', value, ']')), '$', 'array<variant>')"
+    df = lines.select(row.alias("r"), kind.alias("k"), F.expr(f"coalesce(size({whole}) = 1, false)").alias("valid"))
     status = F.when(~F.col("valid"), "invalid_json").when(F.col("k") != "{", "not_object").otherwise("ok")
     return df.select("r.*", status.alias("status")).drop("__bad")
 
@@ -27,12 +32,29 @@ def text_or_content(text: Column, content: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), content)
 
 
+def nested_strings(value) -> Iterator[str]:
+    """Every string of a parsed JSON value, however deep."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            yield v
+        elif isinstance(v, dict):
+            stack += v.values()
+        elif isinstance(v, list):
+            stack += v
+
+
 def eval_fragments(spark, path: str, least: int = 80) -> DataFrame:
-    """Every nested string of held-out JSON lines, normalised, folded, of at least ``least`` characters."""
-    strings = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"\s*(?=[,\]}])'), 1)
-    raw = spark.read.text(path).select(F.explode(strings).alias("s"))
-    parsed = F.from_json(F.concat(F.lit('{"s":"'), F.col("s"), F.lit('"}')), "s string")["s"]
-    folded = raw.select(T.casefold(T.normalize(parsed)).alias("fragment"))
+    """Every nested string of held-out JSON lines, normalised, folded, of at least ``least`` characters; bad JSON raises."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s for line in batch.column(0).to_pylist() if line.strip() for s in nested_strings(json.loads(line))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["s"])
+
+    raw = spark.read.text(path).select("value").mapInArrow(parse, "s string")
+    folded = raw.select(T.casefold(T.normalize(F.col("s"))).alias("fragment"))
     return folded.where(F.length("fragment") >= least).distinct()
 
 
@@ -59,15 +81,21 @@ def source_plan(spark, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], fields)
 
 
+def packed_digest(stream: DataFrame) -> tuple[int, int | None, str]:
+    """Number of tokens, greatest token, and a digest of (pos, token): sums, which repeated rows do not cancel."""
+    n, top, *sums = stream.agg(F.count("*"), F.max("token"), *(F.sum(F.xxhash64(F.lit(k), "pos", "token").cast("decimal(20,0)")) for k in range(2))).first()
+    return n, top, hashlib.sha256(f"{n} {sums}".encode()).hexdigest()
+
+
 def read_packed(spark, path: str, vocab_size: int | None = None) -> DataFrame:
-    """A packed stream (pos, token), checked: marker, keys, length and id range."""
+    """A packed stream (pos, token), checked: marker, keys, length, id range and digest."""
     head = spark.read.text(f"{path}/manifest.json", wholetext=True).first()
     manifest = json.loads(head[0])
     missing = [k for k in PACKED_KEYS if k not in manifest]
     if missing or not manifest["complete"]:
         raise ValueError(f"incomplete packed stream: {missing or 'no marker'}")
     df = spark.read.parquet(f"{path}/tokens")
-    n, top = df.agg(F.count("*"), F.max("token")).first()
-    if n != manifest["token_count"] or (top is not None and top >= (vocab_size or manifest["vocab_size"])):
+    n, top, digest = packed_digest(df)
+    if n != manifest["token_count"] or digest != manifest["sha256"] or (top is not None and top >= (vocab_size or manifest["vocab_size"])):
         raise ValueError("packed stream does not match its manifest")
     return df

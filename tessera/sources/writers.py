@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import packed_digest
+
 
 def _fs(spark, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,11 +62,11 @@ def write_manifest(spark, folder: str, manifest: dict) -> str:
 
 def write_packed(stream: DataFrame, path: str, vocab_size: int) -> dict:
     """(pos, token) as Parquet with a manifest, written last, that marks completion."""
-    n, top, digest = stream.agg(F.count("*"), F.max("token"), F.bit_xor(F.xxhash64("pos", "token"))).first()
+    n, top, digest = packed_digest(stream)
     if top is not None and top >= vocab_size:
         raise ValueError(f"token {top} is outside the vocabulary")
     stream.select("pos", "token").write.mode("errorifexists").parquet(f"{path}/tokens")
-    manifest = {"dtype": "uint32", "token_count": n, "vocab_size": vocab_size, "sha256": hashlib.sha256(str(digest).encode()).hexdigest(), "complete": True}
+    manifest = {"dtype": "uint32", "token_count": n, "vocab_size": vocab_size, "sha256": digest, "complete": True}
     write_text(stream.sparkSession, f"{path}/manifest.json", canonical_json(manifest))
     return manifest
 
