@@ -1,30 +1,50 @@
 """SentencePiece encoding and decoding as weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (a space becomes
-the mark U+2581, one mark goes before a text), the pieces (one arc a piece), and
-byte fallback (a character without a piece goes over arcs of its UTF-8 bytes).
-An input is composed with them lazily, and its ids are the outputs of the
-shortest path in the tropical semiring.
+Three machines are compiled from a model file into arrays of states and arcs,
+over UTF-8 bytes:
+
+* the normaliser writes the mark U+2581 before a text and for each space, and
+  every other byte as it is;
+* the pieces: a trie, an arc a byte, whose ends write a piece's id and go back to
+  the start for the piece's weight;
+* byte fallback, in the same machine: a character that is no piece goes over an
+  arc for each of its bytes, which writes that byte's id, for a weight over any
+  path of pieces.
+
+A text's chunks are composed with the machines lazily: states are (place in the
+input, state of the pieces), built as they are reached, in the order of places.
+The ids are the outputs of the shortest path in the tropical semiring.
 
 For a unigram model an arc weighs its negative score. A BPE model's result is
-not the least sum of any piece weights, so its machine has one more part, an
-acceptor of neighbours: two pieces may follow each other only if merging their
-joined text gives just these two, else the arc weighs infinity. A sequence all
-of whose neighbours are allowed is the one that merging gives for the whole, so
-the only finite path is the right one. Where merges of equal score overlap (runs
-of two or more marks) neighbours do not decide; such chunks are merged directly.
+not the least sum of any piece weights, so its machine is composed with one more,
+an acceptor of neighbours whose states are the last piece: two pieces may
+follow each other only if merging their joined text gives just these two, else
+the arc weighs infinity (weights are 0 otherwise, so the first path to the end is
+shortest). A sequence all of whose neighbours are allowed is the one that
+merging gives for the whole, so the only finite path is the right one. The
+acceptor's arcs are compiled when first met. A run of two or more marks is no
+such machine's language: which of its marks merge hangs on the run's length, with
+equal scores taken from the left. For a chunk that begins with such a run the
+acceptor is one chain, compiled from its merges by a heap of neighbour pairs in
+n log n steps.
 
 No piece holds a mark after another character, so a text falls into chunks that
 start with marks, and each different chunk's path is remembered within a bound.
 
-Decoding runs the inverse machine. It restores the text, but that the mark
-itself comes back as a space.
+Decoding composes the inverse machines: pieces' ids give their bytes, and the
+normaliser's inverse turns marks into spaces and takes the first off. It restores
+the text, but that the mark itself comes back as a space.
+
+Null and empty texts have no ids; texts of any length, also without a space, take
+n log n time; repeated rows give equal rows; an empty table gives an empty one;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import heapq
 import re
 import zlib
 from array import array
@@ -35,17 +55,115 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .bytewords import slices
 from .shared import id_text, tidily
 
 MARK = "▁"
 CLOSING = ".,;:!?)*%$#&"
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
+FALLBACK = 1e6  # weight of a character without a piece
+
+
+class Transducer:
+    """Arcs (state, input byte) -> (next state, output, weight) in arrays; input -1 reads nothing.
+
+    ``step`` finds an arc by state and byte; ``ends[state]`` are the arcs that read nothing.
+    """
+
+    def __init__(self):
+        self.n_states, self.to, self.output, self.weight = 1, array("q"), array("q"), array("d")
+        self.step: dict[int, int] = {}
+        self.ends: dict[int, list[int]] = {}
+
+    def state(self) -> int:
+        self.n_states += 1
+        return self.n_states - 1
+
+    def arc(self, state: int, byte: int, to: int, output: int = -1, weight: float = 0.0) -> int:
+        k = len(self.to)
+        self.to.append(to)
+        self.output.append(output)
+        self.weight.append(weight)
+        if byte < 0:
+            self.ends.setdefault(state, []).append(k)
+        else:
+            self.step[state << 8 | byte] = k
+        return to
+
+    def path_of(self, state: int, text: bytes) -> int:
+        """The state after these bytes, with arcs added where there are none."""
+        for b in text:
+            k = self.step.get(state << 8 | b)
+            state = self.arc(state, b, self.state()) if k is None else self.to[k]
+        return state
+
+
+def normaliser(prefix: bool) -> tuple[Transducer, int]:
+    """Bytes to bytes, and its state after the first mark: a space is the mark's bytes, every other byte itself."""
+    machine, mark = Transducer(), MARK.encode()
+    start = 0
+    if prefix:
+        for b in mark:
+            start = machine.arc(start, -1, machine.state(), b)
+    for b in range(256):
+        if b != 0x20:
+            machine.arc(start, b, start, b)
+    last = machine.arc(start, 0x20, machine.state(), mark[0])
+    machine.arc(machine.arc(last, -1, machine.state(), mark[1]), -1, start, mark[2])
+    return machine, start
+
+
+def transduced(machine: Transducer, text: bytes, state: int = 0) -> bytes:
+    """The output, from ``state`` on, of a machine that has one path for each input."""
+    out, at = bytearray(), 0
+    while True:
+        k = machine.ends[state][0] if state in machine.ends else machine.step[state << 8 | text[at]] if at < len(text) else None
+        if k is None:
+            return bytes(out)
+        at += state not in machine.ends
+        out.append(machine.output[k])
+        state = machine.to[k]
+
+
+def heap_merged(text: str, score: dict[str, float]) -> list[str]:
+    """BPE by definition: the best-scored neighbours merge, leftmost of equals, until none can.
+
+    Pairs wait in a heap; parts are a doubly linked list, and a pair whose parts have changed is passed over.
+    """
+    part, n = list(text), len(text)
+    after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if i >= 0 and j < n:
+            s = score.get(part[i] + part[j])
+            if s is not None:
+                heap.append((-s, i, len(part[i]), len(part[j])))
+
+    for i in range(n - 1):
+        offer(i)
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if len(part[i]) != a or j >= n or len(part[j]) != b:
+            continue
+        part[i] += part[j]
+        part[j], after[i] = "", after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] < n:
+                s = score.get(part[k] + part[after[k]])
+                if s is not None:
+                    heapq.heappush(heap, (-s, k, len(part[k]), len(part[after[k]])))
+    return [p for p in part if p]
 
 
 class PieceMachine(dict):
     """Chunk to ids (uint32 bytes), filled by shortest paths; at most 2 * ``most`` chunks."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         gc.set_threshold(200_000, 50, 100)  # strings and bytes make no cycles
@@ -55,147 +173,169 @@ class PieceMachine(dict):
         norm, self.bpe = model.normalizer_spec, model.trainer_spec.model_type == 2
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
             raise ValueError("only identity normalisers that escape spaces are compiled")
-        self.prefix, self.most, self.older = MARK if norm.add_dummy_prefix else "", most, {}
-        self.id_of = {p.piece: k for k, p in enumerate(model.pieces) if p.type in (1, 4)}
+        self.most, self.older, self.prefix = most, {}, norm.add_dummy_prefix
         self.score = {p.piece: p.score for p in model.pieces if p.type in (1, 4)}
-        self.unk = next(k for k, p in enumerate(model.pieces) if p.type == 2)
-        byte = {p.piece: k for k, p in enumerate(model.pieces) if p.type == 6}
-        self.byte_ids = [byte[f"<0x{b:02X}>"] for b in range(256)] if model.trainer_spec.byte_fallback else None
-        if any(MARK in p.lstrip(MARK) for p in self.id_of):
+        self.piece = [p.piece for p in model.pieces]
+        self.id_of = {p: k for k, p in enumerate(self.piece) if p in self.score}
+        if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a mark after another character")
-        kind = {1: lambda k, p: p.piece.replace(MARK, " ").encode(), 2: lambda k, p: " ⁇ ".encode(), 4: lambda k, p: p.piece.replace(MARK, " ").encode(), 6: lambda k, p: bytes([int(p.piece[3:5], 16)])}
-        self.out = [kind.get(p.type, lambda k, p: b"")(k, p) for k, p in enumerate(model.pieces)]
-        self.allowed: dict[tuple[str, str], bool] = {}
-        self.starts = {p[:k] for p in self.id_of for k in range(1, len(p))}
-        self.cores: dict[str, tuple[bytes, str]] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """BPE by definition: the best-scored neighbours merge, leftmost of equals, until none can."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = -inf, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and s > best:
-                    best, at = s, k
-            if at < 0:
+        self.normal, self.normal_end = normaliser(self.prefix)
+        # pieces and byte fallback in one machine; a mark's way out is its first bytes'
+        self.pieces = Transducer()
+        for k, p in enumerate(model.pieces):
+            if p.type in (1, 4):
+                self.pieces.arc(self.pieces.path_of(0, p.piece.encode()), -1, 0, k, 0.0 if self.bpe else -p.score)
+        byte = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == 6}
+        unk = next(k for k, p in enumerate(model.pieces) if p.type == 2)
+        self.byte_ids = [byte[b] for b in range(256)] if model.trainer_spec.byte_fallback else None
+        self.unk = unk
+        # the inverse: ids to bytes, and marks to spaces
+        blank = {1: lambda p: p.piece.encode(), 4: lambda p: p.piece.encode(), 2: lambda p: " ⁇ ".encode(), 6: lambda p: bytes([int(p.piece[3:5], 16)])}
+        self.out = [blank.get(p.type, lambda p: b"")(p).replace(MARK.encode(), b" ") for p in model.pieces]
+        self.allowed: dict[int, bool] = {}
+        self.cores: dict[bytes, tuple[list[int], int]] = {}
+
+    def fallback(self, char: bytes) -> list[int]:
+        """Outputs of the fallback arcs of a character."""
+        return [self.byte_ids[b] for b in char] if self.byte_ids else [self.unk]
+
+    def _arcs(self, text: bytes, i: int) -> list[tuple[int, int, float]]:
+        """Composition from place i at the start of the pieces' machine: (end, id or -1 for fallback, weight), longest last."""
+        m, state, j, n, out = self.pieces, 0, i, len(text), []
+        width = 1 if text[i] < 0x80 else 2 if text[i] < 0xE0 else 3 if text[i] < 0xF0 else 4
+        char = False
+        step, to = m.step, m.to
+        while j < n:
+            k = step.get(state << 8 | text[j])
+            if k is None:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            state, j = to[k], j + 1
+            for e in m.ends.get(state, ()):
+                out.append((j, m.output[e], m.weight[e]))
+                char = char or j == i + width
+        if not char:
+            out.insert(0, (min(n, i + width), -1, FALLBACK))
+        return out
+
+    def _name(self, text: bytes, i: int, j: int, piece: int) -> int:
+        """What the acceptor knows a piece by: its id, or the character's code behind all ids."""
+        return piece if piece >= 0 else len(self.piece) + ord(text[i:j].decode())
+
+    def _spelling(self, name: int) -> str:
+        return self.piece[name] if name < len(self.piece) else chr(name - len(self.piece))
 
-    def _pair(self, a: str, b: str) -> bool:
-        """Whether piece b may follow piece a (or stand first, a being empty)."""
-        ok = self.allowed.get((a, b))
+    def _pair(self, a: int, b: int) -> bool:
+        """Whether b may follow a (-1: stand first): an arc of the acceptor of neighbours."""
+        key = (a + 1) << 32 | b
+        ok = self.allowed.get(key)
         if ok is None:
-            if len(self.allowed) > 1_000_000:
+            if len(self.allowed) > 500_000:
                 self.allowed.clear()
-            ok = self.allowed[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            x, y = self._spelling(a) if a >= 0 else "", self._spelling(b)
+            ok = self.allowed[key] = heap_merged(x + y, self.score) == ([x, y] if x else [y])
         return ok
 
-    def _arcs(self, chunk: str, i: int) -> list[str]:
-        """Pieces that begin at i, the longest last; a character without a piece goes by its bytes."""
-        out, score, starts, n = [chunk[i]], self.score, self.starts, len(chunk)
-        if chunk[i] in starts:
-            for j in range(i + 2, n + 1):
-                piece = chunk[i:j]
-                if piece in score:
-                    out.append(piece)
-                if piece not in starts:
-                    break
-        return out
+    def path(self, text: bytes) -> list[int]:
+        """The shortest path's pieces, by the names that the acceptor knows."""
+        return self._only_path(text) if self.bpe else self._cheapest_path(text)
 
-    def path(self, chunk: str) -> list[str]:
-        """The shortest path's pieces."""
-        return self._only_path(chunk) if self.bpe else self._cheapest_path(chunk)
-
-    def _cheapest_path(self, chunk: str) -> list[str]:
-        n, score = len(chunk), self.score
-        cost, last = [0.0] + [inf] * n, [""] * (n + 1)
+    def _cheapest_path(self, text: bytes) -> list[int]:
+        """Places in their order are a topological order of the composition's states at the start."""
+        n = len(text)
+        cost, last = {0: 0.0}, {}
         for i in range(n):
-            for piece in self._arcs(chunk, i):
-                w, j = cost[i] - score.get(piece, -1e6), i + len(piece)
-                if w < cost[j]:
-                    cost[j], last[j] = w, piece
+            if i not in cost:
+                continue
+            for j, piece, w in self._arcs(text, i):
+                if cost[i] + w < cost.get(j, inf):
+                    cost[j], last[j] = cost[i] + w, (i, piece)
         out = []
         while n > 0:
-            out.append(last[n])
-            n -= len(last[n])
+            i, piece = last[n]
+            out.append(self._name(text, i, n, piece))
+            n = i
         return out[::-1]
 
-    def _only_path(self, chunk: str) -> list[str]:
-        """The only path of finite weight, depth first, longest arcs first.
+    def _only_path(self, text: bytes) -> list[int]:
+        """The path of weight 0, depth first, longest arcs first.
 
         A place is reached with finite weight by one piece at most, the last
         of the text so far, so a place without a way on is left for good.
         """
-        n, i, out, dead, arcs, allowed = len(chunk), 0, [], set(), [self._arcs(chunk, 0)], self.allowed
-        before = ""
+        n, i, out, dead, before, allowed = len(text), 0, [], set(), -1, self.allowed
+        arcs, places = [self._arcs(text, 0)], []
         while i < n:
             here = arcs[-1]
             while here:
-                piece = here.pop()
-                if i + len(piece) in dead:
+                j, piece, _ = here.pop()
+                if j in dead:
                     continue
-                ok = allowed.get((before, piece))
-                if ok or ok is None and self._pair(before, piece):
-                    out.append(piece)
-                    before = piece
-                    i += len(piece)
+                name = piece if piece >= 0 else self._name(text, i, j, piece)
+                ok = allowed.get((before + 1) << 32 | name)
+                if ok or ok is None and self._pair(before, name):
+                    out.append(name)
+                    places.append(i)
+                    before, i = name, j
                     if i < n:
-                        arcs.append(self._arcs(chunk, i))
+                        arcs.append(self._arcs(text, i))
                     break
             else:
                 dead.add(i)
                 arcs.pop()
-                i -= len(out.pop())
-                before = out[-1] if out else ""
+                i = places.pop()
+                out.pop()
+                before = out[-1] if out else -1
         return out
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        ids = []
-        for p in pieces:
-            if p in self.id_of:
-                ids.append(self.id_of[p])
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in p.encode()]
+    def _run_chain(self, chunk: str) -> list[int]:
+        """The acceptor of a chunk that begins with two marks or more: one chain, from its merges."""
+        return [self.id_of[p] if p in self.id_of else len(self.piece) + ord(p) for p in heap_merged(chunk, self.score)]
+
+    def _outputs(self, names: list[int]) -> bytes:
+        n, ids = len(self.piece), []
+        for x in names:
+            if x < n:
+                ids.append(x)
             else:
-                ids.append(self.unk)
+                ids += self.fallback(chr(x - n).encode())
         return array("I", ids).tobytes()
 
-    def _core(self, core: str) -> tuple[bytes, str]:
+    def _core(self, core: bytes) -> tuple[bytes, int]:
         found = self.cores.get(core)
         if found is None:
-            pieces = self.path(core)
-            found = self._ids(pieces), pieces[-1]
+            names = self.path(core)
+            found = self._outputs(names), names[-1]
             if len(core) <= 200:
                 if len(self.cores) >= self.most:
                     self.cores.clear()
                 self.cores[core] = found
         return found
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
+    def __missing__(self, raw: str) -> bytes:
+        ids = self.older.get(raw)
         if ids is None:
+            chunk = transduced(self.normal, raw.encode(), self.normal_end).decode()
             if self.bpe and chunk.startswith(MARK * 2):
-                ids = self._ids(self.merged(chunk))
+                ids = self._outputs(self._run_chain(chunk))
             else:  # the path up to closing marks is shared, if it may end there
                 core = chunk.rstrip(CLOSING) if self.bpe else chunk
-                ids, last = self._core(core) if core else (b"", "")
+                ids, last = self._core(core.encode()) if core else (b"", -1)
                 if len(core) < len(chunk):
-                    rest = self.path(chunk[len(core) :])
-                    ids = ids + self._ids(rest) if self._pair(last, rest[0]) else self._ids(self.path(chunk))
-        if len(chunk) > 200:
+                    rest = self.path(chunk[len(core) :].encode())
+                    ids = ids + self._outputs(rest) if self._pair(last, rest[0]) else self._outputs(self.path(chunk.encode()))
+        if len(raw) > 200:
             return ids
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[chunk] = ids
+        self[raw] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
+        """The first mark is what a space before the text gives."""
         if not text:
             return np.zeros(0, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, CHUNK.findall(self.prefix + text.replace(" ", MARK)))), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, CHUNK.findall(" " * self.prefix + text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -220,8 +360,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, 1):
                 rows = []
                 for text in part.column(1).to_pylist():
                     ids = m.encode(text)

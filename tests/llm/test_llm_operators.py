@@ -434,6 +434,54 @@ def test_pieces_equal_library(docs):
     assert back == {d: sorted((t or "",) for e, t in edge_rows() if e == d) for d, _ in edge_rows()}
 
 
+def test_pieces_of_long_runs():
+    """Texts of a megabyte without an ASCII space between words, or of nothing else, within seconds each."""
+    import base64
+    import time
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    rng, m = random.Random(7), pieces.PieceMachine(PIECE_BPE)
+    blob = base64.b64encode(rng.randbytes(600_000)).decode()
+    cjk = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(150_000))
+    for t in (" " * 1_000_000, " " * 999_999 + "x", "    " + cjk, "   " + blob, blob, cjk + "\n" * 50_000 + "." * 50_000):
+        began = time.time()
+        ids = m.encode(t)
+        assert time.time() - began < 40
+        assert ids.tolist() == sp.encode(t)
+        assert m.decode(ids) == t
+
+
+def test_normaliser_machine():
+    m, end = pieces.normaliser(True)
+    for t in ("", " ", "a  b é漢", "▁x "):
+        assert pieces.transduced(m, t.encode()).decode() == "▁" + t.replace(" ", "▁")
+        assert pieces.transduced(m, t.encode(), end).decode() == t.replace(" ", "▁")
+
+
+def test_unigram_paths_are_cheapest():
+    """Tropical shortest paths against all segmentations."""
+    m = pieces.PieceMachine(PIECE_BPE)
+    rng = random.Random(3)
+    m.bpe, words = False, ["a", "b", "c", "ab", "bc", "abc", "ca", "é"]
+    m.score = {w: -rng.random() * len(w) for w in words}
+    m.piece, m.pieces = words, pieces.Transducer()
+    for k, w in enumerate(words):
+        m.pieces.arc(m.pieces.path_of(0, w.encode()), -1, 0, k, -m.score[w])
+
+    def best(t):
+        if not t:
+            return 0.0
+        return min([-m.score[w] + best(t[len(w) :]) for w in words if t.startswith(w)] + ([pieces.FALLBACK + best(t[1:])] if t[0] not in m.score else []))
+
+    for _ in range(60):
+        t = "".join(rng.choice("abcé漢") for _ in range(rng.randint(1, 9)))
+        got = m.path(t.encode())
+        assert math.isclose(sum(-m.score[words[k]] if k < len(words) else pieces.FALLBACK for k in got), best(t))
+        assert "".join(words[k] if k < len(words) else chr(k - len(words)) for k in got) == t
+
+
 # --- chat windows
 
 
