@@ -74,6 +74,8 @@ class Transducer:
         self.n_states, self.to, self.output, self.weight = 1, array("q"), array("q"), array("d")
         self.step: dict[int, int] = {}
         self.ends: dict[int, list[int]] = {}
+        self.bursts: dict[int, tuple[bytes, int]] = {}
+        self.copies: dict[int, bytes] = {}  # states that write every byte but this one as it is and stay
 
     def state(self) -> int:
         self.n_states += 1
@@ -90,6 +92,18 @@ class Transducer:
             self.step[state << 8 | byte] = k
         return to
 
+    def burst(self, state: int) -> tuple[bytes, int]:
+        """What the arcs that read nothing write from here on, and where they end."""
+        found = self.bursts.get(state)
+        if found is None:
+            out, at = bytearray(), state
+            while at in self.ends:
+                k = self.ends[at][0]
+                out.append(self.output[k])
+                at = self.to[k]
+            found = self.bursts[state] = bytes(out), at
+        return found
+
     def path_of(self, state: int, text: bytes) -> int:
         """The state after these bytes, with arcs added where there are none."""
         for b in text:
@@ -108,6 +122,7 @@ def normaliser(prefix: bool) -> tuple[Transducer, int]:
     for b in range(256):
         if b != 0x20:
             machine.arc(start, b, start, b)
+    machine.copies[start] = b" "
     last = machine.arc(start, 0x20, machine.state(), mark[0])
     machine.arc(machine.arc(last, -1, machine.state(), mark[1]), -1, start, mark[2])
     return machine, start
@@ -115,14 +130,22 @@ def normaliser(prefix: bool) -> tuple[Transducer, int]:
 
 def transduced(machine: Transducer, text: bytes, state: int = 0) -> bytes:
     """The output, from ``state`` on, of a machine that has one path for each input."""
-    out, at = bytearray(), 0
-    while True:
-        k = machine.ends[state][0] if state in machine.ends else machine.step[state << 8 | text[at]] if at < len(text) else None
-        if k is None:
-            return bytes(out)
-        at += state not in machine.ends
+    begun, state = machine.burst(state)
+    out, at, n = bytearray(begun), 0, len(text)
+    while at < n:
+        if state in machine.copies:  # a run of arcs from the state to itself
+            stop = text.find(machine.copies[state], at)
+            if stop < 0:
+                out += text[at:]
+                return bytes(out)
+            out += text[at:stop]
+            at = stop
+        k = machine.step[state << 8 | text[at]]
+        more, state = machine.burst(machine.to[k])
         out.append(machine.output[k])
-        state = machine.to[k]
+        out += more
+        at += 1
+    return bytes(out)
 
 
 def heap_merged(text: str, score: dict[str, float]) -> list[str]:
@@ -163,7 +186,7 @@ def heap_merged(text: str, score: dict[str, float]) -> list[str]:
 class PieceMachine(dict):
     """Chunk to ids (uint32 bytes), filled by shortest paths; at most 2 * ``most`` chunks."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         gc.set_threshold(200_000, 50, 100)  # strings and bytes make no cycles
@@ -180,11 +203,7 @@ class PieceMachine(dict):
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a mark after another character")
         self.normal, self.normal_end = normaliser(self.prefix)
-        # pieces and byte fallback in one machine; a mark's way out is its first bytes'
-        self.pieces = Transducer()
-        for k, p in enumerate(model.pieces):
-            if p.type in (1, 4):
-                self.pieces.arc(self.pieces.path_of(0, p.piece.encode()), -1, 0, k, 0.0 if self.bpe else -p.score)
+        self.compile([(k, p.piece, 0.0 if self.bpe else -p.score) for k, p in enumerate(model.pieces) if p.type in (1, 4)])
         byte = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == 6}
         unk = next(k for k, p in enumerate(model.pieces) if p.type == 2)
         self.byte_ids = [byte[b] for b in range(256)] if model.trainer_spec.byte_fallback else None
@@ -193,39 +212,51 @@ class PieceMachine(dict):
         blank = {1: lambda p: p.piece.encode(), 4: lambda p: p.piece.encode(), 2: lambda p: " ⁇ ".encode(), 6: lambda p: bytes([int(p.piece[3:5], 16)])}
         self.out = [blank.get(p.type, lambda p: b"")(p).replace(MARK.encode(), b" ") for p in model.pieces]
         self.allowed: dict[int, bool] = {}
-        self.cores: dict[bytes, tuple[list[int], int]] = {}
+        self.cores: dict[bytes, tuple[bytes, int, int]] = {}
+
+    def compile(self, pieces: list[tuple[int, str, float]]) -> None:
+        """The pieces' machine from (id, piece, weight), and its arcs as steps and final pieces by state."""
+        m = self.pieces = Transducer()
+        self.weight_of = {}
+        for k, piece, weight in pieces:
+            state = m.path_of(0, piece.encode())
+            self.weight_of[k] = weight
+            m.arc(state, -1, 0, k, weight)
+        self.longest = max((len(p.encode()) for _, p, _ in pieces), default=1)
+        self.next = {key: m.to[k] for key, k in m.step.items()}
+        self.final = [-1] * m.n_states
+        for state, arcs in m.ends.items():
+            self.final[state] = m.output[arcs[0]]
 
     def fallback(self, char: bytes) -> list[int]:
         """Outputs of the fallback arcs of a character."""
         return [self.byte_ids[b] for b in char] if self.byte_ids else [self.unk]
 
-    def _arcs(self, text: bytes, i: int) -> list[tuple[int, int, float]]:
-        """Composition from place i at the start of the pieces' machine: (end, id or -1 for fallback, weight), longest last."""
-        m, state, j, n, out = self.pieces, 0, i, len(text), []
-        width = 1 if text[i] < 0x80 else 2 if text[i] < 0xE0 else 3 if text[i] < 0xF0 else 4
-        char = False
-        step, to = m.step, m.to
-        while j < n:
-            k = step.get(state << 8 | text[j])
-            if k is None:
+    def _arcs(self, text: bytes, i: int) -> list[int]:
+        """Composition from place i at the start of the pieces' machine: end << 32 | name of each way, the longest last."""
+        step, final, state, j, out = self.next.get, self.final, 0, i, []
+        for b in text[i : i + self.longest]:
+            state = step(state << 8 | b)
+            if state is None:
                 break
-            state, j = to[k], j + 1
-            for e in m.ends.get(state, ()):
-                out.append((j, m.output[e], m.weight[e]))
-                char = char or j == i + width
-        if not char:
-            out.insert(0, (min(n, i + width), -1, FALLBACK))
+            j += 1
+            piece = final[state]
+            if piece >= 0:
+                out.append(j << 32 | piece)
+        first = text[i]
+        end = i + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+        if not out or out[0] >> 32 != end:  # the character is no piece: it goes over the fallback arcs
+            out.insert(0, end << 32 | len(self.piece) + ord(text[i:end].decode()))
         return out
 
-    def _name(self, text: bytes, i: int, j: int, piece: int) -> int:
-        """What the acceptor knows a piece by: its id, or the character's code behind all ids."""
-        return piece if piece >= 0 else len(self.piece) + ord(text[i:j].decode())
-
     def _spelling(self, name: int) -> str:
         return self.piece[name] if name < len(self.piece) else chr(name - len(self.piece))
 
     def _pair(self, a: int, b: int) -> bool:
-        """Whether b may follow a (-1: stand first): an arc of the acceptor of neighbours."""
+        """Whether b may follow a (-1: stand first): an arc of the acceptor of neighbours.
+
+        Names are ids, or a character's code behind all ids where the character is no piece.
+        """
         key = (a + 1) << 32 | b
         ok = self.allowed.get(key)
         if ok is None:
@@ -246,14 +277,15 @@ class PieceMachine(dict):
         for i in range(n):
             if i not in cost:
                 continue
-            for j, piece, w in self._arcs(text, i):
+            for way in self._arcs(text, i):
+                j, name = way >> 32, way & 0xFFFFFFFF
+                w = self.weight_of.get(name, FALLBACK)
                 if cost[i] + w < cost.get(j, inf):
-                    cost[j], last[j] = cost[i] + w, (i, piece)
+                    cost[j], last[j] = cost[i] + w, (i, name)
         out = []
         while n > 0:
-            i, piece = last[n]
-            out.append(self._name(text, i, n, piece))
-            n = i
+            n, name = last[n]
+            out.append(name)
         return out[::-1]
 
     def _only_path(self, text: bytes) -> list[int]:
@@ -262,16 +294,16 @@ class PieceMachine(dict):
         A place is reached with finite weight by one piece at most, the last
         of the text so far, so a place without a way on is left for good.
         """
-        n, i, out, dead, before, allowed = len(text), 0, [], set(), -1, self.allowed
-        arcs, places = [self._arcs(text, 0)], []
+        n, i, out, dead, before, allowed, places = len(text), 0, [], set(), -1, self.allowed.get, []
+        arcs = [self._arcs(text, 0)]
         while i < n:
             here = arcs[-1]
             while here:
-                j, piece, _ = here.pop()
+                way = here.pop()
+                j, name = way >> 32, way & 0xFFFFFFFF
                 if j in dead:
                     continue
-                name = piece if piece >= 0 else self._name(text, i, j, piece)
-                ok = allowed.get((before + 1) << 32 | name)
+                ok = allowed((before + 1) << 32 | name)
                 if ok or ok is None and self._pair(before, name):
                     out.append(name)
                     places.append(i)
@@ -300,11 +332,12 @@ class PieceMachine(dict):
                 ids += self.fallback(chr(x - n).encode())
         return array("I", ids).tobytes()
 
-    def _core(self, core: bytes) -> tuple[bytes, int]:
+    def _core(self, core: bytes) -> tuple[bytes, int, int]:
+        """The outputs of a part's path, and the names of its first and last piece."""
         found = self.cores.get(core)
         if found is None:
             names = self.path(core)
-            found = self._outputs(names), names[-1]
+            found = self._outputs(names), names[0], names[-1]
             if len(core) <= 200:
                 if len(self.cores) >= self.most:
                     self.cores.clear()
@@ -319,10 +352,10 @@ class PieceMachine(dict):
                 ids = self._outputs(self._run_chain(chunk))
             else:  # the path up to closing marks is shared, if it may end there
                 core = chunk.rstrip(CLOSING) if self.bpe else chunk
-                ids, last = self._core(core.encode()) if core else (b"", -1)
+                ids, _, last = self._core(core.encode()) if core else (b"", -1, -1)
                 if len(core) < len(chunk):
-                    rest = self.path(chunk[len(core) :].encode())
-                    ids = ids + self._outputs(rest) if self._pair(last, rest[0]) else self._outputs(self.path(chunk.encode()))
+                    rest, first, _ = self._core(chunk[len(core) :].encode())
+                    ids = ids + rest if self._pair(last, first) else self._outputs(self.path(chunk.encode()))
         if len(raw) > 200:
             return ids
         if len(self) >= self.most:

@@ -466,9 +466,8 @@ def test_unigram_paths_are_cheapest():
     rng = random.Random(3)
     m.bpe, words = False, ["a", "b", "c", "ab", "bc", "abc", "ca", "é"]
     m.score = {w: -rng.random() * len(w) for w in words}
-    m.piece, m.pieces = words, pieces.Transducer()
-    for k, w in enumerate(words):
-        m.pieces.arc(m.pieces.path_of(0, w.encode()), -1, 0, k, -m.score[w])
+    m.piece = words
+    m.compile([(k, w, -m.score[w]) for k, w in enumerate(words)])
 
     def best(t):
         if not t:
