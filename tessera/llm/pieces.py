@@ -59,7 +59,8 @@ from .bytewords import slices
 from .shared import id_text, tidily
 
 MARK = "▁"
-CLOSING = ".,;:!?)*%$#&"
+TWO_MARKS = 2 * MARK.encode()
+CLOSING = b".,;:!?)*%$#&"
 CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 FALLBACK = 1e6  # weight of a character without a piece
 
@@ -152,8 +153,17 @@ def heap_merged(text: str, score: dict[str, float]) -> list[str]:
     """BPE by definition: the best-scored neighbours merge, leftmost of equals, until none can.
 
     Pairs wait in a heap; parts are a doubly linked list, and a pair whose parts have changed is passed over.
+    A few characters are scanned for each merge instead.
     """
     part, n = list(text), len(text)
+    if n <= 16:
+        while True:
+            pairs = [score.get(a + b, -inf) for a, b in zip(part, part[1:])]
+            best = max(pairs, default=-inf)
+            if best == -inf:
+                return part
+            at = pairs.index(best)
+            part[at : at + 2] = [part[at] + part[at + 1]]
     after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
     def offer(i: int) -> None:
@@ -186,7 +196,7 @@ def heap_merged(text: str, score: dict[str, float]) -> list[str]:
 class PieceMachine(dict):
     """Chunk to ids (uint32 bytes), filled by shortest paths; at most 2 * ``most`` chunks."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         gc.set_threshold(200_000, 50, 100)  # strings and bytes make no cycles
@@ -260,7 +270,7 @@ class PieceMachine(dict):
         key = (a + 1) << 32 | b
         ok = self.allowed.get(key)
         if ok is None:
-            if len(self.allowed) > 500_000:
+            if len(self.allowed) > 1_000_000:
                 self.allowed.clear()
             x, y = self._spelling(a) if a >= 0 else "", self._spelling(b)
             ok = self.allowed[key] = heap_merged(x + y, self.score) == ([x, y] if x else [y])
@@ -294,22 +304,34 @@ class PieceMachine(dict):
         A place is reached with finite weight by one piece at most, the last
         of the text so far, so a place without a way on is left for good.
         """
-        n, i, out, dead, before, allowed, places = len(text), 0, [], set(), -1, self.allowed.get, []
-        arcs = [self._arcs(text, 0)]
+        n, i, out, places, arcs, dead, before = len(text), 0, [], [], [], set(), -1
+        allowed, step, final, longest, n_pieces = self.allowed.get, self.next.get, self.final, self.longest, len(self.piece)
         while i < n:
-            here = arcs[-1]
+            if len(arcs) == len(out):  # a place not met before: as _arcs, without a call
+                state, j, here = 0, i, []
+                for b in text[i : i + longest]:
+                    state = step(state << 8 | b)
+                    if state is None:
+                        break
+                    j += 1
+                    piece = final[state]
+                    if piece >= 0:
+                        here.append(j << 32 | piece)
+                first = text[i]
+                end = i + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+                if not here or here[0] >> 32 != end:
+                    here.insert(0, end << 32 | n_pieces + ord(text[i:end].decode()))
+                arcs.append(here)
+            else:
+                here = arcs[-1]
             while here:
                 way = here.pop()
-                j, name = way >> 32, way & 0xFFFFFFFF
-                if j in dead:
-                    continue
+                name = way & 0xFFFFFFFF
                 ok = allowed((before + 1) << 32 | name)
-                if ok or ok is None and self._pair(before, name):
+                if (ok or ok is None and self._pair(before, name)) and way >> 32 not in dead:
                     out.append(name)
                     places.append(i)
-                    before, i = name, j
-                    if i < n:
-                        arcs.append(self._arcs(text, i))
+                    before, i = name, way >> 32
                     break
             else:
                 dead.add(i)
@@ -325,6 +347,8 @@ class PieceMachine(dict):
 
     def _outputs(self, names: list[int]) -> bytes:
         n, ids = len(self.piece), []
+        if max(names) < n:
+            return array("I", names).tobytes()
         for x in names:
             if x < n:
                 ids.append(x)
@@ -347,15 +371,15 @@ class PieceMachine(dict):
     def __missing__(self, raw: str) -> bytes:
         ids = self.older.get(raw)
         if ids is None:
-            chunk = transduced(self.normal, raw.encode(), self.normal_end).decode()
-            if self.bpe and chunk.startswith(MARK * 2):
-                ids = self._outputs(self._run_chain(chunk))
+            chunk = transduced(self.normal, raw.encode(), self.normal_end)
+            if self.bpe and chunk.startswith(TWO_MARKS):
+                ids = self._outputs(self._run_chain(chunk.decode()))
             else:  # the path up to closing marks is shared, if it may end there
                 core = chunk.rstrip(CLOSING) if self.bpe else chunk
-                ids, _, last = self._core(core.encode()) if core else (b"", -1, -1)
+                ids, _, last = self._core(core) if core else (b"", -1, -1)
                 if len(core) < len(chunk):
-                    rest, first, _ = self._core(chunk[len(core) :].encode())
-                    ids = ids + rest if self._pair(last, first) else self._outputs(self.path(chunk.encode()))
+                    rest, first, _ = self._core(chunk[len(core) :])
+                    ids = ids + rest if self._pair(last, first) else self._outputs(self.path(chunk))
         if len(raw) > 200:
             return ids
         if len(self) >= self.most:
