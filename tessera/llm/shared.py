@@ -191,7 +191,7 @@ class WordEncoder(dict):
     LETTERS = staticmethod(re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch)
     MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -141,9 +141,9 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, end_id: int = 1,
     rows = id_text(docs, id_col, text_col)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = min(MOST_SHARDS, max(1, -(-n_bytes // SHARD_BYTES)))
-    # rows that repeat are dealt by their number in the input
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("no"), "text")
-    ranged = rows.repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first(), "h", "no").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "no")
+    # rows that share a doc_id are dealt by their number in the input; so bounds are sampled without reading texts
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("no"), "text")
+    ranged = rows.repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first(), "no").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "no")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
