@@ -191,7 +191,7 @@ class WordEncoder(dict):
     LETTERS = staticmethod(re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch)
     MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -242,8 +242,9 @@ class WordEncoder(dict):
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker and vocabulary file."""
+def encoder(path: str, most: int = 150_000) -> WordEncoder:
+    """One encoder for each Python worker and vocabulary file, which remembers ``most`` words in each generation."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .shared import drop_path, encoder, id_text, materialise, scratch, tidily
 
 MAGIC, BLOCK, SHARD_BYTES, MOST_TOKENS = b"TDAC1\0\0\0", 512, 8 << 20, 8 << 20
+REMEMBERED = 250_000  # words in each generation of the memo
 MOST_SHARDS = 1 << 16  # shards only hold more parts beyond that
 _ONES = np.array([bin(i).count("1") for i in range(256)], "u1")
 
@@ -146,7 +147,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, end_id: int = 1,
     ranged = rows.repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first(), "no").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "no")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, REMEMBERED), np.array([end_id], "<u4").tobytes()
         now, part, ids, lengths, texts, size, done = TaskContext.get().partitionId(), 0, [], [], [], 0, []
 
         def flush():
