@@ -136,6 +136,14 @@ def _calculate(expression: str | None) -> tuple[bool, str | None, str | None]:
         return False, None, _FAILED + str(e)
 
 
+def calculated(expression: str | None) -> str:
+    """The calculator's output as a tool gives it; what it does not take raises Refused."""
+    success, output, error = _calculate(expression)
+    if not success:
+        raise Refused(error)
+    return output
+
+
 def calculate(expression: Column) -> Column:
     """struct(success, output, error) of a calculator over a parsed tree, in Arrow batches; nothing is evaluated as code."""
     kind = StructType([StructField("success", BooleanType()), StructField("output", StringType()), StructField("error", StringType())])

@@ -77,9 +77,9 @@ def normalize_keep_paragraphs(c: Column) -> Column:
 
 def strip_boilerplate(c: Column) -> Column:
     """Each opening goes at most once, in list order."""
-    c = nfc(c)
-    for phrase in BOILERPLATE:
-        c = F.when(F.startswith(c, F.lit(phrase)), F.substring(c, len(phrase) + 1, 1 << 30)).otherwise(c)
+    phrases = F.array(*(F.lit(p) for p in BOILERPLATE))
+    # a fold, as nested conditions would hold the text three times as often with each phrase
+    c = F.aggregate(phrases, nfc(c), lambda t, p: F.when(F.startswith(t, p), F.substr(t, F.length(p) + 1)).otherwise(t))
     return strip(c)
 
 

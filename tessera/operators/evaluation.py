@@ -86,3 +86,25 @@ def compared(base: DataFrame, tuned: DataFrame, by: str) -> DataFrame:
     both = mean(base, "base").join(mean(tuned, "tuned"), by, "full_outer")
     a, b = F.coalesce("base", F.lit(0.0)), F.coalesce("tuned", F.lit(0.0))
     return both.select(by, a.alias("base"), b.alias("tuned"), (b - a).alias("delta"))
+
+
+def variants(results: DataFrame) -> DataFrame:
+    """One row a variant: n, pass and abstain rate, mean latency and tokens."""
+    rate = lambda c: F.avg(c.cast("double"))
+    return results.groupBy("variant").agg(
+        F.count("*").alias("n"),
+        rate(F.col("status") == "PASS").alias("pass_rate"),
+        rate(F.col("status") == "ABSTAIN").alias("abstain_rate"),
+        F.avg("latency_ms").alias("latency_ms"),
+        F.avg("tokens").alias("tokens"),
+    )
+
+
+def suite(results: DataFrame) -> DataFrame:
+    """Mean length and repetition per category and, with a null category, over all."""
+    return results.rollup("category").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), F.avg("repetition").alias("mean_repetition"))
+
+
+def regressed(metrics: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Metrics (metric, before, after; higher is better) that fell by more than the tolerance, relative to before."""
+    return metrics.withColumn("regressed", F.col("after") < F.col("before") * (1 - tolerance))

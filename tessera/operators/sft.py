@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.answers import states_answer
+from ..sources.stage import staged
+from . import verify
 from .dedup import mark_first
 
 IGNORE = -100
@@ -54,6 +57,29 @@ def build(examples: DataFrame, max_tokens: int = 512, least: int = 5) -> DataFra
     return mark_first(rows, "h", "conv_id").where("first_seen").drop("first_seen")
 
 
+def admitted(examples: DataFrame, n_tokens: Column, order: str = "conv_id", max_tokens: int = 512, least: int = 5) -> DataFrame:
+    """Every example (prompt, response, check: standard, python_code or math) cleaned, with ``reason``: accepted, too_short, duplicate, syntax_error, math_unverified or too_many_tokens.
+
+    The first by ``order`` of those that pass is accepted; later examples of the
+    same lower-cased text are duplicates whatever else they lack, earlier ones
+    keep their own reason. ``n_tokens`` is computed from the cleaned columns.
+    """
+    rows = examples.withColumns({c: T.strip_boilerplate(F.coalesce(F.col(c), F.lit(""))) for c in ("prompt", "response")})
+    rows = rows.withColumn("parses", F.when(F.col("check") == "python_code", verify.parses(F.col("response"))).otherwise(F.lit(True)))
+    own = (
+        F.when((F.length("prompt") < least) | (F.length("response") < least), "too_short")
+        .when(~F.col("parses"), "syntax_error")
+        .when((F.col("check") == "math") & ~states_answer(F.col("response")), "math_unverified")
+        .when(n_tokens > max_tokens, "too_many_tokens")
+        .otherwise("accepted")
+    )
+    h = F.sha2(F.lower(F.concat("prompt", "response")), 256)
+    rows = staged(rows.withColumns({"own": own, "h": h, "n_tokens": n_tokens}).drop("parses"), "examples")
+    first = rows.where("own = 'accepted'").groupBy("h").agg(F.min(order).alias("first"))
+    late = (F.col(order) > F.col("first")) & (F.col("own") != "too_short")
+    return rows.join(first, "h", "left").withColumn("reason", F.when(late, "duplicate").otherwise(F.col("own"))).drop("own", "first")
+
+
 def length_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, total, upper median and the value at zero-based place floor(.95 n)."""
     order = Window.partitionBy(group).orderBy(value)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import json
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import writers
+
 #: Fixed value: the byte-level splitting pattern.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -203,3 +207,29 @@ def encode(docs: DataFrame, merges: list[tuple[bytes, bytes]], id_col: str = "do
 def decode(tokens: list[int], merges: list[tuple[bytes, bytes]]) -> str:
     vocab = [bytes([b]) for b in range(256)] + [a + b for a, b in merges]
     return b"".join(vocab[t] for t in tokens).decode("utf-8", "replace")
+
+
+def save(spark, merges: list[tuple[bytes, bytes]], path: str, special: tuple[str, ...] = ()) -> str:
+    """The merges and, beside them, their digest, the vocabulary's size and the special tokens' ids, which follow the merges. Never overwrites."""
+    body = writers.canonical_json([[a.hex(), b.hex()] for a, b in merges])
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    size = 256 + len(merges)
+    meta = {"schema_version": 1, "tokenizer_sha256": digest, "vocab_size": size + len(special), "special_tokens": {t: size + k for k, t in enumerate(special)}}
+    writers.write_text(spark, f"{path}/merges.json", body)
+    writers.write_text(spark, f"{path}/metadata.json", writers.canonical_json(meta))
+    return digest
+
+
+def load(spark, path: str) -> tuple[list[tuple[bytes, bytes]], dict[str, int]]:
+    """The merges and special tokens' ids; a digest, size or id that does not fit raises."""
+    body, meta = (spark.read.text(f"{path}/{name}.json", wholetext=True).first()[0] for name in ("merges", "metadata"))
+    meta = json.loads(meta)
+    if hashlib.sha256(body.encode()).hexdigest() != meta["tokenizer_sha256"]:
+        raise ValueError("merges do not match their digest")
+    merges = [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in json.loads(body)]
+    special, size = meta["special_tokens"], 256 + len(merges)
+    if meta["vocab_size"] != size + len(special):
+        raise ValueError("the vocabulary's size does not match")
+    if sorted(special.values()) != list(range(size, size + len(special))):
+        raise ValueError("special tokens' ids do not match")
+    return merges, special

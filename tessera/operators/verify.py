@@ -87,6 +87,26 @@ def _code_status(text: str | None) -> str:
     return "PASS" if blocks else "UNVERIFIED"
 
 
+def _parses(text: str | None) -> bool:
+    text = text or ""
+    fence = next((f for f in ("```python", "```") if f in text), None)
+    try:
+        ast.parse((text.split(fence)[1].split("```")[0] if fence else text).strip())
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def parses(text: Column) -> Column:
+    """Whether the first fenced block, or else the whole text, is Python, in Arrow batches; nothing is run."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(_parses).astype(bool)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "boolean")(text)
+
+
 def code(answer: Column) -> Column:
     """Whether the fenced Python parses, in Arrow batches; nothing is run."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import ORACLE, QUERIES, answers, corpus, incremental, reports, tokens, tools  # noqa: F401
+from .plans import ORACLE, QUERIES, answers, corpus, incremental, reports, tokens, tools, workflows  # noqa: F401
 
 
 def queries():

@@ -66,6 +66,18 @@ def sample_text(df: DataFrame, order: str, target_chars: int, text_col: str = "t
     return prefix_until(rows.withColumn("n", F.length(text_col).cast("long")), order, "n", target_chars).drop("n", "before")
 
 
+def code_sample(df: DataFrame, order: str, target_chars: int, text_col: str = "text") -> tuple[DataFrame, str]:
+    """Whole code rows in order until the target is crossed, and the digest of their digests; no row at all raises."""
+    from ..operators.accounting import corpus_digest
+    from ..operators.sampling import prefix_until
+
+    rows = df.where(F.length(T.strip(F.col(text_col))) > 0).select(order, text_col, F.length(text_col).cast("long").alias("n"))
+    out = prefix_until(rows, order, "n", target_chars).drop("n", "before")
+    if out.isEmpty():
+        raise ValueError("no code rows")
+    return out, corpus_digest(out, order, text_col).first()[0]
+
+
 def whole_files(spark, pattern: str) -> DataFrame:
     """path and text of each file, to be ordered by path."""
     return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,3 +91,37 @@ def mismatched(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Expected checksums (path, sha256) whose file is missing or differs."""
     found = actual.select("path", F.col("sha256").alias("found"))
     return expected.join(found, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("found")))
+
+
+def replace_text(spark, path: str, text: str) -> None:
+    """One small file, put in place of an older one by an atomic rename."""
+    jvm = spark.sparkContext._jvm
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    write_text(spark, tmp, text)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    p = jvm.org.apache.hadoop.fs.Path
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(p(tmp), p(path), how)
+
+
+def markdown_table(columns: list[str], rows: list) -> str:
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [columns, ["---"] * len(columns), *([cell(v) for v in r] for r in rows)]
+    return "".join(f"| {' | '.join(line)} |\n" for line in lines)
+
+
+def write_report(df: DataFrame, path: str, title: str, most: int = 10_000) -> tuple[str, str]:
+    """A small result as ``path``.json and ``path``.md; more than ``most`` rows are no report and raise."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report holds {most} rows at most")
+    spark = df.sparkSession
+    replace_text(spark, f"{path}.json", json.dumps({"title": title, "rows": [r.asDict(True) for r in rows]}, ensure_ascii=False, default=str))
+    replace_text(spark, f"{path}.md", f"# {title}\n\n{markdown_table(df.columns, rows)}")
+    return f"{path}.json", f"{path}.md"
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines beside those that are there, as a log of events grows."""
+    df.write.mode("append").json(path)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.packing import greedy_shards
+from ..sources import writers
 
 
 def document_stream(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -55,3 +59,43 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     q = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.read.parquet(path)
+
+
+def run_to_shards(stream: DataFrame, path: str, checkpoint: str, max_bytes: int, group: str, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each micro-batch cut into greedy shards of at most ``max_bytes`` and written under its batch's number.
+
+    A repeated batch overwrites its own folder, so shards are written exactly
+    once; the last shard of a batch may be short, as nothing is kept open
+    between batches.
+    """
+
+    def flush(docs: DataFrame, batch: int) -> None:
+        greedy_shards(docs, max_bytes, group, order, text).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return _run_batches(stream, flush, checkpoint).sparkSession.read.parquet(path)
+
+
+def run_to_snapshot(stream: DataFrame, path: str, checkpoint: str, run: str = "run_id", step: str = "step") -> dict:
+    """The newest row of every run, in one JSON file that is replaced at once after each micro-batch; runs must be few."""
+
+    def upsert(rows: DataFrame, batch: int) -> None:
+        newest = rows.groupBy(run).agg(F.max_by(F.struct(*rows.columns), step).alias("row")).select("row.*")
+        for r in newest.toLocalIterator():
+            if r[run] not in seen or seen[r[run]][step] <= r[step]:
+                seen[r[run]] = r.asDict(True)
+        writers.replace_text(rows.sparkSession, path, writers.canonical_json(list(seen.values())))
+
+    spark = stream.sparkSession
+    fs, p = writers._fs(spark, path)
+    old = json.loads(spark.read.text(path, wholetext=True).first()[0]) if fs.exists(p) else []
+    seen = {r[run]: r for r in old}
+    _run_batches(stream, upsert, checkpoint)
+    return seen
+
+
+def _run_batches(stream: DataFrame, each, checkpoint: str) -> DataFrame:
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return stream
