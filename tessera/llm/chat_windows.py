@@ -11,7 +11,8 @@ or ``c`` in one window only, so targets are never counted twice.
 
 Rows are ordered by turn (then role and text); null roles and texts are empty;
 rows that repeat are turns of their own; a null conv_id is a conversation. A turn
-longer than the budget is a window by itself. A conversation becomes one row,
+longer than the budget is a window by itself, whole. An empty table gives an empty
+result; other columns are ignored. A conversation becomes one row,
 as its digest needs the whole of it in order.
 """
 

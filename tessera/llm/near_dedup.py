@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str
 
     Texts without a word, and rows without a doc_id, are linked with nothing;
     rows that repeat a doc_id count as one document. component_id is the least
-    doc_id that can be reached.
+    doc_id that can be reached. Texts of any length are taken whole, an empty
+    table gives an empty result, other columns are ignored.
     """
     with Scratch(docs.sparkSession, "near-dedup") as tmp:
         return materialise(_near(id_text(docs, id_col, text_col), words, pct, tmp), "near-duplicates")

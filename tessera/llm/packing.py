@@ -87,7 +87,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
     """doc_id, piece, start, length, ids_crc32 and ids (little-endian uint32) of each piece.
 
     Null and empty texts have the end id alone; a null doc_id stays null; rows
-    that repeat are pieces of their own.
+    that repeat are pieces of their own; a text of any length gives all its pieces;
+    other columns are ignored.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

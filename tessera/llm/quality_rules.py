@@ -6,8 +6,10 @@ executors, and rules run in the order of rejections per second, so most bad
 documents meet few rules. Order changes the work alone: a document is kept if no
 rule rejects it, whichever comes first.
 
-Nulls and empty texts have no words and fail the base rules; repeated rows each
-get their own row; other columns are ignored.
+Nulls and empty texts have no words and fail the base rules; texts of any length
+are measured whole; repeated rows each get their own row; rules of equal worth run
+in the order in which they are given; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ def op3_best_fit_packing(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    out = line_dedup.dedup_lines(shared.documents(spark, sf_dir))
+    out = line_dedup.dedup_lines(shared.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

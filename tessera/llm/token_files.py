@@ -11,6 +11,11 @@ File: magic ``TDAC1\\0\\0\\0``, then int64 n_docs, n_tokens, n_levels; doc ids
 (int64) and their validity (uint8); token offsets (int64, n_docs + 1); for each
 level int64 n, then n chunk bytes, the packed continuation bits, and the rank
 directory (int64). Parts start at multiples of 8 bytes.
+
+Null and empty texts have the end id alone; a text of any length lies whole in
+one file; a null doc_id comes first and is read back as null; rows that share a
+doc_id follow each other, each with its own ids. An empty table gives no file and
+no row. Other columns are ignored.
 """
 
 from __future__ import annotations
