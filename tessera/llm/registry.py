@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_windows, fingerprints, line_dedup, near_dedup, packing, pieces, quality_rules, shared, suffix_dedup, token_files, toxicity
+from . import chat_windows, divergence, fingerprints, lexical_search, line_dedup, near_dedup, packing, pieces, quality_classifier, quality_rules, shared, suffix_dedup, token_files, toxicity
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -54,8 +54,21 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(shared.documents(spark, sf_dir), shared.tokenizer_path(WORD_BPE))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.ranked_documents(shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_quality_classifier(spark, sf_dir):
+    docs = shared.documents(spark, sf_dir)
+    return quality_classifier.score(docs, quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(shared.documents(spark, sf_dir))
+
+
 def queries():
-    return {"op1_quality_rules": op1_quality_rules, "op2_suffix_dedup": op2_suffix_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_sentencepiece": op6_sentencepiece, "op7_chat_windows": op7_chat_windows, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
+    return {"op1_quality_rules": op1_quality_rules, "op2_suffix_dedup": op2_suffix_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_sentencepiece": op6_sentencepiece, "op7_chat_windows": op7_chat_windows, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files, "op11_lexical_search": op11_lexical_search, "op12_quality_classifier": op12_quality_classifier, "op13_source_divergence": op13_source_divergence}
 
 
 OP1_SQL = r"""
@@ -149,7 +162,48 @@ reach AS (
 ), comp AS (SELECT d, min(c) AS c FROM reach GROUP BY d)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept FROM s JOIN comp ON comp.d = s.doc_id
 """
+OP11_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL)
+), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM terms GROUP BY ALL),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM (SELECT doc_id, any_value(n) AS n FROM tf GROUP BY doc_id)),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, corpus GROUP BY term, docs),
+q AS (
+  SELECT item_id, term, count(*) AS qn FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), s AS (
+  SELECT item_id, doc_id, sum(qn * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), corpus GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (gn.total + 5 * v.v) AS p,
+    1 + (1000000000 * (kept.n + 5)::HUGEINT) // (v.total + 5 * v.v) AS q
+  FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+), rows AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
 
 
 def oracle_sql():
-    return {"op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_chat_windows": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_chat_windows": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_lexical_search": OP11_SQL, "op13_source_divergence": OP13_SQL}
