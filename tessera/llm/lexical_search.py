@@ -27,9 +27,10 @@ are ignored, whatever they are called.
 from __future__ import annotations
 
 import math
+from array import array
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .shared import Scratch, materialise, tidily
+from .shared import Scratch, materialise, tidily, tidy
 from .terms import LETTERS_DIGITS, counted, even_slices, terms
 
 SHARD_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
@@ -138,7 +139,7 @@ def scaled_length(lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     return 25 + 75 * lengths * n_docs // max(1, n_terms)
 
 
-def best_documents(lists: list[tuple[int, list[int], list[int]]], most: int) -> list[tuple[int, int]]:
+def best_documents(lists: list[tuple[int, Sequence[int], Sequence[int]]], most: int) -> list[tuple[int, int]]:
     """The ``most`` best (score, document): the score sums factor * value over the lists (factor, documents ascending, values) that hold it."""
     lists = sorted((factor * max(values), factor, docs, values) for factor, docs, values in lists if docs and factor > 0)
     bounds, sums = [], 0
@@ -187,16 +188,16 @@ def best_documents(lists: list[tuple[int, list[int], list[int]]], most: int) ->
 
 def _search_shard(table: pa.Table, items: list[tuple[int, list[tuple[bytes, int]]]], n_docs: int, n_terms: int, most: int) -> tuple[list, list, list]:
     """(items, doc_ids, scores) of one shard's best documents for each item."""
-    own = dict(zip(table.column("term").to_pylist(), table.column("postings").to_pylist()))
-    docs = values_of(own.pop(b""))
+    own = dict(zip(table.column("term").to_pylist(), table.column("postings")))
+    docs = values_of(own.pop(b"").as_py())
     ids, lengths = np.cumsum(docs[: len(docs) // 2]), docs[len(docs) // 2 :]
     scale = 8 * scaled_length(lengths, n_docs, n_terms)
     lists = {}
     for term, postings in own.items():
-        gap_tf = values_of(postings).reshape(-1, 2)
+        gap_tf = values_of(postings.as_py()).reshape(-1, 2)
         doc = np.cumsum(gap_tf[:, 0])
         tf = gap_tf[:, 1]
-        lists[term] = doc.tolist(), (1_000_000_000 * tf // (1000 * tf + scale[doc])).tolist()
+        lists[term] = array("q", doc.tobytes()), array("q", (1_000_000_000 * tf // (1000 * tf + scale[doc])).tobytes())
     out: tuple[list, list, list] = [], [], []
     for no, factors in items:
         for score, doc in best_documents([(f, *lists[t]) for t, f in factors if t in lists], most):
@@ -212,6 +213,7 @@ def _shard_search(items, n_docs, n_terms, most):
 
     def run(table):
         got = _search_shard(table, items, n_docs, n_terms, most)
+        tidy()
         return pa.table([pa.array(x, pa.int64()) for x in got], ["item", "doc_id", "score"])
 
     return run

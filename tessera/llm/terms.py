@@ -32,11 +32,12 @@ def terms(texts: pa.Array, kept: np.ndarray) -> tuple[pa.LargeBinaryArray, np.nd
     first[1:] &= ~inside[:-1]
     edges = off[(off > 0) & (off < len(data))]
     first[edges] = inside[edges]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
     at = np.flatnonzero(first)
-    before = np.searchsorted(at, off)
+    starts = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - at))
     own = LOWER[data[inside]]
-    starts = np.append((np.cumsum(inside, dtype="i8") - 1)[at], len(own))
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(own)]), before
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(own)]), np.searchsorted(at, off)
 
 
 def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
