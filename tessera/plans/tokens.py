@@ -216,16 +216,16 @@ def pretoken_counts(spark, sf_dir):
 
 @query()
 def bpe_merges(spark, sf_dir):
-    merges = tokenizer.train(tokenizer.pretoken_counts(table(spark, sf_dir, "documents")), VOCAB)
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left binary, right binary")
+    v = tokenizer.train(tokenizer.pretoken_counts(table(spark, sf_dir, "documents")), VOCAB)
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(v.merges)], "rank int, left binary, right binary")
 
 
 @query()
 def tokens_per_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    merges = tokenizer.train(tokenizer.pretoken_counts(docs), VOCAB)
+    v = tokenizer.train(tokenizer.pretoken_counts(docs), VOCAB)
     sizes = docs.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.length("text").alias("chars"), F.size(T.split_words(F.col("text"))).alias("words"))
-    n = tokenizer.encode(docs, merges).select("doc_id", F.size("tokens").alias("tokens")).join(sizes, "doc_id")
+    n = tokenizer.encode(docs, v).select("doc_id", F.size("tokens").alias("tokens")).join(sizes, "doc_id")
     s = {c: F.sum(c) for c in ("tokens", "bytes", "chars", "words")}
     return n.groupBy("lang").agg(s["tokens"].alias("tokens"), (s["bytes"] / s["tokens"]).alias("bytes_per_token"), (s["tokens"] / s["chars"]).alias("tokens_per_char"), (s["tokens"] / s["words"]).alias("tokens_per_word"))
 

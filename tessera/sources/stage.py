@@ -25,3 +25,34 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Staging:
+    """A call's tables in the shared folder, deleted when the call ends or fails; what the call returns must not read them."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.n = spark, shared_folder(spark, what), 0
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.root)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_before(self, table: DataFrame) -> None:
+        """Delete the tables written before ``table``, which must be the last one."""
+        for k in range(1, self.n):
+            delete(self.spark, f"{self.root}/{k}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path through Hadoop's file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

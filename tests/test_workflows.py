@@ -41,13 +41,13 @@ def test_admitted(spark):
 
 
 def test_tokenizer_is_stored_and_checked(spark):
-    merges, path = [(b"a", b"b"), (b"ab", b"\xff")], shared_folder(spark, "tokenizer")
-    tokenizer.save(spark, merges, path, ("<pad>", "<eos>"))
-    assert tokenizer.load(spark, path) == (merges, {"<pad>": 258, "<eos>": 259})
+    v, path = tokenizer.Vocabulary(("<pad>", "<eos>"), (97, 98, 255), ((b"a", b"b"), (b"ab", b"\xff"))), shared_folder(spark, "tokenizer")
+    tokenizer.save(spark, v, path)
+    assert tokenizer.load(spark, path) == v and len(v.tokens) == 7
     for change in ({"tokenizer_sha256": "0"}, {"vocab_size": 300}, {"special_tokens": {"<pad>": 1, "<eos>": 259}}):
         meta = json.loads(spark.read.text(f"{path}/metadata.json", wholetext=True).first()[0]) | change
         other = shared_folder(spark, "tokenizer")
-        tokenizer.save(spark, merges, other)
+        tokenizer.save(spark, v, other)
         writers.replace_text(spark, f"{other}/metadata.json", json.dumps(meta))
         with pytest.raises(ValueError):
             tokenizer.load(spark, other)
