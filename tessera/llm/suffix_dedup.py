@@ -388,7 +388,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     with Scratch(spark, "suffix-dedup") as tmp:
         try:
             with shuffles_end(spark):
-                _distinct_texts(rows, n_blocks).repartition(n_buckets, "block").write.option("compression", "zstd").bucketBy(n_buckets, "block").saveAsTable(name)
+                _distinct_texts(rows, n_blocks).repartition(n_buckets, "block").write.option("compression", "zstd").option("path", f"{tmp.root}/texts").bucketBy(n_buckets, "block").saveAsTable(name)
             return _decided(spark, spark.table(name), n_ranges, n_parts, hot_contexts, tmp)
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")

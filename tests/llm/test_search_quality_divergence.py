@@ -167,3 +167,28 @@ def test_quality_bound_holds_for_repeated_ids(spark):
     labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
     model = quality_classifier.fit(docs, labels, most_labelled=20)
     assert quality_classifier.score(docs, model).count() == 301
+
+
+def test_suffix_dedup_leaves_the_warehouse_empty(spark, tmp_path):
+    """Its bucketed table lies in the shared folder while the call runs, and is gone afterwards."""
+    from pathlib import Path
+
+    from tessera.llm import suffix_dedup
+
+    paths, warehouse = [], Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    before = suffix_dedup._decided
+
+    def watched(session, texts, *rest):
+        paths.extend(texts.inputFiles())
+        assert not any(warehouse.rglob("*.parquet"))
+        return before(session, texts, *rest)
+
+    docs = spark.createDataFrame([(1, "a" * 60), (2, "b" + "a" * 60)], "doc_id long, text string")
+    suffix_dedup._decided = watched
+    try:
+        assert suffix_dedup.remove_repeats(docs).count() == 2
+    finally:
+        suffix_dedup._decided = before
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert paths and all(shared in p for p in paths)
+    assert not any(Path(p.removeprefix("file://")).exists() for p in paths)
