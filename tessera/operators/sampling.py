@@ -96,8 +96,7 @@ def audit_sample(df: DataFrame, group: str, n: int, seed: int, id_col: str = "do
 
 
 def positional_split(df: DataFrame, order: str, percent: int = 85) -> DataFrame:
-    """Adds split: train for the first max(1, percent of all) rows in order, val for the rest."""
-    rows = df.select(order, F.lit(1).cast("long").alias("one"))
-    placed = prefix_sum(rows, order, "one", "k").join(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
-    first = F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))
-    return df.join(placed.select(order, F.when(F.col("k") < first, "train").otherwise("val").alias("split")), order)
+    """Adds split: train for the first max(1, percent of all) rows in order, val for the rest. Rows of equal order are each a row."""
+    placed = prefix_sum(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", "__k").join(F.broadcast(df.agg(F.count("*").alias("__n"))))  # one row
+    first = F.greatest(F.lit(1), F.floor(F.col("__n") * percent / 100))
+    return placed.withColumn("split", F.when(F.col("__k") < first, "train").otherwise("val")).drop("__one", "__k", "__n")

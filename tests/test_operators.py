@@ -4,6 +4,7 @@ import math
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def test_prefix_sum_is_whole(spark):
 
 def test_packing_rebuilds_the_stream(spark):
     docs = spark.createDataFrame([(0, [5, 6]), (1, []), (2, [7, 8, 9, 10])], "doc_id long, tokens array<int>")
-    stream = [r["token"] for r in packing.token_stream(docs, eos=0).orderBy("pos").collect()]
+    stream = [t for r in packing.token_stream(docs, eos=0).orderBy("offset").collect() for t in r["ids"]]
     assert stream == [5, 6, 0, 0, 7, 8, 9, 10, 0]
     w = packing.windows(packing.token_stream(docs, eos=0), 2).orderBy("chunk").collect()
     assert [r["ids"] for r in w] == [[5, 6, 0], [0, 0, 7], [7, 8, 9], [9, 10, 0]]
@@ -180,6 +181,27 @@ def test_bpe_counts_every_piece(spark):
     assert tokenizer.train(df, 4 + len(used) + 40, most_pairs=5, most_symbols=10).merges == want  # many phases
 
 
+def test_contamination_in_any_script(spark):
+    """Chinese and Japanese fragments without spaces, shared openings, many fragments a key; equal to a search of all pairs, by either join."""
+    rng = random.Random(4)
+    of = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    han, kana, latin = "天地玄黄宇宙洪荒日月盈昃", "あいうえおかきくけこ", "abcd efg hij "
+    frags = [of(s, rng.randint(80, 160)) for s in (han, kana, latin) for _ in range(8)] + ["x" * 80, " " * 40 + "y" * 41] + ["open " * 20 + of(latin, 20) for _ in range(6)]
+    texts = [of(rng.choice([han, kana, latin]), rng.randint(0, 300)) for _ in range(60)] + [None, "", "x" * 79, "x" * 500]
+    for k, f in enumerate(frags):
+        texts += [of(latin, k) + f + of(han, 5), f[:-1], f[1:] + "!", f]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, frags[0])], "doc_id long, folded string").repartition(5)
+    known = spark.createDataFrame([(f,) for f in frags + ["", frags[0]]], "fragment string")
+    want = sorted({k for k, t in [*enumerate(texts), (0, frags[0])] if t and any(f in t for f in frags)})
+    for most in (8 << 20, 0):
+        found = dedup.contaminated(docs, known, most_key_bytes=most)
+        assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+        assert sorted(r[0] for r in found.collect()) == want
+    assert dedup.contaminated(docs, known.where("fragment = ''")).count() == 0
+    short = spark.createDataFrame([("漢",), ("ab",)], "fragment string")
+    assert dedup.contaminated(spark.createDataFrame([(1, "a漢"), (2, "ba"), (3, "xab")], "doc_id long, folded string"), short).count() == 2
+
+
 def test_bpe_queries_train_at_the_reference_size(spark, sf_dir):
     from tessera.plans.tokens import bpe_merges
 
@@ -223,3 +245,72 @@ def test_eval_fragments(spark, tmp_path):
     p.write_text('{"q": "%s", "n": {"a": ["%s", "short"]}}\n' % ("x y " * 30, "Caf\\u00e9 " * 20))
     got = {r[0] for r in readers.eval_fragments(spark, str(p)).collect()}
     assert got == {("x y " * 30).strip(), ("café " * 20).strip()}
+
+
+def test_packing_by_slices(spark):
+    """Equal to slicing the whole stream; empty, null and very long documents, repeated ids, chunks of one document and of many."""
+    rng = random.Random(2)
+    docs = [(k, [rng.randint(1, 9) for _ in range(rng.choice([0, 1, 3, 40, 400]))]) for k in rng.sample(range(10**6), 60)]
+    df = spark.createDataFrame([*docs, (-5, None)], "doc_id long, tokens array<int>").repartition(5)
+    stream = [x for _, t in sorted([*docs, (-5, [])]) for x in [*t, 0]]
+    placed = packing.token_stream(df, eos=0)
+    for length in (1, 7, 64):
+        got = {r["chunk"]: r["ids"] for r in packing.chunks(placed, length).collect()}
+        assert got == {k: stream[k * (length + 1) :][: length + 1] for k in range(len(stream) // (length + 1))}
+        got = {r["chunk"]: r["ids"] for r in packing.windows(placed, length).collect()}
+        assert got == {k: stream[k * length :][: length + 1] for k in range((len(stream) - 1) // length)}
+    twice = packing.token_stream(spark.createDataFrame([(1, [5, 6]), (1, [5, 6]), (2, [7])], "doc_id long, tokens array<int>"))
+    assert sorted((r["offset"], r["ids"]) for r in twice.collect()) == [(0, [5, 6]), (2, [5, 6]), (4, [7])]
+    assert packing.chunks(placed.where("false"), 3).count() == 0
+
+
+def test_positional_split_keeps_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "k int, t string")
+    assert sorted((r["k"], r["split"]) for r in sampling.positional_split(df, "k", 50).collect()) == [(1, "train"), (1, "train"), (2, "val"), (3, "val")]
+
+
+def _greedy(sizes, most):
+    shard, total, out = 0, 0, []
+    for n in sizes:
+        if total and total + n > most:
+            shard, total = shard + 1, 0
+        total += n
+        out.append(shard)
+    return out
+
+
+def test_steps_compose():
+    """A run's step function against the fold from every number of open bytes, alone and composed."""
+    rng = random.Random(8)
+    for _ in range(150):
+        most = rng.choice([1, 5, 20])
+        runs = [np.array([rng.choice([0, 0, 1, 2, 3, 7, 30]) for _ in range(rng.randint(1, 9))]) for _ in range(3)]
+        whole = None
+        for r in runs:
+            own = packing._steps(r, most)
+            whole = whole.then(own) if whole else own
+        for total in range(45):
+            now, begun = total, 0
+            for r in runs:
+                begun_here = 0
+                at = packing._shard_of(r, most, now)
+                for k, n in enumerate(r.tolist()):
+                    if now and now + n > most:
+                        begun, begun_here, now = begun + 1, begun_here + 1, 0
+                    now += n
+                    assert at[k] == begun_here
+            assert whole(total) == (now, begun)
+
+
+def test_shard_numbers_over_many_runs(spark):
+    """One group of most rows over many runs and levels, an absent group, documents of no bytes and over the bound."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), k, rng.choice([0, 1, 5, 5, 9, 40, 120])) for k in range(600)]
+    df = spark.createDataFrame(rows, "dataset string, doc_id long, n long").repartition(4)
+    got = {(r[0], r[1]): r[2] for r in packing.shard_numbers(df, 100, "dataset", "doc_id", F.col("n"), run_rows=7, fan=3).collect()}
+    want = {}
+    for g in ("hot", "b", None):
+        own = [(k, n) for d, k, n in rows if d == g]
+        want |= {(g, k): s for (k, _), s in zip(own, _greedy([n for _, n in own], 100))}
+    assert got == want
+    assert packing.shard_numbers(df.where("false"), 100, "dataset", "doc_id", F.col("n")).count() == 0
