@@ -41,30 +41,58 @@ def prefix_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     return df.join(base, "__range").withColumn(out, F.col("__base") + F.col("__within")).drop("__range", "__base", "__within")
 
 
-def budget_sample(df: DataFrame, target: int, ratios: dict[str, float], seed: int, stratum_col: str = "stratum", tokens_col: str = "n_tok", id_col: str = "doc_id", refill: tuple[str, ...] = ()) -> DataFrame:
+DIGITS = 4
+
+
+def _cut_at(rows: DataFrame, by: list[str], key: str, value: str, bound: Column, inside: Column, digits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows in the order of a hash, group by group, against a bound on the running sum: (all taken, to be decided, the others).
+
+    Sums of hash prefixes tell where each prefix begins (``__base``) and ends; at
+    most one with a sum over zero lies across the bound, and only its rows, one in
+    16^digits, are put in order (``__prev``: the sum before each). ``inside``: whether
+    a prefix that ends at ``__end`` is taken as a whole.
+    """
+    rows = rows.withColumn("__p", F.substring(key, 1, digits))
+    sums = rows.groupBy(*by, "__p").agg(F.sum(value).alias("__s"))
+    ends = F.sum("__s").over(Window.partitionBy(*by).orderBy("__p"))  # 16^digits rows a group at most
+    rows = rows.join(sums.withColumn("__end", ends).withColumn("__base", F.col("__end") - F.col("__s")).drop("__s"), [*by, "__p"])
+    across = (F.col("__base") <= bound) & ~inside
+    own = Window.partitionBy(*by, "__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    edge = rows.where(across).withColumn("__prev", F.col("__base") + F.sum(value).over(own) - F.col(value))
+    return rows.where(inside), edge, rows.where(~across & ~inside)
+
+
+def budget_sample(df: DataFrame, target: int, ratios: dict[str, float], seed: int, stratum_col: str = "stratum", tokens_col: str = "n_tok", id_col: str = "doc_id", refill: tuple[str, ...] = (), digits: int = DIGITS) -> DataFrame:
     """Rows of a stratified sample of about ``target`` tokens, with ``taken_in`` (quota or refill).
 
     Per stratum documents are taken in hash order while they fit its quota; the
     first that does not is taken if that brings the total closer. A deficit is
     then filled from the rest of the ``refill`` strata until it is crossed.
-    Only narrow columns pass through the windows; join texts back by id.
+    Where a quota ends is found by sums of hash prefixes, so no task orders a
+    stratum. Only narrow columns take part; join texts back by id. Null counts are 0.
     """
+    if abs(sum(ratios.values()) - 1) > 1e-6 or target < 0:
+        raise ValueError("ratios must sum to 1 and the target must not be negative")
     quotas = F.create_map(*(x for s, r in ratios.items() for x in (F.lit(s), F.lit(int(target * r)).cast("long"))))
-    rows = df.select(id_col, stratum_col, tokens_col, shuffle_key(seed, id_col).alias("__key")).where(F.col(stratum_col).isin(*ratios))
-    own = Window.partitionBy(stratum_col).orderBy("__key")
-    rows = rows.withColumn("__cum", F.sum(tokens_col).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__prev", F.col("__cum") - F.col(tokens_col)).withColumn("__quota", quotas[F.col(stratum_col)])
+    rows = df.select(F.col(id_col).alias("__id"), F.col(stratum_col).alias("__stratum"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("__n"), shuffle_key(seed, id_col).alias("__key"), shuffle_key(seed + 1, id_col).alias("__key2"))
+    rows = staged(rows.where(F.col("__stratum").isin(*ratios)).withColumn("__quota", quotas[F.col("__stratum")]), "sample")
+    whole, edge, others = _cut_at(rows, ["__stratum"], "__key", "__n", F.col("__quota"), F.col("__end") <= F.col("__quota"), digits)
+    edge = edge.withColumn("__cum", F.col("__prev") + F.col("__n"))
     fits = (F.col("__cum") <= F.col("__quota")) | (F.col("__prev") == 0)
-    rows = rows.withColumn("__fits", fits).withColumn("__n_out", F.sum((~fits).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = ~F.col("__fits") & (F.col("__n_out") == 1) & (F.col("__cum") - F.col("__quota") < F.col("__quota") - F.col("__prev"))
-    rows = rows.withColumn("__take", (F.col("__fits") & (F.col("__n_out") == 0)) | edge)
-    quota = rows.where("__take").select(id_col, stratum_col, tokens_col, F.lit("quota").alias("taken_in"))
+    own = Window.partitionBy("__stratum").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)  # the rows of one prefix
+    first = ~fits & (F.sum((~fits).cast("int")).over(own) == 1)
+    decided = edge.withColumn("__take", fits | (first & (F.col("__cum") - F.col("__quota") < F.col("__quota") - F.col("__prev"))))
+    names = ["__id", "__stratum", "__n", "__key2"]
+    quota = whole.select(*names).unionByName(decided.where("__take").select(*names))
+    final = lambda d, how: d.select(F.col("__id").alias(id_col), F.col("__stratum").alias(stratum_col), F.col("__n").alias(tokens_col), F.lit(how).alias("taken_in"))
     if not refill:
-        return quota
-    deficit = quota.agg(F.coalesce(F.lit(target) - F.sum(tokens_col), F.lit(target)).alias("__deficit"))
-    pool = rows.where(~F.col("__take") & F.col(stratum_col).isin(*refill)).select(id_col, stratum_col, tokens_col, shuffle_key(seed + 1, id_col).alias("__key2"))
-    pool = pool.withColumn("__prev2", F.coalesce(F.sum(tokens_col).over(Window.orderBy("__key2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    more = pool.join(F.broadcast(deficit)).where("__prev2 < __deficit").select(id_col, stratum_col, tokens_col, F.lit("refill").alias("taken_in"))  # one row
-    return quota.unionByName(more)
+        return final(quota, "quota")
+    deficit = quota.agg(F.coalesce(F.lit(target) - F.sum("__n"), F.lit(target)).alias("__deficit"))
+    pool = others.select(*names).unionByName(decided.where("not __take").select(*names)).where(F.col("__stratum").isin(*refill))
+    pool = pool.join(F.broadcast(deficit)).withColumn("__all", F.lit(0))  # one row
+    taken, edge, _ = _cut_at(pool, ["__all"], "__key2", "__n", F.col("__deficit") - 1, F.col("__end") < F.col("__deficit"), digits)
+    more = taken.select(*names).unionByName(edge.where("__prev < __deficit").select(*names))
+    return final(quota, "quota").unionByName(final(more, "refill"))
 
 
 def prefix_until(df: DataFrame, order: str, value: str, budget: int) -> DataFrame:

@@ -314,3 +314,42 @@ def test_shard_numbers_over_many_runs(spark):
         want |= {(g, k): s for (k, _), s in zip(own, _greedy([n for _, n in own], 100))}
     assert got == want
     assert packing.shard_numbers(df.where("false"), 100, "dataset", "doc_id", F.col("n")).count() == 0
+
+
+def _sample(rows, target, ratios, seed, refill):
+    """Document by document, in the order of the hashes."""
+    import hashlib
+
+    key = lambda s, i: hashlib.sha256(f"{s}:{i}".encode()).hexdigest()
+    taken, total, rest = [], 0, []
+    for stratum, ratio in ratios.items():
+        quota, cum, open_ = int(target * ratio), 0, True
+        for i, _, n in sorted((r for r in rows if r[1] == stratum), key=lambda r: key(seed, r[0])):
+            fits = cum + n <= quota or cum == 0
+            if open_ and (fits or cum + n - quota < quota - cum):
+                taken.append((i, stratum, n, "quota"))
+                total += n
+            else:
+                rest.append((i, stratum, n))
+            open_ &= fits
+            cum += n
+    missing = target - total
+    for i, stratum, n in sorted((r for r in rest if r[1] in refill), key=lambda r: key(seed + 1, r[0])):
+        if missing <= 0:
+            break
+        taken.append((i, stratum, n, "refill"))
+        missing -= n
+    return sorted(taken)
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_budget_sample_by_prefixes(spark, digits):
+    rng = random.Random(digits)
+    for target in (0, 7, 300, 100_000):
+        rows = [(i, rng.choice("aaabc"), rng.choice([0, 1, 3, 20, 150])) for i in range(150)]
+        ratios = {"a": 0.5, "b": 0.3, "c": 0.2}
+        df = spark.createDataFrame([*rows, (999, None, 4), (998, "other", 4)], "doc_id long, stratum string, n_tok long").repartition(3)
+        got = sampling.budget_sample(df, target, ratios, 5, refill=("a", "b"), digits=digits)
+        assert sorted(map(tuple, got.collect())) == _sample(rows, target, ratios, 5, ("a", "b"))
+    with pytest.raises(ValueError):
+        sampling.budget_sample(df, 10, {"a": 0.5}, 1)
