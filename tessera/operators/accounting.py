@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sampling import prefix_sum
 
 
 def label(c: Column) -> Column:
@@ -89,8 +90,17 @@ def decision(checks: DataFrame) -> DataFrame:
 
 
 def corpus_digest(docs: DataFrame, order: str = "doc_id", text_col: str = "text", per_leaf: int = 4096) -> DataFrame:
-    """An order-sensitive digest: leaves over ranges of ids, then the root over the leaves."""
-    leaf = F.floor(F.col(order) / per_leaf).alias("leaf")
-    own = docs.select(leaf, order, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"))
-    leaves = own.groupBy("leaf").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
-    return leaves.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
+    """An order-sensitive digest: a tree of ``per_leaf`` hashes a node over the documents' ranks, at least two levels.
+
+    Ranks come from sampled ranges, so a tree has the same shape whatever the ids
+    are; rows of equal order stand by their hashes. Null texts count as empty.
+    """
+    own = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"), F.struct(F.col(order), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("place"), F.lit(1).cast("long").alias("one"))
+    level = prefix_sum(own, "place", "one", "k").select("k", "h")
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256)
+    n = docs.count()
+    while True:
+        level = level.groupBy(F.floor(F.col("k") / per_leaf).alias("k")).agg(joined.alias("h"))
+        n = -(-n // per_leaf)
+        if n <= per_leaf:
+            return level.agg(joined.alias("digest"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import accounting, evaluation, quality, sampling
-from ..sources import readers, writers
+from ..sources import packed, readers, writers
 from ..sources.stage import shared_folder, staged
 from . import corpus, query, table
 from .corpus import FOLD, GATE_ROWS, NORM
-from .tokens import WORDS
+from .tokens import STREAM, WORDS
 
 _JUDGED = "NOT duplicate AND NOT contaminated"
 
@@ -49,13 +48,18 @@ def corpus_gate_rejections(spark, sf_dir):
     return corpus.gate_rows(spark, sf_dir).select(F.explode(first).alias("reason")).groupBy("reason").agg(F.count("*").alias("docs"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS published FROM documents WHERE false")
+@query(f"WITH {GATE_ROWS} SELECT 'accepted' AS corpus, a.doc_id, sha256(d.text) AS h FROM a JOIN documents d ON d.doc_id = a.doc_id WHERE accepted")
 def gated_publish(spark, sf_dir):
-    """Files of a publish that the gate refuses: none, as its staging folder goes again."""
-    decision = quality.gate_failures(quality.gate_totals(corpus.gate_rows(spark, sf_dir))).first()
-    path = shared_folder(spark, "published")
-    done = writers.publish(table(spark, sf_dir, "documents"), path, list(decision["failures"]))
-    return spark.range(1).select(F.lit(1 if done else 0).cast("long").alias("published"))
+    """What is read back of two publishes: the whole corpus, which the gate refuses, and its accepted documents, which it lets through."""
+    rows = staged(corpus.gate_rows(spark, sf_dir), "gate-rows")
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), None
+    for name, judged in (("all", rows), ("accepted", rows.where("accepted"))):
+        path = shared_folder(spark, f"published-{name}")
+        decision = quality.gate_failures(quality.gate_totals(judged)).first()
+        if writers.publish(docs.join(judged.select("doc_id"), "doc_id", "left_semi"), path, list(decision["failures"])):
+            read = spark.read.parquet(path).select(F.lit(name).alias("corpus"), "doc_id", F.sha2("text", 256).alias("h"))
+            out = out.unionByName(read) if out else read
+    return out if out else docs.where("false").select(F.lit("").alias("corpus"), "doc_id", F.sha2("text", 256).alias("h"))
 
 
 _FILTER = r"""p AS (SELECT doc_id, source, text AS t, len(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f\x85\pZ]+'), lambda x: x <> '')) AS w FROM documents),
@@ -155,22 +159,41 @@ def whole_file_sample(spark, sf_dir):
 
 @query(f"SELECT CAST(sum(len({WORDS})) AS BIGINT) AS tokens, CAST(sum(list_sum(list_transform({WORDS}, lambda x: length(x)))) AS BIGINT) AS total FROM documents")
 def packed_round_trip(spark, sf_dir):
-    """Packed tokens (here word lengths) written with a manifest, read back and checked against it."""
+    """Packed tokens (here word lengths) written as uint32 files, read back and checked against their manifest."""
     from ..operators.packing import token_stream
 
     ids = F.transform(T.split_words(F.col("text")), F.length)
-    stream = token_stream(table(spark, sf_dir, "documents").select("doc_id", ids.alias("tokens"))).select("pos", "token")
     path = shared_folder(spark, "packed")
-    writers.write_packed(stream, path, 1 << 20)
-    return readers.read_packed(spark, path).agg(F.count("*").alias("tokens"), F.sum("token").cast("long").alias("total"))
+    packed.write_packed(token_stream(table(spark, sf_dir, "documents").select("doc_id", ids.alias("tokens"))), path, 1 << 20)
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return packed.read_packed(spark, path).agg(F.sum(F.size("ids")).cast("long").alias("tokens"), F.sum(total).cast("long").alias("total"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS missing_or_changed, CAST(1 AS BIGINT) AS manifests")
+@query(f"WITH {STREAM}, b AS (SELECT pos, token, pos // 128 AS chunk FROM s UNION ALL SELECT pos, token, pos // 128 - 1 FROM s WHERE pos % 128 = 0 AND pos > 0) SELECT CAST(chunk AS BIGINT) AS chunk, sha256(array_to_string((list(token ORDER BY pos))[:128], ',')) AS inputs, sha256(array_to_string((list(token ORDER BY pos))[2:], ',')) AS labels FROM b GROUP BY 1 HAVING count(*) = 129")
+def packed_training_examples(spark, sf_dir):
+    """Training examples read from packed files, over their borders: inputs and labels of every full window."""
+    from ..operators.packing import token_stream
+
+    ids = F.transform(T.split_words(F.col("text")), F.length)
+    path = shared_folder(spark, "packed")
+    packed.write_packed(token_stream(table(spark, sf_dir, "documents").select("doc_id", ids.alias("tokens")), eos=0), path, 1 << 20, eos=0, file_tokens=10_000)
+    text = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256)
+    return packed.read_packed(spark, path, seq_len=128).select(F.col("index").alias("chunk"), text("input_ids").alias("inputs"), text("labels").alias("labels"))
+
+
+@query(
+    """WITH f AS (SELECT source, sha256(string_agg(sha256(text) || chr(10), '' ORDER BY doc_id)) AS expected, sha256(string_agg(sha256(text || '!') || chr(10), '' ORDER BY doc_id)) AS changed FROM documents GROUP BY source)
+    SELECT source, expected, CASE source WHEN 'src3' THEN changed ELSE 'missing' END AS found FROM f WHERE source IN ('src3', 'src5')"""
+)
 def checksum_mismatches(spark, sf_dir):
-    """A written table's checksums against a list in which one file is wrong, and its manifest, written twice under one name."""
-    path = shared_folder(spark, "sums")
-    table(spark, sf_dir, "nation").coalesce(1).write.parquet(path)
-    sums = staged(writers.checksums(spark, path), "checksums")
-    wrong = sums.withColumn("k", F.row_number().over(Window.orderBy("path"))).select("path", F.when(F.col("k") == 1, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))  # one row a file
-    names = {writers.write_manifest(spark, path, {"files": 1, "schema": 1}) for _ in range(2)}
-    return writers.mismatched(sums, wrong).agg(F.count("*").alias("missing_or_changed")).withColumn("manifests", F.lit(len(names)).cast("long"))
+    """A file for each source, listed with its checksum; a later copy in which one file holds other text and one is missing is held against the list."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+
+    def written(rows, text, what):
+        path = shared_folder(spark, what)
+        rows.select("source", "doc_id", F.sha2(text, 256).alias("h")).repartition("source").sortWithinPartitions("source", "doc_id").select("source", "h").write.partitionBy("source").option("lineSep", "\n").text(path)
+        return staged(writers.checksums(spark, path).withColumn("path", F.regexp_extract("path", "source=([^/]+)", 1)), "checksums")
+
+    listed = written(d, F.col("text"), "listed").select("path", "sha256")
+    later = written(d.where("source <> 'src5'"), F.when(F.col("source") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text")), "later")
+    return writers.mismatched(later, listed).select(F.col("path").alias("source"), F.col("sha256").alias("expected"), F.coalesce("found", F.lit("missing")).alias("found"))

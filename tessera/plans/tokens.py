@@ -197,7 +197,7 @@ def dataset_manifest(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT doc_id // 4096 AS leaf, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1)
+    """WITH l AS (SELECT k // 4096 AS leaf, sha256(string_agg(sha256(text), chr(10) ORDER BY k)) AS h FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) GROUP BY 1)
     SELECT sha256(string_agg(h, chr(10) ORDER BY leaf)) AS digest FROM l"""
 )
 def corpus_digest(spark, sf_dir):

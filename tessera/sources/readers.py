@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-PACKED_KEYS = ("dtype", "token_count", "vocab_size", "sha256", "complete")
 
 
 def read_jsonl(spark, path: str, schema: str) -> DataFrame:
@@ -91,23 +90,3 @@ def source_plan(spark, rows: list[dict]) -> DataFrame:
     fields = "id string, dataset string, language string, domain string, license string, target_token_share double, allowed_for_base_pretraining boolean, blocking_reason string"
     names = [f.split()[0] for f in fields.split(", ")]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], fields)
-
-
-def packed_digest(stream: DataFrame) -> tuple[int, int | None, str]:
-    """Number of tokens, greatest token, and a digest of (pos, token): sums, which repeated rows do not cancel."""
-    n, top, *sums = stream.agg(F.count("*"), F.max("token"), *(F.sum(F.xxhash64(F.lit(k), "pos", "token").cast("decimal(20,0)")) for k in range(2))).first()
-    return n, top, hashlib.sha256(f"{n} {sums}".encode()).hexdigest()
-
-
-def read_packed(spark, path: str, vocab_size: int | None = None) -> DataFrame:
-    """A packed stream (pos, token), checked: marker, keys, length, id range and digest."""
-    head = spark.read.text(f"{path}/manifest.json", wholetext=True).first()
-    manifest = json.loads(head[0])
-    missing = [k for k in PACKED_KEYS if k not in manifest]
-    if missing or not manifest["complete"]:
-        raise ValueError(f"incomplete packed stream: {missing or 'no marker'}")
-    df = spark.read.parquet(f"{path}/tokens")
-    n, top, digest = packed_digest(df)
-    if n != manifest["token_count"] or digest != manifest["sha256"] or (top is not None and top >= (vocab_size or manifest["vocab_size"])):
-        raise ValueError("packed stream does not match its manifest")
-    return df

@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readers import packed_digest
 
 
 def _fs(spark, path: str):
@@ -30,17 +29,16 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, path: str, failures: list[str], fmt: str = "parquet") -> bool:
-    """Write to a staging folder and rename it only if no gate failed; never overwrites."""
+    """Write to a staging folder and rename it; nothing is written if a gate failed, and nothing overwritten."""
     spark = df.sparkSession
     fs, final = _fs(spark, path)
     if fs.exists(final):
         raise FileExistsError(path)
+    if failures:
+        return False
     staged = f"{path}.staged"
     df.write.mode("overwrite").format(fmt).save(staged)
     _, tmp = _fs(spark, staged)
-    if failures:
-        fs.delete(tmp, True)
-        return False
     return bool(fs.rename(tmp, final))
 
 
@@ -61,17 +59,6 @@ def write_manifest(spark, folder: str, manifest: dict) -> str:
     return name
 
 
-def write_packed(stream: DataFrame, path: str, vocab_size: int) -> dict:
-    """(pos, token) as Parquet with a manifest, written last, that marks completion."""
-    n, top, digest = packed_digest(stream)
-    if top is not None and top >= vocab_size:
-        raise ValueError(f"token {top} is outside the vocabulary")
-    stream.select("pos", "token").write.mode("errorifexists").parquet(f"{path}/tokens")
-    manifest = {"dtype": "uint32", "token_count": n, "vocab_size": vocab_size, "sha256": digest, "complete": True}
-    write_text(stream.sparkSession, f"{path}/manifest.json", canonical_json(manifest))
-    return manifest
-
-
 def write_shards(docs: DataFrame, path: str, max_bytes: int, group: str, order: str = "doc_id", text: str = "text") -> DataFrame:
     """Greedy content-addressed shards as a table partitioned by shard id; equal shards are one."""
     from ..operators.packing import greedy_shards

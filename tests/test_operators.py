@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import accounting, capabilities, dedup, evaluation, packing, quality, retrieval, sampling, sft, tokenizer, verify
-from tessera.sources import readers, writers
+from tessera.sources import packed, readers, writers
 
 ODD = ["", "  a \t b ", "é\r\n\r\nx", "x\x0by\x85z", " q r ", "ひらがな漢字", "한국어 text", "A" * 25, "हिन्दी कि", "ß SS ẞ", "<b>x</b> y", "a�b", "x \x00\x07 y"]
 
@@ -233,11 +233,91 @@ def test_jsonl_and_publish(spark, tmp_path):
     assert writers.publish(df, f"file://{tmp_path}/out", []) and spark.read.parquet(f"{tmp_path}/out").count() == 3
     with pytest.raises(FileExistsError):
         writers.publish(df, f"file://{tmp_path}/out", [])
-    stream = spark.createDataFrame([(0, 5), (1, 7)], "pos long, token int")
-    writers.write_packed(stream, f"file://{tmp_path}/packed", 10)
-    assert readers.read_packed(spark, f"file://{tmp_path}/packed").count() == 2
-    with pytest.raises(ValueError):
-        readers.read_packed(spark, f"file://{tmp_path}/packed", vocab_size=6)
+
+
+def _packed(spark, tmp_path, stream, **options):
+    """One row for each of some runs of the stream, dealt over tasks."""
+    rng, at, rows = random.Random(1), 0, []
+    while at < len(stream):
+        n = min(rng.choice([1, 5, 40, 300]), len(stream) - at)
+        rows.append((at, stream[at : at + n]))
+        at += n
+    path = f"file://{tmp_path}/packed"
+    df = spark.createDataFrame([*rows, (7, [])], "offset long, ids array<long>").repartition(3)
+    return path, packed.write_packed(df, path, 100, **options)
+
+
+def test_packed_files_round_trip(spark, tmp_path):
+    """Files of few tokens, so that windows and rows cross them; nothing is replaced."""
+    rng = random.Random(3)
+    stream = [rng.randint(0, 99) for _ in range(2_001)]
+    path, manifest = _packed(spark, tmp_path, stream, file_tokens=64, eos=7)
+    assert manifest["token_count"] == 2_001 and manifest["tokens_bytes"] == 8_004 and manifest["eos_token_count"] == stream.count(7) and len(manifest["files"]) > 20
+    back = [t for r in packed.read_packed(spark, path).orderBy("offset").collect() for t in r["ids"]]
+    assert back == stream
+    for s in (1, 10, 100, 1000, 2000):
+        got = {r["index"]: (r["input_ids"], r["labels"]) for r in packed.read_packed(spark, path, seq_len=s).collect()}
+        assert got == {k: (stream[k * s : k * s + s], stream[k * s + 1 : k * s + s + 1]) for k in range((2_001 - 1) // s)}
+    with pytest.raises(Exception, match="shorter than one"):
+        packed.read_packed(spark, path, seq_len=2_001).count()
+    with pytest.raises(Exception, match="exists|Exists|packed"):
+        _packed(spark, tmp_path, stream)
+
+
+@pytest.mark.parametrize("harm,what", [("marker", "COMPLETE"), ("short", "byte length"), ("byte", "hash mismatch"), ("vocabulary", "outside the vocabulary"), ("key", "lacks")])
+def test_packed_files_are_checked(spark, tmp_path, harm, what):
+    path, manifest = _packed(spark, tmp_path, list(range(100)) * 5, file_tokens=200)
+    folder = tmp_path / "packed"
+    first = folder / manifest["files"][0]["name"]
+    if harm == "marker":
+        (folder / "COMPLETE").unlink()
+    elif harm == "short":
+        first.write_bytes(first.read_bytes()[:-4])
+    elif harm == "byte":
+        first.write_bytes(bytes([first.read_bytes()[0] ^ 1]) + first.read_bytes()[1:])
+    else:
+        import json
+
+        changed = manifest | {"tokenizer_vocab_size": 50}
+        if harm == "key":
+            changed.pop("dtype")
+        (folder / "manifest.json").write_text(json.dumps(changed))
+    with pytest.raises(Exception, match=what):
+        packed.read_packed(spark, path).count()
+
+
+def test_packed_writer_refuses(spark, tmp_path):
+    for rows, what in (([(0, [5]), (2, [6])], "join"), ([(1, [5])], "join"), ([(0, [100])], "vocabulary")):
+        df = spark.createDataFrame(rows, "offset long, ids array<long>")
+        with pytest.raises(Exception, match=what):
+            packed.write_packed(df, f"file://{tmp_path}/refused", 100)
+        assert not (tmp_path / "refused").exists()
+
+
+def test_length_statistics_are_exact(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.choice([0, 1, 7, -5, 10**12 + rng.randint(0, 9), rng.randint(-(10**6), 10**6), 2048, 4095, 4096])) for g in ("a", "a", "b", None) for _ in range(157)] + [("one", 3), ("none", None)]
+    got = {r[0]: tuple(r)[1:] for r in sft.length_statistics(spark.createDataFrame(rows, "role string, w long"), "role", "w").collect()}
+    want = {}
+    for g in ("a", "b", None, "one"):
+        own = sorted(v for x, v in rows if x == g and v is not None)
+        want[g] = (len(own), sum(own), own[len(own) // 2], own[math.floor(len(own) * 0.95)])
+    assert got == want
+
+
+def test_corpus_digest_does_not_hang_on_ids(spark):
+    texts = ["a", None, "b", "b", "ccc"] * 8
+    digest = lambda ids, t=texts: accounting.corpus_digest(spark.createDataFrame(list(zip(ids, t)), "doc_id long, text string").repartition(3), per_leaf=4).first()[0]
+    plain = digest(range(40))
+    assert plain == digest([k * 10**12 - 5 for k in range(40)]) and plain != digest(range(40, 0, -1))
+    assert digest([1] * 40) == digest([1] * 40, texts[::-1])
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = [sha(t or "") for t in texts]
+    for _ in range(3):
+        level = [sha("\n".join(level[k : k + 4])) for k in range(0, len(level), 4)]
+    assert [plain] == level
 
 
 def test_eval_fragments(spark, tmp_path):
