@@ -68,7 +68,10 @@ def response_score(answer: Column, reference: Column, task: Column) -> Column:
 
 #: What a calculator expression may use, its limits and its messages.
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
-_FUNCTIONS = {n: getattr(math, n) for n in ("sqrt", "sin", "cos", "tan", "log", "log10", "exp", "pow", "floor", "ceil")} | {"abs": abs, "round": round}
+_FUNCTIONS = {
+    "sqrt": math.sqrt, "sin": math.sin, "cos": math.cos, "tan": math.tan, "log": math.log, "log10": math.log10, "exp": math.exp,
+    "abs": abs, "round": round, "pow": math.pow, "floor": math.floor, "ceil": math.ceil,
+}
 _CONSTANTS = {"pi": math.pi, "e": math.e}
 _MOST_BASE, _MOST_EXPONENT = 10_000, 1000
 _EMPTY, _SYNTAX, _FAILED = "Empty expression provided to calculator.", "Syntax error in mathematical expression: ", "Evaluation failed: "
@@ -80,53 +83,63 @@ class Refused(ValueError):
     """An expression that the calculator does not take."""
 
 
-def _checked(tree: ast.Expression) -> list[ast.AST]:
-    """The parts of an expression, operands before what uses them."""
-    order, stack = [], [tree.body]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += {ast.BinOp: lambda n: [n.left, n.right], ast.UnaryOp: lambda n: [n.operand], ast.Call: lambda n: n.args}.get(type(node), lambda n: [])(node)
-    return order[::-1]
-
-
-def _apply(node: ast.AST, values: dict[ast.AST, float]) -> float:
-    if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
-        return float(node.value)
-    if isinstance(node, ast.Name):
-        if node.id not in _CONSTANTS:
-            raise Refused(_NAME.format(node.id))
-        return _CONSTANTS[node.id]
-    if isinstance(node, ast.UnaryOp) and type(node.op) in _OPERATORS:
-        return _OPERATORS[type(node.op)](values[node.operand])
-    if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
-        a, b = values[node.left], values[node.right]
-        if b == 0 and type(node.op) in (ast.Div, ast.FloorDiv, ast.Mod):
-            raise Refused(_ZERO)
-        if type(node.op) is ast.Pow and (abs(a) > _MOST_BASE or abs(b) > _MOST_EXPONENT):
-            raise Refused(_BOUNDS)
-        return float(_OPERATORS[type(node.op)](a, b))
-    if isinstance(node, ast.Call):
-        name = node.func.id if isinstance(node.func, ast.Name) else None
-        if name not in _FUNCTIONS:
+def _operands(node: ast.AST) -> list[ast.AST]:
+    """The operands of a part that the calculator takes; any other part is refused before its operands are looked at."""
+    kind = type(node)
+    if kind is ast.Call:
+        if getattr(node.func, "id", None) not in _FUNCTIONS:
             raise Refused(_NO_CALL)
+        return node.args
+    if kind in (ast.BinOp, ast.UnaryOp) and type(node.op) in _OPERATORS:
+        return [node.operand] if kind is ast.UnaryOp else [node.left, node.right]
+    if kind is ast.Name and node.id not in _CONSTANTS:
+        raise Refused(_NAME.format(node.id))
+    if kind is not ast.Name and not (kind is ast.Constant and isinstance(node.value, (int, float))):
+        raise Refused(_KIND.format(kind.__name__))
+    return []
+
+
+def _worth(node: ast.AST, values: list[float]) -> float:
+    """A part's value from its operands'."""
+    if isinstance(node, ast.Call):
         try:
-            return float(_FUNCTIONS[name](*(values[x] for x in node.args)))
+            return float(_FUNCTIONS[node.func.id](*values))
         except Exception as e:
-            raise Refused(_CALL.format(name, e)) from e
-    raise Refused(_KIND.format(type(node).__name__))
+            raise Refused(_CALL.format(node.func.id, e)) from e
+    if not values:
+        return float(node.value) if isinstance(node, ast.Constant) else _CONSTANTS[node.id]
+    op = type(node.op)
+    if op in (ast.Div, ast.FloorDiv, ast.Mod) and values[1] == 0:
+        raise Refused(_ZERO)
+    if op is ast.Pow and (abs(values[0]) > _MOST_BASE or abs(values[1]) > _MOST_EXPONENT):
+        raise Refused(_BOUNDS)
+    return float(_OPERATORS[op](*values))
+
+
+def _evaluated(body: ast.AST) -> float:
+    """From the left, each part refused on the way down and computed on the way up; no recursion, however deep."""
+    todo: list[tuple[ast.AST, int]] = [(body, -1)]
+    values: list[float] = []
+    while todo:
+        node, n = todo.pop()
+        if n < 0:
+            parts = _operands(node)
+            todo.append((node, len(parts)))
+            todo += [(x, -1) for x in reversed(parts)]
+        else:
+            own = values[len(values) - n :]
+            del values[len(values) - n :]
+            values.append(_worth(node, own))
+    return values[0]
 
 
 def _calculate(expression: str | None) -> tuple[bool, str | None, str | None]:
     """success, output, error; an error is a result, it never ends the query."""
-    text, values = (expression or "").strip(), {}
+    text = (expression or "").strip()
     if not text:
         return False, None, _EMPTY
     try:
-        tree = ast.parse(text, mode="eval")
-        for node in _checked(tree):
-            values[node] = _apply(node, values)
-        v = values[tree.body]
+        v = _evaluated(ast.parse(text, mode="eval").body)
         return True, str(int(v)) if math.isfinite(v) and v.is_integer() else repr(v), None
     except SyntaxError as e:
         return False, None, _SYNTAX + str(e.msg)

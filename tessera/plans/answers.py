@@ -103,18 +103,24 @@ def structural_verdict(spark, sf_dir):
     return v.select("conv_id", "turn", "v.status", F.round("v.score", 6).alias("score"))
 
 
-ANSWERS = ["25 * 4 = 100", "25 * 4 = 105", "no numbers", "1 + 1 = 2 and 9 / 3 = 3", "2 + 3 * 4 = 14", "7 / 0 = 1", "0.1 + 0.2 = 0.3", "5 - 2 = 3, 5 - 2 = 4"]
+_ANSWER = "CASE k % 8 WHEN 0 THEN k || ' + ' || n || ' = ' || (k + n) WHEN 1 THEN k || ' * ' || n || ' = ' || (k * n + 1) WHEN 2 THEN 'no numbers but ' || k WHEN 3 THEN k || ' - ' || n || ' = ' || (k - n) || ' and 9 / 3 = 3' WHEN 4 THEN '2 + 3 * ' || n || ' = 14' WHEN 5 THEN k || ' / 0 = 1' WHEN 6 THEN '0.1 + 0.2 = 0.3' ELSE '5 - 2 = 3, ' || n || ' - 2 = 4' END"
 
 
 @query(
-    rf"""WITH a AS (SELECT unnest({ANSWERS}) AS answer), e AS (SELECT answer, unnest(regexp_extract_all(answer, '\d+(?:\.\d+)?\s*[-+*/]\s*\d+(?:\.\d+)?\s*=\s*\d+(?:\.\d+)?')) AS q FROM a),
-    x AS (SELECT answer, regexp_extract(q, '^(\d+(?:\.\d+)?)', 1)::DOUBLE AS a, regexp_extract(q, '\s*([-+*/])', 1) AS op, regexp_extract(q, '[-+*/]\s*(\d+(?:\.\d+)?)', 1)::DOUBLE AS b, regexp_extract(q, '=\s*(\d+(?:\.\d+)?)', 1)::DOUBLE AS c FROM e),
-    w AS (SELECT answer, bool_or(coalesce(abs(CASE op WHEN '+' THEN a + b WHEN '-' THEN a - b WHEN '*' THEN a * b ELSE CASE WHEN b <> 0 THEN a / b END END - c) > 1e-4, true)) AS wrong FROM x GROUP BY answer)
-    SELECT a.answer, CASE WHEN wrong IS NULL THEN 'UNVERIFIED' WHEN wrong THEN 'REVISE' ELSE 'PASS' END AS status FROM a LEFT JOIN w USING (answer)"""
+    rf"""WITH a AS (SELECT k AS id, {_ANSWER} AS answer FROM (SELECT o_orderkey AS k, o_orderkey % 13 AS n FROM orders)), e AS (SELECT id, unnest(regexp_extract_all(answer, '\d+(?:\.\d+)?\s*[-+*/]\s*\d+(?:\.\d+)?\s*=\s*\d+(?:\.\d+)?')) AS q FROM a),
+    x AS (SELECT id, regexp_extract(q, '^(\d+(?:\.\d+)?)', 1)::DOUBLE AS a, regexp_extract(q, '\s*([-+*/])', 1) AS op, regexp_extract(q, '[-+*/]\s*(\d+(?:\.\d+)?)', 1)::DOUBLE AS b, regexp_extract(q, '=\s*(\d+(?:\.\d+)?)', 1)::DOUBLE AS c FROM e),
+    w AS (SELECT id, bool_or(coalesce(abs(CASE op WHEN '+' THEN a + b WHEN '-' THEN a - b WHEN '*' THEN a * b ELSE CASE WHEN b <> 0 THEN a / b END END - c) > 1e-4, true)) AS wrong FROM x GROUP BY id)
+    SELECT a.id, CASE WHEN wrong IS NULL THEN 'UNVERIFIED' WHEN wrong THEN 'REVISE' ELSE 'PASS' END AS status FROM a LEFT JOIN w USING (id)"""
 )
 def math_verdict(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a in ANSWERS], "answer string")
-    return rows.select("answer", verify.mathematical(F.col("answer"))["status"].alias("status"))
+    """Equations of each order's key: true, false, none, several, by zero, of decimals, in a chain."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey") % 13
+    say = lambda form, *x: F.format_string(form, *x)
+    forms = [say("%d + %d = %d", k, n, k + n), say("%d * %d = %d", k, n, k * n + 1), say("no numbers but %d", k), say("%d - %d = %d and 9 / 3 = 3", k, n, k - n), say("2 + 3 * %d = 14", n), say("%d / 0 = 1", k), F.lit("0.1 + 0.2 = 0.3"), say("5 - 2 = 3, %d - 2 = 4", n)]
+    answer = F.when(k % 8 == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        answer = answer.when(k % 8 == i, form)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), verify.mathematical(answer)["status"].alias("status"))
 
 
 @query()

@@ -104,9 +104,10 @@ def positional_split(spark, sf_dir):
     return sampling.positional_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT CAST(s AS BIGINT) AS step, round(CASE WHEN s < 20 THEN 2e-5 * (s + 1) / 20 ELSE 1e-6 + 0.5 * (1 + cos(pi() * least(1, (s - 20) / 180.0))) * (2e-5 - 1e-6) END, 12) AS rate FROM range(0, 210) t(s)")
+@query("SELECT event_id, round(CASE WHEN s < 20 THEN 2e-5 * (s + 1) / 20 ELSE 1e-6 + 0.5 * (1 + cos(pi() * least(1, (s - 20) / 180.0))) * (2e-5 - 1e-6) END, 12) AS rate FROM (SELECT event_id, event_id % 210 AS s FROM events)")
 def tuned_learning_rates(spark, sf_dir):
-    return spark.range(210).select(F.col("id").alias("step"), F.round(accounting.tuned_learning_rate(F.col("id"), 200, 20, 2e-5, 1e-6), 12).alias("rate"))
+    """The rate at each event's step, also beyond the last one."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(accounting.tuned_learning_rate(F.col("event_id") % 210, 200, 20, 2e-5, 1e-6), 12).alias("rate"))
 
 
 @query(

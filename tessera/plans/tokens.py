@@ -251,16 +251,21 @@ def winner_vote(spark, sf_dir):
     return accounting.majority(accounting.winners(r.withColumns({"stable": F.lit(True), "learning": F.lit(True)})))
 
 
-@query("SELECT * FROM (VALUES ('v1', 99496704), ('v2', 112382208)) t(name, parameters)")
+@query("WITH c AS (SELECT 'part' || p_partkey AS name, 1000 * p_size AS v, 64 * (1 + p_partkey % 12) AS d, 1 + p_partkey % 24 AS n, 1 + p_partkey % 4 AS kv, p_partkey % 2 AS qk FROM part) SELECT 'v1' AS name, 99496704 AS parameters UNION ALL SELECT 'v2', 112382208 UNION ALL SELECT name, CAST(v * d + d + n * (2 * d * d + 2 * d * kv * 64 + 3 * d * 2048 + 2 * d + qk * 128) AS BIGINT) FROM c")
 def parameter_counts(spark, sf_dir):
-    rows = spark.createDataFrame([("v1", 64000, 768, 8, 12, 4, 2048, False), ("v2", 48000, 768, 12, 12, 4, 2048, True)], "name string, vocab long, d long, layers long, heads long, kv long, inner long, qk boolean")
-    c = F.col
+    """Sizes of the two published models and of a model for each part."""
+    fields = "name string, vocab long, d long, layers long, heads long, kv long, inner long, qk boolean"
+    rows = spark.createDataFrame([("v1", 64000, 768, 8, 12, 4, 2048, False), ("v2", 48000, 768, 12, 12, 4, 2048, True)], fields)
+    k, c = F.col("p_partkey").cast("long"), F.col
+    made = [F.concat(F.lit("part"), k), c("p_size").cast("long") * 1000, (k % 12 + 1) * 64, k % 24 + 1, k % 12 + 1, k % 4 + 1, F.lit(2048).cast("long"), k % 2 == 1]
+    rows = rows.unionByName(table(spark, sf_dir, "part").select(*(x.alias(f.split()[0]) for x, f in zip(made, fields.split(", ")))))
     return rows.select("name", accounting.parameter_count(c("vocab"), c("d"), c("layers"), c("heads"), c("kv"), c("inner"), qk_norm=c("qk")).alias("parameters"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 100 THEN 0.0006 * (i + 1) / 100 ELSE 0.0006 * greatest(0.1, 0.5 * (1 + cos(least(1.0, (i - 100) / 900.0) * pi()))) END, 9) AS lr FROM range(1000) t(i)")
+@query("SELECT event_id, round(CASE WHEN i < 100 THEN 0.0006 * (i + 1) / 100 ELSE 0.0006 * greatest(0.1, 0.5 * (1 + cos(least(1.0, (i - 100) / 900.0) * pi()))) END, 9) AS lr FROM (SELECT event_id, event_id % 1000 AS i FROM events)")
 def learning_rates(spark, sf_dir):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(accounting.learning_rate(F.col("id"), 1000, 100, 0.0006), 9).alias("lr"))
+    """The rate at each event's step."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(accounting.learning_rate(F.col("event_id") % 1000, 1000, 100, 0.0006), 9).alias("lr"))
 
 
 @query(

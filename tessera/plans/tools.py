@@ -30,22 +30,30 @@ def prompt_echo(spark, sf_dir):
     return answer.select("conv_id", "turn", "answer", A.estimated_tokens(F.col("answer")).cast("long").alias("tokens"))
 
 
-#: Expressions and what a calculator says of them.
-EXPRESSIONS = [
-    ("2 + 3 * 4", "14", None), ("(1 + 2) ** 3", "27", None), ("sqrt(16) + pi - pi", "4", None), ("7 // 2", "3", None), ("-3.5", "-3.5", None), ("round(2.5)", "2", None), ("True + 1", "2", None),
-    ("7 % 0", None, "Division or modulo by zero."), ("2 ** 5000", None, "Exponentiation result exceeds safe computation bounds."), ("20000 ** 2", None, "Exponentiation result exceeds safe computation bounds."),
-    ("__import__(1)", None, "Disallowed function call in calculator expression."), ("x + 1", None, "Unknown constant or variable: 'x'"), ("[1]", None, "Unsupported mathematical syntax: List"), ("", None, "Empty expression provided to calculator."), ("sqrt(-1)", None, "Math function error 'sqrt': math domain error"),
-]
+def _by_key(k, *cases):
+    """The k-th of the cases, by the remainder of a key."""
+    out = F.when(k % len(cases) == 0, cases[0])
+    for n, case in enumerate(cases[1:], 1):
+        out = out.when(k % len(cases) == n, case)
+    return out
 
 
-def _sql(value) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+_EXPRESSION = "CASE o_orderkey % 10 WHEN 0 THEN k || ' + 3 * (' || k || ' % 7)' WHEN 1 THEN k || ' // 0' WHEN 2 THEN 'foo(' || k || ' / 0)' WHEN 3 THEN k || ' | 1' WHEN 4 THEN 'x + ' || k WHEN 5 THEN '-' || k || ' % 5' WHEN 6 THEN '2 ** (1001 + ' || k || ')' WHEN 7 THEN 'floor(' || k || ' / 4) + pi - pi' WHEN 8 THEN '1 / 0 + foo(' || k || ')' ELSE '[' || k || ']' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(e)}, {v is not None}, {_sql(v)}, {_sql(x)})" for e, v, x in EXPRESSIONS) + ") t(expression, success, output, error)")
+@query(
+    f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders), x AS (SELECT o_orderkey AS id, {_EXPRESSION} AS expression FROM o)
+    SELECT id, expression, id % 10 IN (0, 5, 7) AS success, CASE id % 10 WHEN 0 THEN CAST(id + 3 * (id % 7) AS VARCHAR) WHEN 5 THEN CAST((5 - id % 5) % 5 AS VARCHAR) WHEN 7 THEN CAST(id // 4 AS VARCHAR) END AS output,
+    CASE WHEN id % 10 IN (1, 8) THEN 'Division or modulo by zero.' WHEN id % 10 = 2 THEN 'Disallowed function call in calculator expression.' WHEN id % 10 = 3 THEN 'Unsupported mathematical syntax: BinOp' WHEN id % 10 = 4 THEN 'Unknown constant or variable: ' || chr(39) || 'x' || chr(39)
+    WHEN id % 10 = 6 THEN 'Exponentiation result exceeds safe computation bounds.' WHEN id % 10 = 9 THEN 'Unsupported mathematical syntax: List' END AS error FROM x"""
+)
 def calculator(spark, sf_dir):
-    rows = spark.createDataFrame([(e,) for e, _, _ in EXPRESSIONS], "expression string")
-    return rows.select("expression", A.calculate(F.col("expression")).alias("r")).select("expression", "r.*")
+    """An expression of each order's key: values, and refusals in the order in which the parts are met."""
+    k = F.col("o_orderkey").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    forms = [text(k, " + 3 * (", k, " % 7)"), text(k, " // 0"), text("foo(", k, " / 0)"), text(k, " | 1"), text("x + ", k), text("-", k, " % 5"), text("2 ** (1001 + ", k, ")"), text("floor(", k, " / 4) + pi - pi"), text("1 / 0 + foo(", k, ")"), text("[", k, "]")]
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _by_key(F.col("o_orderkey"), *forms).alias("expression"))
+    return rows.select("id", "expression", A.calculate(F.col("expression")).alias("r")).select("id", "expression", "r.*")
 
 
 @query()
@@ -57,10 +65,15 @@ def calculator_turns(spark, sf_dir):
     return rows.select("conv_id", "turn", "expression", A.calculate(F.col("expression")).alias("r")).select("conv_id", "turn", "expression", "r.*")
 
 
-@query()
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey || ' * (3 + ' || o_orderkey % 7 || ')' END AS expression, CASE WHEN o_orderkey % 2 = 0 THEN 'x = ' || o_orderkey || chr(10) END AS code, o_orderkey % 4 < 2 AS states_answer FROM orders"""
+)
 def answer_extraction(spark, sf_dir):
-    rows = spark.createDataFrame([("what is 12 * (3 + 4)?", "see ```python\nx = 1\n``` done #### 84"), ("hello", "no code")], "q string, a string")
-    return rows.select("q", A.arithmetic_in(F.col("q")).alias("expression"), A.fenced_code(F.col("a")).alias("code"), A.states_answer(F.col("a")).alias("states_answer"))
+    """What is read from a question and an answer made of each order's key: the arithmetic, the code block, whether a result is stated."""
+    k = F.col("o_orderkey")
+    q = F.when(k % 3 > 0, F.format_string("what is %d * (3 + %d)?", k, k % 7)).otherwise("how are you?")
+    a = F.concat(F.when(k % 2 == 0, F.format_string("see ```python\nx = %d\n``` done", k)).otherwise("no code"), _by_key(k, F.format_string(" #### %d", k), F.lit(". The answer is open"), F.lit(" yet"), F.lit("")))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), A.arithmetic_in(q).alias("expression"), A.fenced_code(a).alias("code"), A.states_answer(a).alias("states_answer"))
 
 
 @query()
@@ -70,25 +83,22 @@ def response_scores(spark, sf_dir):
     return pairs.select("conv_id", A.response_score(F.col("a"), F.col("u"), F.lit("instruction_following")).alias("s")).select("conv_id", "s.*")
 
 
-#: Question, answer, evidence and the verdict that follows from the order of checks.
-CASES = [
-    (1, "tell me", "", None, "REVISE", 0.0),
-    (2, "tell me", "a b c a b c a b c a b c", None, "REVISE", 0.3),
-    (3, "tell me", "so 25 * 4 = 105", None, "REVISE", 0.1),
-    (4, "tell me", "so 25 * 4 = 100", None, "PASS", 0.95),
-    (5, "tell me", "```python\nx = (\n```", None, "REVISE", 0.0),
-    (6, "tell me", "```\nx = 1\n```", None, "PASS", 0.95),
-    (7, "tell me", "```rust\nlet x = (;\n```", None, "PASS", 0.95),
-    (8, "tell me", "inline ```x = (``` is left alone", None, "PASS", 0.95),
-    (9, "Who invented the telephone?", "It was Bell.", None, "UNVERIFIED", 0.5),
-    (10, "Who invented the Telephone?", "Bell invented the telephone.", ["The telephone was invented by Bell."], "PASS", 0.95),
-    (11, "Who invented the Telephone?", "Bell invented the telephone.", ["Rivers run downhill."], "REVISE", 0.2),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{status}', {score}::DOUBLE)" for k, *_, status, score in CASES) + ") t(case_id, status, score)")
+@query(
+    """SELECT o_orderkey AS case_id, ['REVISE', 'REVISE', 'REVISE', 'PASS', 'REVISE', 'PASS', 'PASS', 'PASS', 'UNVERIFIED', 'PASS', 'REVISE'][o_orderkey % 11 + 1] AS status,
+    [0.0, 0.3, 0.1, 0.95, 0.0, 0.95, 0.95, 0.95, 0.5, 0.95, 0.2][o_orderkey % 11 + 1]::DOUBLE AS score FROM orders"""
+)
 def verdict_cases(spark, sf_dir):
-    rows = spark.createDataFrame([c[:4] for c in CASES], "case_id int, q string, a string, e array<string>").withColumn("code", verify.code(F.col("a"))["status"])
+    """Answers made of each order's key: empty, repetitive, false and true sums, broken and good code, facts without and with evidence."""
+    k = F.col("o_orderkey")
+    say = lambda form, *x: F.format_string(form, *x)
+    answer = _by_key(
+        k, F.lit(""), F.repeat(say("%d b c ", k), 4), say("so 25 * %d = %d", k, 25 * k + 5), say("so 25 * %d = %d", k, 25 * k), say("```python\nx = (%d\n```", k), say("```\nx = %d\n```", k), say("```rust\nlet x = (%d;\n```", k), say("inline ```x = (%d``` is left alone", k),
+        F.lit("It was Bell."), F.lit("Bell invented the telephone."), F.lit("Bell invented the telephone."),
+    )
+    question = F.when(k % 11 == 8, "Who invented the telephone?").when(k % 11 > 8, "Who invented the Telephone?").otherwise("tell me")
+    evidence = F.when(k % 11 == 9, F.array(F.lit("The telephone was invented by Bell."))).when(k % 11 == 10, F.array(F.lit("Rivers run downhill.")))
+    rows = table(spark, sf_dir, "orders").select(k.alias("case_id"), question.alias("q"), answer.alias("a"), evidence.alias("e"))
+    rows = rows.withColumn("code", verify.code(F.col("a"))["status"])
     v = verify.composite(F.col("q"), F.col("a"), F.col("e"), F.col("code"))
     return rows.select("case_id", v.alias("v")).select("case_id", "v.status", F.round("v.score", 6).alias("score"))
 
@@ -150,12 +160,14 @@ def rank_partition(spark, sf_dir):
     return placed.where(F.col("k") < F.floor(F.col("n") / 4) * 4).select("doc_id", (F.col("k") % 4).alias("rank"))
 
 
-@query("SELECT 'v48k' AS name, CAST(max(n) AS BIGINT) AS layers FROM (SELECT n, 48000 * 768 + n * (2 * 768 * 768 + 2 * 768 * 256 + 3 * 768 * 2048 + 2 * 768) + 768 AS p FROM range(1, 13) t(n)) WHERE p <= 32000 * 768 + 12 * (2 * 768 * 768 + 2 * 768 * 256 + 3 * 768 * 2048 + 2 * 768) + 768 + 5000000")
+@query("WITH n AS (SELECT p_partkey, 1000 * p_size AS vocab, unnest(range(1, 13)) AS n FROM part) SELECT p_partkey, vocab, CAST(coalesce(max(n) FILTER (vocab * 768 + n * (2 * 768 * 768 + 2 * 768 * 256 + 3 * 768 * 2048 + 2 * 768) <= 32000 * 768 + 12 * (2 * 768 * 768 + 2 * 768 * 256 + 3 * 768 * 2048 + 2 * 768) + 5000000), 1) AS BIGINT) AS layers FROM n GROUP BY ALL")
 def layers_under_cap(spark, sf_dir):
+    """For a vocabulary of each part's size the most layers that stay within five million parameters of 12 layers at 32,000."""
     lit = F.lit
-    size = lambda vocab, n: accounting.parameter_count(lit(vocab), lit(768), n, lit(12), lit(4), lit(2048))
-    fits = spark.range(1, 13).where(size(48_000, F.col("id")) <= size(32_000, lit(12)) + 5_000_000)
-    return fits.agg(F.coalesce(F.max("id"), lit(1).cast("long")).alias("layers")).select(lit("v48k").alias("name"), "layers")
+    size = lambda vocab, n: accounting.parameter_count(vocab, lit(768), n, lit(12), lit(4), lit(2048))
+    plans = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 1000).cast("long").alias("vocab"), F.explode(F.sequence(lit(1), lit(12))).alias("n"))
+    fits = F.when(size(F.col("vocab"), F.col("n")) <= size(lit(32_000), lit(12)) + 5_000_000, F.col("n"))
+    return plans.groupBy("p_partkey", "vocab").agg(F.coalesce(F.max(fits), lit(1)).cast("long").alias("layers"))
 
 
 @query("WITH r AS (SELECT event_type AS run, user_id AS rate, avg(value) AS loss FROM events GROUP BY ALL) SELECT run, arg_min(rate, (loss, rate)) AS best_rate FROM r WHERE loss < 2.5 * ln(64000) * 10 GROUP BY run")

@@ -16,7 +16,7 @@ from ..streaming import streams
 from . import query, table
 from .answers import LAST
 from .tokens import WORDS
-from .tools import _STRIPPED, EXPRESSIONS, _sql
+from .tools import _STRIPPED
 
 
 def _words(text: str) -> str:
@@ -173,13 +173,15 @@ def code_rows(spark, sf_dir):
     return rows.select("doc_id", F.sha2("text", 256).alias("h"), F.lit(len(digest) == 64).alias("digested"))
 
 
-_CALLS = [("calculator", e, v is not None, v) for e, v, _ in EXPRESSIONS] + [("reverse", "abc", True, "cba"), ("reverse", None, False, None), ("absent", "x", False, None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(n)}, {_sql(a)}, {ok}, {_sql(out)}, {not ok})" for n, a, ok, out in _CALLS) + ") t(name, argument, success, output, has_error)")
+@query(
+    """SELECT o_orderkey AS id, ['calculator', 'reverse', 'absent', 'calculator', 'reverse'][o_orderkey % 5 + 1] AS name, o_orderkey % 5 IN (0, 1) AS success,
+    CASE o_orderkey % 5 WHEN 0 THEN CAST(o_orderkey * 2 AS VARCHAR) WHEN 1 THEN reverse('a' || o_orderkey) END AS output, o_orderkey % 5 > 1 AS has_error FROM orders"""
+)
 def tool_calls(spark, sf_dir):
-    """Calls of registered tools, with failures and an unknown name as rows."""
+    """A call of a registered tool for each order, with failures, a null argument and an unknown name as rows."""
     tools = Tools(Tool("calculator", "arithmetic", A.calculated), Tool("reverse", "text backwards", lambda a: a[::-1]))
-    rows = spark.createDataFrame([(n, a) for n, a, *_ in _CALLS], "name string, argument string")
-    r = rows.select("name", "argument", tools.invoke(F.col("name"), F.col("argument")).alias("r"))
-    return r.select("name", "argument", "r.success", "r.output", F.col("r.error").isNotNull().alias("has_error"))
+    k = F.col("o_orderkey")
+    name = F.element_at(F.array(*(F.lit(x) for x in ("calculator", "reverse", "absent", "calculator", "reverse"))), (k % 5 + 1).cast("int"))
+    argument = F.when(k % 5 == 0, F.format_string("%d * 2", k)).when(k % 5 == 1, F.concat(F.lit("a"), k.cast("string"))).when(k % 5 == 2, "x").when(k % 5 == 3, F.format_string("%d / 0", k))
+    r = table(spark, sf_dir, "orders").select(k.alias("id"), name.alias("name"), tools.invoke(name, argument).alias("r"))
+    return r.select("id", "name", "r.success", "r.output", F.col("r.error").isNotNull().alias("has_error"))

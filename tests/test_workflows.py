@@ -102,3 +102,19 @@ def test_cosine_by_either_join(spark, monkeypatch):
         got = retrieval.cosine_topk(v, v.where("vec_id in (1, 5)"), 2).select("query_id", "vec_id", "rank").collect()
         assert sorted(map(tuple, got)) == want[:2]
     assert [r["vec_id"] for r in retrieval.cosine_topk(v, v.where("vec_id = 1"), 9, 0.9).collect()] == [2]
+
+
+def test_calculator_meets_parts_in_order():
+    """Values, and which refusal comes first where several are due."""
+    cases = [
+        ("2 + 3 * 4", "14"), ("(1 + 2) ** 3", "27"), ("sqrt(16) + pi - pi", "4"), ("7 // 2", "3"), ("-3.5", "-3.5"), ("round(2.5)", "2"), ("True + 1", "2"),
+        ("7 % 0", "Division or modulo by zero."), ("2 ** 5000", "Exponentiation result exceeds safe computation bounds."), ("20000 ** 2", "Exponentiation result exceeds safe computation bounds."),
+        ("__import__(1)", "Disallowed function call in calculator expression."), ("x + 1", "Unknown constant or variable: 'x'"), ("[1]", "Unsupported mathematical syntax: List"), ("", "Empty expression provided to calculator."), (None, "Empty expression provided to calculator."), ("sqrt(-1)", "Math function error 'sqrt': "),
+        ("foo(x)", "Disallowed function call in calculator expression."), ("x | 1", "Unsupported mathematical syntax: BinOp"), ("foo(1/0)", "Disallowed function call in calculator expression."), ("1/0 + foo(1)", "Division or modulo by zero."), ("a.b(1)", "Disallowed function call in calculator expression."),
+        ("not x", "Unsupported mathematical syntax: UnaryOp"), ("sqrt(x)", "Unknown constant or variable: 'x'"), ("(1/0) | 2", "Unsupported mathematical syntax: BinOp"), ("1 +", "Syntax error in mathematical expression: "), ("+".join(["1"] * 5000), "5000"),
+    ]
+    from tessera.functions.answers import _calculate
+
+    for expression, want in cases:
+        success, output, error = _calculate(expression)
+        assert (output or error).startswith(want) and success == (error is None), expression
