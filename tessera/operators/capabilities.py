@@ -1,81 +1,67 @@
-"""Capability matching: name equality, SemVer expression, required-property subset."""
+"""Capability matching by Column functions: name equality, SemVer expression, required-property subset."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_VERSION = re.compile(r"v?(\d+|[xX*])(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?")
-_TERM = re.compile(r"(\^|~|>=|<=|>|<|=)?\s*(\S+)")
+_VERSION = r"^v?(\d+|[xX*])(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
+_TERM = r"(\^|~|>=|<=|>|<|=)?\s*(\S+)"
 _NUMBER = r"^\s*(>=|<=|>|<|=)\s*(-?\d+(?:\.\d+)?)\s*$"
 
 
-def _parts(text: str) -> tuple[list[int], tuple | None] | None:
-    """The numbers that are given (up to a wildcard) and the pre-release; None if it is no version."""
-    m = _VERSION.fullmatch(text)
-    if not m:
-        return None
-    given: list[int] = []
-    for x in m.groups()[:3]:
-        if x is None or not x.isdigit():
-            break
-        given.append(int(x))
-    pre = m.group(4)
-    return given, pre and tuple((0, int(x), "") if x.isdigit() else (1, 0, x) for x in pre.split("."))
-
-
-def _key(given: list[int], pre: tuple | None = None) -> tuple:
-    return (*given, *[0] * (3 - len(given))), pre is None, pre or ()
-
-
-def _next(given: list[int], k: int) -> tuple:
-    """The least version, pre-releases included, whose k-th number is one higher."""
-    return tuple([*given[:k], given[k] + 1, 0, 0][:3]), False, ()
-
-
-def _term(version: tuple, op: str, text: str) -> bool | None:
-    p = _parts(text)
-    if p is None:
-        return None
-    given, pre = p
-    if not given:
-        return op not in ("<", ">")
-    low, after = _key(given, pre), _next(given, len(given) - 1)
-    whole = len(given) == 3
-    if op == "^":
-        k = next((i for i, x in enumerate(given) if x), len(given) - 1)
-        return low <= version < _next(given, k)
-    if op == "~":
-        return low <= version < _next(given, min(1, len(given) - 1))
-    if op == ">=":
-        return version >= low
-    if op == "<":
-        return version < low
-    if op == ">":
-        return version > low if whole else version >= after
-    if op == "<=":
-        return version <= low if whole else version < after
-    return version == low if whole else low <= version < after
-
-
-def satisfies(version: str | None, expression: str | None) -> bool:
+def parsed(text: Column) -> Column:
+    """struct(numbers, given, key) of a version: its three numbers, how many are given before a wildcard, and what versions are ordered by; null if it is none.
+
+    The key compares like the version: numbers, then pre-releases before the release,
+    among them numeric parts by number and before the others, which go by name.
+    """
+    part = lambda n: F.regexp_extract(text, _VERSION, n)
+    digits = lambda n: part(n).rlike(r"^\d+$")
+    given = F.when(~digits(1), 0).when(~digits(2), 1).when(~digits(3), 2).otherwise(3)
+    numbers = F.array(*(F.when(given >= n, part(n).cast("long")).otherwise(F.lit(0).cast("long")) for n in (1, 2, 3)))
+    own = F.split(part(4), r"\.")
+    pieces = F.transform(own, lambda x: F.struct(F.when(x.rlike(r"^\d+$"), 0).otherwise(1).alias("kind"), F.coalesce(F.when(x.rlike(r"^\d+$"), x.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("number"), F.when(x.rlike(r"^\d+$"), "").otherwise(x).alias("name")))
+    pre = F.when(part(4) == "", F.slice(pieces, 1, 0)).otherwise(pieces)
+    return F.when(text.rlike(_VERSION), F.struct(numbers.alias("numbers"), given.alias("given"), F.struct(numbers.alias("numbers"), (part(4) == "").alias("release"), pre.alias("pre")).alias("key")))
+
+
+def _after(v: Column, k: Column) -> Column:
+    """The key of the least version, pre-releases included, whose k-th number (from 0) is one higher."""
+    numbers = F.transform(v["numbers"], lambda x, i: F.when(i < k, x).when(i == k, x + 1).otherwise(F.lit(0).cast("long")))
+    return F.struct(numbers.alias("numbers"), F.lit(False).alias("release"), F.slice(v["key"]["pre"], 1, 0).alias("pre"))
+
+
+def _meets(key: Column, op: Column, v: Column) -> Column:
+    """Whether a version's key meets one term; a term that is no version is not met."""
+    low, n = v["key"], v["given"]
+    whole, after = n == 3, _after(v, n - 1)
+    first = F.when(v["numbers"][0] > 0, 0).when((n > 1) & (v["numbers"][1] > 0), 1).when((n > 2) & (v["numbers"][2] > 0), 2).otherwise(n - 1)
+    one_of = (
+        F.when(op == "^", (key >= low) & (key < _after(v, first)))
+        .when(op == "~", (key >= low) & (key < _after(v, F.least(F.lit(1), n - 1))))
+        .when(op == ">=", key >= low)
+        .when(op == "<", key < low)
+        .when(op == ">", F.when(whole, key > low).otherwise(key >= after))
+        .when(op == "<=", F.when(whole, key <= low).otherwise(key < after))
+        .otherwise(F.when(whole, key == low).otherwise((key >= low) & (key < after)))
+    )
+    return F.coalesce(F.when(v.isNull(), False).when(n == 0, ~op.isin("<", ">")).otherwise(one_of), F.lit(False))
+
+
+def satisfies(version: Column, expression: Column) -> Column:
     """Whether a version meets ^, ~, comparisons, wildcards, joined by spaces (and) or || (or).
 
     A null or blank expression asks for nothing; what cannot be read is not met.
     """
-    if expression is None or not expression.strip():
-        return True
-    p = _parts((version or "").strip())
-    if p is None or len(p[0]) < 3:
-        return False
-    found = _key(*p)
-    for part in expression.split("||"):
-        terms = _TERM.findall(part)
-        if terms and all(_term(found, op, text) for op, text in terms):
-            return True
-    return False
+    found = parsed(F.trim(F.coalesce(version, F.lit(""))))
+
+    def all_met(part: Column) -> Column:
+        terms = F.arrays_zip(F.regexp_extract_all(part, F.lit(_TERM), 1).alias("op"), F.regexp_extract_all(part, F.lit(_TERM), 2).alias("text"))
+        return (F.size(terms) > 0) & F.forall(terms, lambda t: _meets(found["key"], F.coalesce(t["op"], F.lit("")), parsed(t["text"])))
+
+    met = F.exists(F.split(expression, r"\|\|"), all_met)
+    return F.when(expression.isNull() | (F.trim(expression) == ""), True).otherwise(F.coalesce((found["given"] == 3) & met, F.lit(False)))
 
 
 def has_properties(declared: Column, required: Column) -> Column:
@@ -100,6 +86,5 @@ def match(requests: DataFrame, declared: DataFrame) -> DataFrame:
 
     requests: request_id, name, expression, required; declared: model, name, version, properties.
     """
-    fits = F.udf(lambda v, e: satisfies(v, e), "boolean")
     found = requests.join(declared, "name").where(has_properties(F.col("properties"), F.col("required")))
-    return found.where(fits("version", "expression")).select("request_id", "model", "name", "version")
+    return found.where(satisfies(F.col("version"), F.col("expression"))).select("request_id", "model", "name", "version")

@@ -188,25 +188,23 @@ def log_lines(spark, sf_dir):
     return lines.select("event_id", A.log_metrics(F.col("line")).alias("m")).select("event_id", "m.*")
 
 
-#: The contract's example and a second model's older declarations; no table holds any.
-DECLARED = [
-    ("a", "function_calling", "2.0.0", {"supports_parallel_calls": "true", "max_tokens": "4096"}),
-    ("b", "function_calling", "1.2.0", {"supports_parallel_calls": "true", "max_tokens": "2048"}),
-    ("a", "bengali", "2.1.0", {"script_support": "Bengali,Latin", "indic_glue_benchmark_score": "88.4"}),
-]
-REQUESTS = [
-    (1, "function_calling", "^1.0.0", {"max_tokens": ">=1024"}),
-    (2, "function_calling", ">=1.0.0", {"max_tokens": ">=4096"}),
-    (3, "bengali", "~2.1", {"script_support": "Bengali", "indic_glue_benchmark_score": ">=80"}),
-    (4, "bengali", "^2.0.0", {"dialect_coverage": "Dhaka"}),
-]
-
-
-@query("SELECT * FROM (VALUES (1, 'b', 'function_calling', '1.2.0'), (2, 'a', 'function_calling', '2.0.0'), (3, 'a', 'bengali', '2.1.0')) t(request_id, model, name, version)")
+_DECLARED = "SELECT 'm' || p_partkey AS model, 'size' || p_size AS name, p_partkey % 3 AS major, p_partkey % 5 AS minor, p_partkey % 7 AS patch, p_partkey % 11 = 0 AS pre, p_partkey % 40 AS tokens FROM part"
+
+
+@query(
+    f"""WITH d AS ({_DECLARED}), r AS (SELECT s_suppkey AS request_id, 'size' || (s_suppkey % 50 + 1) AS name, s_suppkey % 4 AS form, s_suppkey % 20 AS least FROM supplier)
+    SELECT request_id, model, name, major || '.' || minor || '.' || patch || CASE WHEN pre THEN '-rc.1' ELSE '' END AS version FROM r JOIN d USING (name)
+    WHERE tokens >= least AND CASE form WHEN 0 THEN (major = 1 AND (minor, patch) >= (2, 0) AND NOT (pre AND (minor, patch) = (2, 0))) WHEN 1 THEN major = 1 AND minor = 2 AND NOT (pre AND patch = 0)
+    WHEN 2 THEN (major, minor, patch) >= (2, 0, 0) AND NOT (pre AND (major, minor, patch) = (2, 0, 0)) ELSE (major = 0 AND minor = 1 AND patch >= 3 AND NOT (pre AND patch = 3)) OR ((major, minor, patch) = (1, 1, 1) AND NOT pre) END"""
+)
 def capability_match(spark, sf_dir):
-    """Requests matched with declared capabilities by name, SemVer expression and properties (V14)."""
-    declared = spark.createDataFrame(DECLARED, "model string, name string, version string, properties map<string, string>")
-    return capabilities.match(spark.createDataFrame(REQUESTS, "request_id int, name string, expression string, required map<string, string>"), declared)
+    """Requests of suppliers matched with capabilities that parts declare, by name, SemVer expression and properties (V14)."""
+    p, s = F.col("p_partkey"), F.col("s_suppkey")
+    version = F.concat(F.format_string("%d.%d.%d", p % 3, p % 5, p % 7), F.when(p % 11 == 0, "-rc.1").otherwise(""))
+    declared = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), p).alias("model"), F.concat(F.lit("size"), F.col("p_size")).alias("name"), version.alias("version"), F.create_map(F.lit("max_tokens"), (p % 40).cast("string")).alias("properties"))
+    form = F.when(s % 4 == 0, "^1.2.0").when(s % 4 == 1, "~1.2").when(s % 4 == 2, ">=2.0.0").otherwise("^0.1.3 || 1.1.1")
+    requests = table(spark, sf_dir, "supplier").select(s.alias("request_id"), F.format_string("size%d", s % 50 + 1).alias("name"), form.alias("expression"), F.create_map(F.lit("max_tokens"), F.format_string(">=%d", s % 20)).alias("required"))
+    return capabilities.match(requests, declared)
 
 
 @query("SELECT doc_id, text, lang AS language, source, 'unknown' AS license, 2 AS version FROM documents")

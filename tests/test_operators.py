@@ -208,13 +208,39 @@ def test_bpe_queries_train_at_the_reference_size(spark, sf_dir):
     assert bpe_merges(spark, sf_dir).count() > 256
 
 
-def test_capability_match(spark):
+def test_version_expressions(spark):
+    """Named cases, and random versions and expressions against the plain model."""
+    import semver_model
+
     yes = [("1.2.0", "^1.0.0"), ("0.2.5", "^0.2.3"), ("1.2.9", "~1.2"), ("1.9.0", "1.x"), ("3.0.0", ">=1.0.0 <2.0.0 || 3.0.0"), ("1.0.0-rc.2", ">1.0.0-rc.1"), ("1.2.3", None), ("1.10.0", ">1.9.0")]
     no = [("2.0.0", "^1.0.0"), ("0.3.0", "^0.2.3"), ("1.3.0", "~1.2"), ("2.0.0", "1.x"), ("2.0.0-rc.1", "^1.0.0"), ("1.0.0-rc.1", ">=1.0.0"), ("x", "^1.0.0"), (None, "*"), ("1.0.0", "odd")]
-    assert [capabilities.satisfies(*p) for p in yes + no] == [True] * len(yes) + [False] * len(no)
-    from tessera.plans.tools import capability_match
+    rng = random.Random(12)
+    number = lambda: rng.choice(["0", "1", "2", "10", "x", "*"])
+    version = lambda: ".".join(number() for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "-rc.1", "-rc.2", "-alpha", "-1", "+b"])
+    term = lambda: rng.choice(["", "^", "~", ">=", "<=", ">", "<", "="]) + rng.choice(["", " "]) + rng.choice([version(), version(), "odd"])
+    cases = [(version(), rng.choice([" ", " || "]).join(term() for _ in range(rng.randint(1, 3)))) for _ in range(600)]
+    cases += [(rng.choice(["0.0.1", "0.1.0", "1.0.0", "1.2.3", "1.2.3-rc.1", "10.0.0"]), term()) for _ in range(600)] + yes + no + [("1.0.0", ""), ("1.0.0", " || ")]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, v string, e string")
+    got = [r[0] for r in df.orderBy("k").select(capabilities.satisfies(F.col("v"), F.col("e"))).collect()]
+    assert got == [semver_model.satisfies(v, e) for v, e in cases]
+    assert got[1200 : 1200 + len(yes) + len(no)] == [True] * len(yes) + [False] * len(no) and 100 < sum(got) < 1100
 
-    assert sorted(map(tuple, capability_match(spark, None).collect())) == [(1, "b", "function_calling", "1.2.0"), (2, "a", "function_calling", "2.0.0"), (3, "a", "bengali", "2.1.0")]
+
+def test_capability_match(spark):
+    declared = [
+        ("a", "function_calling", "2.0.0", {"supports_parallel_calls": "true", "max_tokens": "4096"}),
+        ("b", "function_calling", "1.2.0", {"supports_parallel_calls": "true", "max_tokens": "2048"}),
+        ("a", "bengali", "2.1.0", {"script_support": "Bengali,Latin", "indic_glue_benchmark_score": "88.4"}),
+    ]
+    requests = [
+        (1, "function_calling", "^1.0.0", {"max_tokens": ">=1024"}),
+        (2, "function_calling", ">=1.0.0", {"max_tokens": ">=4096"}),
+        (3, "bengali", "~2.1", {"script_support": "Bengali", "indic_glue_benchmark_score": ">=80"}),
+        (4, "bengali", "^2.0.0", {"dialect_coverage": "Dhaka"}),
+    ]
+    declared = spark.createDataFrame(declared, "model string, name string, version string, properties map<string, string>")
+    requests = spark.createDataFrame(requests, "request_id int, name string, expression string, required map<string, string>")
+    assert sorted(map(tuple, capabilities.match(requests, declared).collect())) == [(1, "b", "function_calling", "1.2.0"), (2, "a", "function_calling", "2.0.0"), (3, "a", "bengali", "2.1.0")]
 
 
 def test_accounting(spark):
