@@ -18,8 +18,8 @@ def _docs(spark, sf_dir):
 
 @query("SELECT sha256(text) AS h, count(*) > 0 AS kept FROM documents GROUP BY text")
 def stream_dedup(spark, sf_dir):
-    s = streams.first_seen(_docs(spark, sf_dir)).select("h")
-    out = streams.run_to_files(s, shared_folder(spark, "stream-dedup"), shared_folder(spark, "stream-dedup-state"))
+    """Different texts of a stream of documents, against a table of those that came before."""
+    out = streams.run_deduplicated(_docs(spark, sf_dir), shared_folder(spark, "stream-dedup"), shared_folder(spark, "stream-dedup-state"))
     return out.select("h", F.lit(True).alias("kept"))
 
 

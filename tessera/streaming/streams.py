@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.packing import greedy_shards
 from ..sources import writers
+from ..sources.stage import delete, staged
 
 
 def document_stream(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -34,6 +35,38 @@ def first_seen(stream: DataFrame, text_col: str = "text", watermark: tuple[str,
     return df.dropDuplicates(["h"])
 
 
+def run_deduplicated(stream: DataFrame, path: str, checkpoint: str, order: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:
+    """Rows whose content has not arrived before, over a stream without end; of equal ones in a batch the least ``order``.
+
+    Instead of state that grows in memory, digests lie in a table by batch and
+    hash bucket; a batch is held against the buckets that it touches, of earlier
+    batches alone, and writes its rows and new digests under its own number. So a
+    repeated batch, whole or half written, gives the same again. Null texts are equal
+    to empty ones.
+    """
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        h = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        marked = rows.withColumn("h", h).withColumn("__place", F.struct(F.col(order), F.monotonically_increasing_id()))
+        marked = staged(marked.withColumn("__bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int")), "arrived")
+        first = marked.groupBy("h").agg(F.min("__place").alias("__first"), F.first("__bucket").alias("__own"))
+        fs, seen = writers._fs(spark, f"{path}/seen")
+        if fs.exists(seen):
+            touched = [r[0] for r in marked.select("__bucket").distinct().collect()]  # ``buckets`` numbers at most
+            known = spark.read.schema("h string, batch long, bucket int").parquet(f"{path}/seen").where(F.col("bucket").isin(touched) & (F.col("batch") < batch))
+            first = first.join(known.select("h"), "h", "left_anti")
+        first = staged(first, "first")
+        fresh = marked.join(first, (marked["h"] == first["h"]) & (marked["__place"] == first["__first"])).select(*(marked[c] for c in marked.columns if not c.startswith("__")))
+        fresh.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        first.select("h", F.col("__own").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "h").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/seen/batch={batch}")
+        for table in (marked, first):
+            for f in {p.rsplit("/", 1)[0] for p in table.inputFiles()}:
+                delete(spark, f)
+
+    return _run_batches(stream, keep, checkpoint).sparkSession.read.parquet(f"{path}/rows").drop("batch")
+
+
 def running_counts(stream: DataFrame, group: str, text_col: str = "text") -> DataFrame:
     """Documents, words and bytes per group; restarts go on from the checkpoint."""
     sizes = stream.select(group, F.size(T.split_words(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("w"), F.octet_length(text_col).cast("long").alias("b"))

@@ -118,3 +118,26 @@ def test_calculator_meets_parts_in_order():
     for expression, want in cases:
         success, output, error = _calculate(expression)
         assert (output or error).startswith(want) and success == (error is None), expression
+
+
+def test_endless_dedup_holds_no_state(spark, tmp_path):
+    """Batch by batch the first of equal texts; a restart goes on, a repeated or half-written batch changes nothing."""
+    from tessera.streaming import streams
+
+    source, out = tmp_path / "in", f"file://{tmp_path}/out"
+    schema = "doc_id long, text string"
+    put = lambda rows, n: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{n}")
+    put([(3, "b"), (1, "a"), (2, "a"), (4, None), (5, "")], 1)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+    run = lambda: sorted((r["doc_id"], r["text"]) for r in streams.run_deduplicated(stream(), out, f"file://{tmp_path}/state", buckets=4).collect())
+    assert run() == [(1, "a"), (3, "b"), (4, None)]
+    put([(6, "a"), (7, "c"), (8, "c")], 2)
+    put([(9, "c"), (10, "d")], 3)
+    want = [(1, "a"), (3, "b"), (4, None), (7, "c"), (10, "d")]
+    assert run() == want and run() == want
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as if the driver was lost before the last batch was committed
+    for crc in (tmp_path / "state" / "commits").glob(f".{last.name}.crc"):
+        crc.unlink()
+    assert run() == want
+    assert not list((tmp_path / "state").glob("state/*"))
