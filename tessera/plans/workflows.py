@@ -14,7 +14,7 @@ from ..sources import readers, writers
 from ..sources.stage import shared_folder
 from ..streaming import streams
 from . import query, table
-from .answers import LAST
+from .answers import BM25, LAST
 from .tokens import WORDS
 from .tools import _STRIPPED
 
@@ -75,23 +75,19 @@ def memory_recall(spark, sf_dir):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_HALF = """{0} AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qe[{1}:{2}], e[{1}:{2}]) DESC, vec_id) AS rank FROM p QUALIFY rank <= 20)"""
-
-
 @query(
-    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, q.e AS qe, v.* FROM v JOIN v q ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0), {_HALF.format("a", 1, 32)}, {_HALF.format("b", 33, 64)},
-    f AS (SELECT query_id, vec_id AS doc, sum(1 / (rank + 60)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
-    SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS rank FROM f QUALIFY rank <= 5"""
+    f"""WITH {BM25.replace('<FILTER>', '')}, vecs AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), near AS (SELECT q.vec_id AS query_id, q.e AS qe, o.* FROM vecs o JOIN vecs q ON q.vec_id <> o.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+    by_vec AS (SELECT query_id, vec_id AS doc, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qe, e) DESC, vec_id) AS rank FROM near QUALIFY rank <= 20),
+    fuse AS (SELECT query_id, doc, sum(1 / (rank + 60)) AS score FROM (SELECT CAST(query_id AS BIGINT) AS query_id, doc, rank FROM r WHERE rank <= 20 UNION ALL SELECT query_id, doc, rank FROM by_vec) GROUP BY ALL)
+    SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS rank FROM fuse QUALIFY rank <= 5"""
 )
 def fused_topk(spark, sf_dir):
-    """Two rankings (by either half of the vectors) made one by reciprocal ranks."""
-    v = table(spark, sf_dir, "embeddings")
-    both = None
-    for first in (1, 33):
-        half = v.select("vec_id", F.slice("embedding", first, 32).alias("embedding"))
-        r = retrieval.cosine_topk(half, half.where("vec_id % 50 = 0"), 20).select("query_id", F.col("vec_id").alias("doc"), "rank")
-        both = r if both is None else both.unionByName(r)
-    return retrieval.fused(both, 5).select("query_id", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """Hybrid retrieval: an item's documents by its terms and by its vector, made one ranking by reciprocal ranks."""
+    items, v = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    by_terms = retrieval.bm25(items, table(spark, sf_dir, "documents"), 20).select("query_id", "doc", "rank")
+    asked = v.join(items.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    by_vectors = retrieval.cosine_topk(v, asked, 20).select("query_id", F.col("vec_id").alias("doc"), "rank")
+    return retrieval.fused(by_terms.unionByName(by_vectors), 5).select("query_id", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT CASE event_id % 2 WHEN 0 THEN 'plain' ELSE 'retrieval' END AS variant, count(*) AS n, round(avg((event_type = 'click')::INT), 6) AS pass_rate, round(avg((event_type = 'error')::INT), 6) AS abstain_rate, round(avg(value), 4) AS latency_ms, round(avg(user_id), 4) AS tokens FROM events GROUP BY ALL")

@@ -94,16 +94,38 @@ def test_code_sample_needs_rows(spark):
         readers.code_sample(spark.createDataFrame([(1, "  "), (2, None)], "doc_id long, text string"), "doc_id", 10)
 
 
-def test_cosine_by_either_join(spark, monkeypatch):
+def test_cosine_of_odd_rows(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [])], "vec_id long, embedding array<double>")
-    want = [(1, 2, 1), (1, 4, 2), (5, None, None)]
-    for most in (1 << 20, 0):
-        monkeypatch.setattr(retrieval, "MOST_SENT", most)
-        got = retrieval.cosine_topk(v, v.where("vec_id in (1, 5)"), 2).select("query_id", "vec_id", "rank").collect()
-        assert sorted(map(tuple, got)) == want[:2]
+    for size in (1 << 20, 8):
+        got = retrieval.cosine_topk(v, v.where("vec_id in (1, 5)"), 2, block_bytes=size).select("query_id", "vec_id", "rank").collect()
+        assert sorted(map(tuple, got)) == [(1, 2, 1), (1, 4, 2)]
     assert [r["vec_id"] for r in retrieval.cosine_topk(v, v.where("vec_id = 1"), 9, 0.9).collect()] == [2]
 
 
+def test_cosine_prunes_and_loses_nothing(spark):
+    """All pairs by a plain model: clusters, equal and opposite vectors, queries in one block and in many, a sample of few and of all."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    x = centres[rng.integers(0, 6, 300)] + rng.normal(size=(300, 8)) * 0.1
+    x[7], x[11], x[20] = x[3], x[3], -x[3]
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(900, None), (901, [0.0] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    for k, least, options in ((5, None, {}), (5, None, {"block_bytes": 200, "sample": 3}), (400, 0.9, {"sample": 40}), (1, None, {"sample": 300}), (3, 0.99999, {})):
+        want = []
+        for q in range(0, 300, 20):
+            scores = sorted(((-float((u[q] * u[t]).sum()), t) for t in range(300) if t != q))
+            want += [(q, t, n) for n, (s, t) in enumerate(scores[:k], 1) if least is None or -s >= least]
+        got = retrieval.cosine_topk(v, v.where("vec_id % 20 = 0"), k, least, **options)
+        assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in got.collect()) == sorted(want)
+    compared = retrieval.nearest(v, v.where("vec_id % 20 = 0"), 5).agg(F.sum("compared")).first()[0]
+    assert 15 * 5 <= compared < 15 * 300 / 2
+    assert retrieval.cosine_topk(v.where("false"), v, 3).count() == 0 and retrieval.cosine_topk(v, v.where("false"), 3).count() == 0
+    assert retrieval.cosine_topk(v.where("vec_id < 2"), v.where("vec_id = 0"), 3).count() == 1
+
+
 def test_calculator_meets_parts_in_order():
     """Values, and which refusal comes first where several are due."""
     cases = [
