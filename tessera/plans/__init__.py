@@ -22,3 +22,9 @@ def query(sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """Rows of a table of fewer files than there are cores, dealt over all of them: a file of one row group is one task's work."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup, quality
 from ..sources.stage import staged
-from . import query, table
+from . import query, spread, table
 
 #: SQL of the normaliser: NFC, lines, blanks, empty lines.
 NORM = r"""array_to_string(list_filter(list_transform(regexp_split_to_array(nfc_normalize(text), '\r\n|[\n\r\x0B\f\x1c\x1d\x1e\x85\x{2028}\x{2029}]'),
@@ -28,7 +28,7 @@ DOMINANT = (
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 @query(
