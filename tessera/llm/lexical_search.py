@@ -45,6 +45,7 @@ from .shared import Scratch, materialise, tidily, tidy
 from .terms import LETTERS_DIGITS, counted, even_slices, terms
 
 SHARD_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
+MOST_TASKS = 1 << 16  # more shards than that share tasks, one after the other
 LAST = (1 << 63) - 1  # stands for a null doc_id
 INDEX = "shard long, term binary, df long, n_terms long, postings binary"
 
@@ -240,8 +241,8 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> It
 def search(indexed: DataFrame, items: DataFrame, most: int = 10, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """item_id, rank, doc_id, score of each item's ``most`` best documents of a written index."""
     spark = indexed.sparkSession
-    known = indexed.where(F.col("term") == F.lit(b"")).agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    n_docs, n_terms = int(known[0]), int(known[1])
+    known = indexed.where(F.col("term") == F.lit(b"")).agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0)), F.count("*")).first()
+    n_docs, n_terms, n_shards = int(known[0]), int(known[1]), int(known[2])
     kind = items.schema[id_col].dataType
     schema = StructType([StructField("item", LongType()), StructField("doc_id", LongType()), StructField("score", LongType())])
     found = []
@@ -256,7 +257,7 @@ def search(indexed: DataFrame, items: DataFrame, most: int = 10, id_col: str = "
         weights = {bytes(t): weight(n_docs, d) for t, d in df.items()}
         work = [(no, [(t, weights[t] * n) for t, n in sorted(c.items()) if weights.get(t)]) for no, c in enumerate(own)]
         also = spark.createDataFrame(pa.table({"term": pa.array([b"", *names], pa.binary())}))
-        by_shard = indexed.select("shard", "term", "postings").join(F.broadcast(also), "term").groupBy("shard").applyInArrow(_shard_search(work, n_docs, n_terms, most), schema)
+        by_shard = indexed.select("shard", "term", "postings").join(F.broadcast(also), "term").repartition(min(n_shards, MOST_TASKS), "shard").groupBy("shard").applyInArrow(_shard_search(work, n_docs, n_terms, most), schema)
         rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc("doc_id")))
         top = by_shard.withColumn("rank", rank).where(F.col("rank") <= most)
         names_of = spark.createDataFrame(pa.table({"item": pa.array(range(block.num_rows), pa.int64()), "id": block.column("id")}), StructType([StructField("item", LongType()), StructField("id", kind)]))
