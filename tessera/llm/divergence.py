@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, materialise, tidily
 from .terms import LETTERS, counted, even_slices, terms
 
-SLICE_BYTES, TILE_CELLS, TILE_GROUPS, MOST_TERMS = 24 << 20, 1 << 19, 128, 50
+SLICE_BYTES, TILE_CELLS, TILE_GROUPS, MOST_TERMS = 24 << 20, 1 << 17, 128, 50
 PARTS = 1_000_000_000
 
 
