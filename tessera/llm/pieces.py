@@ -7,9 +7,8 @@ over UTF-8 bytes:
   every other byte as it is;
 * the pieces: a trie, an arc a byte, whose ends write a piece's id and go back to
   the start for the piece's weight;
-* byte fallback, in the same machine: a character that is no piece goes over an
-  arc for each of its bytes, which writes that byte's id, for a weight over any
-  path of pieces.
+* byte fallback: a character that is no piece writes the ids of its bytes, for a
+  weight over any path of pieces. It is looked up in a table, not walked arc by arc.
 
 A text's chunks are composed with the machines lazily: states are (place in the
 input, state of the pieces), built as they are reached, in the order of places.
@@ -31,9 +30,9 @@ n log n steps.
 No piece holds a mark after another character, so a text falls into chunks that
 start with marks, and each different chunk's path is remembered within a bound.
 
-Decoding composes the inverse machines: pieces' ids give their bytes, and the
-normaliser's inverse turns marks into spaces and takes the first off. It restores
-the text, but that the mark itself comes back as a space.
+Decoding is the inverse of the pieces as a table of bytes by id, and of the
+normaliser: marks become spaces and the first is taken off. It restores the text,
+but that the mark itself comes back as a space.
 
 Null and empty texts have no ids; texts of any length, also without a space, take
 n log n time; repeated rows give equal rows; an empty table gives an empty one;
