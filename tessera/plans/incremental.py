@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.lines import appended_lines
 from ..sources.stage import shared_folder
 from ..streaming import streams
 from . import query, table
@@ -29,6 +30,19 @@ def stream_counts(spark, sf_dir):
     return streams.run_to_table(streams.running_counts(_docs(spark, sf_dir), "lang"), "complete", name, shared_folder(spark, "stream-counts"))
 
 
+@query(r"SELECT lang, count(*) AS lines, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT lang, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents) GROUP BY lang")
+def stream_line_counts(spark, sf_dir):
+    """Lines of files in two runs, a task for each megabyte of a file; the second run counts what came after the first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat_ws("\t", "lang", F.regexp_replace("text", "[\n\r]", " ")).alias("line"))
+    folder, out, state = shared_folder(spark, "lines"), shared_folder(spark, "line-counts"), shared_folder(spark, "line-state")
+    for part in range(2):
+        d.where(F.col("doc_id") % 2 == part).select("line").write.mode("append").option("lineSep", "\n").text(folder)
+        lines = appended_lines(spark, folder, piece_bytes=1 << 20)
+        lines = lines.select(F.substring_index("value", "\t", 1).alias("lang"), F.expr("substring(value, length(substring_index(value, '\t', 1)) + 2)").alias("value"))
+        counts = streams.run_line_counts(lines, out, state, "lang")
+    return counts.select("lang", "lines", "bytes")
+
+
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_windows(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema

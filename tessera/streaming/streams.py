@@ -73,6 +73,21 @@ def running_counts(stream: DataFrame, group: str, text_col: str = "text") -> Dat
     return sizes.groupBy(group).agg(F.count("*").alias("docs"), F.sum("w").alias("words"), F.sum("b").alias("bytes"))
 
 
+def run_line_counts(lines: DataFrame, path: str, checkpoint: str, group: str) -> DataFrame:
+    """group, lines, words, bytes of a stream of lines (``appended_lines``), counted once each over restarts and in the middle of files.
+
+    Each micro-batch writes its own counts under its number, so a repeated one
+    overwrites itself; the sum over batches is read back.
+    """
+
+    def count(rows: DataFrame, batch: int) -> None:
+        words = F.size(T.split_words(F.col("value"))).cast("long")
+        rows.groupBy(group).agg(F.count("*").alias("lines"), F.sum(words).alias("words"), F.sum(F.octet_length("value").cast("long")).alias("bytes")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    done = _run_batches(lines, count, checkpoint).sparkSession.read.parquet(path)
+    return done.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("lines", "words", "bytes")))
+
+
 def event_windows(events: DataFrame, width: str, late: str, ts: str = "ts") -> DataFrame:
     """Counts and sums per event type and tumbling window (an extension)."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

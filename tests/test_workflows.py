@@ -163,3 +163,33 @@ def test_endless_dedup_holds_no_state(spark, tmp_path):
         crc.unlink()
     assert run() == want
     assert not list((tmp_path / "state").glob("state/*"))
+
+
+def test_lines_are_counted_once_over_restarts(spark, tmp_path):
+    """Files that grow, a line that is not ended, a line longer than a task's piece, a batch that is run again."""
+    from tessera.sources.lines import appended_lines
+    from tessera.streaming import streams
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "_hidden").write_text("no\n")
+
+    def run(piece_bytes=10):
+        lines = appended_lines(spark, f"file://{folder}", piece_bytes)
+        return {r["value"]: r["lines"] for r in streams.run_line_counts(lines, f"file://{tmp_path}/out", f"file://{tmp_path}/state", "value").collect()}
+
+    (folder / "a.log").write_text("".join(f"line {k}\n" for k in range(9)) + "half")
+    (folder / "b.log").write_text("x" * 100 + "\né\r\n\n")
+    want = {f"line {k}": 1 for k in range(9)} | {"x" * 100: 1, "é": 1, "": 1}
+    assert run() == want
+    assert run() == want  # nothing new
+    with (folder / "a.log").open("a") as f:
+        f.write(" a line\nline 3\nopen")
+    (folder / "c.log").write_text("line 3\n")
+    want |= {"half a line": 1, "line 3": 3}
+    assert run() == want
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as if the driver was lost before the last batch was committed
+    for crc in (tmp_path / "state" / "commits").glob(f".{last.name}.crc"):
+        crc.unlink()
+    assert run(1000) == want
