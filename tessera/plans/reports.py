@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import accounting, evaluation, quality, sampling
-from ..sources import packed, readers, writers
+from ..sources import catalogue, packed, readers, writers
 from ..sources.stage import shared_folder, staged
 from . import corpus, query, table
 from .corpus import FOLD, GATE_ROWS, NORM
@@ -198,3 +198,37 @@ def checksum_mismatches(spark, sf_dir):
     listed = written(d, F.col("text"), "listed").select("path", "sha256")
     later = written(d.where("source <> 'src5'"), F.when(F.col("source") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text")), "later")
     return writers.mismatched(later, listed).select(F.col("path").alias("source"), F.col("sha256").alias("expected"), F.coalesce("found", F.lit("missing")).alias("found"))
+
+
+_ENTRIES = """e AS (SELECT source AS id, count(*) / (SELECT count(*) FROM documents) AS share, source NOT IN ('src3', 'src5') AS allowed, source = 'src3' AS reasoned, source = 'src7' AS no_license, source = 'src9' AS no_commit FROM documents GROUP BY source)"""
+
+
+def _catalogue(spark, sf_dir):
+    """A catalogue with an entry for each source of the documents, some of them flawed, written as one JSON document and read back."""
+    d = table(spark, sf_dir, "documents")
+    s, total = F.col("source"), d.agg(F.count("*").alias("all"))
+    rows = d.groupBy("source").agg(F.count("*").alias("n")).join(F.broadcast(total))  # one row
+    values = {
+        "id": s, "dataset": F.concat(F.lit("set/"), s), "config": F.lit("default"), "split": F.lit("train"), "revision": F.when(s == "src9", "main").otherwise(F.sha1(s)), "text_column": F.lit("text"), "language": F.lit("en"), "domain": F.lit("web"),
+        "target_token_share": F.col("n") / F.col("all"), "license": F.when(s == "src7", " ").otherwise("cc-by"), "license_url": F.lit("https://example.org/license"), "allowed_for_base_pretraining": ~s.isin("src3", "src5"), "blocking_reason": F.when(s == "src3", "no licence yet"),
+    }
+    entries = rows.select(F.struct(*(v.alias(k) for k, v in values.items())).alias("e")).agg(F.collect_list("e").alias("sources"))  # an entry a source
+    header = {k: F.lit({"1": 1, "false": False}.get(v, v)).alias(k) for k, v in catalogue.HEADER.items()}
+    path = shared_folder(spark, "catalogue")
+    entries.select(F.to_json(F.struct(*header.values(), "sources")).alias("value")).coalesce(1).write.text(path)
+    return catalogue.read_catalogue(spark, path)
+
+
+@query(
+    f"""WITH {_ENTRIES} SELECT id, 'blocked_without_reason' AS failure FROM e WHERE NOT allowed AND NOT reasoned UNION ALL SELECT id, 'blank:license' FROM e WHERE no_license UNION ALL SELECT id, 'revision_is_no_commit' FROM e WHERE no_commit
+    UNION ALL SELECT NULL, 'blocked_sources' FROM e HAVING bool_or(NOT allowed)"""
+)
+def source_catalogue(spark, sf_dir):
+    """What is wrong with a catalogue of the documents' sources."""
+    return catalogue.failures(_catalogue(spark, sf_dir))
+
+
+@query("SELECT source, count(*) AS docs FROM documents WHERE source NOT IN ('src3', 'src5') GROUP BY source")
+def catalogue_admission(spark, sf_dir):
+    """Documents of the sources that the catalogue allows."""
+    return catalogue.admitted(table(spark, sf_dir, "documents").select("source"), _catalogue(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("docs"))

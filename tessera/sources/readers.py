@@ -80,13 +80,3 @@ def code_sample(df: DataFrame, order: str, target_chars: int, text_col: str = "t
 def whole_files(spark, pattern: str) -> DataFrame:
     """path and text of each file, to be ordered by path."""
     return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-
-
-def source_plan(spark, rows: list[dict]) -> DataFrame:
-    """The source catalogue as a table; a blocked source needs its reason."""
-    for r in rows:
-        if not r.get("allowed_for_base_pretraining", True) and not r.get("blocking_reason"):
-            raise ValueError(f"{r.get('id')}: blocked without a reason")
-    fields = "id string, dataset string, language string, domain string, license string, target_token_share double, allowed_for_base_pretraining boolean, blocking_reason string"
-    names = [f.split()[0] for f in fields.split(", ")]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], fields)

@@ -193,3 +193,29 @@ def test_lines_are_counted_once_over_restarts(spark, tmp_path):
     for crc in (tmp_path / "state" / "commits").glob(f".{last.name}.crc"):
         crc.unlink()
     assert run(1000) == want
+
+
+def test_catalogue_rules(spark, tmp_path):
+    from tessera.sources import catalogue
+
+    good = {"id": "a", "dataset": "d", "config": "c", "split": "train", "revision": "0" * 40, "text_column": "text", "language": "en", "domain": "web", "target_token_share": 0.5, "license": "l", "license_url": "u", "allowed_for_base_pretraining": True}
+    head = {"schema_version": 1, "source_revision_policy": "exact_huggingface_commit", "token_share_basis": "final_frozen_tokenizer_tokens", "generated_text_allowed": False}
+
+    def read(entries, **changes):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(head | {"sources": entries} | changes, indent=1))
+        return catalogue.read_catalogue(spark, f"file://{path}")
+
+    found = lambda sources, **k: sorted((r["id"] or "", r["failure"]) for r in catalogue.failures(read(sources), **k).collect())
+    assert found([good, good | {"id": "b"}]) == []
+    assert found([good, good]) == [("a", "missing_or_duplicate_id")] * 2
+    assert found([good | {"target_token_share": 1.5}]) == [("", "allowed_shares_over_1"), ("", "shares_do_not_sum_to_1"), ("a", "share_outside_0_1")]
+    blocked = good | {"id": "b", "allowed_for_base_pretraining": False}
+    assert found([good, blocked]) == [("", "blocked_sources"), ("b", "blocked_without_reason")]
+    assert found([good, blocked | {"blocking_reason": "why"}], require_complete=False) == []
+    assert found([good | {"revision": "A" * 40, "domain": " "}, {"id": None}]) == [("", "allowed_is_no_boolean"), *[("", f"blank:{c}") for c in sorted(catalogue.NOT_BLANK)], ("", "missing_or_duplicate_id"), ("", "revision_is_no_commit"), ("", "share_outside_0_1"), ("", "shares_do_not_sum_to_1"), ("a", "blank:domain"), ("a", "revision_is_no_commit")]
+    for changes in ({"schema_version": 2}, {"generated_text_allowed": True}, {"token_share_basis": None}, {"sources": []}):
+        with pytest.raises(ValueError, match=next(iter(changes))):
+            read([good], **changes)
+    docs = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "source string, k int")
+    assert [r["k"] for r in catalogue.admitted(docs, read([good, blocked])).collect()] == [1]
