@@ -27,6 +27,19 @@ def excise(docs: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
     return docs.join(tombstones.select(key), key, "left_anti")
 
 
+def excise_content(docs: DataFrame, tombstones: DataFrame, hash_col: str = "content_hash") -> tuple[DataFrame, DataFrame]:
+    """Documents whose content no tombstone names, and the audit of those that go: tombstone_id, reason, content_hash, documents.
+
+    tombstones: tombstone_id, reason, content_hash. A hash that no document has is
+    in the audit with 0 documents, so that a request is seen to be met; a document
+    without a hash stays. One row a hash, not a list a tombstone, which may name many.
+    """
+    asked = tombstones.where(F.col("content_hash").isNotNull()).select("tombstone_id", "reason", "content_hash").distinct()
+    found = docs.join(asked.select(F.col("content_hash").alias(hash_col)).distinct(), hash_col, "left_semi").groupBy(F.col(hash_col).alias("content_hash")).agg(F.count("*").alias("documents"))
+    audit = asked.join(found, "content_hash", "left").select("tombstone_id", "reason", "content_hash", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
+    return docs.join(asked.select(F.col("content_hash").alias(hash_col)).distinct(), hash_col, "left_anti"), audit
+
+
 def manifest(docs: DataFrame, group: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per group: documents, bytes and a digest that no order changes."""
     h = F.xxhash64(id_col, text_col)

@@ -224,3 +224,20 @@ def tombstone_excision(spark, sf_dir):
 
     gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     return provenance.excise(_docs(spark, sf_dir), gone, "doc_id").agg(F.count("*").alias("kept"))
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT 't' || d.doc_id % 3 AS tombstone_id, CASE d.doc_id % 3 WHEN 0 THEN 'GDPR_ERASURE_REQUEST' WHEN 1 THEN 'DMCA_TAKEDOWN' ELSE 'DATA_POISONING_PURGE' END AS reason, sha256(text) AS content_hash FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE toxic = 1
+    UNION ALL SELECT 't9', 'DMCA_TAKEDOWN', sha256('absent ' || n_nationkey) FROM nation), n AS (SELECT sha256(text) AS content_hash, count(*) AS documents FROM documents GROUP BY text)
+    SELECT tombstone_id, reason, t.content_hash, coalesce(documents, 0) AS documents FROM t LEFT JOIN n ON n.content_hash = t.content_hash"""
+)
+def tombstone_audit(spark, sf_dir):
+    """What the removal of toxic documents' contents took, copies too, with requests that nothing meets."""
+    from ..operators import provenance
+
+    d = _docs(spark, sf_dir).withColumn("content_hash", F.sha2("text", 256))
+    k = F.col("doc_id") % 3
+    reason = F.when(k == 0, "GDPR_ERASURE_REQUEST").when(k == 1, "DMCA_TAKEDOWN").otherwise("DATA_POISONING_PURGE")
+    asked = d.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id").select(F.concat(F.lit("t"), k).alias("tombstone_id"), reason.alias("reason"), "content_hash")
+    absent = table(spark, sf_dir, "nation").select(F.lit("t9").alias("tombstone_id"), F.lit("DMCA_TAKEDOWN").alias("reason"), F.sha2(F.format_string("absent %d", F.col("n_nationkey").cast("long")), 256).alias("content_hash"))
+    return provenance.excise_content(d, asked.unionByName(absent))[1]

@@ -219,3 +219,34 @@ def test_catalogue_rules(spark, tmp_path):
             read([good], **changes)
     docs = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "source string, k int")
     assert [r["k"] for r in catalogue.admitted(docs, read([good, blocked])).collect()] == [1]
+
+
+def test_storage_keeps_to_its_folder(spark, tmp_path):
+    from tessera.sources.storage import Storage
+
+    s = Storage(spark, f"file://{tmp_path}/store")
+    (tmp_path / "store-beside").mkdir()
+    s.write("a/b.txt", "one")
+    assert s.read("/a/b.txt") == b"one" and s.exists("a/../a/b.txt") and not s.exists("a/c.txt")
+    with pytest.raises(FileExistsError):
+        s.write("a/b.txt", "two")
+    s.write("a/b.txt", "two", overwrite=True)
+    s.write("a/ü.txt", "é")
+    assert s.read("a/b.txt") == b"two" and s.read("a/ü.txt") == "é".encode()
+    assert s.files() == ["a/b.txt", "a/ü.txt"] and s.files("a/b") == ["a/b.txt"] and s.files("x") == []
+    for path in ("../x", "a/../../store-beside/x", "..", "", "/", "a/../..", "file:/etc/passwd"):
+        with pytest.raises(ValueError):
+            s.place(path)
+    assert s.delete("a/b.txt") and not s.delete("a/b.txt")
+    with pytest.raises(FileNotFoundError):
+        s.read("a/b.txt")
+
+
+def test_tombstones_are_audited(spark):
+    from tessera.operators import provenance
+
+    docs = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "doc_id long, content_hash string")
+    gone = spark.createDataFrame([("t1", "r", "x"), ("t1", "r", "x"), ("t2", "s", "x"), ("t2", "s", "z"), ("t3", "s", None)], "tombstone_id string, reason string, content_hash string")
+    kept, audit = provenance.excise_content(docs, gone)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+    assert sorted(map(tuple, audit.collect())) == [("t1", "r", "x", 2), ("t2", "s", "x", 2), ("t2", "s", "z", 0)]
