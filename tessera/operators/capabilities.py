@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 _VERSION = r"^v?(\d+|[xX*])(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
 _TERM = r"(\^|~|>=|<=|>|<|=)?\s*(\S+)"
 _NUMBER = r"^\s*(>=|<=|>|<|=)\s*(-?\d+(?:\.\d+)?)\s*$"
@@ -81,10 +83,41 @@ def has_properties(declared: Column, required: Column) -> Column:
     return F.coalesce(F.forall(F.map_entries(required), met), F.lit(True))
 
 
-def match(requests: DataFrame, declared: DataFrame) -> DataFrame:
+#: Requests or declarations alike that meet in one task at most, about.
+BLOCK_ROWS = 1000
+
+
+def _classes(rows: DataFrame, terms: str, properties: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with kind (name, terms, entries) and block, and each kind with the number of its blocks; rows without a name meet nothing."""
+    kind = F.struct("name", F.col(terms).alias("terms"), F.map_entries(properties).alias("entries"))
+    rows = rows.where("name is not null").withColumn("kind", kind)
+    kinds = rows.groupBy("kind").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    return rows, kinds
+
+
+def match(requests: DataFrame, declared: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """request_id, model, name, version of every declared capability that meets a request.
 
     requests: request_id, name, expression, required; declared: model, name, version, properties.
+    Expressions and constraints are held against each other once for all rows that
+    are alike. The result is as large as requests times declarations that meet; its
+    rows are made in blocks of about ``block_rows`` of each, dealt over all tasks.
     """
-    found = requests.join(declared, "name").where(has_properties(F.col("properties"), F.col("required")))
-    return found.where(satisfies(F.col("version"), F.col("expression"))).select("request_id", "model", "name", "version")
+    requests, asked = _classes(requests, "expression", "required", block_rows)
+    declared, had = _classes(declared, "version", "properties", block_rows)
+    a, b = asked.select(F.col("kind").alias("a"), F.col("blocks").alias("n_a"), F.col("kind.name").alias("name")), had.select(F.col("kind").alias("b"), F.col("blocks").alias("n_b"), F.col("kind.name").alias("name"))
+    pairs = a.join(b, "name").select("a", "b", "n_a", "n_b", *(F.col(f"{k}.{c}").alias(f"{c}_{k}") for k in "ab" for c in ("terms", "entries")))
+    for c, meet in (("terms", satisfies(F.col("terms_b"), F.col("terms_a"))), ("entries", has_properties(F.map_from_entries("entries_b"), F.map_from_entries("entries_a")))):
+        own = F.struct(f"{c}_a", f"{c}_b")
+        # the count is always over 0; with it the costly condition stays above the aggregate, else Spark moves it below
+        known = pairs.groupBy(f"{c}_a", f"{c}_b").agg(F.count("*").alias("n")).where(F.when(F.col("n") > 0, meet)).select(own.alias(c))
+        pairs = pairs.withColumn(c, own).join(known, c, "left_semi")
+    pairs = staged(pairs.select("a", "b", "n_a", "n_b"), "capabilities")
+    pairs = pairs.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1))).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1))).drop("n_a", "n_b")
+    spread = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * requests.sparkSession.sparkContext.defaultParallelism)
+    block = lambda key, n: F.pmod(F.xxhash64(key), n)
+    left = requests.select(F.col("kind").alias("a"), "request_id").join(a.select("a", "n_a"), "a").select("a", block("request_id", F.col("n_a")).alias("block_a"), "request_id")
+    right = declared.select(F.col("kind").alias("b"), "model", "name", "version").join(b.select("b", "n_b"), "b").select("b", block("model", F.col("n_b")).alias("block_b"), "model", "name", "version")
+    keys = ["a", "block_a", "b", "block_b"]
+    left, right = pairs.join(left, ["a", "block_a"]).select(*keys, "request_id"), pairs.join(right, ["b", "block_b"]).select(*keys, "model", "name", "version")
+    return left.repartition(spread, *keys).join(right, keys).select("request_id", "model", "name", "version")

@@ -243,6 +243,22 @@ def test_capability_match(spark):
     assert sorted(map(tuple, capabilities.match(requests, declared).collect())) == [(1, "b", "function_calling", "1.2.0"), (2, "a", "function_calling", "2.0.0"), (3, "a", "bengali", "2.1.0")]
 
 
+def test_capabilities_alike_meet_in_blocks(spark):
+    import semver_model
+
+    declared = [(f"m{k}", "n" if k % 9 else None, ["1.2.0", "1.2.0-rc.1", "2.0.0", "odd"][k % 4], {"max_tokens": str(k % 3)} if k % 5 else None) for k in range(120)]
+    requests = [(k // 2, "n", [None, "^1.0.0", ">=2.0.0"][k % 3], [None, {"max_tokens": ">=1"}][k % 2]) for k in range(60)]
+    want = []
+    for r, _, e, needed in requests:
+        for m, name, v, p in declared:
+            if name and (not needed or p and int(p["max_tokens"]) >= 1) and (not e or semver_model.satisfies(v, e)):
+                want.append((r, m, name, v))
+    declared = spark.createDataFrame(declared, "model string, name string, version string, properties map<string, string>")
+    requests = spark.createDataFrame(requests, "request_id int, name string, expression string, required map<string, string>")
+    for block_rows in (3, 1000):
+        assert sorted(map(tuple, capabilities.match(requests, declared, block_rows=block_rows).collect())) == sorted(want) and len(want) > 500
+
+
 def test_accounting(spark):
     assert accounting.perplexity(spark.createDataFrame([], "l double, n long"), "l", "n").first()[0] is not None
     checks = spark.createDataFrame([("a", "error", True), ("b", "warning", False)], "name string, severity string, ok boolean")
