@@ -36,7 +36,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {BM25.replace('<FILTER>', _ENGLISH)} SELECT query_id, doc, round(score, 4) AS score, rank FROM r WHERE rank <= 3 AND score >= 1.0")
 def bm25_filtered(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return _ranked(retrieval.bm25(_queries(spark, sf_dir), docs, 3, candidates=docs.where("lang = 'en'").select(F.col("doc_id").alias("doc")), min_score=1.0))
+    return _ranked(retrieval.bm25(_queries(spark, sf_dir), docs, 3, candidates=F.col("lang") == "en", min_score=1.0))
 
 
 @query(f"WITH {BM25.replace('<FILTER>', '')} SELECT tok AS token, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM i, st")
