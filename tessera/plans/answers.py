@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, retrieval, sft, verify
+from ..sources.stage import staged
 from . import query, table
 from .tokens import WORDS
 
@@ -128,7 +129,9 @@ def grounding_verdict(spark, sf_dir):
     """Each answer against the retrieved documents of its question's text."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     best = retrieval.bm25(items.withColumnRenamed("item_id", "query_id"), table(spark, sf_dir, "documents"), 2)
-    found = best.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("evidence")), "doc")
+    best = staged(best.select("query_id", "doc", "rank"), "best")
+    few = F.broadcast(best) if best.count() <= 100_000 else best  # else the texts of all documents would be shuffled
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("evidence")).join(few, "doc")
     evidence = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
     rows = items.join(evidence.withColumnRenamed("query_id", "item_id"), "item_id", "left")
     return rows.select("item_id", verify.grounded(F.col("text"), F.col("text"), F.col("evidence")).alias("v")).select("item_id", "v.status", F.round("v.score", 6).alias("score"))
