@@ -28,17 +28,21 @@ LANGUAGE_SCRIPT = {
 BOILERPLATE = ["As an AI language model, ", "As an AI, ", "I am an AI, ", "Sure, I can help with that! ", "Certainly! ", "Of course! "]
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The characters of SPACE.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c\x1d\x1e\x85  ]"
 SPACE_IN_LINE = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n\r\x0B\f\x1c\x1d\x1e\x85\x{2028}\x{2029}]]"
+#: Holds before each white space and before few other characters: tells most positions apart in two comparisons.
+_NEAR_SPACE = r"(?=[^!-\x84\x{A1}-\x{167F}])"
 WORD = r"[\p{L}\p{N}_]+"
 #: Fixed value: what counts as a tag.
 HTML = r"</?[a-zA-Z][^>]{0,200}>"
 
 
-#: Characters that are in normal form wherever they stand: all below U+0300, and general punctuation.
-_ODD = r"[^\x00-\x{02FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]"
-#: Those of them whose full case folding is their lower case: no sharp s, micro sign or letters beyond Latin-1.
-_ODD_CASE = r"[^\x00-\x{00B4}\x{00B6}-\x{00DE}\x{00E0}-\x{00FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]"
+#: Texts of characters that are in normal form wherever they stand: all below U+0300, and general punctuation. One loop over the text; a search for any other character begins anew at each.
+_PLAIN = r"\A[\x00-\x{02FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*\z"
+#: Texts of those of them whose full case folding is their lower case: no sharp s, micro sign or letters beyond Latin-1.
+_PLAIN_CASE = r"\A[\x00-\x{00B4}\x{00B6}-\x{00DE}\x{00E0}-\x{00FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*\z"
 
 
 def _is_ascii(c: Column) -> Column:
@@ -47,17 +51,17 @@ def _is_ascii(c: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Unicode NFC on the JVM; most texts hold no character that could change, null stays null."""
-    return F.when(_is_ascii(c) | ~c.rlike(_ODD), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
+    return F.when(_is_ascii(c) | c.rlike(_PLAIN), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
 
 
 def casefold(c: Column) -> Column:
     """Full case folding on the JVM, which is the lower case for most texts."""
-    return F.when(_is_ascii(c) | ~c.rlike(_ODD_CASE), F.lower(c)).otherwise(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)))
+    return F.when(_is_ascii(c) | c.rlike(_PLAIN_CASE), F.lower(c)).otherwise(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)))
 
 
 def strip(c: Column) -> Column:
-    """Unicode white space off both ends; a run inside is looked at once, from its start."""
-    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    """Unicode white space off both ends; nothing but the ends is looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalize(c: Column) -> Column:
@@ -65,8 +69,8 @@ def normalize(c: Column) -> Column:
 
     White space that holds a line break is one line feed; so few passes over the whole text do.
     """
-    lines = F.regexp_replace(nfc(c), rf"(?<!{SPACE}){SPACE_IN_LINE}*+(?:{LINE_BREAK}){SPACE}*+", "\n")
-    return F.regexp_replace(strip(lines), r"\t[ \t]*+| [ \t]++", " ")
+    lines = F.regexp_replace(nfc(c), rf"{_NEAR_SPACE}(?<!{SPACE}){SPACE_IN_LINE}*+(?:{LINE_BREAK}){SPACE}*+", "\n")
+    return F.regexp_replace(strip(lines), r"(?=[\t ])(?:\t[ \t]*+| [ \t]++)", " ")
 
 
 def normalize_keep_paragraphs(c: Column) -> Column:

@@ -135,6 +135,21 @@ def test_bm25_in_blocks_equals_brute_force(spark):
             assert sorted((r["query_id"], r["doc"], r["rank"]) for r in got.collect()) == sorted(want) and len(want) > 30
 
 
+def test_normal_forms_of_every_character(spark):
+    from unittest import mock
+
+    odd = [chr(x) for x in range(0x10000) if not 0xD800 <= x < 0xE000] + ["\U0001d15e", "\U00010400", "\U0001f600"]
+    df = spark.createDataFrame([(f"{x} a{x} \n {x}b\t{x}",) for x in odd] + [("",), (None,), (" \u3000\n",)], "t string").withColumn("n", F.length("t"))
+    old_strip = lambda c: F.regexp_replace(c, rf"\A{T.SPACE}++|(?<!{T.SPACE}){T.SPACE}++\z", "")
+    got = [T.strip(F.col("t")), T.nfc(F.col("t")), T.casefold(F.col("t")), T.normalize(F.col("t"))]
+    icu = lambda name, method, flag: F.reflect(F.lit(name), F.lit(method), F.col("t"), F.lit(flag))
+    with mock.patch.object(T, "strip", old_strip), mock.patch.object(T, "_NEAR_SPACE", ""):
+        want = [old_strip(F.col("t")), icu("com.ibm.icu.text.Normalizer", "compose", False), icu("com.ibm.icu.lang.UCharacter", "foldCase", True), T.normalize(F.col("t"))]
+    same = F.array(*(F.when(F.col("t").isNull(), g.isNull()).otherwise(g.eqNullSafe(w)) for g, w in zip(got, want)))
+    assert df.select("t", same.alias("same")).where(F.exists("same", lambda x: ~x)).collect() == []
+    assert set(T.WHITE) == {x for x in odd if x.isspace()} and "btrim" in df.select(T.strip(F.col("t")))._jdf.queryExecution().logical().toString().lower()
+
+
 def test_verifiers(spark):
     rows = [("who is Ada Lovelace", "Ada Lovelace wrote programs.", ["Ada Lovelace wrote the first programs"]), ("who is Ada Lovelace", "Ada wrote it", ["bananas are yellow"]), ("q", "a", None)]
     df = spark.createDataFrame(rows, "q string, a string, e array<string>")
