@@ -178,7 +178,7 @@ def packed_training_examples(spark, sf_dir):
     ids = F.transform(T.split_words(F.col("text")), F.length)
     path = shared_folder(spark, "packed")
     packed.write_packed(token_stream(table(spark, sf_dir, "documents").select("doc_id", ids.alias("tokens")), eos=0), path, 1 << 20, eos=0, file_tokens=10_000)
-    text = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256)
+    text = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
     return packed.read_packed(spark, path, seq_len=128).select(F.col("index").alias("chunk"), text("input_ids").alias("inputs"), text("labels").alias("labels"))
 
 

@@ -10,7 +10,8 @@ Reading checks marker, manifest, byte lengths before any task starts, and ids an
 hashes as the files stream by; a changed byte fails the query. Without options rows
 are (offset, ids) of up to ``BLOCK`` tokens; with ``seq_len`` they are training
 examples (index, input_ids, labels) of every full window of seq_len + 1 tokens that
-starts at a multiple of seq_len, also where it reaches into the next file.
+starts at a multiple of seq_len, also where it reaches into the next file. A task
+reads neighbouring files of up to ``TASK_TOKENS`` together, and is told of no others.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-BLOCK, FILE_TOKENS = 1 << 16, 1 << 25
+BLOCK, FILE_TOKENS, TASK_TOKENS = 1 << 16, 1 << 25, 1 << 20
 #: What a manifest must hold.
 REQUIRED = ("schema_version", "token_count", "dtype", "files", "tokens_sha256", "tokens_bytes")
 
@@ -37,6 +39,11 @@ def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return fs, at.rstrip("/")
 
 
+def _sizes(fs: arrow_fs.FileSystem, folder: str) -> dict[str, int]:
+    """Bytes of each file of a folder, by one listing."""
+    return {info.base_name: info.size for info in fs.get_file_info(arrow_fs.FileSelector(folder)) if info.type == arrow_fs.FileType.File}
+
+
 def _digest(files: list[dict]) -> str:
     return hashlib.sha256("\n".join(f["sha256"] for f in files).encode()).hexdigest()
 
@@ -65,28 +72,41 @@ class PackedWriter(DataSourceArrowWriter):
             out.close()
             done.append(own | {"bytes": 4 * own["tokens"], "sha256": sha.hexdigest()})
 
+        def put(data: np.ndarray) -> None:
+            if len(data):
+                out.write(data.tobytes())
+                sha.update(data.tobytes())
+                own["tokens"] += len(data)
+                own["ends"] += int((data == self.eos).sum()) if self.eos is not None else 0
+
         for batch in batches:
-            for offset, ids in zip(batch.column("offset").to_pylist(), batch.column("ids")):
-                tokens = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, "i8")
-                if not len(tokens):
-                    continue
-                if expected is not None and offset != expected:
-                    raise ValueError(f"rows do not join: {offset} after {expected}")
-                if tokens.min() < 0 or tokens.max() >= self.vocab_size:
-                    raise ValueError(f"a token is outside the vocabulary of {self.vocab_size}")
-                expected = offset + len(tokens)
-                for lo in range(0, len(tokens), self.file_tokens):
-                    part = tokens[lo : lo + self.file_tokens]
-                    if out is None or own["tokens"] + len(part) > self.file_tokens:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+            tokens = batch.column("ids").flatten().to_numpy(zero_copy_only=False)
+            starts, sizes = batch.column("offset").to_numpy(zero_copy_only=False)[sizes > 0], sizes[sizes > 0]
+            if not len(tokens):
+                continue
+            ends = starts + sizes
+            due = np.append(starts[0] if expected is None else expected, ends[:-1])
+            if (starts != due).any():
+                k = int(np.argmax(starts != due))
+                raise ValueError(f"rows do not join: {starts[k]} after {due[k]}")
+            if tokens.min() < 0 or tokens.max() >= self.vocab_size:
+                raise ValueError(f"a token is outside the vocabulary of {self.vocab_size}")
+            expected, done_to, at = int(ends[-1]), 0, 0
+
+            tokens = tokens.astype("<u4")
+            for offset, size in zip(starts.tolist(), sizes.tolist()):
+                for lo in range(0, size, self.file_tokens):
+                    part = min(self.file_tokens, size - lo)
+                    if out is None or own["tokens"] + at - done_to + part > self.file_tokens:
                         if out is not None:
+                            put(tokens[done_to:at])
                             close()
+                        done_to = at
                         name = f"tokens-{offset + lo:020d}-{uuid.uuid4().hex[:8]}.uint32"
                         out, own, sha = fs.open_output_stream(f"{folder}/{name}"), {"name": name, "first": offset + lo, "tokens": 0, "ends": 0}, hashlib.sha256()
-                    data = part.astype("<u4").tobytes()
-                    out.write(data)
-                    sha.update(data)
-                    own["tokens"] += len(part)
-                    own["ends"] += int((part == self.eos).sum()) if self.eos is not None else 0
+                    at += part
+            put(tokens[done_to:])
         if out is not None:
             close()
         return Written(done)
@@ -95,16 +115,15 @@ class PackedWriter(DataSourceArrowWriter):
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: f["first"])
         fs, folder = _open(self.staging)
         fs.create_dir(folder, recursive=True)
-        at = 0
+        at, sizes = 0, _sizes(fs, folder)
         for f in files:
-            if f["first"] != at or fs.get_file_info(f"{folder}/{f['name']}").size != f["bytes"]:
+            if f["first"] != at or sizes.get(f["name"]) != f["bytes"]:
                 self.abort(messages)
                 raise ValueError(f"packed files do not join at token {at}")
             at += f["tokens"]
         known = {f["name"] for f in files}
-        for info in fs.get_file_info(arrow_fs.FileSelector(folder)):  # of tasks that were run twice
-            if info.base_name not in known:
-                fs.delete_file(info.path)
+        for name in sizes.keys() - known:  # of tasks that were run twice
+            fs.delete_file(f"{folder}/{name}")
         ends = sum(f.pop("ends") for f in files)
         manifest = {"schema_version": 1, "dtype": "uint32", "token_count": at, "tokens_bytes": 4 * at, "tokens_sha256": _digest(files), "tokenizer_vocab_size": self.vocab_size, "files": files}
         manifest |= {"eos_token_id": self.eos, "eos_token_count": ends, "discarded_remainder": 0} if self.eos is not None else {}
@@ -136,69 +155,93 @@ def manifest_of(path: str) -> dict:
     files = manifest["files"]
     if manifest["tokens_bytes"] != 4 * manifest["token_count"] or sum(f["tokens"] for f in files) != manifest["token_count"] or _digest(files) != manifest["tokens_sha256"]:
         raise ValueError("packed manifest does not fit itself")
+    sizes = _sizes(fs, folder)
     for f in files:
-        if f["bytes"] != 4 * f["tokens"] or fs.get_file_info(f"{folder}/{f['name']}").size != f["bytes"]:
+        if f["bytes"] != 4 * f["tokens"] or sizes.get(f["name"]) != f["bytes"]:
             raise ValueError(f"{f['name']}: byte length does not match the manifest")
     return manifest
 
 
 @dataclass
-class _File(InputPartition):
-    no: int
+class _Files(InputPartition):
+    """Neighbouring files, and those after them that the last windows reach into."""
+
+    own: list[dict]
+    after: list[dict]
 
 
 class PackedReader(DataSourceReader):
-    """A task for each file."""
+    """A task for neighbouring files of ``TASK_TOKENS`` together, or a single larger one; tasks get their files' entries, not the manifest."""
 
     def __init__(self, path: str, seq_len: int | None):
         self.path, self.seq_len = path, seq_len
-        self.manifest = manifest_of(path)
-        if seq_len is not None and (seq_len < 1 or self.manifest["token_count"] <= seq_len):
+        manifest = manifest_of(path)
+        self.files, self.top = manifest["files"], manifest.get("tokenizer_vocab_size")
+        if seq_len is not None and (seq_len < 1 or manifest["token_count"] <= seq_len):
             raise ValueError("packed corpus is shorter than one training sequence")
 
-    def partitions(self) -> list[_File]:
-        return [_File(k) for k in range(len(self.manifest["files"]))]
-
-    def _blocks(self, f: dict) -> Iterator[np.ndarray]:
-        """A file's tokens as they stream by; the hash is known at the end."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"files": None}
+
+    def partitions(self) -> list[_Files]:
+        edges, held = [0], 0
+        for k, f in enumerate(self.files):
+            if held and held + f["tokens"] > TASK_TOKENS:
+                edges.append(k)
+                held = 0
+            held += f["tokens"]
+        edges.append(len(self.files))
+        return [_Files(self.files[a:b], self._reached(b)) for a, b in zip(edges, edges[1:]) if a < b]
+
+    def _reached(self, no: int) -> list[dict]:
+        """Files from ``no`` on that hold the next seq_len + 1 tokens."""
+        out, held = [], 0
+        while self.seq_len is not None and no < len(self.files) and held <= self.seq_len:
+            out.append(self.files[no])
+            held += self.files[no]["tokens"]
+            no += 1
+        return out
+
+    def _blocks(self, files: list[dict]) -> Iterator[np.ndarray]:
+        """The files' tokens as they stream by; a file's hash is known at its end."""
         fs, folder = _open(self.path)
-        sha, top = hashlib.sha256(), self.manifest.get("tokenizer_vocab_size")
-        with fs.open_input_stream(f"{folder}/{f['name']}") as source:
-            while data := source.read(4 * BLOCK):
-                sha.update(data)
-                tokens = np.frombuffer(data, "<u4")
-                if top is not None and int(tokens.max()) >= top:
-                    raise ValueError(f"{f['name']}: a token is outside the vocabulary")
-                yield tokens
-        if sha.hexdigest() != f["sha256"]:
-            raise ValueError(f"{f['name']}: hash mismatch")
-
-    def _head(self, no: int, n: int) -> np.ndarray:
-        """The first n tokens of file ``no`` and those after it."""
+        for f in files:
+            sha = hashlib.sha256()
+            with fs.open_input_stream(f"{folder}/{f['name']}") as source:
+                while data := source.read(4 * BLOCK):
+                    sha.update(data)
+                    tokens = np.frombuffer(data, "<u4")
+                    if self.top is not None and int(tokens.max()) >= self.top:
+                        raise ValueError(f"{f['name']}: a token is outside the vocabulary")
+                    yield tokens
+            if sha.hexdigest() != f["sha256"]:
+                raise ValueError(f"{f['name']}: hash mismatch")
+
+    def _head(self, files: list[dict], n: int) -> np.ndarray:
+        """The first n tokens of the files."""
         fs, folder = _open(self.path)
         got = np.zeros(0, "<u4")
-        for f in self.manifest["files"][no:]:
+        for f in files:
             if len(got) >= n:
                 break
             with fs.open_input_stream(f"{folder}/{f['name']}") as source:
                 got = np.append(got, np.frombuffer(source.read(4 * (n - len(got))), "<u4"))
         return got
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        f = self.manifest["files"][partition.no]
-        at, kept = f["first"], np.zeros(0, "<u4")
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        at, kept = partition.own[0]["first"], np.zeros(0, "<u4")
         if self.seq_len is None:
-            for tokens in self._blocks(f):
+            for tokens in self._blocks(partition.own):
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([tokens.astype("i8")], pa.list_(pa.int64()))], ["offset", "ids"])
                 at += len(tokens)
             return
         s = self.seq_len
         start = -(-at // s) * s  # of the first window that begins here
-        end = f["first"] + f["tokens"]
+        end = partition.own[-1]["first"] + partition.own[-1]["tokens"]
 
         def windows(last: int) -> Iterator[pa.RecordBatch]:
             nonlocal start
-            n = max(0, (last - start - 1) // s)  # full windows that begin in this file
+            n = max(0, (last - start - 1) // s)  # full windows that begin in these files
             n = min(n, max(0, -(-(end - start) // s)))
             if n:
                 lo = start - at
@@ -207,12 +250,12 @@ class PackedReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(start // s + np.arange(n)), *lists], ["index", "input_ids", "labels"])
                 start += n * s
 
-        for tokens in self._blocks(f):
+        for tokens in self._blocks(partition.own):
             kept = np.append(kept, tokens)
             yield from windows(at + len(kept))
             drop = min(len(kept), max(0, start - at))
             kept, at = kept[drop:], at + drop
-        kept = np.append(kept, self._head(partition.no + 1, s + 1))
+        kept = np.append(kept, self._head(partition.after, s + 1))
         yield from windows(at + len(kept))
 
 

@@ -341,6 +341,29 @@ def test_packed_files_round_trip(spark, tmp_path):
         _packed(spark, tmp_path, stream)
 
 
+def test_packed_files_are_read_together(spark, tmp_path, monkeypatch):
+    """Tasks grow with tokens, not with files; what is sent to a task names its own files only; windows reach into the next task's files."""
+    import pickle
+
+    rng = random.Random(4)
+    stream = [rng.randint(0, 99) for _ in range(2_001)]
+    path, manifest = _packed(spark, tmp_path, stream, file_tokens=20)
+    files = [f["name"] for f in manifest["files"]]
+    assert len(files) > 60 and packed.read_packed(spark, path, seq_len=10).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(packed, "TASK_TOKENS", 150)
+    for s in (1, 7, 100, 400, 2000, None):
+        reader = packed.PackedReader(path, s)
+        parts = reader.partitions()
+        assert len(parts) < 20 and [f["name"] for p in parts for f in p.own] == files
+        sent = pickle.dumps(reader)
+        assert not any(f.encode() in sent for f in files)
+        rows = [r for p in parts for b in pickle.loads(sent).read(p) for r in b.to_pylist()]
+        if s is None:
+            assert [t for r in rows for t in r["ids"]] == stream
+        else:
+            assert rows == [{"index": k, "input_ids": stream[k * s : k * s + s], "labels": stream[k * s + 1 : k * s + s + 1]} for k in range(2_000 // s)]
+
+
 @pytest.mark.parametrize("harm,what", [("marker", "COMPLETE"), ("short", "byte length"), ("byte", "hash mismatch"), ("vocabulary", "outside the vocabulary"), ("key", "lacks")])
 def test_packed_files_are_checked(spark, tmp_path, harm, what):
     path, manifest = _packed(spark, tmp_path, list(range(100)) * 5, file_tokens=200)
