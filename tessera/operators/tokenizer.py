@@ -19,7 +19,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +52,16 @@ def _prefixed(text: Column) -> Column:
     return F.when((text == "") | F.startswith(text, F.lit(" ")), text).otherwise(F.concat(F.lit(" "), text))
 
 
-def pretoken_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """piece and n; combined before the shuffle. Null texts have none."""
+def holds_special(text: Column, special: tuple[str, ...] = SPECIAL) -> Column:
+    """Whether a special token stands in a text."""
+    return F.coalesce(reduce(Column.__or__, (F.contains(text, F.lit(s)) for s in special)), F.lit(False))
+
+
+def pretoken_counts(docs: DataFrame, text_col: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """piece and n, after the columns ``by`` if there are some; combined before the shuffle. Null texts have none."""
     text = _prefixed(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     pieces = F.explode(F.regexp_extract_all(text, F.lit(f"({PRETOKEN})"), 1)).alias("piece")
-    return docs.select(pieces).groupBy("piece").agg(F.count("*").alias("n"))
+    return docs.select(*by, pieces).groupBy(*by, "piece").agg(F.count("*").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -403,6 +408,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens array<int>")
 
 
+def counted(rows: DataFrame, vocabulary: Vocabulary, text_col: str = "text", name: str = "tokens", pieces: bool = False) -> DataFrame:
+    """``rows`` with the number of their texts' ids as column ``name``, 0 of a null text. pieces: each text is a piece of ``pretoken_counts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Encoder(vocabulary)
+        ids = own.piece if pieces else own
+        for batch in batches:
+            n = [len(ids(t or "")) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, name])
+
+    return rows.mapInArrow(run, rows.withColumn(name, F.lit(0).cast("long")).schema)
+
+
 def decode(tokens: list[int], vocabulary: Vocabulary, skip_special: bool = True) -> str:
     """The text of ids; bytes that are no UTF-8 give the replacement character."""
     first = len(vocabulary.special) if skip_special else 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import accounting, packing, provenance, sampling, tokenizer
+from ..sources.stage import staged
 from . import query, table
 
 WORDS = r"list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f\x85\pZ]+'), lambda x: x <> '')"
@@ -222,12 +223,16 @@ def bpe_merges(spark, sf_dir):
 
 @query()
 def tokens_per_language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    v = tokenizer.train(tokenizer.pretoken_counts(docs), VOCAB)
-    sizes = docs.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.length("text").alias("chars"), F.size(T.split_words(F.col("text"))).alias("words"))
-    n = tokenizer.encode(docs, v).select("doc_id", F.size("tokens").alias("tokens")).join(sizes, "doc_id")
-    s = {c: F.sum(c) for c in ("tokens", "bytes", "chars", "words")}
-    return n.groupBy("lang").agg(s["tokens"].alias("tokens"), (s["bytes"] / s["tokens"]).alias("bytes_per_token"), (s["tokens"] / s["chars"]).alias("tokens_per_char"), (s["tokens"] / s["words"]).alias("tokens_per_word"))
+    """Each different piece is encoded once; whole texts only where a special token stands in them, which cuts pieces anew."""
+    docs = table(spark, sf_dir, "documents").select("lang", "text").withColumn("special", tokenizer.holds_special(F.col("text")))
+    counts = staged(tokenizer.pretoken_counts(docs, by=("lang", "special")), "pieces")
+    v = tokenizer.train(counts.groupBy("piece").agg(F.sum("n").alias("n")), VOCAB)
+    plain = tokenizer.counted(counts.where("NOT special").repartition("piece"), v, "piece", pieces=True).select("lang", (F.col("n") * F.col("tokens")).alias("tokens"))
+    others = tokenizer.counted(docs.where("special"), v).select("lang", "tokens")
+    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.length("text")).alias("chars"), F.sum(F.size(T.split_words(F.col("text")))).alias("words"))
+    n = plain.unionByName(others).unionByName(sizes, allowMissingColumns=True)
+    s = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "bytes", "chars", "words")}
+    return n.groupBy("lang").agg(s["tokens"].alias("tokens"), *(F.try_divide(s[a], s[b]).alias(f"{a}_per_{b[:-1]}") for a, b in (("bytes", "tokens"), ("tokens", "chars"), ("tokens", "words"))))
 
 
 @query(rf"SELECT round(exp(sum(l_extendedprice * l_discount) / 1e4 / sum(l_quantity)), 6) AS perplexity FROM lineitem")

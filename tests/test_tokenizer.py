@@ -102,3 +102,23 @@ def test_nothing_to_train_on(spark):
     assert tokenizer.train(tokenizer.pretoken_counts(frame(spark, ["ab ab"])), 20, min_count=3).merges == ()
     one = frame(spark, ["x"]).where(F.lit(False))
     assert tokenizer.encode(one, empty).count() == 0
+
+
+def test_tokens_per_language_counts_each_row(spark, tmp_path, monkeypatch):
+    """As whole texts are encoded, row by row: repeated and null ids, special tokens inside, null languages, languages without a token."""
+    from tessera.plans import tokens
+
+    rows = [(1, "en", "the other thing, the other"), (1, "en", "the <eos>other<pad> \n\n thing"), (None, "en", "the  other\tthing \n"), (2, "fr", "l'autre chose <eos>"), (3, None, "the the"), (4, "de", ""), (5, "de", None), (6, "es", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(tokens, "VOCAB", 45)
+    v = tokenizer.train(tokenizer.pretoken_counts(docs), 45)
+    assert v.merges
+    own, want = tokenizer.Encoder(v), {}
+    for _, lang, t in rows:
+        w = want.setdefault(lang, [0, 0, 0, 0])
+        for k, x in enumerate((len(own(t or "")), len((t or "").encode()), len(t or ""), len((t or "").split()))):
+            w[k] += x
+    got = {r["lang"]: tuple(r)[1:] for r in tokens.tokens_per_language(spark, str(tmp_path)).collect()}
+    share = lambda a, b: a / b if b else None
+    assert got == {k: (n, share(b, n), share(n, c), share(n, w)) for k, (n, b, c, w) in want.items()}
