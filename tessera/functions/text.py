@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +33,10 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 #: The characters of SPACE.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c\x1d\x1e\x85  ]"
-SPACE_IN_LINE = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n\r\x0B\f\x1c\x1d\x1e\x85\x{2028}\x{2029}]]"
 #: Holds before each white space and before few other characters: tells most positions apart in two comparisons.
 _NEAR_SPACE = r"(?=[^!-\x84\x{A1}-\x{167F}])"
+#: Line breaks besides the line feed.
+_LINE_ENDS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 WORD = r"[\p{L}\p{N}_]+"
 #: Fixed value: what counts as a tag.
 HTML = r"</?[a-zA-Z][^>]{0,200}>"
@@ -43,12 +46,18 @@ HTML = r"</?[a-zA-Z][^>]{0,200}>"
 _PLAIN = r"\A[\x00-\x{02FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*\z"
 #: Texts of those of them whose full case folding is their lower case: no sharp s, micro sign or letters beyond Latin-1.
 _PLAIN_CASE = r"\A[\x00-\x{00B4}\x{00B6}-\x{00DE}\x{00E0}-\x{00FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*\z"
+#: Texts of characters of the first script or of none.
+_NO_OTHER_SCRIPT = r"\A[\x00-\x{03FF}\x{2010}-\x{205E}]*\z"
 
 
 def _is_ascii(c: Column) -> Column:
     return c.isNull() | (F.octet_length(c) == F.length(c))
 
 
+def _any_of(c: Column, pieces: list[str]) -> Column:
+    return reduce(Column.__or__, (F.contains(c, F.lit(p)) for p in pieces))
+
+
 def nfc(c: Column) -> Column:
     """Unicode NFC on the JVM; most texts hold no character that could change, null stays null."""
     return F.when(_is_ascii(c) | c.rlike(_PLAIN), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
@@ -67,10 +76,18 @@ def strip(c: Column) -> Column:
 def normalize(c: Column) -> Column:
     """NFC, inner blanks of a line collapsed, lines stripped, empty lines dropped.
 
-    White space that holds a line break is one line feed; so few passes over the whole text do.
+    Other line breaks and runs of blanks are searched for as bytes and replaced only in texts that hold some; no pattern runs over the others.
     """
-    lines = F.regexp_replace(nfc(c), rf"{_NEAR_SPACE}(?<!{SPACE}){SPACE_IN_LINE}*+(?:{LINE_BREAK}){SPACE}*+", "\n")
-    return F.regexp_replace(strip(lines), r"(?=[\t ])(?:\t[ \t]*+| [ \t]++)", " ")
+
+    def lines(t: Column) -> Column:
+        t = F.when(_any_of(t, _LINE_ENDS), F.regexp_replace(t, rf"{_NEAR_SPACE}(?:{LINE_BREAK})", "\n")).otherwise(t)
+        return F.array_join(F.filter(F.transform(F.split(t, "\n"), strip), lambda x: x != ""), "\n")
+
+    def blanks(t: Column) -> Column:
+        return F.when(_any_of(t, ["\t", "  "]), F.regexp_replace(t, r"(?=[\t ])(?:\t[ \t]*+| [ \t]++)", " ")).otherwise(t)
+
+    # a lambda's variable is computed once, however often it stands there
+    return F.element_at(F.transform(F.transform(F.array(nfc(c)), lines), blanks), 1)
 
 
 def normalize_keep_paragraphs(c: Column) -> Column:
@@ -96,8 +113,8 @@ def _char_class(ranges) -> str:
 
 
 def count_chars(c: Column, char_class: str) -> Column:
-    """Characters that match a one-character pattern."""
-    return F.length(c) - F.length(F.regexp_replace(c, char_class, ""))
+    """Characters that match a one-character pattern; they go in runs."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{char_class}++", ""))
 
 
 def script_counts(c: Column) -> Column:
@@ -108,12 +125,12 @@ def script_counts(c: Column) -> Column:
 def dominant_script(c: Column) -> Column:
     """Kana decides for Japanese; else the most frequent, the first met of equals; Unknown without any.
 
-    Most texts hold characters of the first script at most, which two searches tell.
+    Most texts hold characters of the first script at most, which the byte length or a loop over the text tells.
     """
     rows = [F.struct(count_chars(c, _char_class(r)).alias("n"), (-F.length(F.substring_index(F.regexp_replace(c, _char_class(r), "\u0001"), "\u0001", 1))).alias("p"), F.lit(name).alias("s")) for name, r in SCRIPTS.items()]
     best = F.array_max(F.filter(F.array(*rows), lambda x: x["n"] > 0))
     (first, ranges), *others = SCRIPTS.items()
-    plain = ~c.rlike(_char_class([r for _, own in others for r in own]))
+    plain = _is_ascii(c) | c.rlike(_NO_OTHER_SCRIPT) | ~c.rlike(_char_class([r for _, own in others for r in own]))
     short = F.when(c.rlike(_char_class(ranges)), first).otherwise("Unknown")
     return F.when(plain, short).when(c.rlike(_char_class(SCRIPTS["Japanese"])), "Japanese").otherwise(F.coalesce(best["s"], F.lit("Unknown")))
 
@@ -131,7 +148,7 @@ def alnum_count(c: Column) -> Column:
 
 
 def visible_count(c: Column) -> Column:
-    return count_chars(c, r"[^\s\x1c-\x1f\x85\p{Z}\p{C}]")
+    return F.when(_is_ascii(c), count_chars(c, "[!-~]")).otherwise(count_chars(c, r"[^\s\x1c-\x1f\x85\p{Z}\p{C}]"))
 
 
 def control_count(c: Column) -> Column:

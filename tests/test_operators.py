@@ -150,6 +150,47 @@ def test_normal_forms_of_every_character(spark):
     assert set(T.WHITE) == {x for x in odd if x.isspace()} and "btrim" in df.select(T.strip(F.col("t")))._jdf.queryExecution().logical().toString().lower()
 
 
+def test_normalize_of_plain_texts_runs_no_pattern_over_them(spark):
+    """As lines taken one by one, whatever breaks and blanks stand in them; a plain text takes a small part of the time of a pattern that looks at each character."""
+    import re
+    import time
+    import unicodedata
+
+    rng = random.Random(6)
+    parts = ["a", "é", "e\u0301", "本", "word", " ", "  ", "\t", "\n", "\r", "\r\n", "\n\r", *"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u200b\u3000"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3_000)]
+    want = {t: "\n".join(x for x in (re.sub("[ \t]+", " ", line).strip() for line in unicodedata.normalize("NFC", t).splitlines()) if x) for t in texts}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", T.normalize(F.col("t")).alias("n")).collect()} == want
+    plain = spark.range(400).select(F.repeat(F.concat(F.lit("a line with é and " + "some words of a plain text, " * 5 + "\n"), F.col("id").cast("string")), 400).alias("t")).localCheckpoint()
+    space, breaks = T.SPACE, T.LINE_BREAK
+    pattern = rf"(?=[^!-\x84\x{{A1}}-\x{{167F}}])(?<!{space})[\s\x1c-\x1f\x85\p{{Z}}&&[^\n\r\x0B\f\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]]*+(?:{breaks}){space}*+"
+    took = []
+    for c in (F.regexp_replace("t", pattern, "\n"), T.normalize(F.col("t"))):
+        took.append([])
+        for _ in range(3):
+            began = time.perf_counter()
+            plain.select(c.alias("n")).agg(F.sum(F.octet_length("n"))).first()
+            took[-1].append(time.perf_counter() - began)
+    assert min(took[1]) < min(took[0]) / 2, took
+
+
+def test_characters_are_counted_as_one_by_one(spark):
+    """Counts over runs and by shortcuts for ASCII texts equal those of single characters."""
+    import unicodedata
+
+    rng = random.Random(7)
+    letters = [*map(chr, range(0x180)), *"\u0301\u03a9\u0416\u0627\u0915\u3042\u4e00\uac00\u200b\u2014\u2029\ufffd\U0001f600"]
+    rows = ["".join(rng.choices(letters[: rng.choice([128, len(letters)])], k=rng.randint(0, 9))) for _ in range(3_000)]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = {r["t"]: tuple(r)[1:] for r in df.select("t", *(f(F.col("t")) for f in (T.visible_count, T.alnum_count, T.control_count, T.dominant_script))).collect()}
+    kind = unicodedata.category
+    for t in rows:
+        count = {name: (sum(any(a <= ord(x) <= b for a, b in own) for x in t), -next((k for k, x in enumerate(t) if any(a <= ord(x) <= b for a, b in own)), 0), name) for name, own in T.SCRIPTS.items()}
+        script = "Japanese" if count["Japanese"][0] else max((x for x in count.values() if x[0]), default=(0, 0, "Unknown"))[2]
+        assert got[t] == (sum(not x.isspace() and kind(x)[0] not in "CZ" for x in t), sum(kind(x)[0] in "LN" for x in t), sum(kind(x)[0] == "C" and x not in "\n\t" for x in t), script), repr(t)
+
+
 def test_verifiers(spark):
     rows = [("who is Ada Lovelace", "Ada Lovelace wrote programs.", ["Ada Lovelace wrote the first programs"]), ("who is Ada Lovelace", "Ada wrote it", ["bananas are yellow"]), ("q", "a", None)]
     df = spark.createDataFrame(rows, "q string, a string, e array<string>")
