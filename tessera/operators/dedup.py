@@ -15,6 +15,7 @@ from ..sources.stage import staged
 #: Fixed value: held-out texts under so many characters are not looked for.
 FRAGMENT_CHARS = 80
 WINDOW, MOST_KEY_BYTES = 80, 8 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 
 def mark_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -48,9 +49,13 @@ def _runs(column: pa.Array, q: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     if n < 1:
         return np.zeros(0, "i8"), np.zeros(0, "i8")
     with np.errstate(over="ignore"):
-        h = np.zeros(len(data) - q + 1, "u8")
-        for k in range(q):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + data[k : k + len(h)]
+        h, size = data, 1  # of runs of ``size`` bytes, which is doubled and grown by one up to q
+        for bit in bin(q)[3:]:
+            h = h[: len(h) - size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
+            size *= 2
+            if bit == "1":
+                h = h[:-1] * np.uint64(_BASE) + data[size:]
+                size += 1
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
     have = 1
@@ -58,11 +63,10 @@ def _runs(column: pa.Array, q: int, w: int) -> tuple[np.ndarray, np.ndarray]:
         step = min(have, w - have)
         h = np.minimum(h[: len(h) - step], h[step:])
         have += step
-    at = np.arange(n)
-    row = np.searchsorted(off, at, "right") - 1
-    inside = at + q + w - 1 <= off[row + 1]
-    new = inside & np.append(True, ~inside[:-1] | (h[1:n] != h[: n - 1]) | (row[1:] != row[:-1]))
-    return h[:n][new].astype("i8"), row[new]
+    end = np.repeat(off[1:], np.diff(off))[:n]
+    inside = np.arange(q + w - 1, q + w - 1 + n) <= end
+    new = np.flatnonzero(inside & np.append(True, ~inside[:-1] | (h[1:n] != h[: n - 1]) | (end[1:] != end[:-1])))
+    return h[new].astype("i8"), np.searchsorted(off, new, "right") - 1
 
 
 def _keyed(q: int, w: int, known: np.ndarray | None = None, text: bool = False):
@@ -70,8 +74,8 @@ def _keyed(q: int, w: int, known: np.ndarray | None = None, text: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
                 key, row = _runs(part.column(1), q, w)
                 if known is not None:
                     hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)

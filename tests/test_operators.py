@@ -191,6 +191,41 @@ def test_characters_are_counted_as_one_by_one(spark):
         assert got[t] == (sum(not x.isspace() and kind(x)[0] not in "CZ" for x in t), sum(kind(x)[0] in "LN" for x in t), sum(kind(x)[0] == "C" and x not in "\n\t" for x in t), script), repr(t)
 
 
+def test_minimizers_equal_their_definition():
+    """Of every w neighbouring runs of q bytes the least hash, of runs hashed byte by byte; time grows with the logarithm of q."""
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices("aé b", k=rng.choice([0, 1, 3, 9, 40]))) for _ in range(rng.randint(1, 6))]
+        q, w, want = rng.randint(1, 30), rng.randint(1, 20), []
+        for row, t in enumerate(texts):
+            b, last = (t or "").encode(), None
+            mixed = []
+            for k in range(len(b) - q + 1):
+                h = 0
+                for x in b[k : k + q]:
+                    h = (h * 0x9E3779B97F4A7C15 + x + 1) % 2**64
+                h = (h ^ h >> 31) * 0x94D049BB133111EB % 2**64
+                mixed.append(h ^ h >> 29)
+            for k in range(len(mixed) - w + 1):
+                least = min(mixed[k : k + w])
+                want += [] if least == last else [(least, row)]
+                last = least
+        key, row = dedup._runs(pa.array(texts, pa.string()), q, w)
+        assert list(zip(key.view("u8").tolist(), row.tolist())) == want
+    column, took = pa.array(["".join(rng.choices("abcdefgh ", k=5_000))] * 100), {}
+    for q in (4, 256):
+        took[q] = []
+        for _ in range(3):
+            began = time.perf_counter()
+            dedup._runs(column, q, 2)
+            took[q].append(time.perf_counter() - began)
+    assert min(took[256]) < 5 * min(took[4]), took
+
+
 def test_verifiers(spark):
     rows = [("who is Ada Lovelace", "Ada Lovelace wrote programs.", ["Ada Lovelace wrote the first programs"]), ("who is Ada Lovelace", "Ada wrote it", ["bananas are yellow"]), ("q", "a", None)]
     df = spark.createDataFrame(rows, "q string, a string, e array<string>")
