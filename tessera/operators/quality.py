@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,14 +31,15 @@ def word_diversity(w: Column) -> Column:
     return F.size(F.array_distinct(w)) / F.size(w)
 
 
-def reasons(df: DataFrame, policy: QualityPolicy = QualityPolicy(), text_col: str = "text", language_col: str = "language") -> DataFrame:
+def reasons(df: DataFrame, policy: QualityPolicy = QualityPolicy(), text_col: str = "text", language_col: str = "language", word_fold: Callable[[Column], Column] | None = None) -> DataFrame:
     """Adds normalized, folded, content_hash, dominant_script, reasons and accepted.
 
     A null text has the single reason missing_text and the hash of the empty text.
+    Words are alike that ``word_fold`` makes equal, case folding by default.
     """
     df = df.withColumn("normalized", F.coalesce(T.normalize(F.col(text_col)), F.lit("")))
     c = F.col("normalized")
-    df = df.withColumns({"dominant_script": T.dominant_script(c), "folded": T.casefold(c)}).withColumn("__words", T.words(F.col("folded")))
+    df = df.withColumns({"dominant_script": T.dominant_script(c), "folded": T.casefold(c)}).withColumn("__words", T.words(word_fold(c) if word_fold else F.col("folded")))
     checks: list[tuple[Column, Column | str]] = [
         (F.length(c) < policy.min_chars, "too_short"),
         (F.length(c) > policy.max_chars, "too_long"),
